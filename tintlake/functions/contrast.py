@@ -12,8 +12,9 @@ BLACK_LEVEL, BLACK_POWER = 0.022, 1.414
 
 
 def ratio(one: Column, two: Column) -> Column:
-    """Luminance ratio already rounded to two decimals; the pass flags read the rounded value."""
-    return F.floor((F.greatest(one, two) + 0.05) / (F.least(one, two) + 0.05) * 100.0 + 0.5) / 100.0
+    """Luminance ratio already rounded to two decimals; null when either side is missing."""
+    known = one.isNotNull() & two.isNotNull()
+    return F.when(known, F.floor((F.greatest(one, two) + 0.05) / (F.least(one, two) + 0.05) * 100.0 + 0.5) / 100.0)
 
 
 _POWERS = "array(" + ",".join(f"{(i / 255) ** 2.4!r}D" for i in range(256)) + ")"

@@ -67,8 +67,14 @@ def blend(df: DataFrame, t: Column, space: str) -> DataFrame:
     return out.drop("_t", *temps)
 
 
-def segments(stops: DataFrame) -> DataFrame:
-    """Consecutive stops of each ramp as one row with ``p0, p1`` and both colours; ``last`` marks the closing one."""
+def segments(stops: DataFrame, max_stops: int) -> DataFrame:
+    """Consecutive stops of each ramp as one row with ``p0, p1`` and both colours; ``last`` marks the closing one.
+
+    A ramp needs at least as many steps as stops, so longer ramps are invalid (see ``invalid_ramps``) and are
+    left out before the window: no window holds more than ``max_stops`` rows.
+    """
+    sizes = stops.groupBy("ramp_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_stops)
+    stops = stops.join(sizes, "ramp_id")
     order = Window.partitionBy("ramp_id").orderBy("ord")
     nxt = {f"b{n}": F.lead(n).over(order) for n in "rgb"}
     df = stops.select("ramp_id", "ord", F.col("pos").alias("p0"), F.lead("pos").over(order).alias("p1"),

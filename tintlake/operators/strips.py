@@ -119,5 +119,7 @@ def order_palettes(palettes: DataFrame, by: str, reverse: bool = False) -> DataF
     if by == "okl":
         palettes = kernel.with_oklab(palettes)
     key = sort_key(by)
-    order = Window.partitionBy("palette_id").orderBy(key.desc() if reverse else key.asc(), "ord")
-    return palettes.withColumn("new_ord", (F.row_number().over(order) - 1).cast("int")).drop("ok_l", "ok_a", "ok_b")
+    df = palettes.withColumn("_key", -key if reverse else key)
+    # equal keys of one palette are told apart by slot, tile by tile: a huge palette is ranked by many tasks
+    bucket = F.struct("_key", tile("ord"))
+    return dense_position(df, ["palette_id"], bucket, ["_key", "ord"], "new_ord").drop("_key", "ok_l", "ok_a", "ok_b")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["queries_color"]
+QUERY_MODULES = ["queries_color", "queries_design"]
 
 
 def load_all() -> None:

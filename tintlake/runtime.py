@@ -85,3 +85,17 @@ def join_image_facts(pixels: DataFrame, facts: DataFrame, pixel_count: str, how:
     tiles = F.sequence(F.lit(0).cast("bigint"), tile(F.greatest(F.col(pixel_count) - 1, F.lit(0))))
     spread = facts.withColumn("_tile", F.explode(tiles))
     return pixels.withColumn("_tile", tile("idx")).join(spread, ["image_id", "_tile"], how).drop("_tile")
+
+
+# Distinct colours of one image that may share a task: red is split into 16 ranges of 2^20 colours each.
+COLOR_SPLITS = 16
+
+
+def join_color_facts(colors: DataFrame, facts: DataFrame, how: str = "inner", key: str = "image_id") -> DataFrame:
+    """Join per-image rows to the colours of an image, split by the top bits of red.
+
+    An image can hold up to 2^24 distinct colours; its facts are repeated per split so that no join
+    partition holds more than 2^20 of them.
+    """
+    spread = facts.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(COLOR_SPLITS - 1))))
+    return colors.withColumn("_split", F.shiftright("r", 4)).join(spread, [key, "_split"], how).drop("_split")
