@@ -80,15 +80,13 @@ def density_labels(f: np.ndarray, w: np.ndarray, radius: float, min_weight: int)
     Bins live in a grid of cells one radius wide, so neighbours are in the 27 cells around. A border bin goes to
     the earliest cluster that touches it.
     """
-    cells: dict[tuple, np.ndarray] = {}
-    at = np.floor(f / radius).astype(np.int64)
-    for cell in np.unique(at, axis=0):
-        around = [tuple(cell + np.array(step) - 1) for step in np.ndindex(3, 3, 3)]
-        cells[tuple(cell)] = around
-    members = {c: np.flatnonzero((at == np.array(c)).all(axis=1)) for c in cells}
+    grid, home = np.unique(np.floor(f / radius).astype(np.int64), axis=0, return_inverse=True)
+    members = np.split(np.argsort(home.ravel(), kind="stable"), np.cumsum(np.bincount(home.ravel()))[:-1])
+    index = {tuple(cell): n for n, cell in enumerate(grid)}
     near: list[np.ndarray] = [None] * len(f)
-    for c, own in members.items():
-        pool = np.concatenate([members[n] for n in cells[c] if n in members])
+    for cell, own in zip(grid, members):
+        around = (tuple(cell + np.array(step) - 1) for step in np.ndindex(3, 3, 3))
+        pool = np.concatenate([members[index[n]] for n in around if n in index])
         hits = _distances(f[own], f[pool]) <= radius * radius
         for row, i in enumerate(own):
             near[i] = pool[hits[row]]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["queries_color", "queries_design"]
+QUERY_MODULES = ["queries_color", "queries_design", "queries_extract"]
 
 
 def load_all() -> None:

@@ -306,9 +306,9 @@ def back_to_srgb(spark, sf):
     ),
 )
 def pixels_at_points(spark, sf):
-    n_images = d.table(spark, sf, "supplier").agg(F.count("*").alias("_k"))
-    e = d.table(spark, sf, "events").join(F.broadcast(n_images))  # one row, by construction
-    points = e.selectExpr("event_id as point_id", "user_id % _k as image_id", "event_id*37 % 1000 / 1000e0 as nx", "event_id*91 % 1000 / 1000e0 as ny")
+    n_images = d.table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    e = d.table(spark, sf, "events").withColumn("image_id", F.col("user_id") % n_images)
+    points = e.selectExpr("event_id as point_id", "image_id", "event_id*37 % 1000 / 1000e0 as nx", "event_id*91 % 1000 / 1000e0 as ny")
     hit = px.pixel_at_points(points, d.pixels(spark, sf), d.images(spark, sf))
     return hit.select("point_id", "image_id", "x", "y", "r", "g", "b", "a")
 
