@@ -289,42 +289,42 @@ GAMUT_SLACK = 1e-4
 GAMUT_STEPS = 16
 
 
-def _lights(cubes: list[Column]) -> list[Column]:
-    return [dot(row, cubes) for row in K.OKLAB_LMS_TO_RGB]
-
-
-def _inside(cubes: list[Column]) -> Column:
-    v = _lights(cubes)
-    return (F.least(*v) >= -GAMUT_SLACK) & (F.greatest(*v) <= 1 + GAMUT_SLACK)
-
-
 def with_clipped_chroma(df: DataFrame, L: str, c: str, h: str, out: str, inside: str | None = None) -> DataFrame:
     """Largest chroma <= c inside sRGB at fixed lightness and hue, by 16 halvings.
 
-    Cone responses are linear in chroma at fixed hue, so a halving is three multiply-adds and three cubes,
-    staged as projections that stay in codegen. ``inside`` also keeps the gamut test of c itself.
+    Along a ray of fixed lightness and hue every linear channel is a cubic in chroma. Its coefficients are
+    plain columns, so a halving is three Horner evaluations inside one short fold. ``inside`` also keeps the
+    gamut test of c itself.
     """
     cos, sin = polar(lit(1), F.col(h))
-    slopes, cubes = ["_k0", "_k1", "_k2"], ["_q0", "_q1", "_q2"]
+    slopes = ["_k0", "_k1", "_k2"]
     df = staged(
         df,
-        {"_cos": cos, "_sin": sin, "_lo": lit(0), "_hi": F.col(c)},
+        {"_cos": cos, "_sin": sin},
         {k: lit(wa) * F.col("_cos") + lit(wb) * F.col("_sin") for k, (wa, wb) in zip(slopes, K.OKLAB_TO_LMS)},
     )
-
-    def tested(df: DataFrame, chroma: Column, flag: str) -> DataFrame:
-        lms = {q: F.pow(F.col(L) + chroma * F.col(k), lit(3)) for q, k in zip(cubes, slopes)}
-        return staged(df, lms, {flag: _inside([F.col(q) for q in cubes])})
-
-    df = tested(df, F.col(c), "_whole")
-    for _ in range(GAMUT_STEPS):
-        mid = (F.col("_lo") + F.col("_hi")) / 2.0
-        df = tested(df, mid, "_fits").withColumns(
-            {"_lo": F.when(F.col("_fits"), mid).otherwise(F.col("_lo")), "_hi": F.when(F.col("_fits"), F.col("_hi")).otherwise(mid)}
-        )
-    picked = F.when(F.col(c) <= 0, lit(0)).when(F.col("_whole"), F.col(c)).otherwise(F.col("_lo"))
+    light, k = F.col(L), [F.col(s) for s in slopes]
+    powers = [[light * light * light] * 3, [light * light * x * 3.0 for x in k], [light * x * x * 3.0 for x in k], [x * x * x for x in k]]
+    coefs = {f"_p{ch}{n}": dot(row, powers[n]) for ch, row in enumerate(K.OKLAB_LMS_TO_RGB) for n in range(4)}
+    df = df.withColumns(coefs)
+
+    def fits(chroma: Column) -> Column:
+        v = []
+        for ch in range(3):
+            p = [F.col(f"_p{ch}{n}") for n in range(4)]
+            v.append(((p[3] * chroma + p[2]) * chroma + p[1]) * chroma + p[0])
+        return (F.least(*v) >= -GAMUT_SLACK) & (F.greatest(*v) <= 1 + GAMUT_SLACK)
+
+    def halve(span: Column, step: Column) -> Column:
+        mid = span["lo"] + step
+        return F.struct(F.when(fits(mid), mid).otherwise(span["lo"]).alias("lo"))
+
+    steps = F.array(*[F.col(c) * 0.5 ** (i + 1) for i in range(GAMUT_STEPS)])
+    edge = F.aggregate(steps, F.struct(lit(0).alias("lo")), halve, lambda span: span["lo"])
+    df = df.withColumn("_whole", fits(F.col(c)))
+    picked = F.when(F.col(c) <= 0, lit(0)).when(F.col("_whole"), F.col(c)).otherwise(edge)
     added = {out: picked} if inside is None else {out: picked, inside: F.col("_whole")}
-    return df.withColumns(added).drop("_cos", "_sin", "_lo", "_hi", "_fits", "_whole", *slopes, *cubes)
+    return df.withColumns(added).drop("_cos", "_sin", "_whole", *slopes, *coefs)
 
 
 # --- text -------------------------------------------------------------------------------------------------
