@@ -14,103 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
+from ..functions.numeric import density_labels, distances, lloyd_labels, merge_closest, oklab_of
+from ..runtime import spread_by, with_image_totals
 from .pixels import CHANNELS, histogram, subsample, top_k
 
 FEATURES = ["f0", "f1", "f2"]
 
 
-# --- numpy helpers over the bounded points of one image -----------------------------------------------------------
-
-
-def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, one column per centre."""
-    return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-
-
-def _seed_centres(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: draw proportional to weight times squared distance to the chosen centres."""
-    first = rng.choice(len(x), p=w / w.sum())
-    picked, near = [first], ((x - x[first]) ** 2).sum(axis=1)
-    for c in range(1, k):
-        mass = near * w
-        total = mass.sum()
-        i = rng.choice(len(x), p=mass / total) if total > 0 else (first + c) % len(x)
-        picked.append(i)
-        near = np.minimum(near, ((x - x[i]) ** 2).sum(axis=1))
-    return x[picked].copy()
-
-
-def lloyd_labels(x: np.ndarray, w: np.ndarray, k: int, heaviest: int, rng: np.random.Generator) -> np.ndarray:
-    """Cluster number per point. Empty clusters restart at point ``heaviest``."""
-    centres = _seed_centres(x, w, k, rng)
-    labels = np.zeros(len(x), dtype=np.int64)
-    for _ in range(K.LLOYD_ROUNDS):
-        fresh = np.concatenate([_distances(part, centres).argmin(axis=1) for part in np.array_split(x, max(1, len(x) * k // 2_000_000))])
-        mass = np.bincount(fresh, weights=w, minlength=k)
-        sums = np.stack([np.bincount(fresh, weights=w * x[:, d], minlength=k) for d in range(3)], axis=1)
-        full = mass > 0
-        moved = np.where(full[:, None], sums / np.where(full, mass, 1.0)[:, None], x[heaviest])
-        shift = ((moved - centres)[full] ** 2).sum()
-        settled = bool((fresh == labels).all()) and shift < K.LLOYD_SHIFT
-        labels, centres = fresh, moved
-        if settled:
-            break
-    return labels
-
-
-def merge_closest(f: np.ndarray, w: np.ndarray, extra: np.ndarray, radius: float, floor: int):
-    """Merge the nearest pair (first on ties) while it is closer than ``radius`` and more than ``floor`` remain."""
-    while len(f) > max(floor, 1):
-        d = _distances(f, f)
-        d[np.tril_indices(len(f))] = np.inf
-        i, j = divmod(int(d.argmin()), len(f))
-        if not d[i, j] < radius * radius:
-            break
-        total = w[i] + w[j]
-        if total > 0:
-            f[i] = (f[i] * w[i] + f[j] * w[j]) / total
-        w[i], extra[i] = total, extra[i] + extra[j]
-        f, w, extra = (np.delete(v, j, axis=0) for v in (f, w, extra))
-    return f, w, extra
-
-
-def density_labels(f: np.ndarray, w: np.ndarray, radius: float, min_weight: int) -> np.ndarray:
-    """Density clusters of key-ordered bins: 0 is noise, 1.. in order of the first core bin.
-
-    Bins live in a grid of cells one radius wide, so neighbours are in the 27 cells around. A border bin goes to
-    the earliest cluster that touches it.
-    """
-    grid, home = np.unique(np.floor(f / radius).astype(np.int64), axis=0, return_inverse=True)
-    members = np.split(np.argsort(home.ravel(), kind="stable"), np.cumsum(np.bincount(home.ravel()))[:-1])
-    index = {tuple(cell): n for n, cell in enumerate(grid)}
-    near: list[np.ndarray] = [None] * len(f)
-    for cell, own in zip(grid, members):
-        around = (tuple(cell + np.array(step) - 1) for step in np.ndindex(3, 3, 3))
-        pool = np.concatenate([members[index[n]] for n in around if n in index])
-        hits = _distances(f[own], f[pool]) <= radius * radius
-        for row, i in enumerate(own):
-            near[i] = pool[hits[row]]
-    core = np.array([w[n].sum() >= min_weight for n in near])
-    labels, current = np.zeros(len(f), dtype=np.int64), 0
-    for start in range(len(f)):
-        if labels[start] or not core[start]:
-            continue
-        current += 1
-        frontier = [start]
-        labels[start] = current
-        while frontier:
-            i = frontier.pop()
-            open_ = near[i][labels[near[i]] == 0]
-            labels[open_] = current
-            frontier.extend(open_[core[open_]])
-    return labels
-
-
 # --- grouped application --------------------------------------------------------------------------------------------
 
 
 def cluster_points(points: DataFrame, k: int, key: str = "image_id") -> DataFrame:
-    """Add ``c`` to points (key, f0..f2, w, pos, n_points); k is capped by the image's point count.
+    """Add ``c`` to points (key, f0..f2, w, pos, lead, copies); k is capped by the image's point count.
 
     Draws come from the image's own points, so a re-run of a lost task repeats them.
     """
@@ -119,12 +34,12 @@ def cluster_points(points: DataFrame, k: int, key: str = "image_id") -> DataFram
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         x, w = pdf[FEATURES].to_numpy(float), pdf["w"].to_numpy(float)
-        kk = int(min(k, pdf["n_points"].iloc[0]))
+        kk = int(min(k, pdf["copies"].sum()))
         rng = np.random.default_rng([len(pdf), int(abs(x[0]).sum() * 1e6), int(abs(x[-1]).sum() * 1e6)])
         heaviest = int(pdf["lead"].to_numpy(float).argmax())
         return pdf[names].assign(c=lloyd_labels(x, w, kk, heaviest, rng))
 
-    return points.groupBy(key).applyInPandas(run, _schema(points, "c bigint"))
+    return spread_by(points, key).groupBy(key).applyInPandas(run, _schema(points, "c bigint"))
 
 
 def _schema(df: DataFrame, extra: str) -> str:
@@ -132,17 +47,18 @@ def _schema(df: DataFrame, extra: str) -> str:
 
 
 def merge_clusters(clusters: DataFrame, radius: float, floor: int, key: str = "image_id") -> DataFrame:
-    """Nearest-pair merge of (key, c, f0..f2, n, s), at most 64 clusters an image; radius inf merges down to floor."""
+    """Nearest-pair merge of (key, c, f0..f2, n, s, ...), at most 64 clusters an image; radius inf merges down
+    to floor. Further columns are constant per image and are kept."""
+    carried = [c for c in clusters.columns if c not in ("c", *FEATURES, "n", "s")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
         f, n, s = merge_closest(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), radius, floor)
-        out = pd.DataFrame(f, columns=FEATURES).assign(c=range(len(f)), n=n, s=s)
-        out[key] = pdf[key].iloc[0]
-        return out[[key, "c", *FEATURES, "n", "s"]]
+        same = {c: pdf[c].iloc[0] for c in carried}
+        return pd.DataFrame(f, columns=FEATURES).assign(c=range(len(f)), n=n, s=s, **same)[[*carried, "c", *FEATURES, "n", "s"]]
 
-    kind = clusters.schema[key].dataType.simpleString()
-    return clusters.groupBy(key).applyInPandas(run, f"{key} {kind}, c bigint, f0 double, f1 double, f2 double, n double, s double")
+    kept = ", ".join(f"{c} {clusters.schema[c].dataType.simpleString()}" for c in carried)
+    return spread_by(clusters, key).groupBy(key).applyInPandas(run, f"{kept}, c bigint, f0 double, f1 double, f2 double, n double, s double")
 
 
 def octree_fold(leaves: DataFrame, k: int) -> DataFrame:
@@ -162,8 +78,8 @@ def octree_fold(leaves: DataFrame, k: int) -> DataFrame:
                     sums[inside[0]] = sums[inside].sum(axis=0)
                     node, sums = np.delete(node, inside[1:]), np.delete(sums, inside[1:], axis=0)
         while len(sums) > k:
-            lab = _oklab_of(sums[:, 1:] // sums[:, :1])
-            d = _distances(lab, lab)
+            lab = oklab_of(sums[:, 1:] // sums[:, :1])
+            d = distances(lab, lab)
             d[np.tril_indices(len(lab))] = np.inf
             i, j = divmod(int(d.argmin()), len(lab))
             sums[i] += sums[j]
@@ -172,27 +88,20 @@ def octree_fold(leaves: DataFrame, k: int) -> DataFrame:
         out["image_id"] = pdf["image_id"].iloc[0]
         return out[["image_id", "ord", "n", "sr", "sg", "sb"]]
 
-    return leaves.groupBy("image_id").applyInPandas(run, "image_id bigint, ord int, n bigint, sr bigint, sg bigint, sb bigint")
-
-
-_LINEAR = np.array([kernel._linear(i) for i in range(256)])
-
-
-def _oklab_of(rgb: np.ndarray) -> np.ndarray:
-    return np.cbrt(_LINEAR[rgb] @ np.array(K.OKLAB_LMS).T) @ np.array(K.OKLAB_FROM_LMS).T
+    return spread_by(leaves, "image_id").groupBy("image_id").applyInPandas(run, "image_id bigint, ord int, n bigint, sr bigint, sg bigint, sb bigint")
 
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
 
 
-def sampled_points(pixels: DataFrame, space: str, key: str = "image_id") -> DataFrame:
-    """Sampled pixels folded to distinct colours with their multiplicity and first position, plus features."""
-    taken = subsample(pixels)
-    folded = taken.groupBy(key, *CHANNELS).agg(F.count("*").alias("w"), F.min("pos").alias("pos"))
-    counts = taken.groupBy(key).agg(F.count("*").alias("n_points"))
+def sampled_points(pixels: DataFrame, space: str, key: str = "image_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sampled pixels folded to distinct colours with their multiplicity and first position, plus features.
+
+    ``carry`` names further columns that are constant per image.
+    """
+    folded = subsample(pixels).groupBy(key, *carry, *CHANNELS).agg(F.count("*").alias("w"), F.min("pos").alias("pos"))
     # every sampled pixel weighs the same, so the one that leads (restarts empty clusters) is the first
-    folded = folded.join(counts, key).withColumn("lead", -F.col("pos"))
-    return _featured(folded, space)
+    return _featured(folded.withColumns({"lead": -F.col("pos"), "copies": F.col("w")}), space)
 
 
 def _featured(df: DataFrame, space: str) -> DataFrame:
@@ -210,10 +119,10 @@ def _feature_bytes(df: DataFrame, space: str) -> DataFrame:
     return kernel.with_oklab_bytes(df, *[c / 100.0 for c in f])
 
 
-def _cluster_means(points: DataFrame, weight: Column, extra: Column, key: str) -> DataFrame:
+def _cluster_means(points: DataFrame, weight: Column, extra: Column, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Clusters (key, c, f0..f2, n, s): weighted feature means, summed weight, summed extra."""
     means = [(F.sum(F.col(f) * weight) / F.sum(weight)).alias(f) for f in FEATURES]
-    return points.groupBy(key, "c").agg(*means, F.sum(weight).cast("double").alias("n"), F.sum(extra).cast("double").alias("s"))
+    return points.groupBy(key, *carry, "c").agg(*means, F.sum(weight).cast("double").alias("n"), F.sum(extra).cast("double").alias("s"))
 
 
 def kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, space: str = "lab") -> DataFrame:
@@ -235,17 +144,16 @@ def salient_bins(pixels: DataFrame) -> DataFrame:
 def weighted_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
     """Saliency-weighted over-clustering of bins, recentred by pixels, merged, ranked by saliency."""
     bins = salient_bins(pixels)
-    size = bins.groupBy("image_id").agg(F.count("*").alias("n_points"))
-    points = bins.join(size, "image_id").withColumns({"w": F.col("saliency"), "pos": F.col("key"), "lead": F.col("saliency")})
+    points = bins.withColumns({"w": F.col("saliency"), "pos": F.col("key"), "lead": F.col("saliency"), "copies": F.lit(1)})
     points = cluster_points(points, max(min(k * K.OVER_CLUSTER, K.WEIGHTED_MAX_CLUSTERS), k))
     merged = merge_clusters(_cluster_means(points, F.col("n"), F.col("saliency"), "image_id"), K.WEIGHTED_MERGE_DISTANCE, 1)
     kept = top_k(merged, ["image_id"], [F.col("s").desc(), "c"], k)
     return _palette(_feature_bytes(kept, "oklab"))
 
 
-def _palette(df: DataFrame, key: str = "image_id") -> DataFrame:
+def _palette(df: DataFrame, key: str = "image_id", *carry: str) -> DataFrame:
     share = F.col("n") / F.sum("n").over(Window.partitionBy(key))
-    return df.select(key, "ord", *CHANNELS, F.col("n").cast("bigint").alias("n"), share.alias("freq"))
+    return df.select(key, "ord", *CHANNELS, F.col("n").cast("bigint").alias("n"), share.alias("freq"), *carry)
 
 
 # --- mood presets ----------------------------------------------------------------------------------------------------
@@ -277,16 +185,15 @@ def mood_flags(colors: DataFrame, presets: list[str]) -> DataFrame:
 
 
 def mood_filter(pixels: DataFrame, rule: dict[str, float], k: int) -> DataFrame:
-    """Pixels that match, or all pixels of an image where fewer than k match (``fell_back``).
+    """Pixels that match, or all pixels of an image where fewer than k match.
 
-    The counts come from a map-side combined aggregate; they meet the pixels tile by tile.
+    Adds ``n_kept`` (pixels kept of the image) and ``fell_back``.
     """
-    from ..runtime import join_image_facts
-
     df = kernel.with_oklch(pixels).withColumn("_in", mood_match(rule)).drop("ok_l", "ok_a", "ok_b", "ok_c", "ok_h")
-    counts = df.groupBy("image_id").agg(F.count_if("_in").alias("_kept"), (F.max("idx") + 1).alias("_span"))
-    joined = join_image_facts(df, counts, "_span").withColumn("fell_back", F.col("_kept") < k)
-    return joined.filter(F.col("_in") | F.col("fell_back")).drop("_in", "_kept", "_span")
+    df = with_image_totals(df, {"_hits": F.count_if("_in"), "_all": F.count("*")})
+    df = df.withColumn("fell_back", F.col("_hits") < k)
+    df = df.withColumn("n_kept", F.when(F.col("fell_back"), F.col("_all")).otherwise(F.col("_hits")))
+    return df.filter(F.col("_in") | F.col("fell_back")).drop("_in", "_hits", "_all")
 
 
 def soft(pixels: DataFrame, k: int = K.PALETTE_SIZE, preset: str = "default", count_stop: bool = False,
@@ -296,21 +203,21 @@ def soft(pixels: DataFrame, k: int = K.PALETTE_SIZE, preset: str = "default", co
     ``count_stop`` merges down to 1.5 k clusters instead of by distance.
     """
     rule = preset_rule(preset, **knobs)
-    kept = mood_filter(pixels, rule, k)
-    facts = kept.groupBy("image_id").agg(F.count("*").alias("n_kept"), F.max("fell_back").alias("fell_back"))
-    points = cluster_points(sampled_points(kept, "lab"), max(min(k * K.OVER_CLUSTER, K.SOFT_MAX_CLUSTERS), k))
-    means = _feature_bytes(_cluster_means(points, F.col("w"), F.lit(0), "image_id"), "lab")
+    facts = ("n_kept", "fell_back")
+    points = sampled_points(mood_filter(pixels, rule, k), "lab", carry=facts)
+    points = cluster_points(points, max(min(k * K.OVER_CLUSTER, K.SOFT_MAX_CLUSTERS), k))
+    means = _feature_bytes(_cluster_means(points, F.col("w"), F.lit(0), "image_id", facts), "lab")
     # clusters continue as 8-bit colours whose population is scaled to all kept pixels
-    total = F.sum("n").over(Window.partitionBy("image_id"))
-    scaled = means.join(facts, "image_id").withColumn("n", F.floor(F.col("n") / total * F.col("n_kept") + 0.5).cast("double"))
-    clusters = _featured(scaled.select("image_id", "c", *CHANNELS, "n", "s"), "lab").drop(*CHANNELS)
+    total = F.sum("n").over(Window.partitionBy("image_id"))  # at most 64 rows
+    scaled = means.withColumn("n", F.floor(F.col("n") / total * F.col("n_kept") + 0.5).cast("double"))
+    clusters = _featured(scaled.drop(*FEATURES), "lab").drop(*CHANNELS, "n_kept")
     radius, floor = (float("inf"), max(int(k * 1.5 + 0.5), 1)) if count_stop else (merge_distance, k)
     merged = kernel.with_oklch(_feature_bytes(merge_clusters(clusters, radius, floor), "lab"))
     weight = F.col("n") * (F.pow("ok_c", kernel.lit(rule["exponent"])) + rule["bias"])
     if rule["prefer_l"]:
         weight = weight * F.greatest(kernel.lit(0), (F.col("ok_l") * 2.0 - 1.0) * rule["prefer_l"] + 1.0)
     ranked = top_k(merged.withColumn("_w", weight), ["image_id"], [F.col("_w").desc(), "c"], k)
-    return _palette(ranked).join(facts.select("image_id", "fell_back"), "image_id")
+    return _palette(ranked, "image_id", "fell_back")
 
 
 # --- density clusters --------------------------------------------------------------------------------------------------
@@ -326,14 +233,14 @@ def dbscan(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
 
 def label_density(bins: DataFrame) -> DataFrame:
     """Add ``c`` to the at most 32768 bins of each image."""
-    names = bins.columns
+    names, radius, least = bins.columns, K.DENSITY_RADIUS, K.DENSITY_MIN_PIXELS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        found = density_labels(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(), K.DENSITY_RADIUS, K.DENSITY_MIN_PIXELS)
+        found = density_labels(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(), radius, least)
         return pdf[names].assign(c=found)
 
-    return bins.groupBy("image_id").applyInPandas(run, _schema(bins, "c bigint"))
+    return spread_by(bins, "image_id").groupBy("image_id").applyInPandas(run, _schema(bins, "c bigint"))
 
 
 def density_clusters(labelled: DataFrame) -> DataFrame:
@@ -348,7 +255,7 @@ def pad_farthest(bins: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         bdf = bdf.sort_values("key")
         x, s = bdf[FEATURES].to_numpy(float), bdf["saliency"].to_numpy(float)
         rows, picked = [], [*out[FEATURES].to_numpy(float)]
-        near = _distances(x, np.array(picked)).min(axis=1) if picked else np.full(len(x), 1e18)
+        near = distances(x, np.array(picked)).min(axis=1) if picked else np.full(len(x), 1e18)
         for slot in range(len(out), k):
             best = int((near * s).argmax())
             if near[best] * s[best] <= 0:
@@ -357,7 +264,7 @@ def pad_farthest(bins: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
             near = np.minimum(near, ((x - x[best]) ** 2).sum(axis=1))
         return pd.concat([out, pd.DataFrame(rows, columns=out.columns)]) if rows else out
 
-    left, right = bins.groupBy("image_id"), chosen.groupBy("image_id")
+    left, right = spread_by(bins, "image_id").groupBy("image_id"), spread_by(chosen, "image_id").groupBy("image_id")
     return left.cogroup(right).applyInPandas(run, "image_id bigint, ord int, f0 double, f1 double, f2 double, n double")
 
 

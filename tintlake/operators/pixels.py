@@ -31,13 +31,11 @@ def subsample(pixels: DataFrame, cap: int = K.SAMPLE_CAP) -> DataFrame:
     An image with at most ``cap`` rows is kept whole. Positions are found tile by tile, so a huge image
     is ranked by many tasks.
     """
-    ranked = dense_position(pixels, ["image_id"], tile("idx"), ["idx"], "pos")
-    facts = pixels.groupBy("image_id").agg(F.count("*").alias("_n"), (F.max("idx") + 1).alias("_span"))
-    stride = F.greatest(F.floor(F.col("_n") / cap), F.lit(1))
-    joined = join_image_facts(ranked, facts, "_span").withColumn("_stride", stride)
+    ranked = dense_position(pixels, ["image_id"], tile("idx"), ["idx"], "pos", total="_n")
+    ranked = ranked.withColumn("_stride", F.greatest(F.floor(F.col("_n") / cap), F.lit(1)))
     step = F.floor(F.col("pos") / F.col("_stride"))
     keep = (F.col("_n") <= cap) | ((F.col("pos") % F.col("_stride") == 0) & (step < cap))
-    return joined.filter(keep).drop("_n", "_span", "_stride")
+    return ranked.filter(keep).drop("_n", "_stride")
 
 
 def target_size(w: Column, h: Column, side: int) -> tuple[Column, Column]:

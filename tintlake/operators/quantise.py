@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -140,16 +140,19 @@ def _cut_box(state: DataFrame) -> DataFrame:
 # --- octree ----------------------------------------------------------------------------------------------------
 
 
-def _prefix(depth):
-    """Interleaved top ``depth`` bits of r, g, b: the path in the octree, in child order."""
+def _path() -> Column:
+    """Interleaved bits of r, g, b: the colour's path in the octree, in child order."""
     code = F.lit(0)
-    for level in range(8):
-        bit = 7 - level
+    for bit in range(7, -1, -1):
         digit = sum((F.shiftright(c, bit).bitwiseAND(1) * w for c, w in zip(CHANNELS, (4, 2, 1))), F.lit(0))
-        code = F.when(depth > level, code * 8 + digit).otherwise(code)
+        code = code * 8 + digit
     return code
 
 
+def _node(depth: Column) -> Column:
+    return F.floor(F.col("path") / F.pow(F.lit(8), 8 - depth)).cast("int")
+
+
 def octree(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
     """Octree quantisation.
 
@@ -157,12 +160,12 @@ def octree(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
     So the shallowest depth with k or more nodes is found from node counts, colours are grouped at that depth,
     and only the last, budgeted collapses run on the fewer than 8k leaves that are left (see ``octree_fold``).
     """
-    hist = cut(color_counts(pixels))
+    hist = cut(color_counts(pixels).withColumn("path", _path()))
     depths = F.explode(F.sequence(F.lit(1), F.lit(8)))
-    nodes = hist.select("image_id", *CHANNELS, depths.alias("depth")).select("image_id", "depth", _prefix(F.col("depth")).alias("node"))
+    nodes = hist.select("image_id", "path", depths.alias("depth")).select("image_id", "depth", _node(F.col("depth")).alias("node"))
     sizes = nodes.distinct().groupBy("image_id", "depth").agg(F.count("*").alias("nodes"))
     level = sizes.groupBy("image_id").agg(F.coalesce(F.min(F.when(F.col("nodes") >= k, F.col("depth"))), F.lit(8)).alias("depth"))
-    placed = join_color_facts(hist, level).withColumn("node", _prefix(F.col("depth")))
+    placed = join_color_facts(hist, level).withColumn("node", _node(F.col("depth")))
     sums = [F.sum(F.col(c) * F.col("n")).alias(f"s{c}") for c in CHANNELS]
     leaves = placed.groupBy("image_id", "depth", "node").agg(F.sum("n").alias("n"), *sums)
     return with_share(octree_fold(leaves, k)).select("image_id", "ord", *[_mean(c) for c in CHANNELS], "n", "freq")

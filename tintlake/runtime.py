@@ -36,11 +36,14 @@ def chunked_offsets(df: DataFrame, group: list[str], bucket: str, weight: Column
     total = F.sum(weight) if weight is not None else F.count(F.lit(1))
     sizes = df.groupBy(*group, bucket).agg(total.alias("_size"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(*group, bucket, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    whole = Window.partitionBy(*group)
+    return sizes.select(
+        *group, bucket, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_total")
+    )
 
 
-def dense_position(df: DataFrame, group: list[str], bucket: Column, order: list, name: str) -> DataFrame:
-    """0-based position of each row in its group.
+def dense_position(df: DataFrame, group: list[str], bucket: Column, order: list, name: str, total: str | None = None) -> DataFrame:
+    """0-based position of each row in its group, and the group's row count as ``total`` if named.
 
     ``bucket`` must be a monotone function of the first ordering term. Only one bucket of a group is
     ever sorted in one task: the group total is reached through per-bucket counts, so a group that
@@ -49,12 +52,13 @@ def dense_position(df: DataFrame, group: list[str], bucket: Column, order: list,
     marked = df.withColumn("_bucket", bucket)
     offsets = chunked_offsets(marked, group, "_bucket")
     local = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return (
+    placed = (
         marked.withColumn("_local", F.row_number().over(local) - 1)
         .join(offsets, [*group, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint"))
         .drop("_bucket", "_local", "_before")
     )
+    return placed.withColumnRenamed("_total", total) if total else placed.drop("_total")
 
 
 def running_weight(df: DataFrame, group: list[str], key: str, weight: str, bucket: Column, name: str) -> DataFrame:
@@ -66,7 +70,7 @@ def running_weight(df: DataFrame, group: list[str], key: str, weight: str, bucke
         marked.withColumn("_local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
         .join(offsets, [*group, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_local", "_before")
+        .drop("_bucket", "_local", "_before", "_total")
     )
 
 
@@ -76,6 +80,26 @@ def tile(idx: Column | str) -> Column:
     return F.floor(col / F.lit(TILE_ROWS)).cast("bigint")
 
 
+def with_image_totals(pixels: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Add per-image sums to every pixel row.
+
+    Sums are combined per (image, tile), added up over the few tiles of an image, and joined back on
+    (image, tile), so a huge image stays spread over its tiles.
+    """
+    tiled = pixels.withColumn("_tile", tile("idx"))
+    parts = tiled.groupBy("image_id", "_tile").agg(*[v.alias(n) for n, v in totals.items()])
+    whole = Window.partitionBy("image_id")
+    sums = parts.select("image_id", "_tile", *[F.sum(n).over(whole).alias(n) for n in totals])
+    return tiled.join(sums, ["image_id", "_tile"]).drop("_tile")
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into the session's shuffle width. Unlike an implicit shuffle this is not merged
+    into fewer partitions for small data, which would serialise compute-heavy grouped work."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
 def join_image_facts(pixels: DataFrame, facts: DataFrame, pixel_count: str, how: str = "inner") -> DataFrame:
     """Join per-image facts to pixels on (image_id, tile of idx).
 
