@@ -9,6 +9,11 @@ MAX_BYTES = 64 << 20
 PIXEL_COLUMNS = ["image_id", "idx", "x", "y", "r", "g", "b", "a"]
 
 
+def _path(c: str) -> Column:
+    """Spark writes local paths as file:/ or file:///; use one form."""
+    return F.regexp_replace(F.col(c), "^file:/+", "file:/")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images (image_id = file path, w, h, channels, data) by Spark's own image source.
 
@@ -17,7 +22,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     bad = F.col("width") < 1
     return images.select(
-        F.col("origin").alias("image_id"),
+        _path("origin").alias("image_id"),
         F.when(~bad, F.col("width")).alias("w"),
         F.when(~bad, F.col("height")).alias("h"),
         F.col("nChannels").alias("channels"),
@@ -49,7 +54,7 @@ def image_pixels(images: DataFrame) -> DataFrame:
 
 def scan_report(spark: SparkSession, path: str, images: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per file under ``path``: size in bytes and why it was left out, if so."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), F.col("length").alias("bytes"))
+    files = spark.read.format("binaryFile").load(path).select(_path("path").alias("image_id"), F.col("length").alias("bytes"))
     seen = images.select("image_id", F.col("data").isNotNull().alias("_ok"))
     error = F.when(F.col("bytes") > max_bytes, f"payload exceeds {max_bytes} bytes").when(~F.coalesce("_ok", F.lit(False)), "cannot decode")
     return files.join(seen, "image_id", "left").withColumn("error", error).drop("_ok")
