@@ -76,9 +76,9 @@ def test_contrast_goldens(spark):
 def test_fix_search_finds_a_passing_shade_or_none(spark):
     rows = [(1, *rgb("777777"), *rgb("888888")), (2, *rgb("777777"), *rgb("777777"))]
     pairs = spark.createDataFrame(rows, "pair_id int, fr int, fg int, fb int, br int, bg int, bb int")
-    best = contrast.suggest_lightness(contrast.lightness_samples(pairs, "pair_id"), "pair_id").collect()
+    best = contrast.suggest_lightness(pairs, "pair_id").collect()
     assert all(r.score >= 4.5 for r in best)
-    none = contrast.suggest_lightness(contrast.lightness_samples(pairs, "pair_id", target=22.0), "pair_id").collect()
+    none = contrast.suggest_lightness(pairs, "pair_id", target=22.0).collect()
     assert all(r.i is None and r.n_passing == 0 for r in none)
     with pytest.raises(ValueError):
         contrast.lightness_samples(pairs, "pair_id", target=0)

@@ -88,38 +88,55 @@ def _ladder_l(i: Column) -> Column:
     return kernel.lit(L_MIN) + kernel.lit(L_MAX - L_MIN) * i / float(SAMPLES - 1)
 
 
-def lightness_samples(pairs: DataFrame, key: str, algo: str = "wcag21", target: float | None = None) -> DataFrame:
-    """64 OkLCH lightness variants of every foreground, scored against its background.
-
-    Chroma and hue stay; candidates are clamped to sRGB. ``distance`` is how far a sample's L lies from the
-    original.
-    """
+def _goal(algo: str, target: float | None) -> float:
     if algo not in ("wcag21", "apca"):
         raise ValueError(f"no fix search for algo {algo!r}")
     goal = target if target is not None else (WCAG_TARGET if algo == "wcag21" else APCA_TARGET)
     if goal <= 0:
         raise ValueError("target must be above 0")
-    df = kernel.with_oklch(pairs.select(key, *FG, *BG), *FG).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    return goal
+
+
+def _score_at(df: DataFrame, algo: str) -> DataFrame:
+    """Add the candidate at lightness step ``i`` (l, r, g, b) and its score; needs the foreground's OkLCH."""
     df = df.withColumn("l", _ladder_l(F.col("i")))
     df = kernel.with_oklch_bytes(df, F.col("l"), F.col("ok_c"), F.col("ok_h"))
-    if algo == "wcag21":
-        df = kernel.staged(
-            df,
-            {"_fl": kernel.luminance(*_cols(("r", "g", "b"))), "_bl": kernel.luminance(*_cols(BG))},
-            {"score": score.ratio(F.col("_fl"), F.col("_bl"))},
-        )
-    else:
-        df = _with_lc(df, ("r", "g", "b"), "_lc").withColumn("score", score.two_decimals(F.abs("_lc")))
-    return df.select(key, "i", "l", "r", "g", "b", "score", (F.col("score") >= goal).alias("passes"), F.abs(F.col("l") - F.col("ok_l")).alias("distance"))
-
-
-def suggest_lightness(samples: DataFrame, key: str) -> DataFrame:
-    """Passing sample nearest the original lightness, first on ties; nulls when none passes."""
-    rank = F.when(F.col("passes"), F.struct("distance", "i"))
-    pick = F.min_by(F.struct("i", "l", "r", "g", "b", "score"), rank)
-    best = samples.groupBy(key).agg(F.count_if("passes").alias("n_passing"), pick.alias("_best"))
-    hit = F.when(F.col("n_passing") > 0, F.col("_best"))
-    return best.withColumn("_best", hit).select(key, "n_passing", "_best.*")
+    if algo == "apca":
+        return _with_lc(df, ("r", "g", "b"), "_lc").withColumn("score", score.two_decimals(F.abs("_lc"))).drop("_lc")
+    return kernel.staged(
+        df,
+        {"_fl": kernel.luminance(*_cols(("r", "g", "b"))), "_bl": kernel.luminance(*_cols(BG))},
+        {"score": score.ratio(F.col("_fl"), F.col("_bl"))},
+        drop=("_fl", "_bl"),
+    )
+
+
+def _sampled(pairs: DataFrame, key: str, algo: str, goal: float) -> DataFrame:
+    df = kernel.with_oklch(pairs.select(key, *FG, *BG), *FG).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    return _score_at(df, algo).withColumns({"passes": F.col("score") >= goal, "distance": F.abs(F.col("l") - F.col("ok_l"))})
+
+
+def lightness_samples(pairs: DataFrame, key: str, algo: str = "wcag21", target: float | None = None) -> DataFrame:
+    """64 OkLCH lightness variants of every foreground, scored against its background.
+
+    Chroma and hue stay; candidates are clamped to sRGB.
+    """
+    return _sampled(pairs, key, algo, _goal(algo, target)).select(key, "i", "l", "r", "g", "b", "score", "passes", "distance")
+
+
+def suggest_lightness(pairs: DataFrame, key: str, algo: str = "wcag21", target: float | None = None) -> DataFrame:
+    """Passing sample nearest the original lightness, first on ties; nulls when none passes.
+
+    Distance and step share one integer, so the pick is a hash aggregate that collapses each pair's samples
+    before the shuffle; only the winner is scored again.
+    """
+    samples = _sampled(pairs, key, algo, _goal(algo, target))
+    packed = F.floor(F.col("distance") * float(1 << 50)).cast("bigint") * SAMPLES + F.col("i")
+    best = samples.groupBy(key, *FG, *BG).agg(F.count_if("passes").alias("n_passing"), F.min(F.when(F.col("passes"), packed)).alias("_best"))
+    best = best.withColumn("i", (F.col("_best") % SAMPLES).cast("int"))
+    found = F.col("i").isNotNull()
+    out = _score_at(kernel.with_oklch(best, *FG), algo)
+    return out.select(key, "n_passing", "i", *[F.when(found, F.col(c)).alias(c) for c in ("l", "r", "g", "b", "score")])
 
 
 def simulate_vision(colors: DataFrame, kinds: list[str] | None = None) -> DataFrame:

@@ -98,7 +98,6 @@ def histogram(pixels: DataFrame, bits: int = 5, group: tuple[str, ...] = ("image
 
 def top_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "ord") -> DataFrame:
     """First k rows per group; Spark keeps only k rows per task before the shuffle."""
-    return (
-        df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
-        .filter(F.col(rank) < k)
-    )
+    # the filter has to name the row number itself for Spark to push the limit below the shuffle
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
+    return ranked.withColumn(rank, F.col(rank) - 1)

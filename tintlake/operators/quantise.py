@@ -174,6 +174,9 @@ def octree(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
 # --- shared tail --------------------------------------------------------------------------------------------------
 
 
+POSITION_SPAN = 1 << 44  # above any raster position
+
+
 def annotate(palette: DataFrame, pixels: DataFrame, images: DataFrame) -> DataFrame:
     """Add the pixel nearest each palette colour (first in raster order) as normalised centre coordinates.
 
@@ -185,7 +188,9 @@ def annotate(palette: DataFrame, pixels: DataFrame, images: DataFrame) -> DataFr
     targets = palette.select("image_id", "ord", *[F.col(c).alias(f"p{c}") for c in CHANNELS])
     near = join_color_facts(first, targets)
     d = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in CHANNELS), F.lit(0))
-    near = near.groupBy("image_id", "ord").agg(F.min(F.struct(d.alias("d"), "idx")).alias("m")).select("image_id", "ord", F.col("m.idx").alias("_idx"))
+    # distance (below 2^18) and raster position share one integer, so the minimum runs as a hash aggregate
+    packed = F.min(d.cast("bigint") * POSITION_SPAN + F.col("idx"))
+    near = near.groupBy("image_id", "ord").agg((packed % POSITION_SPAN).alias("_idx"))
     placed = palette.join(near, ["image_id", "ord"], "left").join(images.select("image_id", "w", "h"), "image_id")
     x, y = F.col("_idx") % F.col("w"), F.floor(F.col("_idx") / F.col("w"))
     return placed.withColumns({"src_x": (x + 0.5) / F.col("w"), "src_y": (y + 0.5) / F.col("h")}).drop("_idx", "w", "h")

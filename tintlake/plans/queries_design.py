@@ -121,13 +121,13 @@ _BEST = """select p.pair_id, n_passing, i, sr as r, sg as g, sb as b, cast(floor
 
 @query("e6_lightness_fix", _suggest_sql("wcag21", _BEST))
 def lightness_fix(spark, sf):
-    s = ct.suggest_lightness(ct.lightness_samples(d.pairs(spark, sf), "pair_id"), "pair_id")
+    s = ct.suggest_lightness(d.pairs(spark, sf), "pair_id")
     return s.select("pair_id", "n_passing", "i", "r", "g", "b", cents("score"))
 
 
 @query("e6_lightness_fix_apca", _suggest_sql("apca", _BEST))
 def lightness_fix_apca(spark, sf):
-    s = ct.suggest_lightness(ct.lightness_samples(d.pairs(spark, sf), "pair_id", "apca"), "pair_id")
+    s = ct.suggest_lightness(d.pairs(spark, sf), "pair_id", "apca")
     return s.select("pair_id", "n_passing", "i", "r", "g", "b", cents("score"))
 
 
