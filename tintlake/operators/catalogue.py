@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel
 from ..functions.parse import with_parsed
-from ..runtime import TILE_ROWS, cut, dense_position, running_weight
+from ..runtime import TILE_ROWS, cut, dense_position, running_weight, salted_join
 
 SAVED = "Saved"
 ID_RULE = "^[a-z0-9]+(-[a-z0-9]+)*$"
-SALTS = 32
-
-
-def _salted(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column) -> DataFrame:
-    """Inner join where one key may own a large share of ``rows``: they are split by ``spread``."""
-    many = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [*keys, "_salt"]).drop("_salt")
 
 
 def category_slug(name: Column | str) -> Column:
@@ -59,7 +52,7 @@ def violations(catalogue: DataFrame) -> DataFrame:
     row_level = catalogue.select("pos", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("v")).select("pos", "v.*")
 
     repeated = catalogue.groupBy("id").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    ids = _salted(catalogue.select("pos", "id"), repeated, ["id"], F.col("pos")).filter("pos > _first")
+    ids = salted_join(catalogue.select("pos", "id"), repeated, ["id"], F.col("pos")).filter("pos > _first")
     ids = ids.select("pos", F.lit("duplicate id").alias("rule"), F.col("id").alias("value"))
 
     colors = color_rows(catalogue).withColumn("raw", _trimmed("raw"))
@@ -68,7 +61,7 @@ def violations(catalogue: DataFrame) -> DataFrame:
     hexed = colors.filter(F.col("error").isNull())
     hexed = hexed.select("pos", "ord", "raw", kernel.hex_text(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("hex"))
     twice = hexed.groupBy("pos", "hex").agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    again = _salted(hexed, twice, ["pos", "hex"], F.col("ord")).filter("ord > _first")
+    again = salted_join(hexed, twice, ["pos", "hex"], F.col("ord")).filter("ord > _first")
     again = again.select("pos", F.lit("duplicate color").alias("rule"), F.col("raw").alias("value"))
     return row_level.unionByName(ids).unionByName(bad).unionByName(again)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
+from ..runtime import salted_join
 
 SPACES = ["rgb", "lab", "oklab", "oklch", "hsl"]
 EASINGS = ["linear", "ease-in", "ease-out", "ease-in-out"]
@@ -74,7 +75,7 @@ def segments(stops: DataFrame, max_stops: int) -> DataFrame:
     left out before the window: no window holds more than ``max_stops`` rows.
     """
     sizes = stops.groupBy("ramp_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_stops)
-    stops = stops.join(sizes, "ramp_id")
+    stops = salted_join(stops, sizes, ["ramp_id"], F.col("ord"))
     order = Window.partitionBy("ramp_id").orderBy("ord")
     nxt = {f"b{n}": F.lead(n).over(order) for n in "rgb"}
     df = stops.select("ramp_id", "ord", F.col("pos").alias("p0"), F.lead("pos").over(order).alias("p1"),
@@ -85,13 +86,14 @@ def segments(stops: DataFrame, max_stops: int) -> DataFrame:
 
 def even_positions(stops: DataFrame) -> DataFrame:
     n = stops.groupBy("ramp_id").agg(F.count("*").alias("_n"))
-    return stops.join(n, "ramp_id").withColumn("pos", F.col("ord") / (F.col("_n") - 1)).drop("_n")
+    return salted_join(stops, n, ["ramp_id"], F.col("ord")).withColumn("pos", F.col("ord") / (F.col("_n") - 1)).drop("_n")
 
 
 def invalid_ramps(stops: DataFrame, steps: int) -> DataFrame:
     """Ramps that cannot be built, with the reason."""
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("ramp_id").orderBy("ord"))
-    seen = stops.withColumn("_gap", gap).groupBy("ramp_id").agg(
+    before = stops.select("ramp_id", (F.col("ord") + 1).alias("ord"), F.col("pos").alias("_before"))
+    gaps = stops.join(before, ["ramp_id", "ord"], "left").withColumn("_gap", F.col("pos") - F.col("_before"))
+    seen = gaps.groupBy("ramp_id").agg(
         F.count("*").alias("n"), F.min("_gap").alias("gap"), F.min_by("pos", "ord").alias("first"), F.max_by("pos", "ord").alias("final")
     )
     reason = (

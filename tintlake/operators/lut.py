@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
-from ..runtime import join_image_facts
+from ..runtime import gatherable, join_image_facts
 from .gradient import _mix_hue
 
 DEFAULT_SIZE, MAX_SIZE = 33, 256
@@ -113,7 +113,7 @@ def hue_gaps(palettes: DataFrame) -> DataFrame:
     Merging keeps a running mean in hue order, which is a fold over one palette's chromatic colours. A palette
     without chromatic colours yields one open gap with null ends.
     """
-    lch = kernel.with_oklch(palettes)
+    lch = kernel.with_oklch(gatherable(palettes, "palette_id"))
     spoke = F.when(F.col("ok_c") >= NEUTRAL_CHROMA, F.struct(F.col("ok_h").alias("h"), F.col("ord").alias("o"), F.col("ok_c").alias("c")))
     per = lch.groupBy("palette_id").agg(F.array_sort(F.collect_list(spoke)).alias("raw"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel
+from ..runtime import gatherable, salted_join
 from .enrich import notation_text, with_spaces
 
 SCHEMA_NAME = "tintlake/v1"
@@ -18,7 +17,8 @@ def _capped(v: Column, top: int, scale: float) -> Column:
 
 
 def _ordered(slots: DataFrame, key: str, fields: Column, name: str) -> DataFrame:
-    """Slots of one palette as an array in slot order."""
+    """Slots of one palette as an array in slot order; palettes too large for one value are left out."""
+    slots = gatherable(slots, key)
     pairs = F.collect_list(F.struct(F.col("ord"), fields.alias("v")))
     return slots.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["v"]).alias(name), F.count("*").alias("size"))
 
@@ -52,6 +52,13 @@ def envelopes(slots: DataFrame, tool: str | None = None, params: dict[str, str]
     return docs.select("palette_id", F.to_json(F.struct(*parts, F.struct(*result).alias("result"))).alias("document"))
 
 
+def token_lines(slots: DataFrame, prefix: str = "color", notation: str = "hex") -> DataFrame:
+    """One CSS variable line per colour as rows (palette_id, pos, line), for palettes of any size."""
+    df = slots if notation in ("hex", "hex-upper", "rgb", "int") else with_spaces(slots)
+    line = F.format_string(f"  --{prefix}-%d: %s;", F.col("ord") + 1, notation_text(notation))
+    return df.select("palette_id", F.col("ord").alias("pos"), line.alias("line"))
+
+
 TOKEN_FORMATS = ["css", "scss", "less", "plain", "gpl", "tailwind"]
 
 
@@ -96,10 +103,10 @@ def design_tokens(slots: DataFrame, prefix: str = "color", notation: str = "hex"
 
 def gradient_segments(slots: DataFrame) -> DataFrame:
     """Colours of a palette as max(n - 1, 1) even segments (left, mid, right, both colours)."""
-    w = Window.partitionBy("palette_id").orderBy("ord")
     n = slots.groupBy("palette_id").agg(F.count("*").alias("n"))
-    df = slots.select("palette_id", "ord", "r", "g", "b", *[F.lead(c).over(w).alias(f"{c}1") for c in "rgb"]).join(n, "palette_id")
-    df = df.filter(F.col("r1").isNotNull() | (F.col("n") == 1))
+    nxt = slots.select("palette_id", (F.col("ord") - 1).alias("ord"), *[F.col(c).alias(f"{c}1") for c in "rgb"])
+    df = salted_join(slots.select("palette_id", "ord", "r", "g", "b"), n, ["palette_id"], F.col("ord"))
+    df = df.join(nxt, ["palette_id", "ord"], "left").filter(F.col("r1").isNotNull() | (F.col("n") == 1))
     segs = F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
     df = df.withColumns({"left": F.col("ord") / segs, "right": (F.col("ord") + 1) / segs})
     ends = [F.coalesce(f"{c}1", c).alias(f"{c}1") for c in "rgb"]
@@ -138,7 +145,3 @@ def write_lattices(lattice: DataFrame, path: str) -> None:
     """One folder per palette; lines inside a file keep node order."""
     lines = lattice_lines(lattice).repartition("palette_id").sortWithinPartitions("palette_id", "pos")
     lines.select("palette_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("palette_id").text(path)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -55,9 +55,7 @@ def strips(pixels: DataFrame, width: int = 800, space: str = "oklch", target: st
     groups = long.groupBy("image_id", "metric", "key").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"))
     # hue is below 3.6e8 and squared distance below 2e5: the quotient leaves at most a few thousand buckets
     bucket = F.floor(F.col("key") / F.when(F.col("metric") == "hue", 100000).when(F.col("metric") == "distance", 64).otherwise(1000))
-    groups = running_weight(groups, ["image_id", "metric"], "key", "size", bucket, "start")
-    totals = hist.groupBy("image_id").agg(F.sum("n").alias("n_valid"))
-    groups = groups.join(totals, "image_id")
+    groups = running_weight(groups, ["image_id", "metric"], "key", "size", bucket, "start", total="n_valid")
     first, last = _column(F.col("start"), width), _column(F.col("start") + F.col("size") - 1, width)
     ranged = long.join(groups, ["image_id", "metric", "key"]).withColumns({"c0": first, "c1": last})
     tied = (F.col("kinds") > 1) & (F.col("c0") < F.col("c1"))

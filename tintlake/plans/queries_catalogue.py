@@ -131,6 +131,11 @@ def design_tokens_hsl(spark, sf):
     return sinks.design_tokens(d.palettes(spark, sf), notation="hsl")
 
 
+@query("a8_token_lines", sql("palettes", f"select palette_id, ord as pos, '  --color-' || (ord+1) || ': ' || {_TEXT_SQL['hex']} || ';' as line from palettes"))
+def token_lines(spark, sf):
+    return sinks.token_lines(d.palettes(spark, sf))
+
+
 @query(
     "a9_gradient_segments",
     sql(
@@ -211,7 +216,22 @@ def palette_by_id(spark, sf):
     return cg.palettes_by_id(d.catalogue(spark, sf), wanted).select("id", "pos")
 
 
-@query("h6_append")
+def _append_sql() -> str:
+    """Free numbers listed per base slug and matched to the rows by rank (no two bases share an id here)."""
+    name = "trim(case when p_partkey % 50 = 0 then ' ' when p_partkey % 9 = 0 then 'Pal ' || (p_partkey % 70) else p_name end)"
+    return sql(
+        "catalogue",
+        f""", old as (select pos, id from catalogue where regexp_full_match(id, '[a-z0-9]+(-[a-z0-9]+)*')),
+ fresh as (select p_partkey as seq, {name} as name, p_partkey % 41 = 0 as bad, printf('#ff0000|#00ff00|#0000%02x', p_partkey % 256) as colors from part),
+ good as (select *, replace(lower(name), ' ', '-') as base, row_number() over (partition by lower(name) order by seq) as k from fresh where name <> '' and not bad),
+ cand as (select base, q.n, case when q.n = 1 then base else base || '-' || q.n end as id from (select base, count(*) as m from good group by base) cross join (select unnest(range(1, (select count(*) from part) + 200)) as n) q where q.n <= m + 100),
+ free as (select *, row_number() over (partition by base order by n) as k from cand where id not in (select id from old))
+ select seq + (select max(pos) from old) + 1 as pos, free.id, name, 'new' as description, 'Saved|Warm' as categories, 'a' as tags, colors, null as error from good join free on good.base = free.base and good.k = free.k
+ union all select seq, null, null, null, null, null, null, case when name = '' then 'palette name is required' else 'color does not parse' end from fresh where name = '' or bad""",
+    )
+
+
+@query("h6_append", _append_sql())
 def append(spark, sf):
     fresh = d.table(spark, sf, "part").selectExpr(
         "p_partkey as seq",

@@ -227,7 +227,7 @@ def grouped_lloyd(spark, sf):
     return out.select("image_id", "c", *[micro(f).alias(f) for f in cl.FEATURES], F.col("n").cast("bigint").alias("n"))
 
 
-def _density_sql() -> str:
+def _density_sql(tail: str) -> str:
     """Neighbour pairs, core bins, reachability closed by recursion, then the earliest touching cluster."""
     feat = f"(select image_id, key, n, r, g, b, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(f'({_bins(5)})')})"
     return sql(
@@ -236,25 +236,64 @@ def _density_sql() -> str:
  nb as materialized (select x.image_id, x.key as i, y.key as j, y.n as wj from f x join f y on x.image_id = y.image_id and (x.f0-y.f0)*(x.f0-y.f0)+(x.f1-y.f1)*(x.f1-y.f1)+(x.f2-y.f2)*(x.f2-y.f2) <= 36e0),
  core as materialized (select image_id, i as key from nb group by image_id, i having sum(wj) >= 4),
  link as materialized (select nb.image_id, i, j from nb join core a on nb.image_id=a.image_id and nb.i=a.key join core b on nb.image_id=b.image_id and nb.j=b.key),
- reach as (select image_id, key as root, key from core union select r.image_id, r.root, j from reach r join link l on r.image_id=l.image_id and r.key=l.i where l.j > r.root or true),
+ reach as (select image_id, key as root, key from core union select r.image_id, r.root, j from reach r join link l on r.image_id=l.image_id and r.key=l.i),
  lab as materialized (select image_id, key, min(root) as cluster from reach group by image_id, key),
  every as (select nb.image_id, nb.j as key, min(cluster) as cluster from nb join lab on nb.image_id=lab.image_id and nb.i=lab.key group by 1, 2),
- fin as (select image_id, key, coalesce(lab.cluster, every.cluster) as cluster from every left join lab using (image_id, key))
- select image_id, key, dense_rank() over (partition by image_id order by cluster) as c from fin union all select image_id, key, 0 from f where (image_id, key) not in (select (image_id, key) from fin)""",
+ fin as materialized (select image_id, key, coalesce(lab.cluster, every.cluster) as cluster from every left join lab using (image_id, key)) {tail}""",
     ).replace("with ", "with recursive ", 1)
 
 
-@query("c17_density_labels", _density_sql())
+_LABELS = """ select image_id, key, dense_rank() over (partition by image_id order by cluster) as c from fin union all select image_id, key, 0 from f where (image_id, key) not in (select (image_id, key) from fin)"""
+
+
+def _dbscan_sql(k: int = 5) -> str:
+    """Clusters ranked by summed saliency, then up to k padding steps by distance times saliency."""
+    sal = f"ln(n + 1e0) * pow(0.05e0 + {o.hsl_s()}, 1.5e0)"
+    means = ", ".join(f"sum(f{q}*n)/sum(n) as f{q}" for q in range(3))
+    d2 = "+".join(f"(b.f{q}-c.f{q})*(b.f{q}-c.f{q})" for q in range(3))
+    parts = [
+        f"bs as materialized (select *, {sal} as sal from f)",
+        f"cl as (select image_id, cluster, {means}, sum(n) as n, sum(sal) as s from bs join fin using (image_id, key) group by image_id, cluster)",
+        f"h0 as materialized (select image_id, ord, f0, f1, f2, n from (select *, row_number() over (partition by image_id order by s desc, cluster) - 1 as ord from cl) where ord < {k})",
+    ]
+    for i in range(k):
+        parts.append(
+            f"h{i + 1} as materialized (select * from h{i} union all select image_id, ord, f0, f1, f2, n from (select b.image_id, b.key, any_value(b.f0) as f0, any_value(b.f1) as f1, any_value(b.f2) as f2, any_value(b.n) as n,"
+            f" coalesce(min({d2}), 1e18)*any_value(sal) as score, count(c.ord) as ord from bs b left join h{i} c on b.image_id = c.image_id group by b.image_id, b.key)"
+            f" where score > 0 and ord = {i} qualify row_number() over (partition by image_id order by score desc, key) = 1)"
+        )
+    rgb = o.oklab_bytes(f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb from h{k})")
+    return ", " + ", ".join(parts) + f" select image_id, ord, r, g, b, cast(n as bigint) as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq from {rgb}"
+
+
+@query("c17_density_labels", _density_sql(_LABELS))
 def density_labels(spark, sf):
     return cl.label_density(cl.salient_bins(valid(spark, sf))).select("image_id", "key", "c")
 
 
-@query("c17_dbscan")
+@query("c17_dbscan", _density_sql(_dbscan_sql()))
 def dbscan(spark, sf):
     return shown(cl.dbscan(valid(spark, sf)))
 
 
-@query("c18_nearest_merge")
+def _merge_sql() -> str:
+    """Up to seven merges of at most eight slots, one pair per palette and round."""
+    parts = [f"m0 as materialized (select palette_id, ord as c, lab_l as f0, lab_a as f1, lab_b as f2, 1e0 as n from {o.lab('palettes')})"]
+    for i in range(7):
+        d2 = "+".join(f"(x.f{q}-y.f{q})*(x.f{q}-y.f{q})" for q in range(3))
+        parts.append(
+            f"t{i} as materialized (select x.palette_id, x.c as ci, y.c as cj, {', '.join(f'(x.f{q}*x.n+y.f{q}*y.n)/(x.n+y.n) as f{q}' for q in range(3))}, x.n+y.n as n from m{i} x join m{i} y"
+            f" on x.palette_id = y.palette_id and x.c < y.c where {d2} < 1600e0 qualify row_number() over (partition by x.palette_id order by {d2}, x.c, y.c) = 1)"
+        )
+        parts.append(
+            f"m{i + 1} as materialized (select m.* from m{i} m left join t{i} t on m.palette_id = t.palette_id and (m.c = ci or m.c = cj) where ci is null"
+            f" union all select palette_id, ci, f0, f1, f2, n from t{i})"
+        )
+    cols = ", ".join(f"{o.micro(f'f{q}')} as f{q}" for q in range(3))
+    return sql("palettes", ", " + ", ".join(parts) + f" select palette_id as image_id, row_number() over (partition by palette_id order by c) - 1 as c, {cols}, cast(n as bigint) as n from m7")
+
+
+@query("c18_nearest_merge", _merge_sql())
 def nearest_merge(spark, sf):
     """Palette slots of each palette merged in Lab until no pair is closer than 40."""
     slots = cl._featured(d.palettes(spark, sf).withColumn("image_id", F.col("palette_id")), "lab")

@@ -61,17 +61,19 @@ def dense_position(df: DataFrame, group: list[str], bucket: Column, order: list,
     return placed.withColumnRenamed("_total", total) if total else placed.drop("_total")
 
 
-def running_weight(df: DataFrame, group: list[str], key: str, weight: str, bucket: Column, name: str) -> DataFrame:
-    """Weight of all rows of the group with a smaller ``key`` (keys unique per group), bucket by bucket."""
+def running_weight(df: DataFrame, group: list[str], key: str, weight: str, bucket: Column, name: str, total: str | None = None) -> DataFrame:
+    """Weight of all rows of the group with a smaller ``key`` (keys unique per group), bucket by bucket; the
+    group's whole weight as ``total`` if named."""
     marked = df.withColumn("_bucket", bucket)
     offsets = chunked_offsets(marked, group, "_bucket", F.col(weight))
     before = Window.partitionBy(*group, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    summed = (
         marked.withColumn("_local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
         .join(offsets, [*group, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_local", "_before", "_total")
+        .drop("_bucket", "_local", "_before")
     )
+    return summed.withColumnRenamed("_total", total) if total else summed.drop("_total")
 
 
 def tile(idx: Column | str) -> Column:
@@ -123,3 +125,28 @@ def join_color_facts(colors: DataFrame, facts: DataFrame, how: str = "inner", ke
     """
     spread = facts.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(COLOR_SPLITS - 1))))
     return colors.withColumn("_split", F.shiftright("r", 4)).join(spread, [key, "_split"], how).drop("_split")
+
+
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join one fact row per key to many rows where one key may own a large share of them: ``spread`` cuts the
+    rows of a key into ``SALTS`` parts and the facts are repeated per part."""
+    many = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
+
+
+# Colours of one palette that may be gathered into one value (a document, an anchor ring).
+MAX_GATHERED = 1 << 16
+
+
+def gatherable(slots: DataFrame, key: str, limit: int = MAX_GATHERED) -> DataFrame:
+    """Rows of groups small enough to be gathered into one value; larger groups are listed by ``oversized``."""
+    sizes = slots.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") <= limit).drop("_n")
+    return salted_join(slots, sizes, [key], F.col("ord"), "left_semi")
+
+
+def oversized(slots: DataFrame, key: str, limit: int = MAX_GATHERED) -> DataFrame:
+    sizes = slots.groupBy(key).agg(F.count("*").alias("size")).filter(F.col("size") > limit)
+    return sizes.withColumn("error", F.lit(f"more than {limit} colors"))
