@@ -96,9 +96,12 @@ def with_image_totals(pixels: DataFrame, totals: dict[str, Column]) -> DataFrame
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by key into the session's shuffle width. Unlike an implicit shuffle this is not merged
-    into fewer partitions for small data, which would serialise compute-heavy grouped work."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Hash-partition by key into twice the session's shuffle width, for compute-heavy grouped work.
+
+    An explicit width is not merged into fewer partitions for small data, and as it differs from the width of
+    implicit shuffles it is not dropped as a repeat of one.
+    """
+    width = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(width, *keys)
 
 
