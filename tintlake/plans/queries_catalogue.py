@@ -161,7 +161,7 @@ def css_gradients(spark, sf):
 # --- catalogue -------------------------------------------------------------------------------------------------
 
 _SLUG = "lower(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '^-+|-+$', '', 'g'))"
-_COLS = """cl as (select pos, id, name, unnest(colors) as raw, generate_subscripts(colors, 1) - 1 as ord from catalogue),
+_COLS = """cl as (select pos, id, name, unnest(colors) as raw, cast(generate_subscripts(colors, 1) - 1 as int) as ord from catalogue),
  hx as (select *, case when regexp_full_match(lower(trim(raw)), '#[0-9a-f]{6}') then lower(trim(raw)) when trim(raw) = 'tomato' then '#ff6347' end as hex from cl)"""
 _CATS = f"ct as (select pos, trim(nm) as nm, cpos, {_SLUG.format('trim(nm)')} as slug from (select pos, unnest(categories) as nm, generate_subscripts(categories, 1) as cpos from catalogue))"
 

@@ -127,7 +127,7 @@ def alpha_mask_stats(spark, sf):
     "b6_downsample",
     sql(
         "pixels",
-        """select image_id, cy * nw + cx as idx, cx as x, cy as y, sum(r) // count(*) as r, sum(g) // count(*) as g, sum(b) // count(*) as b, sum(a) // count(*) as a from (
+        """select image_id, cast(cy * nw + cx as bigint) as idx, cx as x, cy as y, cast(sum(r) // count(*) as int) as r, cast(sum(g) // count(*) as int) as g, cast(sum(b) // count(*) as int) as b, cast(sum(a) // count(*) as int) as a from (
  select *, x * nw // w as cx, y * nh // h as cy from (select *, case when greatest(w,h) <= 8 then w when w >= h then 8 else greatest(w*8//h,1) end as nw,
   case when greatest(w,h) <= 8 then h when w >= h then greatest(h*8//w,1) else 8 end as nh from pixels join images using (image_id)))
  group by image_id, nw, cx, cy""",
@@ -386,7 +386,7 @@ def palette_order(spark, sf):
 
 @query(
     "d6_top_k",
-    sql("palettes", f"select palette_id, ord, rk from (select palette_id, ord, row_number() over (partition by palette_id order by {o.hsl_s()} desc, ord) - 1 as rk from palettes) where rk < 3"),
+    sql("palettes", f"select palette_id, ord, rk from (select palette_id, ord, cast(row_number() over (partition by palette_id order by {o.hsl_s()} desc, ord) - 1 as int) as rk from palettes) where rk < 3"),
 )
 def top_k(spark, sf):
     key = kernel.hsl_saturation(*[F.col(c) for c in "rgb"])

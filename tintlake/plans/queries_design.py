@@ -100,7 +100,7 @@ def _suggest_sql(algo: str, tail: str) -> str:
         lights = f"{o.apca_y('sr', 'sg', 'sb')} as sl, {o.apca_y('br', 'bg', 'bb')} as bl"
     return sql(
         "pairs",
-        f""", lad as (select *, 0.03e0 + (0.99e0-0.03e0)*i/63e0 as lv from {px} cross join range(64) t(i)),
+        f""", lad as (select *, 0.03e0 + (0.99e0-0.03e0)*i/63e0 as lv from {px} cross join (select cast(range as int) as i from range(64)) t),
  cand as (select *, {lights} from {rgb}), smp as (select *, {score} as score, {score} >= {goal} as passes, abs(lv - ok_l) as distance from cand) {tail}""",
     )
 
@@ -191,7 +191,7 @@ def _expanded_sql(kind: str, count: int) -> str:
     offs = K.HARMONY_OFFSETS[kind]
     n, cycles = len(offs), (count - 1) // len(offs)
     arr = "[" + ",".join(f"{x}e0" for x in offs) + "]"
-    src = f"(select *, {o.hsv_s()} as bs, {o.hsv_v()} as bv, {arr}[cast(ord % {n} as int) + 1] as off from bases cross join range({count}) q(ord))"
+    src = f"(select *, {o.hsv_s()} as bs, {o.hsv_v()} as bv, {arr}[cast(ord % {n} as int) + 1] as off from bases cross join (select cast(range as int) as ord from range({count})) q)"
     rot = f"(select *, {o.hue()} as ah, 1e0 - ((ord-{n})//{n}+1)/{cycles + 1}e0 as f from {_rotated(src)})"
     echo = {c: o.hsv_channel("ah", "(bs*f)", f"greatest({hm.V_FLOOR}e0, bv*f)", k) for c, k in zip("rgb", (5, 3, 1))}
     cols = ", ".join(f"case when ord < {n} then {c} else {e} end as {c}" for c, e in echo.items())
@@ -209,7 +209,7 @@ def expanded_harmonies(spark, sf):
 
 
 def _analogous_sql(count: int, step: int) -> str:
-    src = f"(select *, (ord - {(count - 1) / 2}e0)*{step}e0 as off from bases cross join range({count}) q(ord))"
+    src = f"(select *, (ord - {(count - 1) / 2}e0)*{step}e0 as off from bases cross join (select cast(range as int) as ord from range({count})) q)"
     return f"select base_id, {count} as size, ord, r, g, b from {_rotated(src)}"
 
 
@@ -246,7 +246,7 @@ def monochromatic(spark, sf):
         "bases",
         "select base_id, ord, "
         + ", ".join(f"case when ord = 0 then {c} else {o.hsl_channel('h', 's', 'lp', n)} end as {c}" for c, n in zip("rgb", (0, 8, 4)))
-        + f" from (select *, (l*100 - (l*100-5e0)*ord/4e0)/100e0 as lp from (select *, {o.hue()} as h, {o.hsl_s()} as s, {o.hsl_l()} as l from bases cross join range(5) q(ord)))",
+        + f" from (select *, (l*100 - (l*100-5e0)*ord/4e0)/100e0 as lp from (select *, {o.hue()} as h, {o.hsl_s()} as s, {o.hsl_l()} as l from bases cross join (select cast(range as int) as ord from range(5)) q))",
     ),
 )
 def shades(spark, sf):
@@ -302,7 +302,7 @@ _EXACT = ", ".join(f"case when ord = 0 then a{c} when ord = {{last}} then b{c} e
 
 
 def _two_stop_sql(space: str, easing: str, steps: int) -> str:
-    src = f"(select *, {_ease_sql(f'(ord/{steps - 1}e0)', easing)} as t from ends cross join range({steps}) q(ord))"
+    src = f"(select *, {_ease_sql(f'(ord/{steps - 1}e0)', easing)} as t from ends cross join (select cast(range as int) as ord from range({steps})) q)"
     return f"select pair_id, ord, {_EXACT.format(last=steps - 1)} from ({_blend_sql(src, space, 'pair_id, ord, ar, ag, ab, br, bg, bb')})"
 
 
@@ -318,7 +318,7 @@ def two_stop_gradient(spark, sf):
 def _ramp_sql(steps: int, space: str, easing: str, pos: str = "pos") -> str:
     seg = f"""(select ramp_id, {pos} as p0, lead({pos}) over w as p1, lead({pos}, 2) over w is null as lst, r as ar, g as ag, b as ab, lead(r) over w as br, lead(g) over w as bg, lead(b) over w as bb
  from stops window w as (partition by ramp_id order by ord))"""
-    src = f"""(select *, (tt-p0)/(p1-p0) as t from (select *, {_ease_sql(f'(ord/{steps - 1}e0)', easing)} as tt from (select * from {seg} where p1 is not null) cross join range({steps}) q(ord))
+    src = f"""(select *, (tt-p0)/(p1-p0) as t from (select *, {_ease_sql(f'(ord/{steps - 1}e0)', easing)} as tt from (select * from {seg} where p1 is not null) cross join (select cast(range as int) as ord from range({steps})) q)
  where case when ord = 0 then p0 = 0 when ord = {steps - 1} then lst else tt >= p0 and (tt < p1 or lst) end)"""
     return f"select ramp_id, ord, {_EXACT.format(last=steps - 1)} from ({_blend_sql(src, space, 'ramp_id, ord, ar, ag, ab, br, bg, bb')})"
 
@@ -375,7 +375,7 @@ def _draw_sql(slot: str, k: int) -> str:
 
 def _random_sql(n: int) -> str:
     h = f"({_draw_sql('-1', 0)}*360e0 + ord*{360 / n}e0 + {_draw_sql('ord', 1)}*20e0 - 10e0)"
-    src = f"(select *, {h} as h, {_draw_sql('ord', 2)}*0.3e0+0.5e0 as s, {_draw_sql('ord', 3)}*0.3e0+0.4e0 as l from (select s_suppkey + 1 as seed from supplier) cross join range({n}) q(ord))"
+    src = f"(select *, {h} as h, {_draw_sql('ord', 2)}*0.3e0+0.5e0 as s, {_draw_sql('ord', 3)}*0.3e0+0.4e0 as l from (select s_suppkey + 1 as seed from supplier) cross join (select cast(range as int) as ord from range({n})) q)"
     return f"select seed, ord, {o.from_hsl('h', 's', 'l')} from {src}"
 
 
@@ -398,7 +398,7 @@ def _scale_sql() -> str:
     walk, body = _mono_sql(10)
     labels = "[" + ",".join(map(str, K.SHADE_LABELS[10])) + "]"
     return _with_recursive(
-        "bases", walk, f"select base_id, pos, {labels}[pos+1] as label, r, g, b from (select *, row_number() over (partition by base_id order by {o.hsl_l()} desc, ord) - 1 as pos from ({body}))"
+        "bases", walk, f"select base_id, pos, {labels}[pos+1] as label, r, g, b from (select *, cast(row_number() over (partition by base_id order by {o.hsl_l()} desc, ord) - 1 as int) as pos from ({body}))"
     )
 
 

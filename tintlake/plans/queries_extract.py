@@ -37,7 +37,7 @@ def _bins(bits: int, group: str = "image_id") -> str:
     s = 8 - bits
     return (
         f"select {group}, (r >> {s}) * {1 << (2 * bits)} + (g >> {s}) * {1 << bits} + (b >> {s}) as key, count(*) as n,"
-        f" sum(r)//count(*) as r, sum(g)//count(*) as g, sum(b)//count(*) as b from px group by {group}, 2"
+        f" cast(sum(r)//count(*) as int) as r, cast(sum(g)//count(*) as int) as g, cast(sum(b)//count(*) as int) as b from px group by {group}, 2"
     )
 
 
@@ -53,7 +53,7 @@ def histogram_3bit(spark, sf):
 
 def _popular(group: str = "image_id", k: int = 5) -> str:
     return f"""select {group}, ord, r, g, b, n, {o.micro(f'n / sum(n) over (partition by {group})')} as freq from (
- select *, row_number() over (partition by {group} order by n desc, key) - 1 as ord from ({_bins(5, group)})) where ord < {k}"""
+ select *, cast(row_number() over (partition by {group} order by n desc, key) - 1 as int) as ord from ({_bins(5, group)})) where ord < {k}"""
 
 
 @query("c2_popularity", sql("pixels", f"{_V} {_popular()}"))
@@ -74,8 +74,8 @@ def _median_cut_sql(k: int) -> str:
             f" from (select b.*, p.size, p.axis from b{i} b left join p{i} p on b.image_id = p.image_id and b.path = p.path))"
         )
     return (
-        ", " + ", ".join(parts) + f" select image_id, row_number() over (partition by image_id order by path) - 1 as ord, sum(r)//count(*) as r, sum(g)//count(*) as g,"
-        f" sum(b)//count(*) as b, count(*) as n, {o.micro('count(*) / sum(count(*)) over (partition by image_id)')} as freq from b{k - 1} group by image_id, path"
+        ", " + ", ".join(parts) + f" select image_id, cast(row_number() over (partition by image_id order by path) - 1 as int) as ord, cast(sum(r)//count(*) as int) as r, cast(sum(g)//count(*) as int) as g,"
+        f" cast(sum(b)//count(*) as int) as b, count(*) as n, {o.micro('count(*) / sum(count(*)) over (partition by image_id)')} as freq from b{k - 1} group by image_id, path"
     )
 
 
@@ -112,7 +112,7 @@ def _wu_sql(k: int) -> str:
             f" from s{i} s left join g{i} g on s.image_id = g.image_id)"
         )
     return (
-        ", " + ", ".join(parts) + f" select image_id, box as ord, sum(sr)//sum(n) as r, sum(sg)//sum(n) as g, sum(sb)//sum(n) as b, sum(n) as n,"
+        ", " + ", ".join(parts) + f" select image_id, box as ord, cast(sum(sr)//sum(n) as int) as r, cast(sum(sg)//sum(n) as int) as g, cast(sum(sb)//sum(n) as int) as b, cast(sum(n) as bigint) as n,"
         f" {o.micro('sum(n) / sum(sum(n)) over (partition by image_id)')} as freq from s{k - 1} group by image_id, box"
     )
 

@@ -16,7 +16,7 @@ S = 5
 
 def _nodes_sql(src: str, size: str = str(S)) -> str:
     """``src`` rows crossed with the lattice nodes."""
-    q = f"(select s.*, {size} as size, q.node from {src} s cross join range({6**3}) q(node) where q.node < {size}*{size}*{size})"
+    q = f"(select s.*, {size} as size, q.node from {src} s cross join (select cast(range as int) as node from range({6**3})) q where q.node < {size}*{size}*{size})"
     axes = {"nr": "node % size", "ng": "(node // size) % size", "nb_": "node // (size*size)"}
     return "(select *, " + ", ".join(o.byte(f"(({v})/(size-1e0))") + f" as {n}" for n, v in axes.items()) + f" from {q})"
 
