@@ -29,7 +29,7 @@ def _query(name: str, sql: str | None = None):
     """
 with w as (
   select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos
-  from (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as ws from documents)
+  from (select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as ws from documents)
 ), t as (
   select doc_id, pos, word,
     case when count(*) over f = 35 then string_agg(word, ' ') over f end as win
