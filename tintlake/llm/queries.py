@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintlake.llm import minhash, substring_dedup
+from tintlake.llm import minhash, packing, substring_dedup, wavelet
 from tintlake.llm.common import table
+from tintlake.runtime import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +56,15 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_minhash_near_dedup")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@_query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op5_token_shards")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    wavelet.write_token_shards(table(spark, sf, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.read_documents(spark, folder)
