@@ -32,7 +32,7 @@ from tintlake.llm.common import ids_and_texts, mix, rolling, row_key, signed, sp
 WINDOW = 35
 GRAM = 8
 # Distinct segments of one mark that may meet in one automaton; above, windows are counted by hash instead.
-SHARD_SEGMENTS = 400
+SHARD_SEGMENTS = 3000
 # Words of one automaton.
 SHARD_WORDS = 200_000
 
