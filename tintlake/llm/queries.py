@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintlake.llm import minhash, packing, substring_dedup, wavelet
+from tintlake.llm import minhash, packing, quality, substring_dedup, wavelet
 from tintlake.llm.common import table
 from tintlake.runtime import ensure_checkpoint_dir
 
@@ -68,3 +68,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     wavelet.write_token_shards(table(spark, sf, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return wavelet.read_documents(spark, folder)
+
+
+@_query("op10_quality_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
