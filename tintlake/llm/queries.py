@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintlake.llm import minhash, packing, pii, quality, substring_dedup, wavelet
+from tintlake.llm import decontaminate, minhash, packing, pii, quality, substring_dedup, url_filter, wavelet
 from tintlake.llm.common import table
 from tintlake.runtime import ensure_checkpoint_dir
 
@@ -89,3 +89,35 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     base = F.filter("s", lambda x: x["base"])
     counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
+
+
+@_query("op2_benchmark_matches")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@_query(
+    "op4_url_rules",
+    """
+with p as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages
+), q as (
+  select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from p
+), r(rh, rp, v) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), m as (
+  select page_id, host, path, arg_max({'rule': rh || rp, 'v': v}, length(rh) + length(rp)) as best
+  from q left join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id, host, path
+)
+select page_id, host, path, best.rule as rule, coalesce(best.v, 'allow') as verdict from m
+""",
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf, "pages"), rules)
