@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintlake.llm import decontaminate, minhash, packing, pii, quality, substring_dedup, url_filter, wavelet
+from tintlake.llm import decontaminate, minhash, packing, pii, quality, search, substring_dedup, url_filter, wavelet
 from tintlake.llm.common import table
 from tintlake.runtime import ensure_checkpoint_dir
 
@@ -121,3 +121,34 @@ select page_id, host, path, best.rule as rule, coalesce(best.v, 'allow') as verd
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf, "pages"), rules)
+
+
+@_query(
+    "op6_bm25_top_k",
+    r"""
+with q as (
+  select item_id as query, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) as term
+  from benchmark where item_id % 20 = 0
+), qc as (
+  select query, term, count(*) as qn from q group by all
+), w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') as ts from documents
+), n as (
+  select count(*) as docs, sum(len(ts)) / count(*) as mean from w
+), tf as (
+  select doc_id, term, dl, count(*) as tf from (select doc_id, len(ts) as dl, unnest(ts) as term from w) where term in (select term from qc) group by all
+), idf as (
+  select term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, n group by term, docs
+), s as (
+  select query, doc_id, round(sum(qn * idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score
+  from qc join tf using (term) join idf using (term), n group by query, doc_id
+)
+select query, doc_id, score, rank::int as rank
+from (select *, row_number() over (partition by query order by score desc, doc_id) as rank from s) where rank <= 10
+""",
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries: every benchmark item whose id is divisible by 20, against all documents."""
+    index = search.build_index(table(spark, sf, "documents"))
+    queries = table(spark, sf, "benchmark").filter("item_id % 20 = 0")
+    return search.top_k(index, queries, "item_id", "text")
