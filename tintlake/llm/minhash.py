@@ -11,7 +11,9 @@ a shingle share one process, and points later than the slowest register are neve
 2. Nodes that share a band are candidates. In each band bucket all members are compared with one leader, the member
    with most bucket mates; links give components.
 3. Whatever bucket still holds several components is compared across them, so every candidate pair ends up inside
-   one component or verified. No cap on bucket sizes.
+   one component or verified. No cap on bucket sizes. Shingles that no other node of these buckets has bound the
+   overlap from above; pairs that cannot reach the threshold under that bound are not formed, so a crowd of texts
+   that each differ from a common source by edits of their own is not compared all with all.
 4. Candidates far apart in the signature (below five deviations) are left out; the rest is verified on the texts.
 
 Nulls: a null text counts as empty; texts without words form one class. Texts shorter than a shingle are one shingle.
@@ -102,7 +104,7 @@ def _without_horizon(shingle: np.ndarray, count: np.ndarray, m: int) -> np.ndarr
     for s, c, lv in active:
         lower = 1 << (lv - 1) if lv else 0
         width = max(lower, 1)
-        seed = mix(np.array([s], dtype=_U) + _U(lv + 1) * _U(0xD6E8FEB86659FD93))
+        seed = mix(np.array([s], dtype=_U) + _U((lv + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         t, start = 0.0, 0
         while t < best.max():
             z = mix(seed + np.arange(start + 1, start + 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
@@ -184,15 +186,49 @@ def _close(threshold: float):
     return (small >= large * F.lit(threshold)) & (far <= FAR_BITS)
 
 
+def _shingle_rows(size: int):
+    def run(batches):
+        for batch in batches:
+            nodes = batch.column("node")
+            for at, n, data, offsets in text_blocks(batch):
+                starts, ends, first = word_bounds(data, offsets)
+                row, shingle, count = shingles(word_hashes(data, starts, ends), first, size)
+                yield pa.record_batch([nodes.take(pa.array(row + at)), pa.array(signed(shingle)), pa.array(count.astype(np.int64))], names=["node", "shingle", "count"])
+
+    return run
+
+
+def _own_weight(texts: DataFrame, size: int) -> DataFrame:
+    """(node, own): the weight of a node's shingles that no other node of ``texts`` has."""
+    rows = texts.mapInArrow(_shingle_rows(size), "node long, shingle long, count long")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.sum("count").alias("count")).filter("nodes = 1")
+    return alone.groupBy("node").agg(F.sum("count").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row: id and class_id, the smallest id among the documents that near-duplicate links connect."""
     rows = ids_and_texts(docs, id_col, text_col).select("_id", "_text", *row_key())
+    members, classes = _classes(rows, threshold, shingle_words)
+    return members.join(classes, "node").select(F.col("_id").alias(id_col), F.col("head._id").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the smallest id (null ids last)."""
+    keyed = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_text": F.coalesce(F.col(f"`{text_col}`"), F.lit(""))})
+    keyed = keyed.withColumns(dict(zip(("_k1", "_k2"), row_key())))
+    _, classes = _classes(keyed.select("_id", "_text", "_k1", "_k2"), threshold, shingle_words)
+    heads = classes.select("head._k1", "head._k2").distinct()
+    return keyed.join(heads, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, node) of every row, and (node, head): the class's first row as (none, _id, _k1, _k2)."""
     kind = dict(rows.dtypes)["_id"]
     fields = f"_id {kind}, _k1 long, _k2 long, node long, check long, n long, lanes binary, s1 long, s2 long, bands array<long>"
     signed_rows = stored(rows.mapInArrow(_signatures(shingle_words, REGISTERS, BAND_ROWS), fields), "signatures")
     nodes = signed_rows.groupBy("node").agg(
-        F.min("_id").alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("lanes").alias("lanes"),
-        F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"), F.min(F.struct("_k1", "_k2")).alias("row"),
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("lanes").alias("lanes"),
+        F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"),
     )
     nodes = stored(nodes, "nodes")
     members = nodes.filter("n > 0").select("node", "copies", "n", "s1", "s2", F.explode("bands").alias("bucket"))
@@ -205,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.join(leader, "bucket").filter((F.col("node") != F.col("leader")) & _close(threshold))
     pairs = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", "row._k1", "row._k2")
+    wanted = members.select("node").distinct().join(nodes.select("node", "head"), "node").select("node", "head._k1", "head._k2")
     texts = rows.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).select("node", "_text")
     # A row repeated in full gives its node's text more than once.
     texts = stored(texts.dropDuplicates(["node"]), "texts")
@@ -222,14 +258,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # Buckets whose members are not all in one component: members outside the leader's component against all.
     main = leader.select("bucket", F.col("leader").alias("node")).join(label, "node", "left").select("bucket", F.coalesce("label", "node").alias("main"))
-    placed = stored(placed.join(main, "bucket"), "placed")
-    odd = placed.filter("label <> main").select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("s1").alias("other_s1"), F.col("s2").alias("other_s2"), F.col("label").alias("other_label"))
-    across = placed.join(odd, "bucket").filter((F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("other"))) & _close(threshold))
-    rest = across.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    placed = placed.join(main, "bucket")
+    mixed = placed.filter("label <> main").select("bucket").distinct()
+    placed = stored(placed.join(mixed, "bucket"), "mixed")
+    own = _own_weight(texts.join(placed.select("node").distinct(), "node"), shingle_words)
+    placed = placed.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    odd = placed.filter("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s1", "s2", "label", "shared")])
+    reach = F.least("shared", "other_shared") >= (F.col("n") + F.col("other_n")) * F.lit(threshold / (1 + threshold) - 1e-9)
+    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("other_node"))
+    across = placed.join(odd, "bucket").filter((F.col("label") != F.col("other_label")) & once & reach & _close(threshold))
+    rest = across.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     more = stored(verified(rest), "verified")
     label = components(links.union(more))
 
     heads = nodes.select("node", "head").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     linked = heads.join(label.select("node"), "node", "left_semi").groupBy("label").agg(F.min("head").alias("class_head"))
-    classes = heads.join(linked, "label", "left").select("node", F.coalesce("class_head", "head").alias("class_id"))
-    return signed_rows.select("_id", "node").join(classes, "node").select(F.col("_id").alias(id_col), "class_id")
+    classes = heads.join(linked, "label", "left").select("node", F.coalesce("class_head", "head").alias("head"))
+    return signed_rows.select("_id", "node"), classes
