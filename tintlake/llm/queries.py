@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintlake.llm import decontaminate, minhash, packing, pii, quality, search, substring_dedup, url_filter, wavelet
+from tintlake.llm import decontaminate, minhash, packing, pii, quality, search, substring_dedup, tool_calls, url_filter, wavelet
 from tintlake.llm.common import table
 from tintlake.runtime import ensure_checkpoint_dir
 
@@ -152,3 +152,40 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     index = search.build_index(table(spark, sf, "documents"))
     queries = table(spark, sf, "benchmark").filter("item_id % 20 = 0")
     return search.top_k(index, queries, "item_id", "text")
+
+
+ASK_SCHEMA = '{"properties":{"prompt":{"type":"string"},"turn":{"type":"integer"}},"required":["prompt","turn"]}'
+
+
+@_query(
+    "op7_tool_calls",
+    """
+with u as (
+  select conv_id, turn, text, dense_rank() over (partition by conv_id order by turn) - 1 as depth from conversations where role = 'user'
+), a as (
+  select conv_id, turn - 1 as turn, min(text) as text from conversations where role = 'assistant' group by all
+), r as (
+  select coalesce(u.conv_id, a.conv_id) as conv_id, coalesce(u.turn, a.turn) as turn, u.turn is not null as has_call, a.turn is not null as has_result, u.depth, u.text as prompt, a.text as content
+  from u full join a on u.conv_id = a.conv_id and u.turn = a.turn
+)
+select conv_id, 't' || lpad(turn::varchar, 6, '0') as call_id, case when has_call then depth end::bigint as position, case when has_call then depth end::int as depth,
+  case when not has_call then 'no_call' when prompt is null then 'bad_arguments' when not has_result then 'no_result' else 'ok' end as status,
+  '{"arguments":' || case when has_call then '{' || case when prompt is null then '' else '"prompt":' || to_json(prompt) || ',' end || '"turn":' || turn || '}' else 'null' end
+  || ',"id":"t' || lpad(turn::varchar, 6, '0') || '","name":' || case when has_call then '"ask"' else 'null' end || ',"result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
+from r
+""",
+)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn is a call of the tool ``ask`` that follows the conversation's user turn before it; the assistant
+    turn after it is the result. Both are derived as JSON messages and read back by the operator."""
+    turns = table(spark, sf, "conversations")
+    name = lambda turn: F.concat(F.lit("t"), F.lpad(turn.cast("string"), 6, "0"))
+    users = turns.filter("role = 'user'").select("conv_id", "turn", "text")
+    after = F.array(name(F.col("turn") - 2))  # speakers take turns; what does not exist is ignored
+    call = F.struct(name(F.col("turn")).alias("id"), F.lit("ask").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), after.alias("after"))
+    calls = users.select("conv_id", "turn", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    answer = F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    answers = turns.filter("role = 'assistant'").select("conv_id", "turn", F.to_json(answer).alias("text"))
+    found = tool_calls.read_messages(calls.unionByName(answers))
+    schemas = spark.createDataFrame([("ask", ASK_SCHEMA)], "name string, schema string")
+    return tool_calls.link_tool_calls(*found, schemas)
