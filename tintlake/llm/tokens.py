@@ -1,56 +1,63 @@
-"""Token ids of whole texts by the tokenizers library, memoised by unit.
+"""Token ids of whole texts by the tokenizers library, memoised by pre-token.
 
-A text is cut where the tokenizer's own pre-tokenisation must cut as well (before a run of spaces or newlines
-that follows other text), so the ids of the units, joined, are the ids of the text. Units repeat, so most are
-looked up instead of encoded; new words made of letters are encoded together, one pre-token each. Texts with
-other white space, combining marks or special-token markers are encoded whole.
+A byte-pair vocabulary encodes each pre-token (a word with the space before it, a number, a run of signs) by itself,
+so a text's ids are those of its pre-tokens, joined. Pre-tokens repeat, so most are looked up; new words are encoded
+together, many a call, and parted again at their edges. Texts for which the two regular-expression dialects or the
+normalisation could differ (numerals other than digits, some control characters, special-token markers, texts that are
+not in composed form) are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]|<\||[\x00-\x08\x0e-\x1f\x7f̀-ͯΣ]")
-_TAIL = ".,!|*$%&#"
+from tintlake.llm.common import worker_memory
 
-# Units remembered by one Python worker; the memory is emptied when it is full.
-MEMORY_UNITS = 500_000
-# Longer units are not remembered.
+_KEEPS_SPACE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_DROPS_SPACE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_ODD = re.compile("[\x1c-\x1fΣ]|<\\|")
+
+# Pre-tokens remembered by one Python worker; the memory is emptied when it is full.
+MEMORY_UNITS = 400_000
+# Longer pre-tokens are not remembered.
 MEMORY_CHARS = 64
 # Words encoded by one call.
 JOINED_WORDS = 20_000
+# Characters of the texts that are encoded together.
+BLOCK_CHARS = 1_000_000
 
 
 class UnitEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; ``drops_space``: the vocabulary has no ids for white space."""
+    """Encodes texts to little-endian unsigned 32-bit ids; ``drops_space``: the vocabulary has no ids for white space
+    and lower-cases."""
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.split = (_DROPS_SPACE if drops_space else _KEEPS_SPACE).findall
         edge = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
-            edge[i] = token.endswith("</w>") if drops_space else token.startswith("\u0120")
+            edge[i] = token.endswith("</w>") if drops_space else token.startswith("Ġ")
         self.edge = edge
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        """Ids by one library call a text."""
+        """Ids by the library alone."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, each with a space before it if the vocabulary keeps spaces.
 
-        All words go through one call; a word's ids begin with a token that holds the space, or end with one that
-        holds the vocabulary's word end. If the count of words differs, each is encoded by itself.
-        """
+        A word's ids begin with a token that holds the space, or end with one that holds the vocabulary's word end. If
+        the count of words differs, each is encoded by itself."""
         out: list[bytes] = []
         for k in range(0, len(words), JOINED_WORDS):
             part = words[k : k + JOINED_WORDS]
@@ -59,51 +66,37 @@ class UnitEncoder:
             if len(edges) != len(part):
                 out += self.direct([w if self.drops_space else " " + w for w in part])
                 continue
-            cuts = ([0, *(4 * edges + 4).tolist()] if self.drops_space else [*(4 * edges).tolist(), len(raw)])
+            cuts = [0, *(4 * edges + 4).tolist()] if self.drops_space else [*(4 * edges).tolist(), len(raw)]
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
     def _learn(self, units: Iterable[str]) -> None:
-        known, space = self.known, "" if self.drops_space else " "
-        cut, words, other = [], [], set()
+        joined, alone = [], []
         for unit in units:
-            core = unit.rstrip(_TAIL)
-            if core.startswith("\n") and len(core) > 1 and core[1:].isalpha():  # a line's first word has no space
-                parts = ("\n", core[1:], unit[len(core) :])
-                cut.append((unit, parts))
-                other.update(parts)
-                continue
-            word = core[len(space) :]
-            if word.isalpha() and core.startswith(space):
-                if len(core) < len(unit):
-                    tail = unit[len(core) :]
-                    cut.append((unit, (core, tail)))
-                    other.add(tail)
-                if core not in known:
-                    known[core] = b""
-                    words.append(word)
+            if self.drops_space:
+                (joined if unit.isalpha() else alone).append(unit)
+            elif unit[0] == " " and unit[1:].isalpha():
+                joined.append(unit[1:])
             else:
-                other.add(unit)
-        known.update(zip([space + w for w in words] if space else words, self._words(words)))
-        rest = [u for u in other if u not in known]
-        known.update(zip(rest, self.direct(rest)))
-        for unit, parts in cut:
-            known[unit] = b"".join([known[p] for p in parts])
-
-    def units(self, text: str) -> list[str]:
-        return text.replace("\n", " ").lower().split(" ") if self.drops_space else _UNIT.findall(text)
+                alone.append(unit)
+        space = "" if self.drops_space else " "
+        self.known.update(zip([space + w for w in joined] if space else joined, self._words(joined)))
+        self.known.update(zip(alone, self.direct(alone)))
+        for unit in alone:
+            if any(c.isnumeric() and not c.isdecimal() for c in unit):
+                self.known[unit] = None  # a numeral that the library may cut elsewhere
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[bytes] = [b""] * len(texts)
         plain: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = b""
-            elif _ODD.search(text):
+                continue
+            if _ODD.search(text) or (self.drops_space and not unicodedata.is_normalized("NFC", text)):
                 out[i] = self.direct([text])[0]
             else:
-                plain.append((i, self.units(text)))
+                plain.append((i, self.split(text.lower() if self.drops_space else text)))
         new = set(chain.from_iterable(u for _, u in plain)).difference(self.known)
         if len(self.known) + len(new) > MEMORY_UNITS:
             self.known = {}
@@ -111,25 +104,22 @@ class UnitEncoder:
         self._learn(new)
         ids = self.known.__getitem__
         for i, units in plain:
-            out[i] = b"".join(map(ids, units))
+            try:
+                out[i] = b"".join(map(ids, units))
+            except TypeError:
+                out[i] = self.direct([texts[i]])[0]
         for unit in [u for u in new if len(u) > MEMORY_CHARS]:
-            self.known.pop(unit, None)
+            del self.known[unit]
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
-
-
 def encoder(path: str, drops_space: bool) -> UnitEncoder:
     """The worker's encoder of one vocabulary file."""
-    key = (path, drops_space)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(path, drops_space)
-    return _ENCODERS[key]
-
-
-# Characters of the texts that are encoded together.
-BLOCK_CHARS = 2_000_000
+    memory = worker_memory()
+    key = ("encoder", path, drops_space)
+    if key not in memory:
+        memory[key] = UnitEncoder(path, drops_space)
+    return memory[key]
 
 
 def encode_in_blocks(enc: UnitEncoder, texts: list[str | None]) -> Iterable[bytes]:
