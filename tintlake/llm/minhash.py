@@ -11,9 +11,10 @@ a shingle share one process, and points later than the slowest register are neve
 2. Nodes that share a band are candidates. In each band bucket all members are compared with one leader, the member
    with most bucket mates; links give components.
 3. Whatever bucket still holds several components is compared across them, so every candidate pair ends up inside
-   one component or verified. No cap on bucket sizes. Shingles that no other node of these buckets has bound the
-   overlap from above; pairs that cannot reach the threshold under that bound are not formed, so a crowd of texts
-   that each differ from a common source by edits of their own is not compared all with all.
+   one component or verified. No cap on bucket sizes. A crowd of texts that each differ from a common source by edits
+   of their own is not compared all with all: shingles that at most ``RARE`` nodes of these buckets have are rare, and
+   pairs that share a rare shingle are found through it. Two nodes without a common one overlap in their other
+   shingles at most, which leaves a node only partners in a narrow range of sizes, often none.
 4. Candidates far apart in the signature (below five deviations) are left out; the rest is verified on the texts.
 
 Nulls: a null text counts as empty; texts without words form one class. Texts shorter than a shingle are one shingle.
@@ -39,6 +40,9 @@ BAND_ROWS = 4
 FAR_BITS = 32
 # Registers that must agree before texts are compared (102 expected at 0.8, deviation 4.5).
 NEAR_REGISTERS = 80
+# Nodes that a rare shingle has at most, and the logarithm of the ratio of neighbouring size classes.
+RARE = 16
+SIZE_STEP = 0.03
 
 _U = np.uint64
 _ROW_BITS = 50
@@ -198,11 +202,15 @@ def _shingle_rows(size: int):
     return run
 
 
-def _own_weight(texts: DataFrame, size: int) -> DataFrame:
-    """(node, own): the weight of a node's shingles that no other node of ``texts`` has."""
+def _rare_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingle, count, nodes) of the shingles that at most ``RARE`` nodes of ``texts`` have."""
     rows = texts.mapInArrow(_shingle_rows(size), "node long, shingle long, count long")
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.sum("count").alias("count")).filter("nodes = 1")
-    return alone.groupBy("node").agg(F.sum("count").alias("own"))
+    few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") <= RARE)
+    return rows.join(few, "shingle")
+
+
+def _size_class(n):
+    return F.floor(F.log(n.cast("double")) / F.lit(SIZE_STEP)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -261,13 +269,27 @@ def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[Dat
     placed = placed.join(main, "bucket")
     mixed = placed.filter("label <> main").select("bucket").distinct()
     placed = stored(placed.join(mixed, "bucket"), "mixed")
-    own = _own_weight(texts.join(placed.select("node").distinct(), "node"), shingle_words)
-    placed = placed.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    odd = placed.filter("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s1", "s2", "label", "shared")])
-    reach = F.least("shared", "other_shared") >= (F.col("n") + F.col("other_n")) * F.lit(threshold / (1 + threshold) - 1e-9)
+    columns = ("node", "n", "s1", "s2", "label")
+    facts = placed.select(*columns).distinct()
+    rare = stored(_rare_shingles(texts.join(facts.select("node"), "node"), shingle_words), "rare")
+    differs = F.col("label") != F.col("other_label")
+    # Pairs without a common rare shingle.
+    common = rare.groupBy("node").agg(F.sum("count").alias("rare"))
+    placed = placed.join(common, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+    odd = placed.filter("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in (*columns, "common")])
+    least = F.lit(threshold) * F.col("other_n") - 1e-6
+    most = F.col("other_common") * F.lit((1 + threshold) / threshold) - F.col("other_n") + 1e-6
+    sizes = F.sequence(_size_class(least), _size_class(F.least(most, F.col("other_n") / F.lit(threshold) + 1e-6)))
+    odd = odd.filter(most >= least).withColumn("class", F.explode(sizes))
+    reach = F.least("common", "other_common") >= (F.col("n") + F.col("other_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
     once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("other_node"))
-    across = placed.join(odd, "bucket").filter((F.col("label") != F.col("other_label")) & once & reach & _close(threshold))
-    rest = across.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    across = placed.withColumn("class", _size_class(F.col("n"))).join(odd, ["bucket", "class"]).filter(differs & once & reach & _close(threshold))
+    # Pairs with one.
+    shared = rare.filter("nodes > 1").select("node", "shingle").join(facts, "node")
+    other = shared.select("shingle", *[F.col(c).alias(f"other_{c}") for c in columns])
+    through = shared.join(other, "shingle").filter((F.col("node") < F.col("other_node")) & differs & _close(threshold))
+    rest = across.select("node", "other_node").union(through.select("node", "other_node"))
+    rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     more = stored(verified(rest), "verified")
     label = components(links.union(more))
 
