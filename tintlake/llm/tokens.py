@@ -24,9 +24,9 @@ _DROPS_SPACE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _ODD = re.compile("[\x1c-\x1fΣ]|<\\|")
 
 # Pre-tokens remembered by one Python worker; the memory is emptied when it is full.
-MEMORY_UNITS = 400_000
+MEMORY_UNITS = 700_000
 # Longer pre-tokens are not remembered.
-MEMORY_CHARS = 64
+MEMORY_CHARS = 18
 # Words encoded by one call.
 JOINED_WORDS = 20_000
 # Characters of the texts that are encoded together.
