@@ -25,8 +25,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Bytes of the Arrow batches that tasks exchange with Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: their default bound by rows lets long texts fill an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns under fixed names, so that further columns of the input cannot clash; null texts are empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
 
 
@@ -45,7 +55,7 @@ def worker_memory() -> dict:
 
 
 # Bytes of text that are worked on at once in a task (a longer text is one block).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

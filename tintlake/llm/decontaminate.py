@@ -14,13 +14,14 @@ matched each, repeated item rows once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.llm.common import worker_memory
+from tintlake.llm.common import small_batches, worker_memory
 
 RATE = 0.06
 BLOCK_CHARS = 8_000_000
@@ -147,8 +148,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """Add an array of (item_id, distance, start, end) for each document; places count in the normalised text."""
     if not 0 <= rate < 1:
         raise ValueError("rate must be at least 0 and below 1")
-    import uuid
-
+    small_batches(docs.sparkSession)
     found = None
     for items in item_blocks(benchmark, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(items)

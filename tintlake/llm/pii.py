@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tintlake.llm.common import small_batches
+
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE = 64, 32
 HIDDEN = 16
@@ -465,4 +467,5 @@ def _searcher(net: Tagger | None, with_text: bool):
 
 def with_personal_data(docs: DataFrame, net: Tagger | None, text_col: str = "text", name: str = "pii", with_text: bool = True) -> DataFrame:
     """Add a struct: spans (kind, start, end in code points, base) and, unless left out, the redacted text."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, _searcher(net, with_text)(F.col(f"`{text_col}`")))

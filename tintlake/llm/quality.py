@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.llm.common import mix, text_blocks, word_bounds, word_hashes
+from tintlake.llm.common import mix, small_batches, text_blocks, word_bounds, word_hashes
 
 # Most labelled documents that a model is fitted on: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -100,6 +100,7 @@ def _with_statistics(batches):
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows as a struct ``_row``, and the statistics of their text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     fields = f"_row {rows.schema['_row'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS)
     return rows.mapInArrow(_with_statistics, fields)

@@ -34,7 +34,7 @@ GRAM = 8
 # Distinct segments of one mark that may meet in one automaton; above, windows are counted by hash instead.
 SHARD_SEGMENTS = 3000
 # Words of one automaton.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 40_000
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:

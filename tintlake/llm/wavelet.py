@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tintlake.llm.common import ids_and_texts, row_key
+from tintlake.llm.common import ids_and_texts, row_key, small_batches
 from tintlake.llm.tokens import encode_in_blocks, encoder
 
 SHARD_TOKENS = 1 << 18
@@ -214,6 +214,7 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, id_col: str = "d
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shards with ``start``, the number of ids in all shards before."""
+    small_batches(spark)
     shards = spark.read.schema(SHARD_FIELDS).parquet(folder)
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.min("first_id").alias("first_id"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
