@@ -281,6 +281,26 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_call_depths(spark):
+    r = random.Random(3)
+    rows, want = [], {}
+    for conv in range(6):
+        after = {k: [] if k == 0 else [k - 1] if conv < 2 else r.sample(range(k), r.randint(0, min(k, 2))) for k in range(40)}
+        if conv == 5:
+            after[7] = [30]
+            after[30] = [29]
+            after[29] = [7]
+        depth = {}
+        for _ in after:
+            for k, a in after.items():
+                if k not in depth and all(x in depth for x in a):
+                    depth[k] = 1 + max((depth[x] for x in a), default=-1)
+        want |= {(str(conv), str(k)): d for k, d in depth.items()}
+        rows += [(str(conv), str(k), [str(x) for x in a] + ["none"]) for k, a in after.items()]
+    got = tool_calls.depths(spark.createDataFrame(rows, "conv string, call string, after array<string>")).collect()
+    assert {(x.conv, x.call): x.depth for x in got} == want and len(got) == len(want)
+
+
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()

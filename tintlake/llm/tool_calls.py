@@ -1,9 +1,9 @@
 """Chat formatting: tool calls linked to their results, in dependency order, as canonical JSON.
 
 Calls and results are two tables. They meet by a hash join on (conversation, call id). Calls name the calls they
-follow; a call's depth is one more than the greatest depth among these, found by rounds that release the calls whose
-predecessors are all placed (a round a level, for all conversations at once), and the position in the conversation is
-the rank by (depth, call id). Arguments are checked against the tool's schema, and each linked call is one JSON
+follow; a call's depth is one more than the greatest depth among these, found for all conversations at once by
+doubling pointers along chains and by rounds over calls with several predecessors, and the position in the
+conversation is the rank by (depth, call id). Arguments are checked against the tool's schema, and each linked call is one JSON
 object with sorted keys and without spaces. No conversation is gathered in one task.
 
 Status of a row, the first that holds: ``no_call`` (a result without a call), ``repeated`` (a further call with the same
@@ -94,23 +94,37 @@ def _serialiser(schemas):
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv, call, depth) of calls (conv, call, after) with distinct ids; calls on or behind a cycle are missing."""
+    """(conv, call, depth) of calls (conv, call, after) with distinct ids; calls on or behind a cycle are missing.
+
+    Calls with one predecessor form chains, which pointers cross in doubling steps. What remains are calls with
+    several predecessors: rounds release those whose predecessors' chains begin at placed calls."""
     edges = calls.select("conv", "call", F.explode(F.array_distinct("after")).alias("before"))
-    edges = edges.join(calls.select("conv", F.col("call").alias("before")), ["conv", "before"])
-    edges = stored(edges, "edges")
-    needs = edges.groupBy("conv", "call").agg(F.count(F.lit(1)).alias("needs"))
-    front = stored(calls.select("conv", "call").join(needs, ["conv", "call"], "left_anti").withColumn("depth", F.lit(0)), "depth")
-    placed, waiting, depth = front, needs, 0
-    while True:
-        depth += 1
-        done = edges.join(front.select("conv", F.col("call").alias("before")), ["conv", "before"]).groupBy("conv", "call").agg(F.count(F.lit(1)).alias("got"))
-        waiting = waiting.join(done, ["conv", "call"], "left").select("conv", "call", (F.col("needs") - F.coalesce("got", F.lit(0))).alias("needs"))
-        waiting = stored(waiting, "waiting")
-        front = waiting.filter("needs = 0").select("conv", "call", F.lit(depth).alias("depth"))
-        if not front.limit(1).count():
-            return placed
-        placed = placed.union(front)
-        waiting = waiting.filter("needs > 0")
+    edges = stored(edges.join(calls.select("conv", F.col("call").alias("before")), ["conv", "before"]), "edges")
+    needs = edges.groupBy("conv", "call").agg(F.count(F.lit(1)).alias("needs"), F.min("before").alias("before"))
+    links = stored(needs.filter("needs = 1").select("conv", "call", F.col("before").alias("to"), F.lit(1).alias("steps")), "chains")
+    bound = links.count().bit_length() + 1  # a pointer that moves longer goes round a cycle
+    for _ in range(bound):
+        ahead = links.select("conv", F.col("call").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        moved = links.join(ahead, ["conv", "to"], "left")
+        links = stored(moved.select("conv", "call", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")), "chains")
+        if not links.filter("moved").limit(1).count():
+            break
+    many = needs.filter("needs > 1").select("conv", "call")
+    roots = calls.select("conv", "call").join(needs, ["conv", "call"], "left_anti")
+    known = stored(roots.withColumn("depth", F.lit(0)), "depth")
+    chain = links.select("conv", F.col("call").alias("before"), F.col("to").alias("start"), "steps")
+    joins = edges.join(many, ["conv", "call"], "left_semi").join(chain, ["conv", "before"], "left")
+    joins = stored(joins.select("conv", "call", F.coalesce("start", "before").alias("start"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "joins")
+    while joins.limit(1).count():
+        placed = joins.join(known.select("conv", F.col("call").alias("start"), "depth"), ["conv", "start"], "left")
+        ready = placed.groupBy("conv", "call").agg(F.count(F.lit(1)).alias("all"), F.count("depth").alias("got"), F.max(F.col("depth") + F.col("steps")).alias("depth")).filter("got = all")
+        ready = stored(ready.select("conv", "call", "depth"), "depth")
+        if not ready.limit(1).count():
+            break
+        known = known.unionByName(ready)
+        joins = stored(joins.join(ready, ["conv", "call"], "left_anti"), "joins")
+    behind = links.join(known.select("conv", F.col("call").alias("to"), "depth"), ["conv", "to"]).select("conv", "call", (F.col("depth") + F.col("steps")).alias("depth"))
+    return known.unionByName(behind)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
