@@ -15,7 +15,8 @@ a shingle share one process, and points later than the slowest register are neve
    of their own is not compared all with all: shingles that at most ``RARE`` nodes of these buckets have are rare, and
    pairs that share a rare shingle are found through it. Two nodes without a common one overlap in their other
    shingles at most, which leaves a node only partners in a narrow range of sizes, often none.
-4. Candidates far apart in the signature (below five deviations) are left out; the rest is verified on the texts.
+4. Candidates whose signatures differ in far more bits than 0.8 allows (five deviations) are left out; the rest is
+   verified on the texts.
 
 Nulls: a null text counts as empty; texts without words form one class. Texts shorter than a shingle are one shingle.
 Null ids are kept; a class without any id has a null class id. Repeated rows get the same class.
@@ -38,8 +39,6 @@ REGISTERS = 128
 BAND_ROWS = 4
 # Bits of two 128-bit sketches that may differ (12.8 are expected at 0.8, deviation 3.4).
 FAR_BITS = 32
-# Registers that must agree before texts are compared (102 expected at 0.8, deviation 4.5).
-NEAR_REGISTERS = 80
 # Nodes that a rare shingle has at most, and the logarithm of the ratio of neighbouring size classes.
 RARE = 16
 SIZE_STEP = 0.03
@@ -133,7 +132,6 @@ def _signatures(size: int, m: int, band_rows: int):
                 row, shingle, count = shingles(words, first, size)
                 registers = bag_minhash(row, shingle, count, n, m)
                 bits = mix(registers.view(_U))
-                lanes = (bits & _U(0xFFFF)).astype(np.uint16)
                 bands = bits.reshape(n, m // band_rows, band_rows)
                 value = np.broadcast_to(np.arange(m // band_rows, dtype=_U)[None, :], bands.shape[:2])
                 for k in range(band_rows):
@@ -144,8 +142,8 @@ def _signatures(size: int, m: int, band_rows: int):
                 total = np.bincount(row, weights=count, minlength=n).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * (m // band_rows) + 1, m // band_rows, dtype=np.int32)), pa.array(signed(np.ascontiguousarray(value)).reshape(-1)))
                 yield pa.record_batch(
-                    [batch.column("_id").take(rows), batch.column("_k1").take(rows), batch.column("_k2").take(rows), pa.array(signed(node)), pa.array(signed(check)), pa.array(total), pa.array([x.tobytes() for x in lanes], type=pa.binary()), pa.array(signed(half[0])), pa.array(signed(half[1])), lists],
-                    names=["_id", "_k1", "_k2", "node", "check", "n", "lanes", "s1", "s2", "bands"],
+                    [batch.column("_id").take(rows), batch.column("_k1").take(rows), batch.column("_k2").take(rows), pa.array(signed(node)), pa.array(signed(check)), pa.array(total), pa.array(signed(half[0])), pa.array(signed(half[1])), lists],
+                    names=["_id", "_k1", "_k2", "node", "check", "n", "s1", "s2", "bands"],
                 )
 
     return run
@@ -177,12 +175,6 @@ def _overlap(size: int):
     return run
 
 
-def _agreeing(frames):
-    for df in frames:
-        got = [int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum()) for x, y in zip(df["la"], df["lb"])]
-        yield df[["a", "b"]][np.array(got, dtype=int) >= NEAR_REGISTERS] if len(df) else df[["a", "b"]]
-
-
 def _close(threshold: float):
     """Sizes and sketches under which two nodes can reach the threshold."""
     small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
@@ -233,10 +225,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:
     """(_id, node) of every row, and (node, head): the class's first row as (none, _id, _k1, _k2)."""
     kind = dict(rows.dtypes)["_id"]
-    fields = f"_id {kind}, _k1 long, _k2 long, node long, check long, n long, lanes binary, s1 long, s2 long, bands array<long>"
+    fields = f"_id {kind}, _k1 long, _k2 long, node long, check long, n long, s1 long, s2 long, bands array<long>"
     signed_rows = stored(rows.mapInArrow(_signatures(shingle_words, REGISTERS, BAND_ROWS), fields), "signatures")
     nodes = signed_rows.groupBy("node").agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("lanes").alias("lanes"),
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"),
     )
     nodes = stored(nodes, "nodes")
@@ -254,12 +246,9 @@ def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[Dat
     texts = rows.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).select("node", "_text")
     # A row repeated in full gives its node's text more than once.
     texts = stored(texts.dropDuplicates(["node"]), "texts")
-    lanes = nodes.select("node", "lanes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sketched = pairs.join(lanes.select(F.col("node").alias("a"), F.col("lanes").alias("la")), "a").join(lanes.select(F.col("node").alias("b"), F.col("lanes").alias("lb")), "b")
-        near = sketched.mapInPandas(_agreeing, "a long, b long")
-        full = near.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
+        full = pairs.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
         return full.select("a", "b", "ta", "tb").mapInPandas(_overlap(shingle_words), "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
     links = stored(verified(pairs), "verified")
@@ -274,9 +263,10 @@ def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[Dat
     facts = placed.select(*columns).distinct()
     rare = stored(_rare_shingles(texts.join(facts.select("node"), "node"), shingle_words), "rare")
     differs = F.col("label") != F.col("other_label")
-    # Pairs without a common rare shingle.
     common = rare.groupBy("node").agg(F.sum("count").alias("rare"))
-    placed = placed.join(common, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+    with_common = lambda df: df.join(common, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare")
+    # Pairs without a common rare shingle.
+    placed = with_common(placed)
     odd = placed.filter("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in (*columns, "common")])
     least = F.lit(threshold) * F.col("other_n") - 1e-6
     most = F.col("other_common") * F.lit((1 + threshold) / threshold) - F.col("other_n") + 1e-6
@@ -285,10 +275,14 @@ def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[Dat
     reach = F.least("common", "other_common") >= (F.col("n") + F.col("other_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
     once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("other_node"))
     across = placed.withColumn("class", _size_class(F.col("n"))).join(odd, ["bucket", "class"]).filter(differs & once & reach & _close(threshold))
-    # Pairs with one.
-    shared = rare.filter("nodes > 1").select("node", "shingle").join(facts, "node")
-    other = shared.select("shingle", *[F.col(c).alias(f"other_{c}") for c in columns])
+    # Pairs with some: their other shingles and these bound the overlap.
+    shared = rare.filter("nodes > 1").select("node", "shingle", "count").join(with_common(facts), "node")
+    other = shared.select("shingle", *[F.col(c).alias(f"other_{c}") for c in (*columns, "common", "count")])
     through = shared.join(other, "shingle").filter((F.col("node") < F.col("other_node")) & differs & _close(threshold))
+    pair = ("node", "other_node", "n", "other_n", "common", "other_common")
+    through = through.groupBy(*pair).agg(F.sum(F.least("count", "other_count")).alias("both"))
+    enough = F.least("common", "other_common") + F.col("both") >= (F.col("n") + F.col("other_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    through = through.filter(enough)
     rest = across.select("node", "other_node").union(through.select("node", "other_node"))
     rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     more = stored(verified(rest), "verified")
