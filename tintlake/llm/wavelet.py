@@ -1,13 +1,14 @@
 """Token ids in compressed files: one wavelet matrix per shard.
 
-A shard holds the ids of consecutive documents. Its bit planes are stored from the highest bit down; at each plane
-the ids are stably parted by the bit, zeros first. With counts of ones before every 512 bits a reader finds the id at
+A shard holds the ids of consecutive documents, as numbers in the shard's own alphabet (its distinct ids in ascending
+order). Its bit planes are stored from the highest bit down; at each plane the numbers are stably parted by the bit,
+zeros first. With counts of ones before every 512 bits a reader finds the id at
 a position, the occurrences of an id before a position, and the position of its k-th occurrence, without decoding.
 
 A data set is a folder of Parquet files with one shard a row (part, before, first_id, tokens, shard): Spark's commit
 protocol writes it, so a lost executor leaves no half-written shard, and any store that Spark reaches will do. The
 ``shard`` bytes are the format itself: ``WVM1``, version, plane count, id count, document count, zeros per plane, then
-Zstandard frames of document ids, document lengths, rank counts and planes, each with its length.
+Zstandard frames of document ids, document lengths, alphabet, rank counts and planes, each with its length.
 
 Nulls: a null text is an empty document. Null document ids come first and are kept. Rows repeated in full are written
 each. An empty table gives a folder without shards.
@@ -37,23 +38,27 @@ NULL_ID = -(1 << 63)
 class WaveletMatrix:
     """Succinct sequence of unsigned ids."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], samples: list[np.ndarray]):
-        self.n, self.planes, self.zeros, self.samples = n, planes, zeros, samples
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray], zeros: list[int], samples: list[np.ndarray]):
+        self.n, self.alphabet, self.planes, self.zeros, self.samples = n, alphabet, planes, zeros, samples
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        v = ids.astype(np.uint16) if levels <= 16 else ids.astype(np.uint32)
+        present = np.zeros(int(ids.max()) + 1 if len(ids) else 0, dtype=bool)
+        present[ids] = True
+        alphabet = np.flatnonzero(present).astype(np.uint32)
+        levels = max(1, (len(alphabet) - 1).bit_length())
+        number = (np.cumsum(present) - 1).astype(np.uint16 if levels <= 16 else np.uint32)
+        v = number[ids]
         planes, zeros, samples = [], [], []
         for level in range(levels - 1, -1, -1):
-            bit = ((v >> level) & 1).astype(bool)
+            bit = (v & v.dtype.type(1 << level)) != 0
             packed = np.packbits(bit)
             planes.append(packed)
             samples.append(cls._sample(packed))
-            low, high = v[~bit], v[bit]
+            low, high = np.compress(~bit, v), np.compress(bit, v)
             zeros.append(len(low))
             v = np.concatenate((low, high))
-        return cls(len(ids), planes, zeros, samples)
+        return cls(len(ids), alphabet, planes, zeros, samples)
 
     @staticmethod
     def _sample(packed: np.ndarray) -> np.ndarray:
@@ -80,11 +85,17 @@ class WaveletMatrix:
             bit, ones = self._bit(level, i), self._ones(level, i)
             out = out << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
-        return out
+        return int(self.alphabet[out])
+
+    def _number(self, token: int) -> int:
+        """The token's number in the alphabet; -1 if it does not occur."""
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else -1
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of ``token`` among the first ``i`` ids."""
-        if token >> len(self.planes):
+        token = self._number(token)
+        if token < 0:
             return 0
         lo, hi = 0, i
         for level in range(len(self.planes)):
@@ -102,7 +113,7 @@ class WaveletMatrix:
         """Position of the k-th (from 0) occurrence of ``token``; -1 if there are fewer."""
         if k < 0 or k >= self.count(token):
             return -1
-        lo = 0
+        token, lo = self._number(token), 0
         path = []
         for level in range(len(self.planes)):
             a, bit = self._ones(level, lo), token >> (len(self.planes) - 1 - level) & 1
@@ -124,14 +135,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        out = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, dtype=kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             merged = np.empty_like(out)
-            merged[~bit] = out[: self.zeros[level]]
-            merged[bit] = out[self.zeros[level] :] | (1 << (len(self.planes) - 1 - level))
+            merged[np.flatnonzero(~bit)] = out[: self.zeros[level]]
+            merged[np.flatnonzero(bit)] = out[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             out = merged
-        return out
+        return self.alphabet[out] if self.n else out.astype(np.uint32)
 
 
 def to_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -139,7 +151,7 @@ def to_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) ->
     m = WaveletMatrix.build(ids)
     pack = zstandard.ZstdCompressor(level=1).compress
     parts = [
-        np.array([NULL_ID if d is None else d for d in doc_ids], dtype="<i8"), np.array(lengths, dtype="<u4"),
+        np.array([NULL_ID if d is None else d for d in doc_ids], dtype="<i8"), np.array(lengths, dtype="<u4"), m.alphabet.astype("<u4"),
         np.concatenate(m.samples).astype("<u4"), np.concatenate(m.planes),
     ]
     frames = [pack(p.tobytes()) for p in parts]
@@ -157,14 +169,14 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     at += 8 * levels
     frames = []
     unpack = zstandard.ZstdDecompressor().decompress
-    for _ in range(4):
+    for _ in range(5):
         (size,) = struct.unpack_from("<Q", data, at)
         frames.append(unpack(data[at + 8 : at + 8 + size]))
         at += 8 + size
     doc_ids = [None if d == NULL_ID else d for d in np.frombuffer(frames[0], "<i8").tolist()]
-    samples = np.split(np.frombuffer(frames[2], "<u4"), levels)
-    planes = np.split(np.frombuffer(frames[3], np.uint8), levels)
-    return WaveletMatrix(n, planes, zeros, samples), doc_ids, np.frombuffer(frames[1], "<u4")
+    samples = np.split(np.frombuffer(frames[3], "<u4"), levels)
+    planes = np.split(np.frombuffer(frames[4], np.uint8), levels)
+    return WaveletMatrix(n, np.frombuffer(frames[2], "<u4"), planes, zeros, samples), doc_ids, np.frombuffer(frames[1], "<u4")
 
 
 def _shards(path: str, end_id: int, drops_space: bool, shard_tokens: int):
