@@ -19,9 +19,9 @@ import numpy as np
 
 from tintlake.llm.common import worker_memory
 
-_KEEPS_SPACE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_DROPS_SPACE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_ODD = re.compile("[\x1c-\x1fΣ]|<\\|")
+_KEEPS_SPACE = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_DROPS_SPACE = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+")
+_ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
 # Pre-tokens remembered by one Python worker; the memory is emptied when it is full.
 MEMORY_UNITS = 700_000
@@ -93,7 +93,7 @@ class UnitEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD.search(text) or (self.drops_space and not unicodedata.is_normalized("NFC", text)):
+            if any(odd in text for odd in _ODD) or (self.drops_space and not text.isascii() and not unicodedata.is_normalized("NFC", text)):
                 out[i] = self.direct([text])[0]
             else:
                 plain.append((i, self.split(text.lower() if self.drops_space else text)))
