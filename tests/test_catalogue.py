@@ -74,6 +74,35 @@ def test_missing_file_falls_back(spark, tmp_path):
     assert cg.load_or_default(spark, str(tmp_path / "none.json"), default).first().id == "d"
 
 
+def test_external_catalogue_is_whole_or_refused(spark, tmp_path):
+    default = spark.createDataFrame([("d", "D")], "id string, name string")
+    for name, text in (("good", '{"palettes": [{"id": "a", "name": "A", "categories": ["X"], "colors": ["red"]}]}'), ("bad", '{"broken')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text(text)
+    loaded = cg.load_or_default(spark, str(tmp_path / "good"), default)
+    assert loaded.columns == default.columns and [tuple(r) for r in loaded.collect()] == [("a", "A")]
+    with pytest.raises(ValueError):
+        cg.load_or_default(spark, str(tmp_path / "bad"), default)
+
+
+def test_large_palette_is_published_whole(spark):
+    slots = spark.range(70_000).selectExpr("1L as palette_id", "cast(id as int) as ord", "cast(id % 256 as int) as r", "cast(id div 256 % 256 as int) as g", "cast(id % 7 as int) as b", "255 as a")
+    assert json.loads(sinks.envelopes(slots).first().document)["result"]["palette"]["size"] == 70_000
+    assert sinks.design_tokens(slots, formats=["plain"]).first().text.count("\n") == 70_000
+    assert lut.grade_lattice(slots, 2).count() == 8
+
+
+def test_invalid_ramps_give_error_rows(spark):
+    from tintlake.operators import gradient
+
+    ramps = {1: [0, 0.5, 1], 2: [0, 0.7, 0.5, 1], 3: [0.2, 0.5, 1], 4: [0]}
+    rows = [(k, i, 10 * i, 0, 0, float(p)) for k, ps in ramps.items() for i, p in enumerate(ps)]
+    stops = spark.createDataFrame(rows, "ramp_id bigint, ord int, r int, g int, b int, pos double")
+    out = gradient.ramps(stops, 11).collect()
+    assert sorted(r.ord for r in out if r.ramp_id == 1) == list(range(11)) and all(r.error is None for r in out if r.ramp_id == 1)
+    assert {r.ramp_id for r in out if r.error} == {2, 3, 4} and len(out) == 14
+
+
 def test_unknown_category(spark):
     df = spark.createDataFrame([(0, "a", ["X"], ["t"])], "pos bigint, id string, categories array<string>, tags array<string>")
     assert cg.list_palettes(df, "x", "T").count() == 1
@@ -116,9 +145,10 @@ def test_envelope_members(spark):
 def test_writes(spark, tmp_path):
     slots = spark.createDataFrame([(1, 0, 255, 0, 0, 255), (2, 0, 0, 0, 255, 255)], "palette_id bigint, ord int, r int, g int, b int, a int")
     sinks.write_documents(sinks.design_tokens(slots), str(tmp_path / "tokens"), "text", by="format")
-    css = spark.read.text(str(tmp_path / "tokens" / "format=css"), wholetext=True)
-    assert css.filter(F.col("value").contains("--color-1: #ff0000;")).count() >= 1
+    css = spark.read.json(str(tmp_path / "tokens" / "format=css"))
+    assert {(r.palette_id, "--color-1: #ff0000;" in r.document) for r in css.collect()} == {(1, True), (2, False)}
     lattice = lut.identity_lattice(slots.select("palette_id").distinct(), 2)
     sinks.write_lattices(lattice, str(tmp_path / "luts"))
-    part = next((tmp_path / "luts" / "palette_id=1").glob("*.txt")).read_text().splitlines()
+    lines = [line for f in (tmp_path / "luts").glob("bucket=*/*.txt") for line in f.read_text().splitlines()]
+    part = [line.split("\t")[1] for line in lines if line.startswith("1\t")]
     assert part[0] == "LUT_3D_SIZE 2" and part[1] == "0.000000 0.000000 0.000000" and part[2] == "1.000000 0.000000 0.000000" and len(part) == 9

@@ -1,5 +1,6 @@
 """Extraction against plain-Python brute force on small images, and invariants for the seeded methods."""
 
+import math
 import random
 from collections import Counter
 
@@ -141,11 +142,11 @@ def test_popularity(pixels):
 
 
 METHODS = {
-    "kmeans": lambda p, k: cl.kmeans(p, k),
-    "okkmeans": lambda p, k: cl.kmeans(p, k, "oklab"),
-    "wkmeans": cl.weighted_kmeans,
-    "soft": cl.soft,
-    "softk": lambda p, k: cl.soft(p, k, count_stop=True),
+    "kmeans": lambda p, k: cl.kmeans(p, k, rounds=10),
+    "okkmeans": lambda p, k: cl.kmeans(p, k, "oklab", rounds=10),
+    "wkmeans": lambda p, k: cl.weighted_kmeans(p, k, clusters=8, rounds=5),
+    "soft": lambda p, k: cl.soft(p, k, clusters=8, rounds=5),
+    "softk": lambda p, k: cl.soft(p, k, count_stop=True, clusters=8, rounds=5),
     "dbscan": cl.dbscan,
 }
 
@@ -167,8 +168,8 @@ def test_seeded_methods(pixels, method):
 
 
 def test_kmeans_beats_one_centre(pixels):
-    points = cl.sampled_points(pixels.filter("image_id = 1"), "oklab")
-    labelled = cl.cluster_points(points, 6)
+    points = cl.color_points(pixels.filter("image_id = 1"), "oklab")
+    labelled = cl.cluster_points(points, 6, 10)
     spread = lambda df: df.agg(*[F.sum(F.col("w") * F.col(f) * F.col(f)) - F.pow(F.sum(F.col("w") * F.col(f)), 2) / F.sum("w") for f in cl.FEATURES])
     before = sum(spread(points).first())
     parts = labelled.groupBy("c").agg(*[F.sum(F.col("w") * F.col(f) * F.col(f)) - F.pow(F.sum(F.col("w") * F.col(f)), 2) / F.sum("w") for f in cl.FEATURES])
@@ -178,7 +179,7 @@ def test_kmeans_beats_one_centre(pixels):
 
 def test_soft_falls_back_when_nothing_matches(make_pixels):
     grey = make_pixels({1: (4, [(128, 128, 128, 255)] * 16)})
-    rows = cl.soft(grey, 3).collect()
+    rows = cl.soft(grey, 3, clusters=4, rounds=3).collect()
     assert rows and all(r.fell_back for r in rows)
 
 
@@ -255,3 +256,45 @@ def test_strip_fill(spark):
     strip = spark.createDataFrame([(1, "hue", 2, 9, 9, 9), (1, "hue", 4, 5, 5, 5)], "image_id bigint, metric string, col bigint, r int, g int, b int")
     got = [r.r for r in st.fill_columns(strip, 6).orderBy("col").collect()]
     assert got == [0, 0, 9, 9, 5, 5]
+
+
+def plain_lloyd(points, k, rounds):
+    """Labels of weighted points {pos: (w, x)} by the same seeds and rounds in plain Python."""
+    near = lambda x, y: sum((a - b) ** 2 for a, b in zip(x, y))
+    order = lambda pos, mass: (math.floor(math.log(mass + 1) * 1e6), -pos)
+    first = max(points, key=lambda p: order(p, points[p][0]))
+    centres = [points[first][1]]
+    while len(centres) < k:
+        far = {p: w * min(near(x, c) for c in centres) for p, (w, x) in points.items()}
+        best = max((p for p in far if far[p] > 0), key=lambda p: order(p, far[p]), default=None)
+        if best is None:
+            break
+        centres.append(points[best][1])
+    label = lambda x: min(range(len(centres)), key=lambda c: (near(x, centres[c]), c))
+    for _ in range(rounds):
+        groups = {}
+        for w, x in points.values():
+            groups.setdefault(label(x), []).append((w, x))
+        centres = [
+            tuple(round(sum(w * x[q] for w, x in groups[c]) / sum(w for w, _ in groups[c]), 6) for q in range(3)) if c in groups else points[first][1]
+            for c in range(len(centres))
+        ]
+    return {p: label(x) for p, (w, x) in points.items()}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_lloyd_rounds(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(cl, "BROADCAST_BYTES", 0)
+    r = random.Random(5)
+    keys = {1: 60, 2: 3, 3: 1, 4: 25}
+    points = {key: {p: (r.randint(1, 50), tuple(round(r.random() * 100, 6) for _ in range(3))) for p in r.sample(range(1 << 24), n)} for key, n in keys.items()}
+    rows = [(key, p, w, *x) for key, part in points.items() for p, (w, x) in part.items()]
+    df = spark.createDataFrame(rows, "image_id bigint, pos bigint, w bigint, f0 double, f1 double, f2 double")
+    got = {(x.image_id, x.pos): x.c for x in cl.cluster_points(df, 4, 6).collect()}
+    assert got == {(key, p): c for key, part in points.items() for p, c in plain_lloyd(part, 4, 6).items()}
+
+
+def test_every_pixel_of_a_large_image_counts(spark):
+    df = spark.range(40_000).selectExpr("1L as image_id", "cast(id % 251 as int) as r", "cast(id % 241 as int) as g", "cast(id % 239 as int) as b")
+    assert cl.kmeans(df, 3, rounds=2).agg(F.sum("n")).first()[0] == 40_000

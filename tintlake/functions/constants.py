@@ -240,11 +240,8 @@ APCA_LUMA = [0.2126729, 0.7151522, 0.0721750]
 # --- fixed values: extraction defaults ----------------------------------------------------------------------------
 PALETTE_SIZE = 5
 MAX_PALETTE_SIZE = 32
-SAMPLE_CAP = 32768
 RESIZE_SIDE = 512
-OVER_CLUSTER = 5
-WEIGHTED_MAX_CLUSTERS = 32
-SOFT_MAX_CLUSTERS = 64
+CLUSTERS = 25  # five for each of the usual five colours
 SOFT_MERGE_DISTANCE = 12.0
 WEIGHTED_MERGE_DISTANCE = 8.0
 DENSITY_RADIUS = 6.0
@@ -252,4 +249,3 @@ DENSITY_MIN_PIXELS = 4
 SALIENCY_POWER = 1.5
 SALIENCY_FLOOR = 0.05
 LLOYD_ROUNDS = 50
-LLOYD_SHIFT = 1e-3

@@ -11,7 +11,7 @@ import sys
 import numpy as np
 from pyspark import cloudpickle
 
-from .constants import LLOYD_ROUNDS, LLOYD_SHIFT, OKLAB_FROM_LMS, OKLAB_LMS
+from .constants import OKLAB_FROM_LMS, OKLAB_LMS
 from .kernel import _linear
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,37 +22,6 @@ def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
 
 
-def _seed_centres(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: draw proportional to weight times squared distance to the chosen centres."""
-    first = rng.choice(len(x), p=w / w.sum())
-    picked, near = [first], ((x - x[first]) ** 2).sum(axis=1)
-    for c in range(1, k):
-        mass = near * w
-        total = mass.sum()
-        i = rng.choice(len(x), p=mass / total) if total > 0 else (first + c) % len(x)
-        picked.append(i)
-        near = np.minimum(near, ((x - x[i]) ** 2).sum(axis=1))
-    return x[picked].copy()
-
-
-def lloyd_labels(x: np.ndarray, w: np.ndarray, k: int, heaviest: int, rng: np.random.Generator) -> np.ndarray:
-    """Cluster number per point. Empty clusters restart at point ``heaviest``."""
-    centres = _seed_centres(x, w, k, rng)
-    labels = np.zeros(len(x), dtype=np.int64)
-    for _ in range(LLOYD_ROUNDS):
-        fresh = np.concatenate([distances(part, centres).argmin(axis=1) for part in np.array_split(x, max(1, len(x) * k // 2_000_000))])
-        mass = np.bincount(fresh, weights=w, minlength=k)
-        sums = np.stack([np.bincount(fresh, weights=w * x[:, d], minlength=k) for d in range(3)], axis=1)
-        full = mass > 0
-        moved = np.where(full[:, None], sums / np.where(full, mass, 1.0)[:, None], x[heaviest])
-        shift = ((moved - centres)[full] ** 2).sum()
-        settled = bool((fresh == labels).all()) and shift < LLOYD_SHIFT
-        labels, centres = fresh, moved
-        if settled:
-            break
-    return labels
-
-
 def merge_closest(f: np.ndarray, w: np.ndarray, extra: np.ndarray, radius: float, floor: int):
     """Merge the nearest pair (first on ties) while it is closer than ``radius`` and more than ``floor`` remain."""
     while len(f) > max(floor, 1):

@@ -213,7 +213,11 @@ def append(catalogue: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def load_or_default(spark: SparkSession, path: str | None, default: DataFrame) -> DataFrame:
-    """An external catalogue replaces the default as a whole; a missing one falls back to it."""
+    """An external catalogue replaces the default as a whole; a missing one falls back to it.
+
+    It has the default's columns. A document in it that cannot be read fails the load: a catalogue without some of its
+    palettes would pass for whole.
+    """
     from pyspark.errors import AnalysisException
 
     from ..sources.catalogue import read_catalogue
@@ -221,7 +225,11 @@ def load_or_default(spark: SparkSession, path: str | None, default: DataFrame) -
     if not path:
         return default
     try:
-        return read_catalogue(spark, path)[0]
+        good, bad = read_catalogue(spark, path)
+        refused = bad.limit(5).collect()
+        if refused:
+            raise ValueError(f"{path} has documents that cannot be read: {[r.asDict() for r in refused]}")
+        return good.select(*default.columns)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -1,8 +1,8 @@
 """Iterative palette extraction: k-means variants, density clusters, nearest-pair merges.
 
-Spark masks, filters, samples and de-duplicates the pixels of all images, which leaves at most 32768 points
-per image. Only that bounded remainder of one image meets a small numpy helper; features, cluster sums,
-ranking and shares are DataFrame work again.
+Pixels fold to distinct colours or 5-bit bins; k-means rounds are joins and aggregates over the points of all images at
+once. Small numpy helpers meet bounded remainders only: the few clusters of an image for nearest-pair merges, and its at
+most 32,768 bins for density labels.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
-from ..functions.numeric import density_labels, distances, lloyd_labels, merge_closest, oklab_of
-from ..runtime import spread_by, with_image_totals
-from .pixels import CHANNELS, histogram, subsample, top_k
+from ..functions.numeric import density_labels, distances, merge_closest, oklab_of
+from ..runtime import cut, salted_join, spread_by, with_image_totals
+from .pixels import CHANNELS, histogram, top_k
 
 FEATURES = ["f0", "f1", "f2"]
 
@@ -24,22 +24,79 @@ FEATURES = ["f0", "f1", "f2"]
 # --- grouped application --------------------------------------------------------------------------------------------
 
 
-def cluster_points(points: DataFrame, k: int, key: str = "image_id") -> DataFrame:
-    """Add ``c`` to points (key, f0..f2, w, pos, lead, copies); k is capped by the image's point count.
+# Rounds of centres per lineage cut; after a cut the work ends if the last round moved nothing.
+ROUNDS_PER_CUT = 5
+# Centres of all keys, in bytes, up to which they are sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
-    Draws come from the image's own points, so a re-run of a lost task repeats them.
+
+def _near(centre: Column) -> Column:
+    return sum(((F.col(f) - centre[f]) * (F.col(f) - centre[f]) for f in FEATURES), F.lit(0.0))
+
+
+def _rank_of(mass: Column) -> Column:
+    """Mass on a fine logarithmic scale, ties by the smaller ``pos``, as one integer: the seed search is a hash aggregate.
+    Null for no mass. ``pos`` must be below 2^24."""
+    scaled = F.floor(F.log(mass + 1.0) * 1e6).cast("bigint") * (1 << 24) + ((1 << 24) - 1) - F.col("pos")
+    return F.when(mass > 0, scaled)
+
+
+def cluster_points(points: DataFrame, k: int, rounds: int, key: str = "image_id") -> DataFrame:
+    """Lloyd's algorithm for all keys at once: add ``c`` to points (key, f0..f2, w, pos), ``pos`` unique in its key.
+
+    Seeds: the heaviest point, then each time the point of greatest weight times squared distance to the nearest seed.
+    Then ``rounds`` rounds, fewer if nothing moves; a cluster without points restarts at the heaviest point. A key's
+    state is an array of at most ``k`` centres. The states meet the points by a broadcast while all of them are small
+    (keys times ``k``), else by a salted join, and every round is one hash aggregate of the points, so a key of any
+    size is spread over all tasks.
     """
-    names = points.columns
+    steady = points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES})
+    points = cut(steady)
+    seed = F.struct(*[F.max_by(f, "_rank").alias(f) for f in FEATURES])
+    state = cut(points.withColumn("_rank", _rank_of(F.col("w"))).groupBy(key).agg(F.array(seed).alias("centres")))
+    small = state.count() * (k + 1) * 40 <= BROADCAST_BYTES
+    for step in range(1, k):
+        far = F.array_min(F.transform("centres", lambda c: _near(c)))
+        seen = _with_centres(points, state, key, small).withColumn("_rank", _rank_of(F.col("w") * far))
+        found = seen.groupBy(key, "centres").agg(F.max("_rank").alias("_top"), seed.alias("new"))
+        grown = F.when(F.col("_top").isNotNull(), F.concat("centres", F.array("new"))).otherwise(F.col("centres"))
+        state = found.select(key, grown.alias("centres"))
+        if step % ROUNDS_PER_CUT == 0:
+            state = cut(state)
+    for step in range(1, rounds + 1):
+        state = _moved(points, state, key, small)
+        if step % ROUNDS_PER_CUT == 0:
+            state = cut(state)
+            if not state.filter("moved").limit(1).count():
+                break
+    return _labelled(points, cut(state), key, small).drop("centres")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        x, w = pdf[FEATURES].to_numpy(float), pdf["w"].to_numpy(float)
-        kk = int(min(k, pdf["copies"].sum()))
-        rng = np.random.default_rng([len(pdf), int(abs(x[0]).sum() * 1e6), int(abs(x[-1]).sum() * 1e6)])
-        heaviest = int(pdf["lead"].to_numpy(float).argmax())
-        return pdf[names].assign(c=lloyd_labels(x, w, kk, heaviest, rng))
 
-    return spread_by(points, key).groupBy(key).applyInPandas(run, _schema(points, "c bigint"))
+def _with_centres(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
+    if small:
+        return points.join(F.broadcast(state.select(key, "centres")), key)
+    return salted_join(points, state.select(key, "centres"), [key], F.xxhash64("pos"))
+
+
+def _labelled(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
+    """Points with the number of their nearest centre, the first on ties."""
+    df = _with_centres(points, state, key, small).withColumn("_d", F.transform("centres", lambda c: _near(c)))
+    return df.withColumn("c", F.array_position("_d", F.array_min("_d")) - 1).drop("_d")
+
+
+def _moved(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
+    """Centres after one round, and whether any changed."""
+    sums = [(F.sum(F.col(f) * F.col("w")) / F.sum("w")).alias(f) for f in FEATURES]
+    # The heaviest point is the first seed only before the first round, so it is carried along.
+    lead = F.col("lead") if "lead" in state.columns else F.element_at("centres", 1).alias("lead")
+    state = state.select(key, "centres", lead)
+    means = _labelled(points, state, key, small).groupBy(key, "centres", "c").agg(*sums)
+    means = means.select(key, "centres", "c", F.struct(*[F.round(F.col(f), 6).alias(f) for f in FEATURES]).alias("mean"))
+    packed = means.groupBy(key, "centres").agg(F.map_from_entries(F.collect_list(F.struct("c", "mean"))).alias("at"))  # at most k
+    packed = packed.join(state.select(key, "lead"), key)
+    slots = F.sequence(F.lit(0).cast("bigint"), F.size("centres").cast("bigint") - 1)
+    after = F.transform(slots, lambda i: F.coalesce(F.col("at")[i], F.col("lead")))
+    return packed.select(key, after.alias("centres"), "lead", (after != F.col("centres")).alias("moved"))
 
 
 def _schema(df: DataFrame, extra: str) -> str:
@@ -94,14 +151,13 @@ def octree_fold(leaves: DataFrame, k: int) -> DataFrame:
 # --- jobs -----------------------------------------------------------------------------------------------------------
 
 
-def sampled_points(pixels: DataFrame, space: str, key: str = "image_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Sampled pixels folded to distinct colours with their multiplicity and first position, plus features.
+def color_points(pixels: DataFrame, space: str, key: str = "image_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """All pixels folded to distinct colours with their number as weight, plus features.
 
     ``carry`` names further columns that are constant per image.
     """
-    folded = subsample(pixels).groupBy(key, *carry, *CHANNELS).agg(F.count("*").alias("w"), F.min("pos").alias("pos"))
-    # every sampled pixel weighs the same, so the one that leads (restarts empty clusters) is the first
-    return _featured(folded.withColumns({"lead": -F.col("pos"), "copies": F.col("w")}), space)
+    folded = pixels.groupBy(key, *carry, *CHANNELS).agg(F.count("*").alias("w"))
+    return _featured(folded.withColumn("pos", F.col("r") * 65536 + F.col("g") * 256 + F.col("b")), space)
 
 
 def _featured(df: DataFrame, space: str) -> DataFrame:
@@ -125,9 +181,9 @@ def _cluster_means(points: DataFrame, weight: Column, extra: Column, key: str, c
     return points.groupBy(key, *carry, "c").agg(*means, F.sum(weight).cast("double").alias("n"), F.sum(extra).cast("double").alias("s"))
 
 
-def kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, space: str = "lab") -> DataFrame:
-    """k-means per image in Lab or OkLab; shares are of the sampled pixels."""
-    points = cluster_points(sampled_points(pixels, space), k)
+def kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, space: str = "lab", rounds: int = K.LLOYD_ROUNDS) -> DataFrame:
+    """k-means per image in Lab or OkLab over all its pixels."""
+    points = cluster_points(color_points(pixels, space), k, rounds)
     means = _feature_bytes(_cluster_means(points, F.col("w"), F.lit(0), "image_id"), space)
     share = F.col("n") / F.sum("n").over(Window.partitionBy("image_id"))  # at most k rows
     order = F.row_number().over(Window.partitionBy("image_id").orderBy("c")) - 1
@@ -141,16 +197,21 @@ def salient_bins(pixels: DataFrame) -> DataFrame:
     return _featured(bins.withColumn("saliency", kernel.saliency(F.col("n"), s)), "oklab")
 
 
-def weighted_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
-    """Saliency-weighted over-clustering of bins, recentred by pixels, merged, ranked by saliency."""
+def weighted_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, clusters: int = K.CLUSTERS, rounds: int = K.LLOYD_ROUNDS) -> DataFrame:
+    """Saliency-weighted over-clustering of bins into ``clusters``, recentred by pixels, merged, ranked by saliency."""
     bins = salient_bins(pixels)
-    points = bins.withColumns({"w": F.col("saliency"), "pos": F.col("key"), "lead": F.col("saliency"), "copies": F.lit(1)})
-    points = cluster_points(points, max(min(k * K.OVER_CLUSTER, K.WEIGHTED_MAX_CLUSTERS), k))
+    points = cluster_points(bins.withColumns({"w": F.col("saliency"), "pos": F.col("key")}), _at_least(k, clusters), rounds)
     merged = merge_clusters(_cluster_means(points, F.col("n"), F.col("saliency"), "image_id"), K.WEIGHTED_MERGE_DISTANCE, 1)
     kept = top_k(merged, ["image_id"], [F.col("s").desc(), "c"], k)
     return _palette(_feature_bytes(kept, "oklab"))
 
 
+def _at_least(k: int, clusters: int) -> int:
+    if clusters < k:
+        raise ValueError(f"{clusters} clusters cannot give {k} colours")
+    return clusters
+
+
 def _palette(df: DataFrame, key: str = "image_id", *carry: str) -> DataFrame:
     share = F.col("n") / F.sum("n").over(Window.partitionBy(key))
     return df.select(key, "ord", *CHANNELS, F.col("n").cast("bigint").alias("n"), share.alias("freq"), *carry)
@@ -197,15 +258,15 @@ def mood_filter(pixels: DataFrame, rule: dict[str, float], k: int) -> DataFrame:
 
 
 def soft(pixels: DataFrame, k: int = K.PALETTE_SIZE, preset: str = "default", count_stop: bool = False,
-         merge_distance: float = K.SOFT_MERGE_DISTANCE, **knobs: float) -> DataFrame:
-    """Filter by mood, over-cluster in Lab, merge similar clusters, rank by population and chroma, keep k.
+         merge_distance: float = K.SOFT_MERGE_DISTANCE, clusters: int = K.CLUSTERS, rounds: int = K.LLOYD_ROUNDS, **knobs: float) -> DataFrame:
+    """Filter by mood, over-cluster in Lab into ``clusters``, merge similar ones, rank by population and chroma, keep k.
 
     ``count_stop`` merges down to 1.5 k clusters instead of by distance.
     """
     rule = preset_rule(preset, **knobs)
     facts = ("n_kept", "fell_back")
-    points = sampled_points(mood_filter(pixels, rule, k), "lab", carry=facts)
-    points = cluster_points(points, max(min(k * K.OVER_CLUSTER, K.SOFT_MAX_CLUSTERS), k))
+    points = color_points(mood_filter(pixels, rule, k), "lab", carry=facts)
+    points = cluster_points(points, _at_least(k, clusters), rounds)
     means = _feature_bytes(_cluster_means(points, F.col("w"), F.lit(0), "image_id", facts), "lab")
     # clusters continue as 8-bit colours whose population is scaled to all kept pixels
     total = F.sum("n").over(Window.partitionBy("image_id"))  # at most 64 rows
@@ -271,14 +332,9 @@ def pad_farthest(bins: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 # --- whole corpus --------------------------------------------------------------------------------------------------------
 
 
-def corpus_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
-    """One k-means palette for everything: MLlib over the 5-bit histogram, weighted by pixels."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    bins = _featured(histogram(pixels.withColumn("corpus", F.lit(0)), 5, ("corpus",)), "oklab").withColumn("n", F.col("n").cast("double"))
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(bins).select("features", "n", *FEATURES)
-    model = KMeans(k=k, seed=7, weightCol="n").fit(data)
-    found = model.transform(data).withColumns({"c": F.col("prediction").cast("bigint"), "corpus": F.lit(0)})
+def corpus_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, rounds: int = K.LLOYD_ROUNDS) -> DataFrame:
+    """One k-means palette for everything: the same rounds under a constant key, over the 5-bit histogram."""
+    bins = _featured(histogram(pixels.withColumn("corpus", F.lit(0)), 5, ("corpus",)), "oklab")
+    found = cluster_points(bins.withColumns({"w": F.col("n"), "pos": F.col("key")}), k, rounds, "corpus")
     ranked = top_k(_cluster_means(found, F.col("n"), F.lit(0), "corpus"), ["corpus"], [F.col("n").desc(), "c"], k)
     return _palette(_feature_bytes(ranked, "oklab"), "corpus").drop("corpus")

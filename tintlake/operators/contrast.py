@@ -139,14 +139,22 @@ def suggest_lightness(pairs: DataFrame, key: str, algo: str = "wcag21", target:
     return out.select(key, "n_passing", "i", *[F.when(found, F.col(c)).alias(c) for c in ("l", "r", "g", "b", "score")])
 
 
+def _seen(kind: str, channels: list[str] | str) -> list[Column]:
+    """Three channels under a deficiency. Matrices are integers in thousandths, so rounding is exact."""
+    return [
+        F.least(F.floor((sum((F.col(c) * w for c, w in zip(channels, row)), F.lit(0)) + 500) / 1000), F.lit(255)).cast("int").alias(c)
+        for c, row in zip(channels, K.CVD_MATRICES[kind])
+    ]
+
+
+def simulate_pairs(pairs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Both colours of each pair under each deficiency, in one projection."""
+    rows = [F.struct(F.lit(kind).alias("kind"), *_seen(kind, FG), *_seen(kind, BG)) for kind in kinds or K.CVD_KINDS]
+    return pairs.select(*[c for c in pairs.columns if c not in (*FG, *BG)], F.inline(F.array(*rows)))
+
+
 def simulate_vision(colors: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Each colour under each deficiency, alpha kept. Matrices are integers in thousandths, so rounding is exact."""
-    rows = []
-    for kind in kinds or K.CVD_KINDS:
-        channels = [
-            F.least(F.floor((sum((F.col(c) * w for c, w in zip("rgb", row)), F.lit(0)) + 500) / 1000), F.lit(255)).cast("int").alias(c)
-            for c, row in zip("rgb", K.CVD_MATRICES[kind])
-        ]
-        rows.append(F.struct(F.lit(kind).alias("kind"), *channels))
+    """Each colour under each deficiency, alpha kept."""
+    rows = [F.struct(F.lit(kind).alias("kind"), *_seen(kind, "rgb")) for kind in kinds or K.CVD_KINDS]
     keep = [c for c in colors.columns if c not in ("r", "g", "b")]
     return colors.select(*keep, F.inline(F.array(*rows)))

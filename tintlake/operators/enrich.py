@@ -68,21 +68,19 @@ def _named_lab_array() -> Column:
 def nearest_names(colors: DataFrame) -> DataFrame:
     """Add ``name``, ``name_hex``, ``distance``, ``label`` of the closest named colour.
 
-    The search runs once per distinct colour against a constant array (no join with the names), then
-    joins back on the channels.
+    Every row is compared with a constant array of names in place: no join, so no colour can be a hot key.
     """
-    distinct = kernel.with_lab(colors.select("r", "g", "b").distinct())
+    placed = kernel.with_lab(colors)
 
     def scored(x: Column) -> Column:
         d2 = sum(((x[c] - F.col(f"lab_{c}")) * (x[c] - F.col(f"lab_{c}")) for c in "lab"), kernel.lit(0))
         return F.struct(d2.alias("d2"), x["name"].alias("name"), x["hex"].alias("hex"))
 
-    best = distinct.withColumn("_best", F.array_min(F.transform(_named_lab_array(), scored)))
-    best = best.select("r", "g", "b", F.col("_best.name").alias("name"), F.col("_best.hex").alias("name_hex"), F.sqrt("_best.d2").alias("distance"))
+    best = placed.withColumn("_best", F.array_min(F.transform(_named_lab_array(), scored)))
+    best = best.withColumns({"name": F.col("_best.name"), "name_hex": F.col("_best.hex"), "distance": F.sqrt("_best.d2")})
     exact = (F.col("distance") < NEAR_EXACT) | (F.col("name_hex") == kernel.hex_text(F.col("r"), F.col("g"), F.col("b")))
     suffix = F.concat(F.col("name"), F.lit(" (ΔE="), kernel.compact(F.col("distance"), 2), F.lit(")"))
-    best = best.withColumn("label", F.when(exact, F.col("name")).otherwise(suffix))
-    return colors.join(best, ["r", "g", "b"])
+    return best.withColumn("label", F.when(exact, F.col("name")).otherwise(suffix)).drop("_best", "lab_l", "lab_a", "lab_b")
 
 
 def with_spaces(colors: DataFrame) -> DataFrame:

@@ -68,14 +68,14 @@ def blend(df: DataFrame, t: Column, space: str) -> DataFrame:
     return out.drop("_t", *temps)
 
 
-def segments(stops: DataFrame, max_stops: int) -> DataFrame:
-    """Consecutive stops of each ramp as one row with ``p0, p1`` and both colours; ``last`` marks the closing one.
+def segments(stops: DataFrame, steps: int) -> DataFrame:
+    """Consecutive stops of each valid ramp as one row with ``p0, p1`` and both colours; ``last`` marks the closing one.
 
-    A ramp needs at least as many steps as stops, so longer ramps are invalid (see ``invalid_ramps``) and are
-    left out before the window: no window holds more than ``max_stops`` rows.
+    Ramps that ``invalid_ramps`` names have no segments, and no other check is made later. A valid ramp has at most
+    ``steps`` stops, so no window is larger.
     """
-    sizes = stops.groupBy("ramp_id").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_stops)
-    stops = salted_join(stops, sizes, ["ramp_id"], F.col("ord"))
+    refused = invalid_ramps(stops, steps).select("ramp_id")
+    stops = salted_join(stops, refused, ["ramp_id"], F.col("ord"), "left_anti")
     order = Window.partitionBy("ramp_id").orderBy("ord")
     nxt = {f"b{n}": F.lead(n).over(order) for n in "rgb"}
     df = stops.select("ramp_id", "ord", F.col("pos").alias("p0"), F.lead("pos").over(order).alias("p1"),
@@ -105,6 +105,12 @@ def invalid_ramps(stops: DataFrame, steps: int) -> DataFrame:
     return seen.select("ramp_id", reason.alias("error")).filter(F.col("error").isNotNull())
 
 
+def ramps(stops: DataFrame, steps: int, space: str = "oklab", easing: str = "linear") -> DataFrame:
+    """``ramp_table`` of the valid ramps, and one row with the reason in ``error`` for each of the others."""
+    good = ramp_table(segments(stops, steps), steps, space, easing).withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(invalid_ramps(stops, steps), allowMissingColumns=True)
+
+
 def ramp_table(segs: DataFrame, steps: int, space: str = "oklab", easing: str = "linear") -> DataFrame:
     """``steps`` samples of every ramp: rows (ramp_id, ord, r, g, b).
 

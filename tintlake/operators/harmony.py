@@ -162,7 +162,9 @@ def random_palettes(seeds: DataFrame, seed: str = "seed", count: int = K.PALETTE
 
     Draws depend on the row's seed only, so the result does not change with partitioning.
     """
-    n = min(count if count > 0 else K.PALETTE_SIZE, K.MAX_PALETTE_SIZE)
+    if not 1 <= count <= K.MAX_PALETTE_SIZE:
+        raise ValueError(f"a palette has 1 to {K.MAX_PALETTE_SIZE} colours, not {count}")
+    n = count
     s, slot = F.col(seed), F.col("ord")
     df = seeds.withColumn("ord", _slots(n))
     h = draw(s, -1, 0) * 360.0 + slot * (360.0 / n) + draw(s, slot, 1) * 20.0 - 10.0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..runtime import dense_position, join_image_facts, tile
+from ..runtime import dense_position, join_image_facts, salted_join, tile
 
 CHANNELS = ["r", "g", "b"]
 
@@ -25,7 +25,7 @@ def pixel_stats(pixels: DataFrame, threshold: int = 1) -> DataFrame:
     )
 
 
-def subsample(pixels: DataFrame, cap: int = K.SAMPLE_CAP) -> DataFrame:
+def subsample(pixels: DataFrame, cap: int) -> DataFrame:
     """Positional sample: every stride-th row of an image in raster order, at most ``cap`` of them.
 
     An image with at most ``cap`` rows is kept whole. Positions are found tile by tile, so a huge image
@@ -62,7 +62,7 @@ def downsample(pixels: DataFrame, images: DataFrame, side: int = K.RESIZE_SIDE)
 
 def pixel_at_points(points: DataFrame, pixels: DataFrame, images: DataFrame) -> DataFrame:
     """Pixel under each normalised point; coordinates are floored and clamped to the image."""
-    placed = points.join(images.select("image_id", "w", "h"), "image_id")
+    placed = salted_join(points, images.select("image_id", "w", "h"), ["image_id"], F.xxhash64("nx", "ny"))
 
     def snap(v: str, size: str) -> Column:
         return F.least(F.greatest(F.floor(F.col(v) * F.col(size)), F.lit(0)), F.col(size) - 1).cast("int")

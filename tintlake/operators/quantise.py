@@ -12,10 +12,6 @@ from .clusters import octree_fold
 from .pixels import CHANNELS, bin_sums, color_counts, histogram, top_k
 
 
-def palette_size(k: int) -> int:
-    return min(k, K.MAX_PALETTE_SIZE) if k > 0 else K.PALETTE_SIZE
-
-
 def _mean(c: str):
     return F.floor(F.col(f"s{c}") / F.col("n")).cast("int").alias(c)
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel
-from ..runtime import gatherable, salted_join
+from ..runtime import salted_join
 from .enrich import notation_text, with_spaces
 
 SCHEMA_NAME = "tintlake/v1"
+LATTICE_FOLDERS = 64
 
 
 def _capped(v: Column, top: int, scale: float) -> Column:
@@ -17,8 +18,7 @@ def _capped(v: Column, top: int, scale: float) -> Column:
 
 
 def _ordered(slots: DataFrame, key: str, fields: Column, name: str) -> DataFrame:
-    """Slots of one palette as an array in slot order; palettes too large for one value are left out."""
-    slots = gatherable(slots, key)
+    """Slots of one palette as an array in slot order: a document is one value. ``token_lines`` gives lines instead."""
     pairs = F.collect_list(F.struct(F.col("ord"), fields.alias("v")))
     return slots.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["v"]).alias(name), F.count("*").alias("size"))
 
@@ -135,13 +135,17 @@ def lattice_lines(lattice: DataFrame) -> DataFrame:
 # --- writes -------------------------------------------------------------------------------------------------
 
 
-def write_documents(docs: DataFrame, path: str, column: str = "document", by: str | None = None) -> None:
-    """Text files, one document per record; ``by`` partitions the output folder."""
-    writer = docs.select(*([by] if by else []), F.col(column).alias("value")).write.mode("overwrite").option("lineSep", "\n")
+def write_documents(docs: DataFrame, path: str, column: str = "document", by: str | None = None, key: str = "palette_id") -> None:
+    """JSON lines, one record a document: its palette id and its text; ``by`` partitions the output folder."""
+    record = F.to_json(F.struct(F.col(key), F.col(column).alias("document"))).alias("value")
+    writer = docs.select(*([by] if by else []), record).write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).text(path)
 
 
 def write_lattices(lattice: DataFrame, path: str) -> None:
-    """One folder per palette; lines inside a file keep node order."""
-    lines = lattice_lines(lattice).repartition("palette_id").sortWithinPartitions("palette_id", "pos")
-    lines.select("palette_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("palette_id").text(path)
+    """Tab-separated palette id and line, a palette's lines together in node order, in folders of hashed ids: as many as
+    ``LATTICE_FOLDERS``, however many palettes there are."""
+    lines = lattice_lines(lattice).withColumn("bucket", F.pmod(F.xxhash64("palette_id"), F.lit(LATTICE_FOLDERS)))
+    lines = lines.repartition("bucket").sortWithinPartitions("bucket", "palette_id", "pos")
+    value = F.concat_ws("\t", F.col("palette_id").cast("string"), "line").alias("value")
+    lines.select("bucket", value).write.mode("overwrite").partitionBy("bucket").text(path)

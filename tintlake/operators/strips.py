@@ -118,6 +118,23 @@ def order_palettes(palettes: DataFrame, by: str, reverse: bool = False) -> DataF
         palettes = kernel.with_oklab(palettes)
     key = sort_key(by)
     df = palettes.withColumn("_key", -key if reverse else key)
-    # equal keys of one palette are told apart by slot, tile by tile: a huge palette is ranked by many tasks
-    bucket = F.struct("_key", tile("ord"))
-    return dense_position(df, ["palette_id"], bucket, ["_key", "ord"], "new_ord").drop("_key", "ok_l", "ok_a", "ok_b")
+    return dense_position(df, ["palette_id"], _key_bucket(), ["_key", "ord"], "new_ord").drop("_key", "ok_l", "ok_a", "ok_b")
+
+
+def _key_bucket() -> Column:
+    """Keys in steps of 1/64 (hues: of a degree), equal ones by slot tile: a huge palette is ranked by many tasks, and
+    the per-palette sums run over few hundred buckets."""
+    return F.struct(F.floor(F.col("_key") * 64).alias("k"), tile("ord").alias("t"))
+
+
+def order_by_all(palettes: DataFrame) -> DataFrame:
+    """Every sort key in both directions at once: rows (palette_id, ord, sorted_by, reversed, new_ord). Needs ``freq``."""
+    df = kernel.with_oklab(palettes)
+    ways = [
+        F.struct(F.lit(by).alias("sorted_by"), F.lit(rev).alias("reversed"), (-sort_key(by) if rev else sort_key(by)).cast("double").alias("_key"))
+        for by in SORT_KEYS
+        for rev in (False, True)
+    ]
+    rows = df.select("palette_id", "ord", F.inline(F.array(*ways)))
+    placed = dense_position(rows, ["palette_id", "sorted_by", "reversed"], _key_bucket(), ["_key", "ord"], "new_ord")
+    return placed.select("palette_id", "ord", "sorted_by", "reversed", "new_ord")

@@ -376,12 +376,7 @@ def _order_sql() -> str:
 @query("d5_palette_order", _order_sql())
 def palette_order(spark, sf):
     base = d.palettes(spark, sf).withColumn("freq", ((F.col("r") * 7 + F.col("g")) % 5) / 10.0)
-    out = None
-    for by in st.SORT_KEYS:
-        for rev in (False, True):
-            part = st.order_palettes(base, by, rev).select("palette_id", "ord", F.lit(by).alias("sorted_by"), F.lit(rev).alias("reversed"), "new_ord")
-            out = part if out is None else out.unionByName(part)
-    return out
+    return st.order_by_all(base)
 
 
 @query(

@@ -159,10 +159,7 @@ def _e8_sql() -> str:
 @query("e8_simulated_contrast", _e8_sql())
 def simulated_contrast(spark, sf):
     p = d.pairs(spark, sf).select("pair_id", *ct.FG, *ct.BG)
-    fg = ct.simulate_vision(p.withColumnsRenamed(dict(zip(ct.FG, "rgb")))).withColumnsRenamed(dict(zip("rgb", ct.FG)))
-    bg = ct.simulate_vision(fg.withColumnRenamed("kind", "fg_kind").withColumnsRenamed(dict(zip(ct.BG, "rgb"))))
-    both = bg.filter(F.col("kind") == F.col("fg_kind")).withColumnsRenamed(dict(zip("rgb", ct.BG)))
-    return ct.audit_summary(ct.audit_wcag(both), "kind")
+    return ct.audit_summary(ct.audit_wcag(ct.simulate_pairs(p)), "kind")
 
 
 # --- harmonies ---------------------------------------------------------------------------------------------

@@ -127,29 +127,123 @@ def octree(spark, sf):
     return shown(qz.octree(valid(spark, sf)))
 
 
-@query("c6_kmeans")
+LLOYD_ROUNDS = 5  # in the queries: their oracle unrolls them
+
+
+def _lloyd_sql(points: str, k: int, rounds: int, key: str = "image_id") -> str:
+    """Tables ``pt`` (points with their centres' number c) from points (key, pos, w, f0..f2, ...)."""
+    near = lambda c: "+".join(f"(p.f{q}-{c}.f{q})*(p.f{q}-{c}.f{q})" for q in range(3))
+    rank = lambda m: f"case when {m} > 0 then floor(ln({m} + 1e0) * 1e6)::bigint * 16777216 + 16777215 - p.pos end"
+    one = "{'f0': f0, 'f1': f1, 'f2': f2}"
+    parts = [
+        f"lp as materialized (select * replace (round(f0, 6) as f0, round(f1, 6) as f1, round(f2, 6) as f2) from ({points}))",
+        f"s0 as materialized (select {key}, [arg_max({one}, rk)] as cs from (select p.*, {rank('p.w::double')} as rk from lp p) group by {key})",
+    ]
+    for i in range(1, k):
+        mass = f"(p.w * list_min([{near('c')} for c in cs]))"
+        parts.append(
+            f"s{i} as materialized (select {key}, case when max(rk) is null then any_value(cs) else list_append(any_value(cs), arg_max({one}, rk)) end as cs"
+            f" from (select p.*, s.cs, {rank(mass)} as rk from lp p join s{i - 1} s using ({key})) group by {key})"
+        )
+    parts.append(f"r0 as materialized (select {key}, cs, cs[1] as lead from s{k - 1})")
+    labels = f"(select *, list_position(ds, list_min(ds)) - 1 as c from (select p.*, s.cs, [{near('c')} for c in cs] as ds from lp p join r{{i}} s using ({key})))"
+    for i in range(rounds):
+        mean = ", ".join(f"'f{q}': round(sum(f{q}*w)/sum(w), 6)" for q in range(3))
+        parts.append(f"m{i} as materialized (select {key}, c, {{{mean}}} as mean from {labels.format(i=i)} group by {key}, c)")
+        parts.append(
+            f"r{i + 1} as materialized (select u.{key}, list(coalesce(m.mean, u.lead) order by u.slot) as cs, any_value(u.lead) as lead"
+            f" from (select {key}, lead, unnest(range(len(cs))) as slot from r{i}) u left join m{i} m on m.{key} = u.{key} and m.c = u.slot group by u.{key})"
+        )
+    parts.append(f"pt as materialized (select * exclude (cs, ds) from {labels.format(i=rounds)})")
+    return ", " + ", ".join(parts)
+
+
+def _points_sql(space: str, key: str = "image_id", extra: str = "") -> str:
+    fold = f"(select {key}{extra}, r, g, b, count(*) as w, r*65536 + g*256 + b as pos from px group by {key}{extra}, r, g, b)"
+    if space == "lab":
+        return f"select *, lab_l as f0, lab_a as f1, lab_b as f2 from {o.lab(fold)}"
+    return f"select *, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(fold)}"
+
+
+def _kmeans_sql(space: str) -> str:
+    means = ", ".join(f"sum(f{q}*w)/sum(w) as f{q}" for q in range(3))
+    cl_ = f"(select image_id, c, {means}, sum(w) as n from pt group by image_id, c)"
+    rgb = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from {cl_})") if space == "lab" else o.oklab_bytes(f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb from {cl_})")
+    tail = f" select image_id, row_number() over (partition by image_id order by c) - 1 as ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq from {rgb}"
+    return sql("pixels", _V + _lloyd_sql(_points_sql(space), 5, LLOYD_ROUNDS) + tail)
+
+
+@query("c6_kmeans", _kmeans_sql("lab"))
 def kmeans(spark, sf):
-    return shown(cl.kmeans(placed(spark, sf)))
+    return shown(cl.kmeans(placed(spark, sf), rounds=LLOYD_ROUNDS))
 
 
-@query("c7_okkmeans")
+@query("c7_okkmeans", _kmeans_sql("oklab"))
 def okkmeans(spark, sf):
-    return shown(cl.kmeans(placed(spark, sf), space="oklab"))
+    return shown(cl.kmeans(placed(spark, sf), space="oklab", rounds=LLOYD_ROUNDS))
 
 
-@query("c8_wkmeans")
-def wkmeans(spark, sf):
-    return shown(cl.weighted_kmeans(valid(spark, sf)))
+def _merges_sql(rounds: int, radius: float | None, floor: int) -> str:
+    """Tables u1.. from ``u0`` (image_id, c, f0..f2, n, s): in each the nearest pair of every image is merged."""
+    parts = []
+    d2 = "+".join(f"(x.f{q}-y.f{q})*(x.f{q}-y.f{q})" for q in range(3))
+    mean = ", ".join(f"(x.f{q}*x.n+y.f{q}*y.n)/(x.n+y.n) as f{q}" for q in range(3))
+    near = f"{d2} < {radius * radius!r}" if radius else "true"
+    for i in range(rounds):
+        many = f"x.image_id in (select image_id from u{i} group by image_id having count(*) > {floor})"
+        parts.append(
+            f"v{i} as materialized (select x.image_id, x.c as ci, y.c as cj, {mean}, x.n+y.n as n, x.s+y.s as s from u{i} x join u{i} y on x.image_id = y.image_id and x.c < y.c"
+            f" where {near} and {many} qualify row_number() over (partition by x.image_id order by {d2}, x.c, y.c) = 1)"
+        )
+        parts.append(
+            f"u{i + 1} as materialized (select m.* from u{i} m left join v{i} t on m.image_id = t.image_id and (m.c = ci or m.c = cj) where ci is null"
+            f" union all select image_id, ci, f0, f1, f2, n, s from v{i})"
+        )
+    return ", " + ", ".join(parts)
+
 
+def _wkmeans_sql(k: int = 5) -> str:
+    sal = f"ln(n + 1e0) * pow(0.05e0 + {o.hsl_s()}, 1.5e0)"
+    points = f"select *, key as pos, {sal} as w, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(f'({_bins(5)})')}"
+    means = ", ".join(f"sum(f{q}*n)/sum(n) as f{q}" for q in range(3))
+    u0 = f", u0 as materialized (select image_id, c, {means}, sum(n)::double as n, sum(w) as s from pt group by image_id, c)"
+    top = f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb, row_number() over (partition by image_id order by s desc, c) - 1 as ord from u{K.CLUSTERS - 1} qualify ord < {k})"
+    tail = f" select image_id, ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq from {o.oklab_bytes(top)}"
+    return sql("pixels", _V + _lloyd_sql(points, K.CLUSTERS, LLOYD_ROUNDS) + u0 + _merges_sql(K.CLUSTERS - 1, K.WEIGHTED_MERGE_DISTANCE, 1) + tail)
 
-@query("c9_soft")
+
+@query("c8_wkmeans", _wkmeans_sql())
+def wkmeans(spark, sf):
+    return shown(cl.weighted_kmeans(valid(spark, sf), rounds=LLOYD_ROUNDS))
+
+
+def _soft_sql(count_stop: bool, k: int = 5) -> str:
+    rule = cl.preset_rule("default")
+    tests = [t for bound, t in (("min_l", "ok_l >= {}"), ("max_l", "ok_l <= {}"), ("min_c", "ok_c >= {}"), ("max_c", "ok_c <= {}")) if rule[bound] for t in [t.format(rule[bound])]]
+    hit = " and ".join(tests) or "true"
+    kept = f", hits as (select *, {hit} as hit from {o.oklab('(select * from pixels where a >= 1)')}), fb as (select image_id, count(*) filter (where hit) < {k} as fell_back from hits group by image_id)"
+    px_ = ", px as (select image_id, r, g, b, fell_back from hits join fb using (image_id) where hit or fell_back)"
+    means = ", ".join(f"sum(f{q}*w)/sum(w) as f{q}" for q in range(3))
+    first = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from (select image_id, c, {means}, sum(w)::double as n from pt group by image_id, c))")
+    u0 = f", u0 as materialized (select image_id, c, lab_l as f0, lab_a as f1, lab_b as f2, n, 0e0 as s from {o.lab(f'(select image_id, c, r, g, b, n from {first})')})"
+    radius, floor = (None, max(int(k * 1.5 + 0.5), 1)) if count_stop else (K.SOFT_MERGE_DISTANCE, k)
+    rgb = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from u{K.CLUSTERS - 1})")
+    weight = f"n * (pow(ok_c, {float(rule['exponent'])!r}) + {float(rule['bias'])!r})"
+    if rule["prefer_l"]:
+        weight += f" * greatest(0e0, (ok_l * 2e0 - 1e0) * {float(rule['prefer_l'])!r} + 1e0)"
+    top = f"(select *, row_number() over (partition by image_id order by {weight} desc, c) - 1 as ord from {o.oklab(f'(select image_id, c, r, g, b, n from {rgb})')} qualify ord < {k})"
+    tail = f" select image_id, ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq, fell_back from {top} join fb using (image_id)"
+    return sql("pixels", kept + px_ + _lloyd_sql(_points_sql("lab"), K.CLUSTERS, LLOYD_ROUNDS) + u0 + _merges_sql(K.CLUSTERS - 1, radius, floor) + tail)
+
+
+@query("c9_soft", _soft_sql(False))
 def soft(spark, sf):
-    return cl.soft(placed(spark, sf)).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
+    return cl.soft(placed(spark, sf), rounds=LLOYD_ROUNDS).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
 
 
-@query("c10_softk")
+@query("c10_softk", _soft_sql(True))
 def softk(spark, sf):
-    return cl.soft(placed(spark, sf), count_stop=True).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
+    return cl.soft(placed(spark, sf), count_stop=True, rounds=LLOYD_ROUNDS).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
 
 
 def _mood_sql(p: str) -> str:
@@ -169,9 +263,6 @@ def mood_filter(spark, sf):
     return flags.groupBy("image_id").agg(*counts)
 
 
-_FALL = "ok_l >= 0.55 and ok_l <= 0.8 and ok_c >= 0.15"
-
-
 @query(
     "c12_filter_fallback",
     sql(
@@ -207,7 +298,7 @@ def source_pixels(spark, sf):
 )
 def provenance(spark, sf):
     stats = px.pixel_stats(d.colours(spark, sf))
-    out = qz.provenance(stats, d.images(spark, sf), "popularity", {"palette_size": "5", "resize": "512"})
+    out = qz.provenance(stats, d.images(spark, sf), "popularity", {"palette_size": "5"})
     return out.withColumn("palette_size", F.col("params")["palette_size"]).drop("params")
 
 
@@ -220,11 +311,16 @@ def saliency(spark, sf):
     return px.histogram(valid(spark, sf)).select("image_id", "key", micro(kernel.saliency(F.col("n"), s)).alias("saliency"))
 
 
-@query("c16_grouped_lloyd")
+def _grouped_sql() -> str:
+    means = ", ".join(f"floor(sum(f{q}*w)/sum(w)*1000)::bigint as f{q}" for q in range(3))
+    return sql("pixels", _V + _lloyd_sql(_points_sql("oklab"), 8, LLOYD_ROUNDS) + f" select image_id, c, {means}, sum(w)::bigint as n from pt group by image_id, c")
+
+
+@query("c16_grouped_lloyd", _grouped_sql())
 def grouped_lloyd(spark, sf):
-    points = cl.cluster_points(cl.sampled_points(placed(spark, sf), "oklab"), 8)
+    points = cl.cluster_points(cl.color_points(placed(spark, sf), "oklab"), 8, LLOYD_ROUNDS)
     out = cl._cluster_means(points, F.col("w"), F.lit(0), "image_id")
-    return out.select("image_id", "c", *[micro(f).alias(f) for f in cl.FEATURES], F.col("n").cast("bigint").alias("n"))
+    return out.select("image_id", "c", *[F.floor(F.col(f) * 1000).cast("bigint").alias(f) for f in cl.FEATURES], F.col("n").cast("bigint").alias("n"))
 
 
 def _density_sql(tail: str) -> str:
@@ -308,9 +404,18 @@ def corpus_popularity(spark, sf):
     return out.select("corpus", "ord", "r", "g", "b", "n", micro("freq").alias("freq"))
 
 
-@query("c19_corpus_kmeans")
+def _corpus_sql() -> str:
+    bins = f"(select * from ({_bins(5, 'corpus')}))"
+    points = f"select *, key as pos, n as w, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(bins)}"
+    means = ", ".join(f"sum(f{q}*n)/sum(n) as f{q}" for q in range(3))
+    rgb = o.oklab_bytes(f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb from (select corpus, c, {means}, sum(n) as n from pt group by corpus, c))")
+    tail = f" select row_number() over (order by n desc, c) - 1 as ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over ()')} as freq from {rgb}"
+    return sql("pixels", ", px as (select 0 as corpus, * from pixels where a >= 1)" + _lloyd_sql(points, 5, LLOYD_ROUNDS, "corpus") + tail)
+
+
+@query("c19_corpus_kmeans", _corpus_sql())
 def corpus_kmeans(spark, sf):
-    return cl.corpus_kmeans(valid(spark, sf)).select("ord", "r", "g", "b", "n", micro("freq").alias("freq"))
+    return cl.corpus_kmeans(valid(spark, sf), rounds=LLOYD_ROUNDS).select("ord", "r", "g", "b", "n", micro("freq").alias("freq"))
 
 
 @query(

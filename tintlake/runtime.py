@@ -138,18 +138,3 @@ def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Colu
     rows of a key into ``SALTS`` parts and the facts are repeated per part."""
     many = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [*keys, "_salt"], how).drop("_salt")
-
-
-# Colours of one palette that may be gathered into one value (a document, an anchor ring).
-MAX_GATHERED = 1 << 16
-
-
-def gatherable(slots: DataFrame, key: str, limit: int = MAX_GATHERED) -> DataFrame:
-    """Rows of groups small enough to be gathered into one value; larger groups are listed by ``oversized``."""
-    sizes = slots.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") <= limit).drop("_n")
-    return salted_join(slots, sizes, [key], F.col("ord"), "left_semi")
-
-
-def oversized(slots: DataFrame, key: str, limit: int = MAX_GATHERED) -> DataFrame:
-    sizes = slots.groupBy(key).agg(F.count("*").alias("size")).filter(F.col("size") > limit)
-    return sizes.withColumn("error", F.lit(f"more than {limit} colors"))
