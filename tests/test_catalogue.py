@@ -74,6 +74,16 @@ def test_missing_file_falls_back(spark, tmp_path):
     assert cg.load_or_default(spark, str(tmp_path / "none.json"), default).first().id == "d"
 
 
+def test_families_advance_together(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(cg, "_numbered", lambda *a, f=cg._numbered: rounds.append(1) or f(*a))
+    names = [n for k in range(200) for n in (f"fam{k}x", f"fam{k}x", f"fam{k}x 2")]
+    df = spark.createDataFrame(list(enumerate(names)), "seq bigint, name string")
+    taken = spark.createDataFrame([("fam3x",)], "id string")
+    got = [r.id for r in cg.generate_ids(df, taken).orderBy("seq").collect()]
+    assert got == one_by_one(names, {"fam3x"}) and len(rounds) <= 4
+
+
 def test_external_catalogue_is_whole_or_refused(spark, tmp_path):
     default = spark.createDataFrame([("d", "D")], "id string, name string")
     for name, text in (("good", '{"palettes": [{"id": "a", "name": "A", "categories": ["X"], "colors": ["red"]}]}'), ("bad", '{"broken')):

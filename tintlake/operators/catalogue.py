@@ -155,27 +155,34 @@ def _numbered(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return free.select("seq", "base", given.alias("id"))
 
 
+def _family(base: str) -> Column:
+    """The name without its trailing numbers: ids that can ever meet are of one family."""
+    return F.regexp_replace(base, r"(-[1-9]\d*)+$", "")
+
+
 def generate_ids(fresh: DataFrame, taken: DataFrame) -> DataFrame:
     """Ids for (seq, name) as if saved one after another: rows (seq, id).
 
     Different bases can reach the same id ("a" third against "a 3" first). The earlier row keeps it; later ones
-    are numbered again with that id taken, until none collides.
+    are numbered again with that id taken, until none collides. Families of names cannot meet, so in a round every
+    family settles its rows before its own first loser: rounds follow the clashes of one family, not their number.
     """
     rows = fresh.select("seq", id_slug(F.col("name")).alias("base"))
     settled, open_, held = None, rows, taken.select("id")
     while True:
-        given = cut(_numbered(open_, held))
+        given = cut(_numbered(open_, held).withColumn("family", _family("base")))
         first = given.groupBy("id").agg(F.min("seq").alias("_first"), F.count("*").alias("_n"))
         clash = given.join(first.filter("_n > 1").select("id", "_first"), "id").filter("seq > _first")
-        from_seq = clash.agg(F.min("seq").alias("m")).first()["m"]
-        if from_seq is None:
+        losers = cut(clash.groupBy("family").agg(F.min("seq").alias("_from")))
+        if losers.isEmpty():
             done = given.select("seq", "id")
             return done if settled is None else settled.unionByName(done)
-        # everything saved before the first loser is final; the rest is numbered again
-        final = given.filter(F.col("seq") < from_seq).select("seq", "id")
+        marked = given.join(losers, "family", "left")
+        # what a family saved before its first loser is final; its rest is numbered again
+        final = marked.filter(F.col("_from").isNull() | (F.col("seq") < F.col("_from"))).select("seq", "id")
         settled = final if settled is None else settled.unionByName(final)
         held = cut(held.unionByName(final.select("id")))
-        open_ = open_.filter(F.col("seq") >= from_seq)
+        open_ = cut(open_.join(final.select("seq"), "seq", "left_anti"))
 
 
 def append(catalogue: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
-from ..runtime import join_image_facts
+from ..runtime import join_image_facts, salted_join
 from .gradient import _mix_hue
 
 DEFAULT_SIZE, MAX_SIZE = 33, 256
@@ -207,26 +207,22 @@ def check_jobs(jobs: DataFrame) -> DataFrame:
 # --- application ---------------------------------------------------------------------------------------------------
 
 
-def packed_lattice(lattice: DataFrame) -> DataFrame:
-    """One row per palette: node colours packed in red-fastest order (size^3 integers, 140 KB at size 33)."""
-    packed = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
-    rows = lattice.groupBy("palette_id", "size").agg(F.array_sort(F.collect_list(F.struct("node", packed.alias("v")))).alias("rows"))
-    return rows.select("palette_id", "size", F.col("rows.v").alias("lattice"))
-
-
 def apply_lattice(pixels: DataFrame, assigned: DataFrame, lattice: DataFrame, pixel_count: str = "n_total") -> DataFrame:
     """Grade every pixel by trilinear interpolation in the lattice assigned to its image.
 
-    ``assigned`` holds (image_id, palette_id, pixel count). The packed lattice travels with the image's facts, so
-    a pixel needs eight array reads and no per-corner join; facts are repeated per tile of huge images only.
+    ``assigned`` holds (image_id, palette_id, pixel count). Each distinct (palette, colour) is graded once: its eight
+    corners meet the lattice by a hash join on (palette, node), and the result goes back to the pixels by a salted join,
+    so neither a widely used palette nor a background colour is a hot key, and no lattice is gathered.
     """
-    facts = assigned.join(packed_lattice(lattice), "palette_id").select("image_id", "palette_id", pixel_count, "size", "lattice")
-    df = join_image_facts(pixels, facts, pixel_count)
+    sizes = lattice.select("palette_id", "size").distinct()
+    facts = assigned.join(sizes, "palette_id").select("image_id", "palette_id", pixel_count, "size")
+    placed = join_image_facts(pixels, facts, pixel_count).select("image_id", "idx", "palette_id", "size", "r", "g", "b")
+    colors = placed.select("palette_id", "size", "r", "g", "b").distinct()
     top = F.col("size") - 1
     at = {f"_{c}": F.col(c) / 255.0 * top for c in "rgb"}
     base = {f"_i{c}": F.least(F.floor(F.col(f"_{c}")).cast("int"), F.col("size") - 2) for c in "rgb"}
     part = {f"_f{c}": F.col(f"_{c}") - F.col(f"_i{c}") for c in "rgb"}
-    df = kernel.staged(df, at, base, part)
+    df = kernel.staged(colors, at, base, part)
     corners = [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
 
     def node(x: int, y: int, z: int) -> Column:
@@ -239,14 +235,18 @@ def apply_lattice(pixels: DataFrame, assigned: DataFrame, lattice: DataFrame, pi
             w = f if w is None else w * f
         return w
 
-    df = df.withColumns({f"_n{i}": F.get("lattice", node(*c)) for i, c in enumerate(corners)} | {f"_w{i}": weight(*c) for i, c in enumerate(corners)})
-    df = df.drop("lattice")
+    spots = [F.struct(F.lit(i).alias("corner"), node(*c).cast("bigint").alias("node"), weight(*c).alias("w")) for i, c in enumerate(corners)]
+    spread = df.select("palette_id", "r", "g", "b", F.inline(F.array(*spots)))
+    nodes = lattice.select("palette_id", F.col("node").cast("bigint").alias("node"), *[F.col(c).alias(f"n{c}") for c in "rgb"])
+    met = spread.join(nodes, ["palette_id", "node"])
+    # A column for each corner keeps the order of the sum, whatever the order of arrival.
+    terms = [F.max(F.when(F.col("corner") == i, F.col(f"n{c}") * F.col("w"))).alias(f"{c}{i}") for c in "rgb" for i in range(8)]
+    summed = met.groupBy("palette_id", "r", "g", "b").agg(*terms)
     out = []
-    for c, shift in (("r", 16), ("g", 8), ("b", 0)):
+    for c in "rgb":
         v = kernel.lit(0)
         for i in range(8):
-            v = v + F.shiftright(F.col(f"_n{i}"), shift).bitwiseAND(255) * F.col(f"_w{i}")
+            v = v + F.col(f"{c}{i}")
         out.append(F.floor(v + 0.5).cast("int").alias(f"out_{c}"))
-    return df.select("image_id", "idx", "palette_id", *out)
-
-
+    graded = summed.select("palette_id", "r", "g", "b", *out)
+    return salted_join(placed, graded, ["palette_id", "r", "g", "b"], F.col("idx")).select("image_id", "idx", "palette_id", "out_r", "out_g", "out_b")
