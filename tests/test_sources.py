@@ -38,16 +38,29 @@ def test_image_scan(spark, tmp_path):
     assert got["rgba.png"] == [(i % 3, i // 3, *p) for i, p in enumerate(want)]
     report = {r.image_id.rsplit("/", 1)[1]: r.error for r in im.scan_report(spark, str(tmp_path), images).collect()}
     assert report == {"rgb.png": None, "rgba.png": None, "junk.png": "cannot decode"}
+    limit = (tmp_path / "rgb.png").stat().st_size
+    small = im.read_images(spark, str(tmp_path), max_bytes=limit)
+    kept = {r.image_id.rsplit("/", 1)[1] for r in im.image_pixels(small).select("image_id").distinct().collect()}
+    report = {r.image_id.rsplit("/", 1)[1]: r.error for r in im.scan_report(spark, str(tmp_path), small, max_bytes=limit).collect()}
+    assert kept == {k for k, error in report.items() if error is None} and "rgb.png" in kept
+
+
+def test_bands_of_a_large_image(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(im, "BAND_PIXELS", 10)
+    pixels = [((7 * i) % 256, (11 * i) % 256, (200 + i) % 256, 255) for i in range(7 * 9)]
+    (tmp_path / "a.png").write_bytes(png(7, 9, pixels, False))
+    rows = im.image_pixels(im.read_images(spark, str(tmp_path))).orderBy("idx").collect()
+    assert [(r.idx, r.x, r.y, r.r, r.g, r.b, r.a) for r in rows] == [(i, i % 7, i // 7, *p) for i, p in enumerate(pixels)]
 
 
 def test_inline_images(spark):
     data = base64.b64encode(b"hello").decode()
     cases = {
         f"data:image/png;base64,{data}": (b"hello", None),
-        f"data:image/png,{data}": (None, "non-base64 data URIs are not supported"),
-        "data:image/png;base64": (None, "missing comma in data URI"),
-        "data:;base64,***": (None, "base64 decode failed"),
-        "data:;base64," + base64.b64encode(b"x" * 50).decode(): (None, "payload exceeds 20 bytes"),
+        f"data:image/png,{data}": (None, "payload is not base64"),
+        "data:image/png;base64": (None, "no comma before the payload"),
+        "data:;base64,***": (None, "payload cannot be decoded"),
+        "data:;base64," + base64.b64encode(b"x" * 50).decode(): (None, "payload above 20 bytes"),
     }
     rows = im.inline_images(spark.createDataFrame([(u,) for u in cases], "uri string"), max_bytes=20).collect()
     assert {r.uri: (bytes(r.content) if r.content else None, r.error) for r in rows} == cases

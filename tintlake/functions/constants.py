@@ -1,4 +1,4 @@
-"""Values fixed by the published definitions the results have to agree with."""
+"""Fixed values the results have to agree with: published definitions, and presets, radii and labels of the domain."""
 
 # --- fixed values: CSS Color Level 4 named colours -------------------------------------------------
 NAMED_COLORS = """

@@ -43,7 +43,7 @@ def violations(catalogue: DataFrame) -> DataFrame:
     blank = lambda x: F.regexp_replace(x, r"\s+", "") == ""
     own = F.array(
         flag(~F.col("id").rlike(ID_RULE), "bad id", F.col("id")),
-        flag(_trimmed("name") == "", "name is required", none),
+        flag(_trimmed("name") == "", "no name", none),
         flag(F.size("categories") == 0, "no categories", none),
         flag(F.exists("categories", blank), "empty category", none),
         flag(F.exists("categories", lambda x: ~blank(x) & (category_slug(x) == "")), "category without slug", none),
@@ -200,9 +200,9 @@ def append(catalogue: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame
     )
     ready = named.join(canon, "seq", "left")
     reason = (
-        F.when(F.col("name") == "", "palette name is required")
-        .when(F.size("colors") == 0, "at least one color is required")
-        .when(F.col("_bad") > 0, "color does not parse")
+        F.when(F.col("name") == "", "no palette name")
+        .when(F.size("colors") == 0, "no colors")
+        .when(F.col("_bad") > 0, "unreadable color")
         .when(F.size(F.array_distinct("hexes")) < F.size("hexes"), "duplicate color")
     )
     ready = ready.withColumn("error", reason)

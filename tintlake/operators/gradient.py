@@ -97,10 +97,10 @@ def invalid_ramps(stops: DataFrame, steps: int) -> DataFrame:
         F.count("*").alias("n"), F.min("_gap").alias("gap"), F.min_by("pos", "ord").alias("first"), F.max_by("pos", "ord").alias("final")
     )
     reason = (
-        F.when(F.col("n") < 2, "need at least 2 stops")
-        .when(F.col("n") > steps, "steps must be >= number of stops")
-        .when((F.col("first") != 0) | (F.col("final") != 1), "positions must start at 0 and end at 1")
-        .when(F.col("gap") <= 0, "positions must be strictly increasing")
+        F.when(F.col("n") < 2, "fewer than two stops")
+        .when(F.col("n") > steps, "more stops than steps")
+        .when((F.col("first") != 0) | (F.col("final") != 1), "positions do not run from 0 to 1")
+        .when(F.col("gap") <= 0, "positions do not grow")
     )
     return seen.select("ramp_id", reason.alias("error")).filter(F.col("error").isNotNull())
 
@@ -118,7 +118,7 @@ def ramp_table(segs: DataFrame, steps: int, space: str = "oklab", easing: str =
     [p0, p1) are found by filtering the fixed list of steps inside the row, without joining samples to segments.
     """
     if steps < 2:
-        raise ValueError("steps must be >= 2")
+        raise ValueError("fewer than two steps")
     eased = F.expr("array(" + ",".join(f"{_ease_value(i / (steps - 1), easing)!r}D" for i in range(steps)) + ")")
     df = segs.select("ramp_id", "p0", "p1", "last", *A, *B, F.posexplode(eased).alias("i", "t"))
     inside = (F.col("t") >= F.col("p0")) & ((F.col("t") < F.col("p1")) | F.col("last"))
@@ -139,7 +139,7 @@ def _ease_value(t: float, easing: str) -> float:
 def two_stop(ends: DataFrame, key: str, steps: int, space: str = "oklab", easing: str = "linear") -> DataFrame:
     """Gradients between the ends a* and b* of every row."""
     if steps < 2:
-        raise ValueError("steps must be >= 2")
+        raise ValueError("fewer than two steps")
     df = ends.select(key, *A, *B, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("ord"))
     df = blend(df, ease(F.col("ord") / float(steps - 1), easing), space)
     first, final = F.col("ord") == 0, F.col("ord") == steps - 1

@@ -20,7 +20,7 @@ METHODS = ["knn", "rbf", "grade"]
 
 def checked_size(size: int) -> int:
     if size > MAX_SIZE:
-        raise ValueError(f"size must be <= {MAX_SIZE}")
+        raise ValueError(f"size above {MAX_SIZE}")
     return DEFAULT_SIZE if size < 2 else size
 
 
@@ -189,16 +189,16 @@ def check_jobs(jobs: DataFrame) -> DataFrame:
     method = F.when(c("method") == "", "knn").otherwise(c("method"))
     unit = lambda n: (c(n) < 0) | (c(n) > 1)
     error = (
-        F.when(c("size") > MAX_SIZE, "size must be <= 256")
+        F.when(c("size") > MAX_SIZE, "size above 256")
         .when(~method.isin(*METHODS), "unknown method")
-        .when((method == "knn") & (c("radius") < 0), "radius must be >= 0")
-        .when((method == "knn") & unit("distribution"), "distribution must be in [0, 1]")
-        .when((method == "knn") & unit("intensity"), "intensity must be in [0, 1]")
-        .when((method == "rbf") & (c("reach") <= 0), "reach must be > 0")
-        .when((method == "rbf") & (c("sharpness") <= 0), "sharpness must be > 0")
-        .when((method == "rbf") & unit("strength"), "strength must be in [0, 1]")
-        .when((method == "grade") & unit("compression"), "compression must be in [0, 1]")
-        .when((method == "grade") & unit("mute"), "mute must be in [0, 1]")
+        .when((method == "knn") & (c("radius") < 0), "radius below 0")
+        .when((method == "knn") & unit("distribution"), "distribution outside 0..1")
+        .when((method == "knn") & unit("intensity"), "intensity outside 0..1")
+        .when((method == "rbf") & (c("reach") <= 0), "reach not above 0")
+        .when((method == "rbf") & (c("sharpness") <= 0), "sharpness not above 0")
+        .when((method == "rbf") & unit("strength"), "strength outside 0..1")
+        .when((method == "grade") & unit("compression"), "compression outside 0..1")
+        .when((method == "grade") & unit("mute"), "mute outside 0..1")
     )
     size = F.when(c("size") < 2, DEFAULT_SIZE).otherwise(c("size"))
     return jobs.withColumns({"error": error, "method": method, "size": size})

@@ -25,8 +25,8 @@ _URI = """case doc_id % 5 when 0 then concat('data:text/plain;base64,', {b64}) w
 @query(
     "a2_inline_images",
     """select doc_id, case when doc_id % 5 in (0,4) and octet_length(encode(text)) <= 4000 then text end as content,
- case when doc_id % 5 = 1 then case when split_part(text, ',', 1) like '%base64%' then 'x' else 'non-base64 data URIs are not supported' end when doc_id % 5 = 2 then 'missing comma in data URI'
-  when doc_id % 5 = 3 then 'base64 decode failed' when octet_length(encode(text)) > 4000 then 'payload exceeds 4000 bytes' end as error from documents""",
+ case when doc_id % 5 = 1 then case when split_part(text, ',', 1) like '%base64%' then 'x' else 'payload is not base64' end when doc_id % 5 = 2 then 'no comma before the payload'
+  when doc_id % 5 = 3 then 'payload cannot be decoded' when octet_length(encode(text)) > 4000 then 'payload above 4000 bytes' end as error from documents""",
 )
 def inline_images(spark, sf):
     rows = d.table(spark, sf, "documents").select("doc_id", F.expr(_URI.format(b64="base64(cast(text as binary))")).alias("uri"))
@@ -172,7 +172,7 @@ _CATS = f"ct as (select pos, trim(nm) as nm, cpos, {_SLUG.format('trim(nm)')} as
         "catalogue",
         f""", {_COLS}, {_CATS}
  select pos, 'bad id' as rule, id as value from catalogue where not regexp_full_match(id, '[a-z0-9]+(-[a-z0-9]+)*')
- union all select pos, 'name is required', null from catalogue where trim(name) = ''
+ union all select pos, 'no name', null from catalogue where trim(name) = ''
  union all select pos, 'no categories', null from catalogue where len(categories) = 0
  union all select distinct pos, 'empty category', null from ct where nm = ''
  union all select distinct pos, 'category without slug', null from ct where nm <> '' and slug = ''
@@ -227,7 +227,7 @@ def _append_sql() -> str:
  cand as (select base, q.n, case when q.n = 1 then base else base || '-' || q.n end as id from (select base, count(*) as m from good group by base) cross join (select unnest(range(1, (select count(*) from part) + 200)) as n) q where q.n <= m + 100),
  free as (select *, row_number() over (partition by base order by n) as k from cand where id not in (select id from old))
  select seq + (select max(pos) from old) + 1 as pos, free.id, name, 'new' as description, 'Saved|Warm' as categories, 'a' as tags, colors, null as error from good join free on good.base = free.base and good.k = free.k
- union all select seq, null, null, null, null, null, null, case when name = '' then 'palette name is required' else 'color does not parse' end from fresh where name = '' or bad""",
+ union all select seq, null, null, null, null, null, null, case when name = '' then 'no palette name' else 'unreadable color' end from fresh where name = '' or bad""",
     )
 
 

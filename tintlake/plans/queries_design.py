@@ -337,8 +337,8 @@ def even_gradient(spark, sf):
   when 2 then least((p_partkey%6)/4e0, 1e0) else (p_partkey%6)/5e0 end as pos from part),
  g as (select *, pos - lag(pos) over (partition by ramp_id order by ord) as gap from st),
  a as (select ramp_id, count(*) as n, min(gap) as gap, arg_min(pos, ord) as f, arg_max(pos, ord) as l from g group by ramp_id)
- select ramp_id, error from (select ramp_id, case when n < 2 then 'need at least 2 stops' when n > 32 then 'steps must be >= number of stops' when f <> 0 or l <> 1 then 'positions must start at 0 and end at 1'
-  when gap <= 0 then 'positions must be strictly increasing' end as error from a) where error is not null""",
+ select ramp_id, error from (select ramp_id, case when n < 2 then 'fewer than two stops' when n > 32 then 'more stops than steps' when f <> 0 or l <> 1 then 'positions do not run from 0 to 1'
+  when gap <= 0 then 'positions do not grow' end as error from a) where error is not null""",
 )
 def invalid_ramps(spark, sf):
     st = d.table(spark, sf, "part").selectExpr(

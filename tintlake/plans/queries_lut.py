@@ -145,11 +145,11 @@ _JOB = {
 @query(
     "g5_lattice_jobs",
     "with jobs as (select " + ", ".join(f"{e} as {n}" for n, e in _JOB.items()) + """ from customer), r as (select *, case when method = '' then 'knn' else method end as m2 from jobs)
- select job_id, m2 as method, case when size < 2 then 33 else size end as size, case when size > 256 then 'size must be <= 256' when m2 not in ('knn','rbf','grade') then 'unknown method'
-  when m2='knn' and radius < 0 then 'radius must be >= 0' when m2='knn' and (distribution < 0 or distribution > 1) then 'distribution must be in [0, 1]'
-  when m2='knn' and (intensity < 0 or intensity > 1) then 'intensity must be in [0, 1]' when m2='rbf' and reach <= 0 then 'reach must be > 0' when m2='rbf' and sharpness <= 0 then 'sharpness must be > 0'
-  when m2='rbf' and (strength < 0 or strength > 1) then 'strength must be in [0, 1]' when m2='grade' and (compression < 0 or compression > 1) then 'compression must be in [0, 1]'
-  when m2='grade' and (mute < 0 or mute > 1) then 'mute must be in [0, 1]' end as error from r""",
+ select job_id, m2 as method, case when size < 2 then 33 else size end as size, case when size > 256 then 'size above 256' when m2 not in ('knn','rbf','grade') then 'unknown method'
+  when m2='knn' and radius < 0 then 'radius below 0' when m2='knn' and (distribution < 0 or distribution > 1) then 'distribution outside 0..1'
+  when m2='knn' and (intensity < 0 or intensity > 1) then 'intensity outside 0..1' when m2='rbf' and reach <= 0 then 'reach not above 0' when m2='rbf' and sharpness <= 0 then 'sharpness not above 0'
+  when m2='rbf' and (strength < 0 or strength > 1) then 'strength outside 0..1' when m2='grade' and (compression < 0 or compression > 1) then 'compression outside 0..1'
+  when m2='grade' and (mute < 0 or mute > 1) then 'mute outside 0..1' end as error from r""",
 )
 def lattice_jobs(spark, sf):
     jobs = d.ints(d.table(spark, sf, "customer"), **_JOB)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 64 << 20
+from ..runtime import spread_by
+
+# Pixels of one band of an image.
+BAND_PIXELS = 1 << 16
 PIXEL_COLUMNS = ["image_id", "idx", "x", "y", "r", "g", "b", "a"]
 
 
@@ -14,11 +17,19 @@ def _path(c: str) -> Column:
     return F.regexp_replace(F.col(c), "^file:/+", "file:/")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def _sizes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(_path("path").alias("image_id"), F.col("length").alias("bytes"))
+
+
+def read_images(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Decoded images (image_id = file path, w, h, channels, data) by Spark's own image source.
 
-    Files it cannot decode stay as rows with null size.
+    Files it cannot decode, and files above ``max_bytes`` if given, stay as rows with null size and data.
     """
+    if max_bytes is not None:
+        fits = _sizes(spark, path).filter(F.col("bytes") <= max_bytes).select("image_id", F.lit(True).alias("_fits"))
+        images = read_images(spark, path).join(fits, "image_id", "left")
+        return images.select("image_id", *[F.when(F.col("_fits"), F.col(c)).alias(c) for c in ("w", "h")], "channels", F.when(F.col("_fits"), F.col("data")).alias("data"))
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     bad = F.col("width") < 1
     return images.select(
@@ -33,14 +44,21 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def image_pixels(images: DataFrame) -> DataFrame:
     """Every pixel in raster order; stored channel order is B, G, R[, A], one channel is grey.
 
-    Fully transparent pixels become transparent black.
+    Images are cut into bands of rows that are dealt out before bytes are read, so a large image is many tasks. Fully transparent pixels become transparent black.
     """
-    last = (F.col("w") * F.col("h")).cast("bigint") - 1
-    df = images.filter(F.col("data").isNotNull()).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    high = F.greatest(F.floor(F.lit(BAND_PIXELS) / F.col("w")), F.lit(1)).cast("int")
+    bands = images.filter(F.col("data").isNotNull()).withColumn("_high", high)
+    bands = bands.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("h") - 1, F.col("_high"))))
+    rows = F.least(F.col("_high"), F.col("h") - F.col("_y"))
+    start = (F.col("_y") * F.col("w") * F.col("channels") + 1).cast("int")
+    part = F.substring("data", start, (rows * F.col("w") * F.col("channels")).cast("int"))
+    bands = bands.select("image_id", "w", "channels", "_y", (rows * F.col("w")).alias("_n"), part.alias("data"))
+    df = spread_by(bands, "image_id", "_y").withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    df = df.withColumn("idx", F.col("_y").cast("bigint") * F.col("w") + F.col("_at"))
 
     def channel(n: int) -> Column:
-        at = (F.col("idx") * F.col("channels") + n + 1).cast("int")
-        return F.conv(F.hex(F.substring("data", at, 1)), 16, 10).cast("int")
+        at = (F.col("_at") * F.col("channels") + n + 1).cast("int")
+        return F.ascii(F.decode(F.substring("data", at, 1), "ISO-8859-1"))
 
     grey = F.col("channels") == 1
     alpha = F.when(F.col("channels") == 4, channel(3)).otherwise(255)
@@ -52,15 +70,15 @@ def image_pixels(images: DataFrame) -> DataFrame:
     return df.select("image_id", "idx", x, y, *shown, "a")
 
 
-def scan_report(spark: SparkSession, path: str, images: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row per file under ``path``: size in bytes and why it was left out, if so."""
-    files = spark.read.format("binaryFile").load(path).select(_path("path").alias("image_id"), F.col("length").alias("bytes"))
+def scan_report(spark: SparkSession, path: str, images: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """One row per file under ``path``: size in bytes and why ``read_images`` with the same limit left it out, if so."""
+    files = _sizes(spark, path)
     seen = images.select("image_id", F.col("data").isNotNull().alias("_ok"))
-    error = F.when(F.col("bytes") > max_bytes, f"payload exceeds {max_bytes} bytes").when(~F.coalesce("_ok", F.lit(False)), "cannot decode")
+    error = F.when(F.col("bytes") > F.lit(max_bytes), f"payload above {max_bytes} bytes").when(~F.coalesce("_ok", F.lit(False)), "cannot decode")
     return files.join(seen, "image_id", "left").withColumn("error", error).drop("_ok")
 
 
-def inline_images(rows: DataFrame, uri: str = "uri", max_bytes: int = MAX_BYTES) -> DataFrame:
+def inline_images(rows: DataFrame, uri: str = "uri", max_bytes: int | None = None) -> DataFrame:
     """Payload of ``data:...;base64,`` URIs as ``content``; anything else keeps its row with ``error``."""
     body = F.regexp_replace(F.col(uri), "^data:", "")
     comma = F.instr(body, ",")
@@ -73,10 +91,10 @@ def inline_images(rows: DataFrame, uri: str = "uri", max_bytes: int = MAX_BYTES)
     )
     df = df.withColumn("_bytes", F.when(F.col("_meta").contains("base64"), F.try_to_binary("_data", F.lit("base64"))))
     error = (
-        F.when(F.col("_comma") == 0, "missing comma in data URI")
-        .when(~F.col("_meta").contains("base64"), "non-base64 data URIs are not supported")
-        .when(F.col("_bytes").isNull(), "base64 decode failed")
-        .when(F.octet_length("_bytes") > max_bytes, f"payload exceeds {max_bytes} bytes")
+        F.when(F.col("_comma") == 0, "no comma before the payload")
+        .when(~F.col("_meta").contains("base64"), "payload is not base64")
+        .when(F.col("_bytes").isNull(), "payload cannot be decoded")
+        .when(F.octet_length("_bytes") > F.lit(max_bytes), f"payload above {max_bytes} bytes")
     )
     df = df.withColumn("error", error).withColumn("content", F.when(F.col("error").isNull(), F.col("_bytes")))
     return df.drop("_meta", "_body", "_comma", "_data", "_bytes")
