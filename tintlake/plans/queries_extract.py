@@ -122,7 +122,43 @@ def wu(spark, sf):
     return shown(qz.wu(valid(spark, sf)))
 
 
-@query("c5_octree")
+def _octree_sql(k: int = 5) -> str:
+    """Leaves at the shallowest level of k nodes, then per level the lightest groups that the budget allows, one after
+    another by recursion, then nearest-pair merges (at most seven nodes are over)."""
+    path = " + ".join(f"((((r >> {7 - i}) & 1) * 4 + ((g >> {7 - i}) & 1) * 2 + ((b >> {7 - i}) & 1))::bigint << {3 * (7 - i)})" for i in range(8))
+    sums = ", ".join(f"sum({c})::bigint as {c}" for c in ("n", "sr", "sg", "sb"))
+    parts = [
+        f"hs as materialized (select image_id, {path} as path, count(*) as n, sum(r) as sr, sum(g) as sg, sum(b) as sb from px group by image_id, r, g, b)",
+        "dp as (select image_id, d, count(distinct path >> (3*(8-d))) as nodes from hs cross join range(1, 9) t(d) group by image_id, d)",
+        f"lv as materialized (select image_id, coalesce(min(case when nodes >= {k} then d end), 8) as depth from dp group by image_id)",
+        f"l0 as materialized (select image_id, depth, path >> (3*(8-depth)) as node, {sums} from hs join lv using (image_id) group by all)",
+    ]
+    for j in range(1, 9):
+        parts.append(
+            f"g{j} as materialized (select *, row_number() over (partition by image_id order by total, parent) as rk, sum(cnt) over (partition by image_id)::bigint as len"
+            f" from (select image_id, node >> {3 * j} as parent, count(*) as cnt, sum(n) as total from l{j - 1} where depth >= {j} group by 1, 2))"
+        )
+        hit = f"g.cnt > 1 and g.cnt <= w.len - {k - 1}"
+        parts.append(
+            f"w{j} as (select image_id, 0::bigint as rk, min(len) as len, -1::bigint as parent, false as hit from g{j} group by image_id union all"
+            f" select g.image_id, g.rk, case when {hit} then w.len - g.cnt + 1 else w.len end, g.parent, {hit} from w{j} w join g{j} g on g.image_id = w.image_id and g.rk = w.rk + 1)"
+        )
+        parts.append(
+            f"l{j} as materialized (select l.image_id, depth, min(node) as node, {sums} from l{j - 1} l left join w{j} w on w.image_id = l.image_id and w.hit and w.parent = l.node >> {3 * j} and depth >= {j}"
+            f" group by l.image_id, depth, case when w.hit then -1 - w.parent else node end)"
+        )
+    parts.append("q0 as materialized (select image_id, node, n, sr, sg, sb from l8)")
+    d2 = "+".join(f"(x.ok_{c}-y.ok_{c})*(x.ok_{c}-y.ok_{c})" for c in "lab")
+    for i in range(7):
+        mean = f"(select *, (sr//n)::int as r, (sg//n)::int as g, (sb//n)::int as b from q{i} where image_id in (select image_id from q{i} group by image_id having count(*) > {k}))"
+        parts.append(f"o{i} as materialized (select * from {o.oklab(mean)})")
+        parts.append(f"t{i} as materialized (select x.image_id, x.node as ni, y.node as nj from o{i} x join o{i} y on x.image_id = y.image_id and x.node < y.node qualify row_number() over (partition by x.image_id order by {d2}, x.node, y.node) = 1)")
+        parts.append(f"q{i + 1} as materialized (select q.image_id, case when node = nj then ni else node end as node, {sums} from q{i} q left join t{i} t on q.image_id = t.image_id group by 1, 2)")
+    tail = f" select image_id, row_number() over (partition by image_id order by node) - 1 as ord, (sr//n)::int as r, (sg//n)::int as g, (sb//n)::int as b, n, {o.micro('n / sum(n) over (partition by image_id)')} as freq from q7"
+    return sql("pixels", _V + ", " + ", ".join(parts) + tail).replace("with ", "with recursive ", 1)
+
+
+@query("c5_octree", _octree_sql())
 def octree(spark, sf):
     return shown(qz.octree(valid(spark, sf)))
 
