@@ -38,38 +38,6 @@ def merge_closest(f: np.ndarray, w: np.ndarray, extra: np.ndarray, radius: float
     return f, w, extra
 
 
-def density_labels(f: np.ndarray, w: np.ndarray, radius: float, min_weight: int) -> np.ndarray:
-    """Density clusters of key-ordered bins: 0 is noise, 1.. in order of the first core bin.
-
-    Bins live in a grid of cells one radius wide, so neighbours are in the 27 cells around. A border bin goes to
-    the earliest cluster that touches it.
-    """
-    grid, home = np.unique(np.floor(f / radius).astype(np.int64), axis=0, return_inverse=True)
-    members = np.split(np.argsort(home.ravel(), kind="stable"), np.cumsum(np.bincount(home.ravel()))[:-1])
-    index = {tuple(cell): n for n, cell in enumerate(grid)}
-    near: list[np.ndarray] = [None] * len(f)
-    for cell, own in zip(grid, members):
-        around = (tuple(cell + np.array(step) - 1) for step in np.ndindex(3, 3, 3))
-        pool = np.concatenate([members[index[n]] for n in around if n in index])
-        hits = distances(f[own], f[pool]) <= radius * radius
-        for row, i in enumerate(own):
-            near[i] = pool[hits[row]]
-    core = np.array([w[n].sum() >= min_weight for n in near])
-    labels, current = np.zeros(len(f), dtype=np.int64), 0
-    for start in range(len(f)):
-        if labels[start] or not core[start]:
-            continue
-        current += 1
-        frontier = [start]
-        labels[start] = current
-        while frontier:
-            i = frontier.pop()
-            open_ = near[i][labels[near[i]] == 0]
-            labels[open_] = current
-            frontier.extend(open_[core[open_]])
-    return labels
-
-
 _LINEAR = np.array([_linear(i) for i in range(256)])
 
 

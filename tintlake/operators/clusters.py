@@ -1,8 +1,8 @@
 """Iterative palette extraction: k-means variants, density clusters, nearest-pair merges.
 
 Pixels fold to distinct colours or 5-bit bins; k-means rounds are joins and aggregates over the points of all images at
-once. Small numpy helpers meet bounded remainders only: the few clusters of an image for nearest-pair merges, and its at
-most 32,768 bins for density labels.
+once, and so are density labels over the bins. Small numpy helpers meet bounded remainders only: the few clusters of an
+image for nearest-pair merges, and the last leaves of its octree.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
-from ..functions.numeric import density_labels, distances, merge_closest, oklab_of
+from ..functions.numeric import distances, merge_closest, oklab_of
 from ..runtime import cut, salted_join, spread_by, with_image_totals
 from .pixels import CHANNELS, histogram, top_k
 
@@ -99,10 +99,6 @@ def _moved(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFr
     return packed.select(key, after.alias("centres"), "lead", (after != F.col("centres")).alias("moved"))
 
 
-def _schema(df: DataFrame, extra: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + extra
-
-
 def merge_clusters(clusters: DataFrame, radius: float, floor: int, key: str = "image_id") -> DataFrame:
     """Nearest-pair merge of (key, c, f0..f2, n, s, ...), at most 64 clusters an image; radius inf merges down
     to floor. Further columns are constant per image and are kept."""
@@ -293,15 +289,37 @@ def dbscan(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
 
 
 def label_density(bins: DataFrame) -> DataFrame:
-    """Add ``c`` to the at most 32768 bins of each image."""
-    names, radius, least = bins.columns, K.DENSITY_RADIUS, K.DENSITY_MIN_PIXELS
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        found = density_labels(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(), radius, least)
-        return pdf[names].assign(c=found)
+    """Add ``c``: 0 for noise, else the cluster in order of its first core bin.
 
-    return spread_by(bins, "image_id").groupBy("image_id").applyInPandas(run, _schema(bins, "c bigint"))
+    Bins live in a grid of cells one radius wide and meet their neighbours in the 27 cells around by a hash join. Core
+    bins pass the smallest key along neighbours, and then along what it leads to, until nothing changes; a border bin
+    goes to the earliest cluster that touches it.
+    """
+    radius, least = K.DENSITY_RADIUS, K.DENSITY_MIN_PIXELS
+    points = cut(bins.select("image_id", "key", "n", *FEATURES))
+    cells = [F.floor(F.col(f) / radius).cast("int").alias(f"x{i}") for i, f in enumerate(FEATURES)]
+    right = points.select("image_id", *cells, F.col("key").alias("j"), F.col("n").alias("w"), *[F.col(f).alias(f"g{i}") for i, f in enumerate(FEATURES)])
+    steps = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(z).alias("c")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    left = points.select("image_id", "key", *FEATURES, *cells, F.explode(steps).alias("at"))
+    left = left.withColumns({f"x{i}": F.col(f"x{i}") + F.col(f"at.{c}") for i, c in enumerate("abc")})
+    d2 = sum(((F.col(f) - F.col(f"g{i}")) * (F.col(f) - F.col(f"g{i}")) for i, f in enumerate(FEATURES)), F.lit(0.0))
+    near = cut(left.join(right, ["image_id", "x0", "x1", "x2"]).filter(d2 <= radius * radius).select("image_id", "key", "j", "w"))
+    core = near.groupBy("image_id", "key").agg(F.sum("w").alias("_m")).filter(F.col("_m") >= least).select("image_id", "key")
+    to_core = near.select("image_id", "key", "j").join(core.withColumnRenamed("key", "j"), ["image_id", "j"])
+    edges = cut(to_core.join(core, ["image_id", "key"]))
+    roots = cut(edges.groupBy("image_id", "key").agg(F.min("j").alias("root")))
+    while True:
+        seen = edges.join(roots.withColumnRenamed("key", "j"), ["image_id", "j"]).groupBy("image_id", "key").agg(F.min("root").alias("low"))
+        lead = roots.select("image_id", F.col("key").alias("low"), F.col("root").alias("up"))
+        moved = roots.join(seen, ["image_id", "key"]).join(lead, ["image_id", "low"])
+        moved = cut(moved.select("image_id", "key", F.col("up").alias("root"), (F.col("up") < F.col("root")).alias("moved")))
+        roots = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    touched = to_core.join(roots.withColumnRenamed("key", "j"), ["image_id", "j"]).groupBy("image_id", "key").agg(F.min("root").alias("_root"))
+    order = F.dense_rank().over(Window.partitionBy("image_id").orderBy(F.col("_root").asc_nulls_last()))  # at most 32,768 bins
+    placed = bins.join(touched, ["image_id", "key"], "left")
+    return placed.withColumn("c", F.when(F.col("_root").isNull(), 0).otherwise(order).cast("bigint")).select(*bins.columns, "c")
 
 
 def density_clusters(labelled: DataFrame) -> DataFrame:
@@ -309,24 +327,23 @@ def density_clusters(labelled: DataFrame) -> DataFrame:
 
 
 def pad_farthest(bins: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """Add, while an image has fewer than k colours, the bin of highest squared distance times saliency."""
-
-    def run(bdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        out = cdf.sort_values("ord")[["image_id", "ord", *FEATURES, "n"]]
-        bdf = bdf.sort_values("key")
-        x, s = bdf[FEATURES].to_numpy(float), bdf["saliency"].to_numpy(float)
-        rows, picked = [], [*out[FEATURES].to_numpy(float)]
-        near = distances(x, np.array(picked)).min(axis=1) if picked else np.full(len(x), 1e18)
-        for slot in range(len(out), k):
-            best = int((near * s).argmax())
-            if near[best] * s[best] <= 0:
-                break
-            rows.append((bdf["image_id"].iloc[0], slot, *x[best], float(bdf["n"].iloc[best])))
-            near = np.minimum(near, ((x - x[best]) ** 2).sum(axis=1))
-        return pd.concat([out, pd.DataFrame(rows, columns=out.columns)]) if rows else out
-
-    left, right = spread_by(bins, "image_id").groupBy("image_id"), spread_by(chosen, "image_id").groupBy("image_id")
-    return left.cogroup(right).applyInPandas(run, "image_id bigint, ord int, f0 double, f1 double, f2 double, n double")
+    """Add, while an image has fewer than k colours, the bin of highest squared distance times saliency: one colour of
+    every image a round, the smallest key on ties."""
+    spot = F.struct(*FEATURES)
+    have = chosen.groupBy("image_id").agg(F.collect_list(spot).alias("centres"))  # at most k
+    state = bins.select("image_id").distinct().join(have, "image_id", "left")
+    state = cut(state.select("image_id", F.coalesce("centres", F.array().cast("array<struct<f0:double,f1:double,f2:double>>")).alias("centres")))
+    out = chosen.select("image_id", "ord", *FEATURES, "n")
+    for _ in range(k):
+        far = F.when(F.size("centres") == 0, F.lit(1e18)).otherwise(F.array_min(F.transform("centres", _near)))
+        seen = salted_join(bins, state.filter(F.size("centres") < k), ["image_id"], F.col("key"))
+        best = seen.groupBy("image_id", "centres").agg(F.max(F.struct((far * F.col("saliency")).alias("score"), (-F.col("key")).alias("key"), *FEATURES, F.col("n").cast("double").alias("n"))).alias("best"))
+        best = cut(best.filter("best.score > 0"))
+        if best.isEmpty():
+            break
+        out = out.unionByName(best.select("image_id", F.size("centres").alias("ord"), *[f"best.{c}" for c in (*FEATURES, "n")]))
+        state = cut(best.select("image_id", F.concat("centres", F.array(F.struct(*[F.col(f"best.{c}").alias(c) for c in FEATURES]))).alias("centres")))
+    return out
 
 
 # --- whole corpus --------------------------------------------------------------------------------------------------------
