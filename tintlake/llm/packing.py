@@ -121,7 +121,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, in
     return np.array(plan, dtype=np.int64).reshape(-1, 6), sequences
 
 
-def _places(plan, id_type):
+def _places(plan):
     def run(batches):
         rows = plan.value
         keys = rows[:, 0] * (1 << 44) + rows[:, 1]
@@ -151,7 +151,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     salt = F.pmod(F.xxhash64(*order), F.lit(salts))
     ranked = dense_position(pieces, ["length"], salt, order, "_rank").select(*pieces.columns, "_rank")
     fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_places(spark.sparkContext.broadcast(plan), None), fields)
+    return ranked.mapInArrow(_places(spark.sparkContext.broadcast(plan)), fields)
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
