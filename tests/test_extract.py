@@ -298,3 +298,21 @@ def test_lloyd_rounds(spark, monkeypatch, small):
 def test_every_pixel_of_a_large_image_counts(spark):
     df = spark.range(40_000).selectExpr("1L as image_id", "cast(id % 251 as int) as r", "cast(id % 241 as int) as g", "cast(id % 239 as int) as b")
     assert cl.kmeans(df, 3, rounds=2).agg(F.sum("n")).first()[0] == 40_000
+
+
+def test_extraction_job(pixels, spark):
+    from tintlake.operators import extract as ex
+
+    images = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    palette, record = ex.extract(pixels, images, "popularity", k=4, resize=5, sort_by="luminance", located=True)
+    rows = palette.collect()
+    assert {r.image_id for r in rows} == {r.image_id for r in record.collect()}
+    assert all(r.params == {"palette_size": "4", "resize": "5", "sort_by": "luminance"} for r in record.collect())
+    for i in {r.image_id for r in rows}:
+        own = sorted((r for r in rows if r.image_id == i), key=lambda r: r.ord)
+        assert [r.ord for r in own] == list(range(len(own))) and len(own) <= 4 and all(0 < r.src_x < 1 and 0 < r.src_y < 1 for r in own)
+    for bad in ({"method": "none"}, {"method": "wu", "preset": "muted"}, {"method": "wu", "k": 0}):
+        with pytest.raises(ValueError):
+            ex.extract(pixels, images, **bad)
+    both, records = ex.extract_jobs(pixels, images, [{"method": "popularity", "k": 2}, {"method": "wu", "k": 3}])
+    assert {r.job for r in both.collect()} == {0, 1} and records.count() == 2 * record.count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import kernel
 from ..operators import clusters as cl
+from ..operators import extract as ex
 from ..operators import pixels as px
 from ..operators import quantise as qz
 from . import derived as d
@@ -470,3 +471,22 @@ def batch(spark, sf):
     rows = qz.batch(d.colours(spark, sf), sources, qz.popularity(valid(spark, sf)))
     hexes = F.array_join(F.transform("palette", lambda c: kernel.hex_text(c["r"], c["g"], c["b"])), " ")
     return rows.select("image_id", "pos", "error", hexes.alias("hexes"))
+
+
+@query(
+    "a4_extraction_job",
+    sql(
+        "pixels",
+        f"""{_V}, pal as ({_popular()}), sh as (select image_id, idx, case when a=0 then 0 else r end as r, case when a=0 then 0 else g end as g, case when a=0 then 0 else b end as b from pixels),
+ best as (select p.image_id, p.ord, s.idx from pal p join sh s on p.image_id = s.image_id
+  qualify row_number() over (partition by p.image_id, p.ord order by (s.r-p.r)*(s.r-p.r)+(s.g-p.g)*(s.g-p.g)+(s.b-p.b)*(s.b-p.b), s.idx) = 1),
+ t as (select image_id, count(*) as n_total, count(*) filter (where a >= 1) as n_valid from pixels group by image_id)
+ select pal.image_id, row_number() over (partition by pal.image_id order by {o.hsl_l()} desc, ord) - 1 as ord, r, g, b, {o.micro('(idx % w + 0.5)/w')} as src_x, {o.micro('(idx // w + 0.5)/h')} as src_y,
+  'popularity' as method, 'palette_size=5,reverse=True,sort_by=lightness' as params, t.n_total, t.n_valid from pal join best using (image_id, ord) join images using (image_id) join t on t.image_id = pal.image_id""",
+    ),
+)
+def extraction_job(spark, sf):
+    palette, record = ex.extract(d.pixels(spark, sf), d.images(spark, sf), "popularity", sort_by="lightness", reverse=True, located=True)
+    pairs = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    record = record.select("image_id", "method", F.array_join(pairs, ",").alias("params"), "n_total", "n_valid")
+    return palette.select("image_id", "ord", "r", "g", "b", micro("src_x").alias("src_x"), micro("src_y").alias("src_y")).join(record, "image_id")
