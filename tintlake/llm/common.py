@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +49,22 @@ def row_key() -> list[Column]:
     return [F.xxhash64("_id", "_text").alias("_k1"), F.xxhash64(F.lit(71), "_text", "_id").alias("_k2")]
 
 
-def worker_memory() -> dict:
-    """A dictionary that outlives tasks in one Python worker."""
+def worker_memory(owner: str) -> dict:
+    """A dictionary that outlives tasks in one Python worker.
+
+    A worker serves one operator after another; what the one before kept is let go, and freed memory goes back."""
     name = "_tintlake_worker_memory"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].kept = {}
-    return sys.modules[name].kept
+        sys.modules[name].owner, sys.modules[name].kept = owner, {}
+    memory = sys.modules[name]
+    if memory.owner != owner:
+        memory.owner, memory.kept = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+    return memory.kept
 
 
 # Bytes of text that are worked on at once in a task (a longer text is one block).
@@ -75,7 +88,7 @@ _ROOT = 0x9E3779B97F4A7C15 | 1
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
-    memory = worker_memory()
+    memory = worker_memory("words")
     have = memory.get("powers")
     if have is None or len(have[0]) < n:
         size = max(n, BLOCK_BYTES + 64)

@@ -121,7 +121,7 @@ FOUND = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 def _finder(items, rate: float, token: str):
     @F.pandas_udf(FOUND)
     def find(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory = worker_memory()
+        memory = worker_memory("benchmark")
         if memory.get("matcher", (None,))[0] != token:  # built once a worker
             memory["matcher"] = (token, Matcher(items.value, rate))
         matcher = memory["matcher"][1]

@@ -24,7 +24,7 @@ _DROPS_SPACE = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+")
 _ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
 # Pre-tokens remembered by one Python worker; the memory is emptied when it is full.
-MEMORY_UNITS = 700_000
+MEMORY_UNITS = 600_000
 # Longer pre-tokens are not remembered.
 MEMORY_CHARS = 18
 # Words encoded by one call.
@@ -115,7 +115,7 @@ class UnitEncoder:
 
 def encoder(path: str, drops_space: bool) -> UnitEncoder:
     """The worker's encoder of one vocabulary file."""
-    memory = worker_memory()
+    memory = worker_memory("tokens")
     key = ("encoder", path, drops_space)
     if key not in memory:
         memory[key] = UnitEncoder(path, drops_space)
