@@ -162,3 +162,26 @@ def test_writes(spark, tmp_path):
     lines = [line for f in (tmp_path / "luts").glob("bucket=*/*.txt") for line in f.read_text().splitlines()]
     part = [line.split("\t")[1] for line in lines if line.startswith("1\t")]
     assert part[0] == "LUT_3D_SIZE 2" and part[1] == "0.000000 0.000000 0.000000" and part[2] == "1.000000 0.000000 0.000000" and len(part) == 9
+
+
+def test_lattice_jobs_equal_single_lattices(spark):
+    rows = [(p, i, (p * 71 + i * 97) % 256, (p * 13 + i * 53) % 256, (i * 151) % 256) for p in (1, 2) for i in range(4)]
+    palettes = spark.createDataFrame(rows, "palette_id bigint, ord int, r int, g int, b int")
+    names = ("job_id", "palette_id", "method", "size", "radius", "distribution", "intensity", "reach", "sharpness", "strength", "compression", "mute")
+    jobs = [
+        (10, 1, "", 3, 0.4, 0.15, 0.9, 1.0, 1.0, 1.0, 0.0, 0.0), (11, 1, "knn", 4, 0.0, 0.3, 0.5, 1.0, 1.0, 1.0, 0.0, 0.0), (12, 2, "rbf", 3, 0.1, 0.1, 0.1, 0.2, 2.0, 0.9, 0.0, 0.0),
+        (13, 1, "rbf", 5, 0.1, 0.1, 0.1, 0.3, 1.5, 0.7, 0.0, 0.0), (14, 2, "grade", 4, 0.1, 0.1, 0.1, 1.0, 1.0, 1.0, 0.7, 0.3), (15, 1, "grade", 3, 0.1, 0.1, 0.1, 1.0, 1.0, 1.0, 0.0, 0.0),
+        (16, 1, "rbf", 3, 0.1, 0.1, 0.1, -1.0, 1.0, 1.0, 0.0, 0.0), (17, 1, "none", 3, 0.1, 0.1, 0.1, 1.0, 1.0, 1.0, 0.0, 0.0),
+    ]
+    table = spark.createDataFrame(jobs, "job_id int, palette_id bigint, method string, size int, " + ", ".join(f"{n} double" for n in names[4:]))
+    made, refused = lut.run_jobs(palettes, table)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.job_id, set()).add(tuple(r)[1:])
+    assert {r.job_id for r in refused.collect()} == {16, 17} and set(got) == set(range(10, 16))
+    for job in jobs[:6]:
+        j = dict(zip(names, job))
+        method = j["method"] or "knn"
+        knobs = {k: j[k] for k in lut.KNOBS[method]}
+        one = lut.make_lattice(palettes.filter(F.col("palette_id") == j["palette_id"]), method, size=j["size"], **knobs)
+        assert got[j["job_id"]] == {tuple(r)[1:] for r in one.select("palette_id", "size", "node", "r", "g", "b").collect()}

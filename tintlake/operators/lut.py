@@ -24,6 +24,19 @@ def checked_size(size: int) -> int:
     return DEFAULT_SIZE if size < 2 else size
 
 
+def _knob(value: Column | float) -> Column:
+    """A number for all palettes, or a column with one for each."""
+    return value if isinstance(value, Column) else kernel.lit(value)
+
+
+def _size(value: Column | int) -> Column:
+    return value if isinstance(value, Column) else F.lit(checked_size(value))
+
+
+def _is(value: Column | float, number: float) -> bool:
+    return not isinstance(value, Column) and value == number
+
+
 def _nodes(df: DataFrame, size: Column) -> DataFrame:
     """Each row once per lattice node, with the node's own colour c_r, c_g, c_b."""
     df = df.withColumn("size", size).withColumn("node", F.explode(F.sequence(F.lit(0), F.expr("cast(size * size * size - 1 as int)"))))
@@ -39,14 +52,15 @@ def identity_lattice(palettes: DataFrame, size: Column | int) -> DataFrame:
     return out.select("palette_id", "size", "node", F.col("c_r").alias("r"), F.col("c_g").alias("g"), F.col("c_b").alias("b"))
 
 
-def _colours_at_nodes(palettes: DataFrame, size: int) -> DataFrame:
+def _colours_at_nodes(palettes: DataFrame, size: Column | int, carry: tuple[str, ...]) -> DataFrame:
     """Palette colours x lattice nodes with OkLab of both and their distance.
 
     The lattice is generated inside each colour's row, so this is a narrow step; the aggregation that follows
     is keyed by (palette_id, node) and combines map-side.
     """
-    df = kernel.with_oklch(palettes.select("palette_id", "ord", "r", "g", "b"), p="p_").select("palette_id", "ord", "p_l", "p_a", "p_b", "p_c", "p_h")
-    df = kernel.with_oklch(_nodes(df, F.lit(checked_size(size))), "c_r", "c_g", "c_b", "n_")
+    same = ("palette_id", "ord", *carry)
+    df = kernel.with_oklch(palettes.select(*same, "r", "g", "b"), p="p_").select(*same, "p_l", "p_a", "p_b", "p_c", "p_h")
+    df = kernel.with_oklch(_nodes(df, _size(size)), "c_r", "c_g", "c_b", "n_")
     gaps = [F.col(f"n_{c}") - F.col(f"p_{c}") for c in "lab"]
     return df.withColumn("d", F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]))
 
@@ -55,23 +69,26 @@ KEYS = ["palette_id", "size", "node", "n_l", "n_a", "n_b", "n_c", "n_h"]
 
 
 def knn_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, radius: float = 0.40, distribution: float = 0.15,
-                intensity: float = 0.90, neighbours: int = 2, saturation: bool = False) -> DataFrame:
-    """Pull each node's hue (and chroma, if asked) towards its nearest palette colours."""
-    if intensity == 0:
+                intensity: float = 0.90, neighbours: int = 2, saturation: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pull each node's hue (and chroma, if asked) towards its nearest palette colours.
+
+    Size and knobs are numbers, or columns of ``palettes`` that are constant per palette and named in ``carry``."""
+    if _is(intensity, 0):
         return identity_lattice(palettes.select("palette_id").distinct(), checked_size(size))
-    near = _colours_at_nodes(palettes, size)
+    near = _colours_at_nodes(palettes, size, carry)
     rank = F.row_number().over(Window.partitionBy("palette_id", "node").orderBy("d", "ord"))
     near = near.withColumn("rank", rank).filter(F.col("rank") <= max(neighbours, 1))
     w = kernel.lit(1) / (F.col("d") + 1e-6)
     rad = F.radians("p_h")
-    sums = near.groupBy(*KEYS).agg(
+    sums = near.groupBy(*KEYS, *carry).agg(
         F.min("d").alias("d0"), F.sum(w).alias("w"), F.sum(w * F.col("p_c")).alias("wc"),
         F.sum(w * F.cos(rad)).alias("wx"), F.sum(w * F.sin(rad)).alias("wy"),
     )
-    far = F.least(F.col("d0") / radius, kernel.lit(1)) if radius > 0 else kernel.lit(1)
+    reach = _knob(radius)
+    far = F.when(reach > 0, F.least(F.col("d0") / reach, kernel.lit(1))).otherwise(kernel.lit(1))
     sums = kernel.staged(
         sums,
-        {"pull": F.pow(kernel.lit(1) - far, kernel.lit(2 * distribution)) * intensity, "th": kernel.hue_of(F.col("wx"), F.col("wy"))},
+        {"pull": F.pow(kernel.lit(1) - far, _knob(distribution) * 2.0) * _knob(intensity), "th": kernel.hue_of(F.col("wx"), F.col("wy"))},
         {"nc": F.col("n_c") + (F.col("wc") / F.col("w") - F.col("n_c")) * F.col("pull") if saturation else F.col("n_c")},
         {"nh": _mix_hue(F.col("n_h"), F.col("th"), F.col("pull"))},
     )
@@ -79,18 +96,18 @@ def knn_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, radius: float = 0
 
 
 def rbf_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, reach: float = 0.20, sharpness: float = 2.0,
-                strength: float = 0.90, saturation: bool = False) -> DataFrame:
-    """Blend each node towards all palette colours with weights exp(-(d / reach)^sharpness)."""
-    if strength == 0:
+                strength: float = 0.90, saturation: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blend each node towards all palette colours with weights exp(-(d / reach)^sharpness); knobs as in ``knn_lattice``."""
+    if _is(strength, 0):
         return identity_lattice(palettes.select("palette_id").distinct(), checked_size(size))
-    w = F.exp(-F.pow(F.col("d") / reach, kernel.lit(sharpness)))
-    sums = _colours_at_nodes(palettes, size).withColumn("w", w).groupBy(*KEYS)
+    w = F.exp(-F.pow(F.col("d") / _knob(reach), _knob(sharpness)))
+    sums = _colours_at_nodes(palettes, size, carry).withColumn("w", w).groupBy(*KEYS, *carry)
     sums = sums.agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("p_a")).alias("wa"), F.sum(F.col("w") * F.col("p_b")).alias("wb"))
     heavy = F.col("sw") > 1e-12
 
     def blended(n: str, s: str) -> Column:
         target = F.when(heavy, F.col(s) / F.col("sw")).otherwise(F.col(n))
-        return F.col(n) + (target - F.col(n)) * strength
+        return F.col(n) + (target - F.col(n)) * _knob(strength)
 
     sums = kernel.staged(sums, {"na": blended("n_a", "wa"), "nb": blended("n_b", "wb")})
     if not saturation:
@@ -107,7 +124,7 @@ def _lattice(df: DataFrame) -> DataFrame:
 # --- hue-wheel compression ------------------------------------------------------------------------------------
 
 
-def hue_gaps(palettes: DataFrame) -> DataFrame:
+def hue_gaps(palettes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Gaps between neighbouring hue anchors of each palette (wrapping), after merging anchors closer than 2 degrees.
 
     Merging keeps a running mean in hue order, which is a fold over one palette's chromatic colours. A palette
@@ -115,7 +132,7 @@ def hue_gaps(palettes: DataFrame) -> DataFrame:
     """
     lch = kernel.with_oklch(palettes)
     spoke = F.when(F.col("ok_c") >= NEUTRAL_CHROMA, F.struct(F.col("ok_h").alias("h"), F.col("ord").alias("o"), F.col("ok_c").alias("c")))
-    per = lch.groupBy("palette_id").agg(F.array_sort(F.collect_list(spoke)).alias("raw"))
+    per = lch.groupBy("palette_id", *carry).agg(F.array_sort(F.collect_list(spoke)).alias("raw"))
 
     def add(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
@@ -125,33 +142,35 @@ def hue_gaps(palettes: DataFrame) -> DataFrame:
         return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(mean))).otherwise(F.concat(done, F.array(fresh)))
 
     start = F.array().cast("array<struct<h:double,c:double>>")
-    anchors = per.select("palette_id", F.aggregate("raw", start, add).alias("an")).withColumn("m", F.size("an"))
-    gaps = anchors.select("palette_id", "m", "an", F.posexplode_outer("an").alias("i", "lo"))
+    anchors = per.select("palette_id", *carry, F.aggregate("raw", start, add).alias("an")).withColumn("m", F.size("an"))
+    gaps = anchors.select("palette_id", *carry, "m", "an", F.posexplode_outer("an").alias("i", "lo"))
     hi = F.when(F.col("i").isNotNull(), F.get("an", (F.col("i") + 1) % F.greatest(F.col("m"), F.lit(1))))
     gaps = gaps.withColumn("hi", hi)
     width = F.col("hi.h") - F.col("lo.h")
     wrapped = F.when(width <= 0, width + 360.0).otherwise(width)
     return gaps.select(
-        "palette_id", "m", "i", F.col("lo.h").alias("lo_h"), F.col("lo.c").alias("lo_c"),
+        "palette_id", *carry, "m", "i", F.col("lo.h").alias("lo_h"), F.col("lo.c").alias("lo_c"),
         F.col("hi.h").alias("hi_h"), F.col("hi.c").alias("hi_c"), wrapped.alias("width"),
     )
 
 
 def grade_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, compression: float = 0.70, mute: float = 0.30,
-                  saturation: bool = False) -> DataFrame:
-    """Squeeze hues onto the palette's spokes; lightness stays, chroma is muted between spokes and kept in gamut.
+                  saturation: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Squeeze hues onto the palette's spokes; lightness stays, chroma is muted between spokes and kept in gamut. Knobs as
+    in ``knn_lattice``.
 
     Every gap row meets the lattice and keeps the nodes whose hue it holds, so each node survives exactly once
     per palette and nothing is shuffled after the gaps are known.
     """
-    df = kernel.with_oklch(_nodes(hue_gaps(palettes), F.lit(checked_size(size))), "c_r", "c_g", "c_b", "n_")
+    df = kernel.with_oklch(_nodes(hue_gaps(palettes, carry), _size(size)), "c_r", "c_g", "c_b", "n_")
     df = kernel.fence(df, {n: F.col(n) for n in ("n_l", "n_c", "n_h")}).drop("n_a", "n_b")
     h, lo, hi = F.col("n_h"), F.col("lo_h"), F.col("hi_h")
     seam = F.col("i") == F.col("m") - 1
     inside = F.when(F.col("m") <= 1, True).when(seam, (h >= lo) | (h < hi)).otherwise((h >= lo) & (h < hi))
     df = df.filter(inside)
     t = F.least(kernel.wrap(h - lo) / F.col("width"), kernel.lit(1))
-    power = kernel.lit(MAX_GAIN**compression)
+    compression, mute = _knob(compression), _knob(mute)
+    power = F.pow(kernel.lit(MAX_GAIN), compression)
     df = kernel.staged(df, {"t": t}, {"up": F.pow("t", power), "down": F.pow(kernel.lit(1) - F.col("t"), power)})
     bent = F.when(F.col("t") <= 0, 0.0).when(F.col("t") >= 1, 1.0).otherwise(F.col("up") / (F.col("up") + F.col("down")))
     df = df.withColumn("bent", bent)
@@ -162,15 +181,13 @@ def grade_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, compression: fl
         "edge": kernel.clamp(F.coalesce(edge, kernel.lit(0))),
     })
     chroma = F.col("n_c")
-    pulls = saturation and compression > 0
-    if pulls:
-        chroma = chroma + (F.col("wc") - chroma) * compression
-    if mute > 0:
-        smooth = F.col("edge") * F.col("edge") * (kernel.lit(3) - F.col("edge") * 2.0)
-        chroma = F.when(F.col("m") > 0, chroma * (kernel.lit(1) - smooth * mute)).otherwise(chroma)
+    pulls = F.lit(saturation) & (compression > 0)
+    chroma = F.when(pulls, chroma + (F.col("wc") - chroma) * compression).otherwise(chroma)
+    smooth = F.col("edge") * F.col("edge") * (kernel.lit(3) - F.col("edge") * 2.0)
+    chroma = F.when((F.col("m") > 0) & (mute > 0), chroma * (kernel.lit(1) - smooth * mute)).otherwise(chroma)
     df = kernel.with_clipped_chroma(df.withColumn("nc", chroma), "n_l", "nc", "wh", "nc")
     df = kernel.with_oklch_bytes(df, F.col("n_l"), F.col("nc"), F.col("wh"))
-    idle = F.lit(not pulls) & ((F.col("m") == 0) | F.lit(compression <= 0 and mute <= 0))
+    idle = ~pulls & ((F.col("m") == 0) | ((compression <= 0) & (mute <= 0)))
     same = [F.when(idle, F.col(f"c_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"]
     return df.select("palette_id", "size", "node", *same)
 
@@ -204,6 +221,28 @@ def check_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"error": error, "method": method, "size": size})
 
 
+KNOBS = {
+    "knn": ("radius", "distribution", "intensity"),
+    "rbf": ("reach", "sharpness", "strength"),
+    "grade": ("compression", "mute"),
+}
+
+
+def run_jobs(palettes: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lattices, refused): lattices (job_id, size, node, r, g, b) of all requests (job_id, palette_id, method, size,
+    knobs), each with its own size and knobs, in one plan a method however many jobs there are; refused jobs with error."""
+    checked = check_jobs(jobs)
+    good, out = checked.filter(F.col("error").isNull()), None
+    for method, make in (("knn", knn_lattice), ("rbf", rbf_lattice), ("grade", grade_lattice)):
+        carry = tuple(f"_{k}" for k in (*KNOBS[method], "size"))
+        mine = good.filter(F.col("method") == method).select("job_id", "palette_id", *[F.col(c[1:]).cast("int" if c == "_size" else "double").alias(c) for c in carry])
+        keyed = palettes.select("palette_id", "ord", "r", "g", "b").join(mine, "palette_id").drop("palette_id").withColumnRenamed("job_id", "palette_id")
+        made = make(keyed, size=F.col("_size"), **{k: F.col(f"_{k}") for k in KNOBS[method]}, carry=carry)
+        made = made.select(F.col("palette_id").alias("job_id"), "size", "node", "r", "g", "b")
+        out = made if out is None else out.unionByName(made)
+    return out, checked.filter(F.col("error").isNotNull()).select("job_id", "method", "error")
+
+
 # --- application ---------------------------------------------------------------------------------------------------
 
 

@@ -156,6 +156,26 @@ def lattice_jobs(spark, sf):
     return lut.check_jobs(jobs).select("job_id", "method", "size", "error")
 
 
+def _run_jobs_sql() -> str:
+    made = [
+        f"select palette_id as job_id, size, node, r, g, b from ({_rbf_sql(0.2, 2.0, 0.9, False)}) where palette_id % 2 = 0",
+        f"select palette_id, size, node, r, g, b from ({_rbf_sql(0.3, 1.5, 0.7, False)}) where palette_id % 2 = 1",
+        f"select palette_id + 1000, size, node, r, g, b from ({_knn_sql(0.4, 0.15, 0.9, 2, False)})",
+    ]
+    return sql("palettes", " " + " union all ".join(made))
+
+
+@query("g5_run_jobs", _run_jobs_sql())
+def run_lattice_jobs(spark, sf):
+    palettes = d.palettes(spark, sf)
+    ids = palettes.select("palette_id").distinct()
+    even = F.col("palette_id") % 2 == 0
+    same = {"size": F.lit(S), "radius": F.lit(0.4), "distribution": F.lit(0.15), "intensity": F.lit(0.9), "compression": F.lit(0.0), "mute": F.lit(0.0)}
+    rbf = ids.select(F.col("palette_id").alias("job_id"), "palette_id", F.lit("rbf").alias("method"), F.when(even, 0.2).otherwise(0.3).alias("reach"), F.when(even, 2.0).otherwise(1.5).alias("sharpness"), F.when(even, 0.9).otherwise(0.7).alias("strength"))
+    knn = ids.select((F.col("palette_id") + 1000).alias("job_id"), "palette_id", F.lit("").alias("method"), *[F.lit(1.0).alias(k) for k in ("reach", "sharpness", "strength")])
+    return lut.run_jobs(palettes, rbf.unionByName(knn).withColumns(same))[0]
+
+
 def _apply_sql() -> str:
     lat = _rbf_sql(0.2, 2.0, 0.9, False)
     at = ", ".join(f"least(cast(floor({c}/255e0*4e0) as int), 3) as i{c}" for c in "rgb")
