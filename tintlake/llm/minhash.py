@@ -266,15 +266,17 @@ def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[Dat
     common = rare.groupBy("node").agg(F.sum("count").alias("rare"))
     with_common = lambda df: df.join(common, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare")
     # Pairs without a common rare shingle.
-    placed = with_common(placed)
-    odd = placed.filter("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in (*columns, "common")])
+    placed = with_common(placed).join(nodes.select("node", "bands"), "node")
+    odd = placed.filter("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in (*columns, "common", "bands")])
     least = F.lit(threshold) * F.col("other_n") - 1e-6
     most = F.col("other_common") * F.lit((1 + threshold) / threshold) - F.col("other_n") + 1e-6
     sizes = F.sequence(_size_class(least), _size_class(F.least(most, F.col("other_n") / F.lit(threshold) + 1e-6)))
     odd = odd.filter(most >= least).withColumn("class", F.explode(sizes))
     reach = F.least("common", "other_common") >= (F.col("n") + F.col("other_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    # Of the buckets that two nodes share, the first gives the pair.
+    first_shared = F.element_at(F.array_intersect("bands", "other_bands"), 1) == F.col("bucket")
     once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("other_node"))
-    across = placed.withColumn("class", _size_class(F.col("n"))).join(odd, ["bucket", "class"]).filter(differs & once & reach & _close(threshold))
+    across = placed.withColumn("class", _size_class(F.col("n"))).join(odd, ["bucket", "class"]).filter(differs & once & reach & _close(threshold) & first_shared)
     # Pairs with some: their other shingles and these bound the overlap.
     shared = rare.filter("nodes > 1").select("node", "shingle", "count").join(with_common(facts), "node")
     other = shared.select("shingle", *[F.col(c).alias(f"other_{c}") for c in (*columns, "common", "count")])
