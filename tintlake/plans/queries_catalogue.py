@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as cg
-from ..operators import gradient as gr
 from ..operators import sinks
 from ..sources import catalogue as src
 from ..sources import images as im
@@ -13,7 +12,7 @@ from ..sources import lists
 from . import derived as d
 from . import oracle as o
 from .derived import sql
-from .queries_color import _HEXFIX, _NAMED_SQL, _TEXT_SQL, _compact, _spaces_sql, micro
+from .queries_color import _TEXT_SQL, _spaces_sql, micro
 from .registry import query
 
 # --- sources ------------------------------------------------------------------------------------------------

@@ -14,7 +14,6 @@ from ..operators import harmony as hm
 from . import derived as d
 from . import oracle as o
 from .derived import sql
-from .queries_color import micro
 from .registry import query
 
 
