@@ -164,7 +164,18 @@ def octree(spark, sf):
     return shown(qz.octree(valid(spark, sf)))
 
 
-LLOYD_ROUNDS = 5  # in the queries: their oracle unrolls them
+LLOYD_ROUNDS = 5  # of the queries named for it: their oracle unrolls them
+
+
+def lloyd_query(name: str, sql_: str):
+    """Register ``name`` with the operators' rounds (to rest, at most 50), and with few rounds beside the SQL that unrolls them."""
+
+    def keep(fn):
+        query(name)(lambda spark, sf: fn(spark, sf, K.LLOYD_ROUNDS))
+        query(f"{name}_{LLOYD_ROUNDS}_rounds", sql_)(lambda spark, sf: fn(spark, sf, LLOYD_ROUNDS))
+        return fn
+
+    return keep
 
 
 def _lloyd_sql(points: str, k: int, rounds: int, key: str = "image_id") -> str:
@@ -210,14 +221,14 @@ def _kmeans_sql(space: str) -> str:
     return sql("pixels", _V + _lloyd_sql(_points_sql(space), 5, LLOYD_ROUNDS) + tail)
 
 
-@query("c6_kmeans", _kmeans_sql("lab"))
-def kmeans(spark, sf):
-    return shown(cl.kmeans(placed(spark, sf), rounds=LLOYD_ROUNDS))
+@lloyd_query("c6_kmeans", _kmeans_sql("lab"))
+def kmeans(spark, sf, rounds):
+    return shown(cl.kmeans(placed(spark, sf), rounds=rounds))
 
 
-@query("c7_okkmeans", _kmeans_sql("oklab"))
-def okkmeans(spark, sf):
-    return shown(cl.kmeans(placed(spark, sf), space="oklab", rounds=LLOYD_ROUNDS))
+@lloyd_query("c7_okkmeans", _kmeans_sql("oklab"))
+def okkmeans(spark, sf, rounds):
+    return shown(cl.kmeans(placed(spark, sf), space="oklab", rounds=rounds))
 
 
 def _merges_sql(rounds: int, radius: float | None, floor: int) -> str:
@@ -249,9 +260,9 @@ def _wkmeans_sql(k: int = 5) -> str:
     return sql("pixels", _V + _lloyd_sql(points, K.CLUSTERS, LLOYD_ROUNDS) + u0 + _merges_sql(K.CLUSTERS - 1, K.WEIGHTED_MERGE_DISTANCE, 1) + tail)
 
 
-@query("c8_wkmeans", _wkmeans_sql())
-def wkmeans(spark, sf):
-    return shown(cl.weighted_kmeans(valid(spark, sf), rounds=LLOYD_ROUNDS))
+@lloyd_query("c8_wkmeans", _wkmeans_sql())
+def wkmeans(spark, sf, rounds):
+    return shown(cl.weighted_kmeans(valid(spark, sf), rounds=rounds))
 
 
 def _soft_sql(count_stop: bool, k: int = 5) -> str:
@@ -273,14 +284,14 @@ def _soft_sql(count_stop: bool, k: int = 5) -> str:
     return sql("pixels", kept + px_ + _lloyd_sql(_points_sql("lab"), K.CLUSTERS, LLOYD_ROUNDS) + u0 + _merges_sql(K.CLUSTERS - 1, radius, floor) + tail)
 
 
-@query("c9_soft", _soft_sql(False))
-def soft(spark, sf):
-    return cl.soft(placed(spark, sf), rounds=LLOYD_ROUNDS).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
+@lloyd_query("c9_soft", _soft_sql(False))
+def soft(spark, sf, rounds):
+    return cl.soft(placed(spark, sf), rounds=rounds).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
 
 
-@query("c10_softk", _soft_sql(True))
-def softk(spark, sf):
-    return cl.soft(placed(spark, sf), count_stop=True, rounds=LLOYD_ROUNDS).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
+@lloyd_query("c10_softk", _soft_sql(True))
+def softk(spark, sf, rounds):
+    return cl.soft(placed(spark, sf), count_stop=True, rounds=rounds).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
 
 
 def _mood_sql(p: str) -> str:
@@ -353,9 +364,9 @@ def _grouped_sql() -> str:
     return sql("pixels", _V + _lloyd_sql(_points_sql("oklab"), 8, LLOYD_ROUNDS) + f" select image_id, c, {means}, sum(w)::bigint as n from pt group by image_id, c")
 
 
-@query("c16_grouped_lloyd", _grouped_sql())
-def grouped_lloyd(spark, sf):
-    points = cl.cluster_points(cl.color_points(placed(spark, sf), "oklab"), 8, LLOYD_ROUNDS)
+@lloyd_query("c16_grouped_lloyd", _grouped_sql())
+def grouped_lloyd(spark, sf, rounds):
+    points = cl.cluster_points(cl.color_points(placed(spark, sf), "oklab"), 8, rounds)
     out = cl._cluster_means(points, F.col("w"), F.lit(0), "image_id")
     return out.select("image_id", "c", *[F.floor(F.col(f) * 1000).cast("bigint").alias(f) for f in cl.FEATURES], F.col("n").cast("bigint").alias("n"))
 
@@ -450,9 +461,9 @@ def _corpus_sql() -> str:
     return sql("pixels", ", px as (select 0 as corpus, * from pixels where a >= 1)" + _lloyd_sql(points, 5, LLOYD_ROUNDS, "corpus") + tail)
 
 
-@query("c19_corpus_kmeans", _corpus_sql())
-def corpus_kmeans(spark, sf):
-    return cl.corpus_kmeans(valid(spark, sf), rounds=LLOYD_ROUNDS).select("ord", "r", "g", "b", "n", micro("freq").alias("freq"))
+@lloyd_query("c19_corpus_kmeans", _corpus_sql())
+def corpus_kmeans(spark, sf, rounds):
+    return cl.corpus_kmeans(valid(spark, sf), rounds=rounds).select("ord", "r", "g", "b", "n", micro("freq").alias("freq"))
 
 
 @query(
