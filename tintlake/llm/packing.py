@@ -1,10 +1,9 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps over sizes.
+"""Best-fit packing of token sequences, matched on the driver over the histogram of their lengths.
 
 Pieces of equal length are interchangeable and so are sequences with equal gaps, so the matching works on sizes: at
-most ``capacity`` lengths with a count each, whatever the corpus. One step takes one length, from long to short:
-its pieces and the open gaps lie sorted by size, a successor sweep pairs them with the smallest gaps that fit,
-conflicts are resolved by rank (the j-th piece goes to the j-th free place), gaps are updated, and pieces that found
-no gap open new sequences. Spark counts lengths, ranks the pieces of a length in salted buckets and turns ranks into
+most ``capacity`` lengths with a count each, whatever the corpus. The matching is a loop on the driver, not distributed;
+one step takes one length, from long to short: its pieces go to the smallest gaps that fit (the j-th piece to the j-th
+free place), gaps are updated, and pieces that found no gap open new sequences. Spark counts lengths, ranks the pieces of a length in salted buckets and turns ranks into
 places; only counts and the plan (at most ``capacity``^2 rows, at most one a piece) pass the driver.
 
 Nulls: a null text is an empty document (its end id only). Null ids are kept. Repeated rows are packed each.
