@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """The stem, with underscores added until no column of ``df`` has the name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 # Bytes of the Arrow batches that tasks exchange with Python.
 BATCH_BYTES = 4 << 20
 
