@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tintlake.functions import constants as K
@@ -35,7 +36,7 @@ def settled(f, w, pos, k):
 def test_rounds_go_on_to_rest(spark, monkeypatch, name, k):
     seen, plain = [], cl.cluster_points
 
-    def watched(points, n, rounds, key="image_id"):
+    def watched(points, n, rounds=K.LLOYD_ROUNDS, key="image_id"):
         assert (n, rounds) == (k, K.LLOYD_ROUNDS)
         seen.append((key, plain(points, n, rounds, key)))
         return seen[0][1]
@@ -51,3 +52,34 @@ def test_rounds_go_on_to_rest(spark, monkeypatch, name, k):
         longest = max(longest, used)
     assert longest > 1
     print(name, "rounds", longest)
+
+
+def spots(palette):
+    return sorted(tuple(x) for x in palette.collect())
+
+
+def test_spread_rounds_give_the_same(spark, monkeypatch):
+    """Images cut into many blocks against images settled in one, with and without states that are broadcast."""
+    names = ("c7_okkmeans", "c8_wkmeans")
+    want = {name: spots(queries()[name](spark, SF)) for name in names}
+    monkeypatch.setattr(cl, "BLOCK_POINTS", 100)
+    assert {name: spots(queries()[name](spark, SF)) for name in names} == want
+    monkeypatch.setattr(cl, "BROADCAST_BYTES", 0)
+    assert spots(queries()["c7_okkmeans"](spark, SF)) == want["c7_okkmeans"]
+
+
+def test_one_join_a_round(spark, make_pixels):
+    image = make_pixels({1: (8, [(i * 3, 255 - i, i * i % 251, 255) for i in range(64)])})
+    points = cl.color_points(image, "oklab")
+    blocks = cl.cut(cl.packed_points(points, "image_id"))
+    start = blocks.select("image_id").distinct().withColumn("centres", F.array().cast(f"array<{cl._CENTRE}>"))
+    state = cl.cut(cl.seeded(blocks, start, "image_id", True).select("image_id", "centres", F.element_at("centres", 1).alias("lead")))
+    for step in range(1, 7):
+        state = cl.moved(blocks, state, "image_id", True)
+        assert state._jdf.queryExecution().optimizedPlan().toString().count("Join") == step
+
+
+def test_more_colours_than_the_default(spark, make_pixels):
+    """Over-clusters follow the palette: 32 colours of an image that has them."""
+    image = make_pixels({1: (64, [(i % 8 * 36, i // 8 % 8 * 36, i // 64 * 36, 255) for i in range(512)])})
+    assert cl.weighted_kmeans(image, k=32).count() == cl.soft(image, k=32, count_stop=True).count() == 32

@@ -241,7 +241,7 @@ APCA_LUMA = [0.2126729, 0.7151522, 0.0721750]
 PALETTE_SIZE = 5
 MAX_PALETTE_SIZE = 32
 RESIZE_SIDE = 512
-CLUSTERS = 25  # five for each of the usual five colours
+CLUSTERS_PER_COLOR = 5
 SOFT_MERGE_DISTANCE = 12.0
 WEIGHTED_MERGE_DISTANCE = 8.0
 DENSITY_RADIUS = 6.0

@@ -1,4 +1,4 @@
-"""Numpy helpers over the bounded points of one image.
+"""Numpy helpers over blocks of points and the bounded clusters of one image.
 
 The module is registered for pickling by value, so tasks carry these functions with them and executors do not
 need the package installed.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 from .constants import OKLAB_FROM_LMS, OKLAB_LMS
@@ -22,6 +23,93 @@ def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
 
 
+FEATURES = ["f0", "f1", "f2"]
+SUMS = ["s0", "s1", "s2", "sw"]
+# Points whose distances to all centres are held at once.
+POINTS_AT_ONCE = 1 << 13
+
+
+def block_of(rows: pa.Table) -> pa.Table:
+    """Rows (key, split, splits, f0..f2, w, pos) as one row (key, split, splits, f, w, pos) of raw values."""
+    key, split, splits, *features, w, pos = [rows.column(i) for i in range(rows.num_columns)]
+    f = np.stack([c.to_numpy() for c in features], axis=1)
+    values = [key[:1], split[:1], splits[:1], [f.tobytes()], [w.to_numpy().tobytes()], [pos.to_numpy().tobytes()]]
+    return pa.table(values, [*rows.schema.names[:3], "f", "w", "pos"])
+
+
+def _blocks(f: pa.Array, w: pa.Array, pos: pa.Array, centres: pa.Array):
+    """Features, weights, positions and centres of each block."""
+    spots = np.stack([centres.values.field(c).to_numpy() for c in FEATURES], axis=1)
+    edges = centres.offsets.to_numpy()
+    for i in range(len(f)):
+        points, weight, at = (np.frombuffer(a[i].as_buffer(), dtype=t) for a, t in ((f, np.float64), (w, np.float64), (pos, np.int64)))
+        yield points.reshape(-1, 3), weight, at, spots[edges[i] : edges[i + 1]]
+
+
+def _squared(points: np.ndarray, spots: np.ndarray):
+    """Squared distances to all centres, of some points at a time, terms added from the first feature on."""
+    for lo in range(0, len(points), POINTS_AT_ONCE):
+        d = points[lo : lo + POINTS_AT_ONCE, None, :] - spots
+        d *= d
+        yield d[:, :, 0] + d[:, :, 1] + d[:, :, 2]
+
+
+def _farthest(points: np.ndarray, weight: np.ndarray, at: np.ndarray, spots: np.ndarray) -> tuple[int, int] | None:
+    """Rank and place of the point of greatest mass: weight, times the squared distance to the nearest centre if there
+    are any. Masses compare on a fine logarithmic scale, ties by the smaller ``at`` (below 2^24). None: no mass."""
+    mass = weight * np.concatenate([d.min(axis=1) for d in _squared(points, spots)]) if len(spots) else weight
+    rank = np.floor(np.log(mass + 1.0) * 1e6).astype(np.int64) * (1 << 24) + ((1 << 24) - 1) - at
+    best = int(np.where(mass > 0, rank, -1).argmax())
+    return (int(rank[best]), best) if mass[best] > 0 else None
+
+
+def _sums(points: np.ndarray, weight: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """For each centre the weighted feature sums and weight of the points nearest to it, the first on ties."""
+    c = np.concatenate([d.argmin(axis=1) for d in _squared(points, spots)])
+    return np.stack([*[np.bincount(c, weight * points[:, q], len(spots)) for q in range(3)], np.bincount(c, weight, len(spots))], axis=1)
+
+
+def farthest_of_blocks(f: pa.Array, w: pa.Array, pos: pa.Array, centres: pa.Array) -> pa.Array:
+    """Rank and features of each block's next seed; null if no point has mass."""
+    out = []
+    for points, weight, at, spots in _blocks(f, w, pos, centres):
+        found = _farthest(points, weight, at, spots)
+        out.append((found[0], *points[found[1]].tolist()) if found else (None,) * 4)
+    kinds = [pa.int64(), *[pa.float64()] * 3]
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["rank", *FEATURES])
+
+
+def sums_of_blocks(f: pa.Array, w: pa.Array, pos: pa.Array, centres: pa.Array) -> pa.Array:
+    """Each block's sums, one struct a centre."""
+    sums = [np.zeros((0, 4)), *[_sums(points, weight, spots) for points, weight, _, spots in _blocks(f, w, pos, centres)]]
+    edges = np.cumsum([len(s) for s in sums]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in np.concatenate(sums).T], SUMS))
+
+
+def settled_blocks(k: int, rounds: int):
+    """Seeds and rounds of keys that are one block each, as a function of their blocks: the centres at rest."""
+
+    def settle(f: pa.Array, w: pa.Array, pos: pa.Array) -> pa.Array:
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(f) + 1, np.int32)), pa.StructArray.from_arrays([pa.array([], pa.float64())] * 3, FEATURES))
+        out = [np.zeros((0, 3))]
+        for points, weight, at, spots in _blocks(f, w, pos, none):
+            while len(spots) < k and (found := _farthest(points, weight, at, spots)):
+                spots = np.concatenate([spots, points[found[1]][None]])
+            lead = spots[:1]
+            for _ in range(rounds):
+                sums = _sums(points, weight, spots)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    after = np.where(sums[:, 3:] > 0, np.round(sums[:, :3] / sums[:, 3:], 6), lead)
+                if (after == spots).all():
+                    break
+                spots = after
+            out.append(spots)
+        edges = np.cumsum([len(x) for x in out]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in np.concatenate(out).T], FEATURES))
+
+    return settle
+
+
 def merge_closest(f: np.ndarray, w: np.ndarray, extra: np.ndarray, radius: float, floor: int):
     """Merge the nearest pair (first on ties) while it is closer than ``radius`` and more than ``floor`` remain."""
     while len(f) > max(floor, 1):

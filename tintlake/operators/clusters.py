@@ -1,12 +1,14 @@
 """Iterative palette extraction: k-means variants, density clusters, nearest-pair merges.
 
-Pixels fold to distinct colours or 5-bit bins; k-means rounds are joins and aggregates over the points of all images at
-once, and so are density labels over the bins. Small numpy helpers meet bounded remainders only: the few clusters of an
-image for nearest-pair merges, and the last leaves of its octree.
+Pixels fold to distinct colours or 5-bit bins; k-means rounds are joins and aggregates over blocks of the points of all
+images at once, density labels over the bins. Small numpy helpers meet bounded pieces only: a block of points, the few
+clusters of an image for nearest-pair merges, and the last leaves of its octree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,93 +16,132 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
-from ..functions.numeric import distances, merge_closest, oklab_of
+from ..functions.numeric import FEATURES, SUMS, block_of, distances, farthest_of_blocks, merge_closest, oklab_of, settled_blocks, sums_of_blocks
 from ..runtime import cut, salted_join, spread_by, with_image_totals
 from .pixels import CHANNELS, histogram, top_k
 
-FEATURES = ["f0", "f1", "f2"]
-
-
-# --- grouped application --------------------------------------------------------------------------------------------
+# --- rounds of centres ----------------------------------------------------------------------------------------------
 
 
-# Rounds of centres per lineage cut; after a cut the work ends if the last round moved nothing.
+# Rounds of centres per lineage cut; at a cut, keys whose last round moved nothing are set aside.
 ROUNDS_PER_CUT = 5
 # Centres of all keys, in bytes, up to which they are sent to every executor.
 BROADCAST_BYTES = 16 << 20
+# Points that are packed into one block.
+BLOCK_POINTS = 1 << 16
+
+_CENTRE = "struct<f0: double, f1: double, f2: double>"
 
 
 def _near(centre: Column) -> Column:
     return sum(((F.col(f) - centre[f]) * (F.col(f) - centre[f]) for f in FEATURES), F.lit(0.0))
 
 
-def _rank_of(mass: Column) -> Column:
-    """Mass on a fine logarithmic scale, ties by the smaller ``pos``, as one integer: the seed search is a hash aggregate.
-    Null for no mass. ``pos`` must be below 2^24."""
-    scaled = F.floor(F.log(mass + 1.0) * 1e6).cast("bigint") * (1 << 24) + ((1 << 24) - 1) - F.col("pos")
-    return F.when(mass > 0, scaled)
+def packed_points(points: DataFrame, key: str) -> DataFrame:
+    """Points as blocks (key, split, splits of the key, f, w, pos): the raw doubles of at most about ``BLOCK_POINTS`` points of a key, so
+    that a round costs a row a block and a key of any size is spread over its blocks."""
+    splits = points.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_POINTS).cast("int").alias("splits"))
+    placed = salted_join(points.select(key, *FEATURES, "w", "pos"), splits, [key], F.xxhash64("pos"))
+    placed = placed.withColumn("split", F.pmod(F.xxhash64("pos", F.lit(1)), F.col("splits")).cast("int"))
+    spread = spread_by(placed, key, "split").select(key, "split", "splits", *FEATURES, F.col("w").cast("double"), F.col("pos").cast("bigint"))
+    kind = points.schema[key].dataType.simpleString()
+    return spread.groupBy(key, "split").applyInArrow(block_of, f"{key} {kind}, split int, splits int, f binary, w binary, pos binary")
 
 
-def cluster_points(points: DataFrame, k: int, rounds: int, key: str = "image_id") -> DataFrame:
+def _meeting(blocks: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
+    """Blocks with their key's state: the one join of a round."""
+    if small:
+        return blocks.join(F.broadcast(state), key)
+    return salted_join(blocks, state, [key], F.col("split"))
+
+
+def seeded(blocks: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
+    """States (key, centres) with one more centre: the point of greatest weight times squared distance to the nearest."""
+    farthest = F.arrow_udf(farthest_of_blocks, "struct<rank: bigint, f0: double, f1: double, f2: double>")
+    met = _meeting(blocks, state, key, small).select(key, "centres", farthest("f", "w", "pos", "centres").alias("far"))
+    found = met.groupBy(key).agg(F.max("far.rank").alias("top"), F.max_by("far", "far.rank").alias("far"), F.first("centres").alias("centres"))
+    spot = F.array(F.struct(*[F.col(f"far.{f}").alias(f) for f in FEATURES]))
+    return found.select(key, F.when(F.col("top").isNotNull(), F.concat("centres", spot)).otherwise(F.col("centres")).alias("centres"))
+
+
+def moved(blocks: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
+    """States (key, centres, lead, moved) after one round. The old centres and the lead travel with the sums, so the
+    old state is used once."""
+    met = _meeting(blocks, state.select(key, "centres", "lead"), key, small)
+    block_sums = F.arrow_udf(sums_of_blocks, "array<struct<s0: double, s1: double, s2: double, sw: double>>")
+    sums = met.select(key, "lead", "centres", F.posexplode(block_sums("f", "w", "pos", "centres")).alias("c", "s"))
+    per = sums.select(key, "c", "lead", F.col("centres")[F.col("c")].alias("old"), "s.*")
+    flat = [F.col(f"{x}.{f}").alias(f"{x}_{f}") for x in ("lead", "old") for f in FEATURES]
+    kept = [F.first(f"{x}_{f}").alias(f"{x}_{f}") for x in ("lead", "old") for f in FEATURES]
+    added = per.select(key, "c", *flat, *SUMS).groupBy(key, "c").agg(*[F.sum(s).alias(s) for s in SUMS], *kept)
+    new = [F.when(F.col("sw") > 0, F.round(F.col(s) / F.col("sw"), 6)).otherwise(F.col(f"lead_{f}")).alias(f) for s, f in zip(SUMS, FEATURES)]
+    spots = added.select(key, "c", F.struct(*new).alias("new"), *[F.struct(*[F.col(f"{x}_{f}").alias(f) for f in FEATURES]).alias(x) for x in ("lead", "old")])
+    slots = F.transform(F.array_sort(F.collect_list(F.struct("c", "new"))), lambda x: x["new"])  # one a centre
+    return spots.groupBy(key).agg(slots.alias("centres"), F.first("lead").alias("lead"), F.bool_or(F.col("new") != F.col("old")).alias("moved"))
+
+
+def cluster_points(points: DataFrame, k: int, rounds: int = K.LLOYD_ROUNDS, key: str = "image_id") -> DataFrame:
     """Lloyd's algorithm for all keys at once: add ``c`` to points (key, f0..f2, w, pos), ``pos`` unique in its key.
 
     Seeds: the heaviest point, then each time the point of greatest weight times squared distance to the nearest seed.
-    Then ``rounds`` rounds, fewer if nothing moves; a cluster without points restarts at the heaviest point. A key's
-    state is an array of at most ``k`` centres. The states meet the points by a broadcast while all of them are small
-    (keys times ``k``), else by a salted join, and every round is one hash aggregate of the points, so a key of any
-    size is spread over all tasks.
+    Then ``rounds`` rounds, fewer for keys where nothing moves any more; a cluster without points restarts at the
+    heaviest point. Points are packed into blocks once. A key of one block is brought to rest where the block lies; the
+    larger keys go through rounds of all their blocks together (``spread_rounds``), with the same result.
+    """
+    points = cut(points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES}))
+    blocks = cut(packed_points(points, key))
+    settle = F.arrow_udf(settled_blocks(k, rounds), f"array<{_CENTRE}>")
+    state = blocks.filter("splits = 1").select(key, settle("f", "w", "pos").alias("centres"))
+    large = blocks.filter("splits > 1")
+    if not large.isEmpty():
+        state = state.unionByName(spread_rounds(large, k, rounds, key).select(key, "centres"))
+    state = cut(state)
+    return _labelled(points, state, key, _small(state, k))
+
+
+def _small(state: DataFrame, k: int) -> bool:
+    return state.count() * (k + 1) * 40 <= BROADCAST_BYTES
+
+
+def spread_rounds(blocks: DataFrame, k: int, rounds: int, key: str) -> DataFrame:
+    """States (key, centres) of keys of any number of blocks.
+
+    A key's state is an array of at most ``k`` centres; states meet the blocks by a broadcast while all of them are
+    small (keys times ``k``), else by a salted join. A round is one join, a sum per block and centre, and aggregates of
+    these sums; the state is cut every few rounds, and keys at rest are set aside.
     """
-    steady = points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES})
-    points = cut(steady)
-    seed = F.struct(*[F.max_by(f, "_rank").alias(f) for f in FEATURES])
-    state = cut(points.withColumn("_rank", _rank_of(F.col("w"))).groupBy(key).agg(F.array(seed).alias("centres")))
-    small = state.count() * (k + 1) * 40 <= BROADCAST_BYTES
-    for step in range(1, k):
-        far = F.array_min(F.transform("centres", lambda c: _near(c)))
-        seen = _with_centres(points, state, key, small).withColumn("_rank", _rank_of(F.col("w") * far))
-        found = seen.groupBy(key, "centres").agg(F.max("_rank").alias("_top"), seed.alias("new"))
-        grown = F.when(F.col("_top").isNotNull(), F.concat("centres", F.array("new"))).otherwise(F.col("centres"))
-        state = found.select(key, grown.alias("centres"))
-        if step % ROUNDS_PER_CUT == 0:
+    state = cut(blocks.select(key).distinct().withColumn("centres", F.array().cast(f"array<{_CENTRE}>")))
+    small = _small(state, k)
+    for step in range(k):
+        state = seeded(blocks, state, key, small)
+        if (step + 1) % ROUNDS_PER_CUT == 0:
             state = cut(state)
+    state = cut(state.select(key, "centres", F.element_at("centres", 1).alias("lead"), F.lit(True).alias("moved")))
+    settled = []
     for step in range(1, rounds + 1):
-        state = _moved(points, state, key, small)
-        if step % ROUNDS_PER_CUT == 0:
+        state = moved(blocks, state, key, small)
+        if step % ROUNDS_PER_CUT == 0 or step == rounds:
             state = cut(state)
-            if not state.filter("moved").limit(1).count():
+            settled.append(state.filter(~F.col("moved")))
+            state = state.filter("moved")
+            if state.isEmpty():
                 break
-    return _labelled(points, cut(state), key, small).drop("centres")
-
-
-def _with_centres(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
-    if small:
-        return points.join(F.broadcast(state.select(key, "centres")), key)
-    return salted_join(points, state.select(key, "centres"), [key], F.xxhash64("pos"))
+    return reduce(DataFrame.unionByName, settled, state)
 
 
 def _labelled(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
     """Points with the number of their nearest centre, the first on ties."""
-    df = _with_centres(points, state, key, small).withColumn("_d", F.transform("centres", lambda c: _near(c)))
-    return df.withColumn("c", F.array_position("_d", F.array_min("_d")) - 1).drop("_d")
+    state = state.select(key, "centres")
+    met = points.join(F.broadcast(state), key) if small else salted_join(points, state, [key], F.xxhash64("pos"))
+    df = met.withColumn("_d", F.transform("centres", lambda c: _near(c)))
+    return df.withColumn("c", F.array_position("_d", F.array_min("_d")) - 1).drop("_d", "centres")
 
 
-def _moved(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
-    """Centres after one round, and whether any changed."""
-    sums = [(F.sum(F.col(f) * F.col("w")) / F.sum("w")).alias(f) for f in FEATURES]
-    # The heaviest point is the first seed only before the first round, so it is carried along.
-    lead = F.col("lead") if "lead" in state.columns else F.element_at("centres", 1).alias("lead")
-    state = state.select(key, "centres", lead)
-    means = _labelled(points, state, key, small).groupBy(key, "centres", "c").agg(*sums)
-    means = means.select(key, "centres", "c", F.struct(*[F.round(F.col(f), 6).alias(f) for f in FEATURES]).alias("mean"))
-    packed = means.groupBy(key, "centres").agg(F.map_from_entries(F.collect_list(F.struct("c", "mean"))).alias("at"))  # at most k
-    packed = packed.join(state.select(key, "lead"), key)
-    slots = F.sequence(F.lit(0).cast("bigint"), F.size("centres").cast("bigint") - 1)
-    after = F.transform(slots, lambda i: F.coalesce(F.col("at")[i], F.col("lead")))
-    return packed.select(key, after.alias("centres"), "lead", (after != F.col("centres")).alias("moved"))
+# --- grouped application --------------------------------------------------------------------------------------------
 
 
 def merge_clusters(clusters: DataFrame, radius: float, floor: int, key: str = "image_id") -> DataFrame:
-    """Nearest-pair merge of (key, c, f0..f2, n, s, ...), at most 64 clusters an image; radius inf merges down
+    """Nearest-pair merge of (key, c, f0..f2, n, s, ...), a few times k clusters an image; radius inf merges down
     to floor. Further columns are constant per image and are kept."""
     carried = [c for c in clusters.columns if c not in ("c", *FEATURES, "n", "s")]
 
@@ -193,8 +234,8 @@ def salient_bins(pixels: DataFrame) -> DataFrame:
     return _featured(bins.withColumn("saliency", kernel.saliency(F.col("n"), s)), "oklab")
 
 
-def weighted_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, clusters: int = K.CLUSTERS, rounds: int = K.LLOYD_ROUNDS) -> DataFrame:
-    """Saliency-weighted over-clustering of bins into ``clusters``, recentred by pixels, merged, ranked by saliency."""
+def weighted_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, clusters: int | None = None, rounds: int = K.LLOYD_ROUNDS) -> DataFrame:
+    """Saliency-weighted over-clustering of bins into ``clusters`` (five per colour), recentred by pixels, merged, ranked by saliency."""
     bins = salient_bins(pixels)
     points = cluster_points(bins.withColumns({"w": F.col("saliency"), "pos": F.col("key")}), _at_least(k, clusters), rounds)
     merged = merge_clusters(_cluster_means(points, F.col("n"), F.col("saliency"), "image_id"), K.WEIGHTED_MERGE_DISTANCE, 1)
@@ -202,7 +243,8 @@ def weighted_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, clusters: int =
     return _palette(_feature_bytes(kept, "oklab"))
 
 
-def _at_least(k: int, clusters: int) -> int:
+def _at_least(k: int, clusters: int | None) -> int:
+    clusters = K.CLUSTERS_PER_COLOR * k if clusters is None else clusters
     if clusters < k:
         raise ValueError(f"{clusters} clusters cannot give {k} colours")
     return clusters
@@ -254,8 +296,8 @@ def mood_filter(pixels: DataFrame, rule: dict[str, float], k: int) -> DataFrame:
 
 
 def soft(pixels: DataFrame, k: int = K.PALETTE_SIZE, preset: str = "default", count_stop: bool = False,
-         merge_distance: float = K.SOFT_MERGE_DISTANCE, clusters: int = K.CLUSTERS, rounds: int = K.LLOYD_ROUNDS, **knobs: float) -> DataFrame:
-    """Filter by mood, over-cluster in Lab into ``clusters``, merge similar ones, rank by population and chroma, keep k.
+         merge_distance: float = K.SOFT_MERGE_DISTANCE, clusters: int | None = None, rounds: int = K.LLOYD_ROUNDS, **knobs: float) -> DataFrame:
+    """Filter by mood, over-cluster in Lab into ``clusters`` (five per colour), merge similar ones, rank by population and chroma, keep k.
 
     ``count_stop`` merges down to 1.5 k clusters instead of by distance.
     """
@@ -265,7 +307,7 @@ def soft(pixels: DataFrame, k: int = K.PALETTE_SIZE, preset: str = "default", co
     points = cluster_points(points, _at_least(k, clusters), rounds)
     means = _feature_bytes(_cluster_means(points, F.col("w"), F.lit(0), "image_id", facts), "lab")
     # clusters continue as 8-bit colours whose population is scaled to all kept pixels
-    total = F.sum("n").over(Window.partitionBy("image_id"))  # at most 64 rows
+    total = F.sum("n").over(Window.partitionBy("image_id"))  # five rows a colour
     scaled = means.withColumn("n", F.floor(F.col("n") / total * F.col("n_kept") + 0.5).cast("double"))
     clusters = _featured(scaled.drop(*FEATURES), "lab").drop(*CHANNELS, "n_kept")
     radius, floor = (float("inf"), max(int(k * 1.5 + 0.5), 1)) if count_stop else (merge_distance, k)
@@ -349,9 +391,11 @@ def pad_farthest(bins: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 # --- whole corpus --------------------------------------------------------------------------------------------------------
 
 
-def corpus_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, rounds: int = K.LLOYD_ROUNDS) -> DataFrame:
-    """One k-means palette for everything: the same rounds under a constant key, over the 5-bit histogram."""
-    bins = _featured(histogram(pixels.withColumn("corpus", F.lit(0)), 5, ("corpus",)), "oklab")
-    found = cluster_points(bins.withColumns({"w": F.col("n"), "pos": F.col("key")}), k, rounds, "corpus")
-    ranked = top_k(_cluster_means(found, F.col("n"), F.lit(0), "corpus"), ["corpus"], [F.col("n").desc(), "c"], k)
-    return _palette(_feature_bytes(ranked, "oklab"), "corpus").drop("corpus")
+def corpus_kmeans(pixels: DataFrame, k: int = K.PALETTE_SIZE, rounds: int = K.LLOYD_ROUNDS, group: str | None = None) -> DataFrame:
+    """One k-means palette for everything, or for each value of ``group``, over 5-bit histograms."""
+    key = group or "_corpus"
+    bins = _featured(histogram(pixels if group else pixels.withColumn(key, F.lit(0)), 5, (key,)), "oklab")
+    found = cluster_points(bins.withColumns({"w": F.col("n"), "pos": F.col("key")}), k, rounds, key)
+    ranked = top_k(_cluster_means(found, F.col("n"), F.lit(0), key), [key], [F.col("n").desc(), "c"], k)
+    palette = _palette(_feature_bytes(ranked, "oklab"), key)
+    return palette if group else palette.drop(key)

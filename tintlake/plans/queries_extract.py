@@ -164,18 +164,9 @@ def octree(spark, sf):
     return shown(qz.octree(valid(spark, sf)))
 
 
-LLOYD_ROUNDS = 5  # of the queries named for it: their oracle unrolls them
-
-
-def lloyd_query(name: str, sql_: str):
-    """Register ``name`` with the operators' rounds (to rest, at most 50), and with few rounds beside the SQL that unrolls them."""
-
-    def keep(fn):
-        query(name)(lambda spark, sf: fn(spark, sf, K.LLOYD_ROUNDS))
-        query(f"{name}_{LLOYD_ROUNDS}_rounds", sql_)(lambda spark, sf: fn(spark, sf, LLOYD_ROUNDS))
-        return fn
-
-    return keep
+# Rounds that the oracle unrolls: at rest, further rounds change nothing. The queries themselves go on to rest.
+SQL_ROUNDS = 30
+CLUSTERS = 5 * K.CLUSTERS_PER_COLOR
 
 
 def _lloyd_sql(points: str, k: int, rounds: int, key: str = "image_id") -> str:
@@ -218,17 +209,17 @@ def _kmeans_sql(space: str) -> str:
     cl_ = f"(select image_id, c, {means}, sum(w) as n from pt group by image_id, c)"
     rgb = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from {cl_})") if space == "lab" else o.oklab_bytes(f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb from {cl_})")
     tail = f" select image_id, row_number() over (partition by image_id order by c) - 1 as ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq from {rgb}"
-    return sql("pixels", _V + _lloyd_sql(_points_sql(space), 5, LLOYD_ROUNDS) + tail)
+    return sql("pixels", _V + _lloyd_sql(_points_sql(space), 5, SQL_ROUNDS) + tail)
 
 
-@lloyd_query("c6_kmeans", _kmeans_sql("lab"))
-def kmeans(spark, sf, rounds):
-    return shown(cl.kmeans(placed(spark, sf), rounds=rounds))
+@query("c6_kmeans", _kmeans_sql("lab"))
+def kmeans(spark, sf):
+    return shown(cl.kmeans(placed(spark, sf)))
 
 
-@lloyd_query("c7_okkmeans", _kmeans_sql("oklab"))
-def okkmeans(spark, sf, rounds):
-    return shown(cl.kmeans(placed(spark, sf), space="oklab", rounds=rounds))
+@query("c7_okkmeans", _kmeans_sql("oklab"))
+def okkmeans(spark, sf):
+    return shown(cl.kmeans(placed(spark, sf), space="oklab"))
 
 
 def _merges_sql(rounds: int, radius: float | None, floor: int) -> str:
@@ -255,14 +246,14 @@ def _wkmeans_sql(k: int = 5) -> str:
     points = f"select *, key as pos, {sal} as w, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(f'({_bins(5)})')}"
     means = ", ".join(f"sum(f{q}*n)/sum(n) as f{q}" for q in range(3))
     u0 = f", u0 as materialized (select image_id, c, {means}, sum(n)::double as n, sum(w) as s from pt group by image_id, c)"
-    top = f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb, row_number() over (partition by image_id order by s desc, c) - 1 as ord from u{K.CLUSTERS - 1} qualify ord < {k})"
+    top = f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb, row_number() over (partition by image_id order by s desc, c) - 1 as ord from u{CLUSTERS - 1} qualify ord < {k})"
     tail = f" select image_id, ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq from {o.oklab_bytes(top)}"
-    return sql("pixels", _V + _lloyd_sql(points, K.CLUSTERS, LLOYD_ROUNDS) + u0 + _merges_sql(K.CLUSTERS - 1, K.WEIGHTED_MERGE_DISTANCE, 1) + tail)
+    return sql("pixels", _V + _lloyd_sql(points, CLUSTERS, SQL_ROUNDS) + u0 + _merges_sql(CLUSTERS - 1, K.WEIGHTED_MERGE_DISTANCE, 1) + tail)
 
 
-@lloyd_query("c8_wkmeans", _wkmeans_sql())
-def wkmeans(spark, sf, rounds):
-    return shown(cl.weighted_kmeans(valid(spark, sf), rounds=rounds))
+@query("c8_wkmeans", _wkmeans_sql())
+def wkmeans(spark, sf):
+    return shown(cl.weighted_kmeans(valid(spark, sf)))
 
 
 def _soft_sql(count_stop: bool, k: int = 5) -> str:
@@ -275,23 +266,23 @@ def _soft_sql(count_stop: bool, k: int = 5) -> str:
     first = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from (select image_id, c, {means}, sum(w)::double as n from pt group by image_id, c))")
     u0 = f", u0 as materialized (select image_id, c, lab_l as f0, lab_a as f1, lab_b as f2, n, 0e0 as s from {o.lab(f'(select image_id, c, r, g, b, n from {first})')})"
     radius, floor = (None, max(int(k * 1.5 + 0.5), 1)) if count_stop else (K.SOFT_MERGE_DISTANCE, k)
-    rgb = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from u{K.CLUSTERS - 1})")
+    rgb = o.lab_bytes(f"(select *, f0 as nl, f1 as na, f2 as nb from u{CLUSTERS - 1})")
     weight = f"n * (pow(ok_c, {float(rule['exponent'])!r}) + {float(rule['bias'])!r})"
     if rule["prefer_l"]:
         weight += f" * greatest(0e0, (ok_l * 2e0 - 1e0) * {float(rule['prefer_l'])!r} + 1e0)"
     top = f"(select *, row_number() over (partition by image_id order by {weight} desc, c) - 1 as ord from {o.oklab(f'(select image_id, c, r, g, b, n from {rgb})')} qualify ord < {k})"
     tail = f" select image_id, ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over (partition by image_id)')} as freq, fell_back from {top} join fb using (image_id)"
-    return sql("pixels", kept + px_ + _lloyd_sql(_points_sql("lab"), K.CLUSTERS, LLOYD_ROUNDS) + u0 + _merges_sql(K.CLUSTERS - 1, radius, floor) + tail)
+    return sql("pixels", kept + px_ + _lloyd_sql(_points_sql("lab"), CLUSTERS, SQL_ROUNDS) + u0 + _merges_sql(CLUSTERS - 1, radius, floor) + tail)
 
 
-@lloyd_query("c9_soft", _soft_sql(False))
-def soft(spark, sf, rounds):
-    return cl.soft(placed(spark, sf), rounds=rounds).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
+@query("c9_soft", _soft_sql(False))
+def soft(spark, sf):
+    return cl.soft(placed(spark, sf)).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
 
 
-@lloyd_query("c10_softk", _soft_sql(True))
-def softk(spark, sf, rounds):
-    return cl.soft(placed(spark, sf), count_stop=True, rounds=rounds).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
+@query("c10_softk", _soft_sql(True))
+def softk(spark, sf):
+    return cl.soft(placed(spark, sf), count_stop=True).select(*PALETTE_COLS, micro("freq").alias("freq"), "fell_back")
 
 
 def _mood_sql(p: str) -> str:
@@ -361,12 +352,12 @@ def saliency(spark, sf):
 
 def _grouped_sql() -> str:
     means = ", ".join(f"floor(sum(f{q}*w)/sum(w)*1000)::bigint as f{q}" for q in range(3))
-    return sql("pixels", _V + _lloyd_sql(_points_sql("oklab"), 8, LLOYD_ROUNDS) + f" select image_id, c, {means}, sum(w)::bigint as n from pt group by image_id, c")
+    return sql("pixels", _V + _lloyd_sql(_points_sql("oklab"), 8, SQL_ROUNDS) + f" select image_id, c, {means}, sum(w)::bigint as n from pt group by image_id, c")
 
 
-@lloyd_query("c16_grouped_lloyd", _grouped_sql())
-def grouped_lloyd(spark, sf, rounds):
-    points = cl.cluster_points(cl.color_points(placed(spark, sf), "oklab"), 8, rounds)
+@query("c16_grouped_lloyd", _grouped_sql())
+def grouped_lloyd(spark, sf):
+    points = cl.cluster_points(cl.color_points(placed(spark, sf), "oklab"), 8)
     out = cl._cluster_means(points, F.col("w"), F.lit(0), "image_id")
     return out.select("image_id", "c", *[F.floor(F.col(f) * 1000).cast("bigint").alias(f) for f in cl.FEATURES], F.col("n").cast("bigint").alias("n"))
 
@@ -452,18 +443,25 @@ def corpus_popularity(spark, sf):
     return out.select("corpus", "ord", "r", "g", "b", "n", micro("freq").alias("freq"))
 
 
-def _corpus_sql() -> str:
-    bins = f"(select * from ({_bins(5, 'corpus')}))"
-    points = f"select *, key as pos, n as w, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(bins)}"
+def _corpus_sql(px_: str, key: str, shown_key: str = "") -> str:
+    points = f"select *, key as pos, n as w, ok_l*100 as f0, ok_a*100 as f1, ok_b*100 as f2 from {o.oklab(f'({_bins(5, key)})')}"
     means = ", ".join(f"sum(f{q}*n)/sum(n) as f{q}" for q in range(3))
-    rgb = o.oklab_bytes(f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb from (select corpus, c, {means}, sum(n) as n from pt group by corpus, c))")
-    tail = f" select row_number() over (order by n desc, c) - 1 as ord, r, g, b, n::bigint as n, {o.micro('n / sum(n) over ()')} as freq from {rgb}"
-    return sql("pixels", ", px as (select 0 as corpus, * from pixels where a >= 1)" + _lloyd_sql(points, 5, LLOYD_ROUNDS, "corpus") + tail)
+    rgb = o.oklab_bytes(f"(select *, f0/100 as nl, f1/100 as na, f2/100 as nb from (select {key}, c, {means}, sum(n) as n from pt group by {key}, c))")
+    tail = f" select {shown_key}row_number() over (partition by {key} order by n desc, c) - 1 as ord, r, g, b, n::bigint as n, {o.micro(f'n / sum(n) over (partition by {key})')} as freq from {rgb}"
+    return sql("pixels", f", px as ({px_})" + _lloyd_sql(points, 5, SQL_ROUNDS, key) + tail)
+
+
+@query("c19_corpus_kmeans", _corpus_sql("select 0 as corpus, * from pixels where a >= 1", "corpus"))
+def corpus_kmeans(spark, sf):
+    return cl.corpus_kmeans(valid(spark, sf)).select("ord", "r", "g", "b", "n", micro("freq").alias("freq"))
 
 
-@lloyd_query("c19_corpus_kmeans", _corpus_sql())
-def corpus_kmeans(spark, sf, rounds):
-    return cl.corpus_kmeans(valid(spark, sf), rounds=rounds).select("ord", "r", "g", "b", "n", micro("freq").alias("freq"))
+@query("c19_grouped_corpus_kmeans", _corpus_sql("select n_name as nation, pixels.* from pixels join supplier on image_id = s_suppkey join nation on s_nationkey = n_nationkey where a >= 1", "nation", "nation, "))
+def grouped_corpus_kmeans(spark, sf):
+    """A palette for the images of each nation's suppliers."""
+    nation = d.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
+    of = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image_id"), "s_nationkey").join(nation, "s_nationkey")
+    return cl.corpus_kmeans(valid(spark, sf).join(of, "image_id"), group="nation").select("nation", "ord", "r", "g", "b", "n", micro("freq").alias("freq"))
 
 
 @query(
