@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintlake.llm.common import small_batches, stored, worker_memory
+from tintlake.runtime import spread_by
 
 SHARD_ROWS = 1024
 # Expected rows and anchors of a cell; more make more cells.
@@ -294,6 +295,8 @@ def _meet(shards: DataFrame, anchors: DataFrame, parts: int, groups: int, work,
         chosen = pa.array([b""] * a.num_rows, pa.binary())
         return work(a.append_column("chosen", chosen), b)
 
+    # an explicit width, as the cells are much work for few bytes
+    left, right = (spread_by(side, "part", "grp") for side in (left, right))
     return left.groupBy("part", "grp").cogroup(right.groupBy("part", "grp")).applyInArrow(run, schema)
 
 
