@@ -71,7 +71,7 @@ def test_spread_rounds_give_the_same(spark, monkeypatch):
 def test_one_join_a_round(spark, make_pixels):
     image = make_pixels({1: (8, [(i * 3, 255 - i, i * i % 251, 255) for i in range(64)])})
     points = cl.color_points(image, "oklab")
-    blocks = cl.cut(cl.packed_points(points, "image_id"))
+    blocks = cl.cut(cl.packed_points(cl.laid_out(points, "image_id"), "image_id"))
     start = blocks.select("image_id").distinct().withColumn("centres", F.array().cast(f"array<{cl._CENTRE}>"))
     state = cl.cut(cl.seeded(blocks, start, "image_id", True).select("image_id", "centres", F.element_at("centres", 1).alias("lead")))
     for step in range(1, 7):

@@ -30,11 +30,11 @@ POINTS_AT_ONCE = 1 << 13
 
 
 def block_of(rows: pa.Table) -> pa.Table:
-    """Rows (key, split, splits, f0..f2, w, pos) as one row (key, split, splits, f, w, pos) of raw values."""
-    key, split, splits, *features, w, pos = [rows.column(i) for i in range(rows.num_columns)]
+    """Rows (key, split, f0..f2, w, pos) as one row (key, split, f, w, pos) of raw values."""
+    key, split, *features, w, pos = [rows.column(i) for i in range(rows.num_columns)]
     f = np.stack([c.to_numpy() for c in features], axis=1)
-    values = [key[:1], split[:1], splits[:1], [f.tobytes()], [w.to_numpy().tobytes()], [pos.to_numpy().tobytes()]]
-    return pa.table(values, [*rows.schema.names[:3], "f", "w", "pos"])
+    values = [key[:1], split[:1], [f.tobytes()], [w.to_numpy().tobytes()], [pos.to_numpy().tobytes()]]
+    return pa.table(values, [*rows.schema.names[:2], "f", "w", "pos"])
 
 
 def _blocks(f: pa.Array, w: pa.Array, pos: pa.Array, centres: pa.Array):
@@ -110,6 +110,14 @@ def settled_blocks(k: int, rounds: int):
     return settle
 
 
+def labelled(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Points of a key with ``c``, the number of the nearest centre of the key's state, the first on ties."""
+    spots = centres.column("centres").combine_chunks()
+    spots = np.stack([spots.flatten().field(c).to_numpy() for c in FEATURES], axis=1)
+    f = np.stack([points.column(c).to_numpy() for c in FEATURES], axis=1)
+    return points.append_column("c", pa.array(np.concatenate([d.argmin(axis=1) for d in _squared(f, spots)]).astype(np.int64)))
+
+
 def merge_closest(f: np.ndarray, w: np.ndarray, extra: np.ndarray, radius: float, floor: int):
     """Merge the nearest pair (first on ties) while it is closer than ``radius`` and more than ``floor`` remain."""
     while len(f) > max(floor, 1):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
-from ..functions.numeric import FEATURES, SUMS, block_of, distances, farthest_of_blocks, merge_closest, oklab_of, settled_blocks, sums_of_blocks
+from ..functions.numeric import FEATURES, SUMS, block_of, distances, farthest_of_blocks, labelled, merge_closest, oklab_of, settled_blocks, sums_of_blocks
 from ..runtime import cut, salted_join, spread_by, with_image_totals
 from .pixels import CHANNELS, histogram, top_k
 
@@ -37,15 +37,21 @@ def _near(centre: Column) -> Column:
     return sum(((F.col(f) - centre[f]) * (F.col(f) - centre[f]) for f in FEATURES), F.lit(0.0))
 
 
-def packed_points(points: DataFrame, key: str) -> DataFrame:
-    """Points as blocks (key, split, splits of the key, f, w, pos): the raw doubles of at most about ``BLOCK_POINTS`` points of a key, so
-    that a round costs a row a block and a key of any size is spread over its blocks."""
+def laid_out(points: DataFrame, key: str) -> DataFrame:
+    """Points with the number of parts of their key (``splits``, of about ``BLOCK_POINTS`` points) and their own part
+    (``split``), those of one part side by side."""
     splits = points.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_POINTS).cast("int").alias("splits"))
-    placed = salted_join(points.select(key, *FEATURES, "w", "pos"), splits, [key], F.xxhash64("pos"))
+    placed = salted_join(points, splits, [key], F.xxhash64("pos"))
     placed = placed.withColumn("split", F.pmod(F.xxhash64("pos", F.lit(1)), F.col("splits")).cast("int"))
-    spread = spread_by(placed, key, "split").select(key, "split", "splits", *FEATURES, F.col("w").cast("double"), F.col("pos").cast("bigint"))
-    kind = points.schema[key].dataType.simpleString()
-    return spread.groupBy(key, "split").applyInArrow(block_of, f"{key} {kind}, split int, splits int, f binary, w binary, pos binary")
+    return spread_by(placed, key, "split")
+
+
+def packed_points(laid: DataFrame, key: str) -> DataFrame:
+    """One row a part (key, split, f, w, pos) with the raw values of its points: a round costs a row a part, and a key
+    of any size is spread over its parts."""
+    points = laid.select(key, "split", *FEATURES, F.col("w").cast("double"), F.col("pos").cast("bigint"))
+    kind = laid.schema[key].dataType.simpleString()
+    return points.groupBy(key, "split").applyInArrow(block_of, f"{key} {kind}, split int, f binary, w binary, pos binary")
 
 
 def _meeting(blocks: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
@@ -88,15 +94,17 @@ def cluster_points(points: DataFrame, k: int, rounds: int = K.LLOYD_ROUNDS, key:
     heaviest point. Points are packed into blocks once. A key of one block is brought to rest where the block lies; the
     larger keys go through rounds of all their blocks together (``spread_rounds``), with the same result.
     """
-    points = cut(points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES}))
-    blocks = cut(packed_points(points, key))
+    laid = cut(laid_out(cut(points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES})), key))
     settle = F.arrow_udf(settled_blocks(k, rounds), f"array<{_CENTRE}>")
-    state = blocks.filter("splits = 1").select(key, settle("f", "w", "pos").alias("centres"))
-    large = blocks.filter("splits > 1")
+    state = packed_points(laid.filter("splits = 1"), key).select(key, F.lit(1).alias("splits"), settle("f", "w", "pos").alias("centres"))
+    large = laid.filter("splits > 1")
     if not large.isEmpty():
-        state = state.unionByName(spread_rounds(large, k, rounds, key).select(key, "centres"))
-    state = cut(state)
-    return _labelled(points, state, key, _small(state, k))
+        sizes = large.select(key, "splits").distinct()
+        state = state.unionByName(spread_rounds(cut(packed_points(large, key)), k, rounds, key).join(sizes, key).select(key, "splits", "centres"))
+    parts = state.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select(key, "split", "centres")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema)
+    found = laid.groupBy(key, "split").cogroup(spread_by(parts, key, "split").groupBy(key, "split")).applyInArrow(labelled, f"{kinds}, c bigint")
+    return found.drop("split", "splits")
 
 
 def _small(state: DataFrame, k: int) -> bool:
@@ -129,14 +137,6 @@ def spread_rounds(blocks: DataFrame, k: int, rounds: int, key: str) -> DataFrame
     return reduce(DataFrame.unionByName, settled, state)
 
 
-def _labelled(points: DataFrame, state: DataFrame, key: str, small: bool) -> DataFrame:
-    """Points with the number of their nearest centre, the first on ties."""
-    state = state.select(key, "centres")
-    met = points.join(F.broadcast(state), key) if small else salted_join(points, state, [key], F.xxhash64("pos"))
-    df = met.withColumn("_d", F.transform("centres", lambda c: _near(c)))
-    return df.withColumn("c", F.array_position("_d", F.array_min("_d")) - 1).drop("_d", "centres")
-
-
 # --- grouped application --------------------------------------------------------------------------------------------
 
 
