@@ -46,6 +46,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names given along the way cannot meet the input's; ``_row.*`` restores them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns under fixed names, so that further columns of the input cannot clash; null texts are empty."""
     small_batches(docs.sparkSession)

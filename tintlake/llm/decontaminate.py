@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.llm.common import small_batches, worker_memory
+from tintlake.llm.common import small_batches, unused, worker_memory
 
 RATE = 0.06
 BLOCK_CHARS = 8_000_000
@@ -145,7 +145,8 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, name: str = "matches") -> DataFrame:
-    """Add an array of (item_id, distance, start, end) for each document; places count in the normalised text."""
+    """Add an array of (item_id, distance, start, end) for each document as the last column, its name followed by an
+    underscore if the documents have that name; places count in the normalised text."""
     if not 0 <= rate < 1:
         raise ValueError("rate must be at least 0 and below 1")
     small_batches(docs.sparkSession)
@@ -154,7 +155,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast(items)
         part = _finder(sent, rate, uuid.uuid4().hex)(F.col(f"`{text_col}`"))
         found = part if found is None else F.concat(found, part)
-    return docs.withColumn(name, found)
+    return docs.withColumn(unused(docs, name), found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.llm.common import ids_and_texts, mix, rolling, row_key, signed, small_batches, span_hash, stored, text_blocks, word_bounds, word_hashes
+from tintlake.llm.common import ids_and_texts, mix, rolling, row_key, signed, small_batches, span_hash, stored, text_blocks, whole_row, word_bounds, word_hashes
 from tintlake.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -214,12 +214,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest id (null ids last)."""
-    keyed = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_text": F.coalesce(F.col(f"`{text_col}`"), F.lit(""))})
-    keyed = keyed.withColumns(dict(zip(("_k1", "_k2"), row_key())))
     small_batches(docs.sparkSession)
+    keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    keyed = keyed.select("*", *row_key())
     _, classes = _classes(keyed.select("_id", "_text", "_k1", "_k2"), threshold, shingle_words)
     heads = classes.select("head._k1", "head._k2").distinct()
-    return keyed.join(heads, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(heads, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
 
 
 def _classes(rows: DataFrame, threshold: float, shingle_words: int) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,12 @@
 The network is trained in numpy on the driver, from spans that the patterns label in a bounded sample of documents;
 some are rewritten (a phone number without its plus, a card in other groups), so that it learns the shape and the
 surroundings rather than the pattern. In tasks it reads overlapping windows. Every kind needs a digit or an at sign,
-so a window without either cannot hold a span and is not decoded; all others are, whatever the text's length. The
-windows' Viterbi paths give candidate spans with the mean log-odds of their characters; over a whole text, the
+so windows without either are decoded only where a window beside them ends or begins inside a span; all others are,
+whatever the text's length. The windows' Viterbi paths give candidate spans with the mean log-odds of their characters; over a whole text, the
 non-overlapping set of greatest weight is kept (weighted interval scheduling), so windows that disagree are settled
-together. Kept spans must pass their kind's check and must not touch a pattern's span.
+together. A span longer than a stride may lie whole in no window: it is read from the windows' middle parts, which join.
+Kept spans must pass their kind's check and must not touch a pattern's span, unless they are addresses that go on where
+the pattern's ends.
 
 Nulls: a null text counts as empty. Null ids are kept. Repeated rows are searched each. If the sample has no labelled
 span, there is no network and only the patterns work.
@@ -24,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintlake.llm.common import small_batches
+from tintlake.llm.common import small_batches, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE = 64, 32
 HIDDEN = 16
-# Documents with a digit or an at sign that spans are labelled in: those with the smallest hash of their id.
+# Documents with a digit or an at sign that spans are labelled in: those with the smallest hash of their id, of each a
+# part of its text.
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
 EXAMPLES = 3000
@@ -234,13 +237,15 @@ class Tagger:
             dc = dc * f
         return float((z - score).mean()), [dwx, du, dv, de.sum(axis=(0, 1)), (dm / b).astype(np.float32)]
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi labels (B, T) and how far each label's emission lies above the one for outside."""
+    def decode(self, x: np.ndarray, starts: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi labels (B, T) and how far each label's emission lies above the one for outside.
+
+        ``starts``: windows that begin their text. Only the others can begin inside a span."""
         e = self.emissions(x)
         steps, b, _ = e.shape
         m = np.where(allowed_moves(), self.moves, np.float32(-1e4))
         best, back = e[0].copy(), np.empty((steps, b, LABELS), dtype=np.int8)
-        best[:, 2::2] -= 1e4  # a window may begin inside a span, but such a path is not a whole span
+        best[np.broadcast_to(starts, b), 2::2] -= 1e4
         for t in range(1, steps):
             reach = best[:, :, None] + m
             back[t] = reach.argmax(axis=1)
@@ -271,6 +276,10 @@ def train_tagger(windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, se
     return net
 
 
+_LABELS_OF_HOSTS = ["mail", "office", "dept-research", "students", "eu", "north", "support"]
+_FOREIGN = "äöüßéèñçøåłжиюя京都"
+
+
 def _rewritten(text: str, kind: int, r: np.random.Generator) -> str:
     """Another way to write a labelled span."""
     digits = "".join(_DIGITS.findall(text))
@@ -280,6 +289,15 @@ def _rewritten(text: str, kind: int, r: np.random.Generator) -> str:
     if kind == 2:
         sign = ["", " ", "-", "."][r.integers(4)]
         return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 0 and "@" in text and r.integers(2):
+        name, host = text.rsplit("@", 1)
+        if r.integers(2):  # further parts
+            host = ".".join([_LABELS_OF_HOSTS[int(i)] for i in r.integers(len(_LABELS_OF_HOSTS), size=int(r.integers(1, 7)))] + [host])
+        for _ in range(int(r.integers(0, 4))):  # letters with marks, or of another script
+            i = int(r.integers(len(host)))
+            if host[i].isalpha():
+                host = host[:i] + _FOREIGN[int(r.integers(len(_FOREIGN)))] + host[i + 1 :]
+        return f"{name}@{host}"
     return text
 
 
@@ -312,7 +330,10 @@ def examples(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
             span = _rewritten(span, kind, r)
             whole = left + span + right
             at = len(left)
-            lo = int(r.integers(max(0, at + len(span) - WINDOW), at + 1))
+            first, last = max(0, at + len(span) - WINDOW), at + 1
+            if len(span) > STRIDE or n % 6 == 0:  # also windows that hold a part of the span
+                first, last = max(0, at - WINDOW // 2), at + len(span) - 1
+            lo = int(r.integers(min(first, last - 1), last))
             ys.append(_padded(labels_of(len(whole), [(at, kind, at + len(span))])[lo : lo + WINDOW], 0))
         else:
             whole = other[int(r.integers(len(other)))]
@@ -327,12 +348,17 @@ def _padded(a: np.ndarray, fill: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """A tagger from the spans that the patterns label in the sample; None if they label none."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("_text"))
+    """A tagger from the spans that the patterns label in the sample; None if they label none.
+
+    The sample: ``SAMPLE_DOCS`` ids, of each one row (the greatest part) and of a text one part of ``SAMPLE_CHARS``
+    characters that a hash of the id chooses."""
+    piece = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.ceil(F.length(F.col(text_col)) / SAMPLE_CHARS), F.lit(1))).cast("int")
+    part = F.coalesce(F.col(text_col).substr(piece * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("_id"), part.alias("_text"))
     wanted = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(id_col).alias("_id"))
     wanted = wanted.filter(F.col("_id").isNotNull()).distinct().orderBy("_h", "_id").limit(SAMPLE_DOCS).select("_id")
-    rows = texts.join(F.broadcast(wanted), "_id").collect()  # at most SAMPLE_DOCS ids
-    chosen = [r["_text"] for r in sorted(rows, key=lambda r: (str(r["_id"]), r["_text"] or "")) if r["_text"]][: 2 * SAMPLE_DOCS]
+    rows = texts.join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max("_text").alias("_text")).collect()  # at most SAMPLE_DOCS
+    chosen = [r["_text"] for r in sorted(rows, key=lambda r: str(r["_id"])) if r["_text"]]
     x, y = examples(chosen)
     return train_tagger(x, y) if len(x) else None
 
@@ -350,6 +376,16 @@ def _check(text: str, kind: int) -> bool:
     return bool(re.fullmatch(r"\(?[0-9][ ().0-9-]*[0-9]", text)) and 10 <= len(_DIGITS.findall(text)) <= 15 and bool(re.search(r"[ ().-]", text))
 
 
+def _beside(text: str, c: tuple[int, int, int, float], base: list[Span]) -> bool:
+    """Whether a candidate touches no pattern's span, or is an address that goes on, in letters the pattern does not
+    know, where the pattern's ends."""
+    met = [s for s in base if s[0] < c[2] and c[0] < s[2]]
+    if not met:
+        return True
+    whole = c[1] == 0 and all(kind == 0 and c[0] <= start and end < c[2] for start, kind, end in met)
+    return whole and any(x.isalpha() and not x.isascii() for x in text[met[-1][2] : c[2]])
+
+
 def schedule(candidates: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
     """The non-overlapping candidates (start, kind, end, weight) of greatest total weight."""
     ordered = sorted(set(candidates), key=lambda c: (c[2], c[0], c[1]))
@@ -371,6 +407,34 @@ def schedule(candidates: list[tuple[int, int, int, float]]) -> list[tuple[int, i
     return out[::-1]
 
 
+def long_spans(windows: list[tuple[int, np.ndarray, np.ndarray]], length: int) -> list[tuple[int, int, int, float]]:
+    """Spans longer than a stride, which may lie whole in no window: runs of labels in the windows' middle parts, which
+    join without gap or overlap where windows follow one another."""
+    out = []
+    edge = (WINDOW - STRIDE) // 2
+    kind, start, end, weight = -1, 0, 0, 0.0
+
+    def close() -> None:
+        if kind >= 0 and end - start > STRIDE and weight >= LEAST_WEIGHT * (end - start):
+            out.append((start, kind, end, weight))
+
+    for at, labels, gap in sorted(windows, key=lambda w: w[0]):
+        lo = 0 if at == 0 else edge
+        hi = len(labels) if at + len(labels) == length else edge + STRIDE
+        marked = np.flatnonzero(labels[lo:hi]) + lo
+        for i in marked.tolist():
+            label = int(labels[i])
+            if label % 2 == 0 and kind == label // 2 - 1 and end == at + i:
+                end, weight = end + 1, weight + float(gap[i])
+                continue
+            close()
+            kind = -1
+            if label % 2 == 1:
+                kind, start, end, weight = label // 2, at + i, at + i + 1, float(gap[i])
+    close()
+    return out
+
+
 def find(texts: list[str], net: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """Pattern spans and further spans of each text."""
     base = [base_spans(t) for t in texts]
@@ -378,12 +442,23 @@ def find(texts: list[str], net: Tagger | None) -> list[tuple[list[Span], list[Sp
         return [(b, []) for b in base]
     table = _class_table()
     found: list[list] = [[] for _ in texts]
+    read: list[list] = [[] for _ in texts]
     queue: list[tuple[int, int, int, np.ndarray]] = []
+    wide: dict[int, np.ndarray] = {}  # of rows with a span at a window's edge, to go on there
+    queued: set[tuple[int, int]] = set()
+
+    def ask(row: int, codes: np.ndarray, i: int) -> None:
+        if (row, i) not in queued:
+            queued.add((row, i))
+            part = codes[i * STRIDE : i * STRIDE + WINDOW]
+            queue.append((row, i * STRIDE, len(part), _padded(part, _PAD)))
 
     def flush() -> None:
+        further: list[tuple[int, int]] = []
         x = np.array([q[3] for q in queue])
-        path, margin = net.decode(x)
+        path, margin = net.decode(x, np.array([q[1] == 0 for q in queue]))
         for (row, at, length, _), labels, gap in zip(queue, path, margin):
+            read[row].append((at, labels[:length].astype(np.int8), gap[:length].astype(np.float32)))
             begins = np.flatnonzero(labels[:length] % 2 == 1)
             for b in begins:
                 inside, e = labels[b] + 1, b + 1
@@ -394,7 +469,15 @@ def find(texts: list[str], net: Tagger | None) -> list[tuple[list[Span], list[Sp
                     weight = float(gap[b:e].mean())
                     if weight >= LEAST_WEIGHT:
                         found[row].append((at + int(b), int(labels[b] - 1) // 2, at + int(e), weight * int(e - b)))
+            if at and labels[0]:
+                further.append((row, at // STRIDE - 1))
+            if at + WINDOW < len(texts[row]) and labels[WINDOW - 1]:
+                further.append((row, at // STRIDE + 1))
         queue.clear()
+        for row, i in further:  # spans reach into windows that hold no digit or at sign themselves
+            if row not in wide:
+                wide[row] = encode_chars(texts[row], table)
+            ask(row, wide[row], i)
 
     for row, text in enumerate(texts):
         if not _TRIGGER.search(text):
@@ -404,15 +487,15 @@ def find(texts: list[str], net: Tagger | None) -> list[tuple[list[Span], list[Sp
         last = max(0, -(-(len(text) - WINDOW) // STRIDE))  # the last window reaches the end of the text
         k = np.unique(np.concatenate([hits // STRIDE - d for d in range(WINDOW // STRIDE)]))
         for i in k[(k >= 0) & (k <= last)].tolist():
-            part = codes[i * STRIDE : i * STRIDE + WINDOW]
-            queue.append((row, i * STRIDE, len(part), _padded(part, _PAD)))
-            if len(queue) == DECODED:
+            ask(row, codes, i)
+            if len(queue) >= DECODED:
                 flush()
-    if queue:
+    while queue:
         flush()
     out = []
-    for text, b, candidates in zip(texts, base, found):
-        free = [c for c in candidates if _check(text[c[0] : c[2]], c[1]) and not any(s < c[2] and c[0] < e for s, _, e in b)]
+    for text, b, candidates, windows in zip(texts, base, found, read):
+        candidates += long_spans(windows, len(text))
+        free = [c for c in candidates if _check(text[c[0] : c[2]], c[1]) and _beside(text, c, b)]
         out.append((b, [(s, kind, e) for s, kind, e, _ in schedule(free)]))
     return out
 
@@ -466,6 +549,7 @@ def _searcher(net: Tagger | None, with_text: bool):
 
 
 def with_personal_data(docs: DataFrame, net: Tagger | None, text_col: str = "text", name: str = "pii", with_text: bool = True) -> DataFrame:
-    """Add a struct: spans (kind, start, end in code points, base) and, unless left out, the redacted text."""
+    """Add a struct: spans (kind, start, end in code points, base) and, unless left out, the redacted text. It is the last
+    column, its name followed by an underscore if the documents have that name."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(name, _searcher(net, with_text)(F.col(f"`{text_col}`")))
+    return docs.withColumn(unused(docs, name), _searcher(net, with_text)(F.col(f"`{text_col}`")))

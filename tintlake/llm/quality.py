@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tintlake.llm.common import mix, small_batches, text_blocks, word_bounds, word_hashes
+from tintlake.llm.common import mix, small_batches, text_blocks, unused, whole_row, word_bounds, word_hashes
 
 # Most labelled documents that a model is fitted on: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -101,8 +102,8 @@ def _with_statistics(batches):
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows as a struct ``_row``, and the statistics of their text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    fields = f"_row {rows.schema['_row'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS)
+    rows = docs.select(whole_row(docs), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    fields = StructType([rows.schema["_row"], *[StructField(s, DoubleType()) for s in STATS]])
     return rows.mapInArrow(_with_statistics, fields)
 
 
@@ -231,15 +232,17 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RuleModel:
-    """Fit on at most ``SAMPLE_ROWS`` labelled documents outside the held-out fold."""
+    """Fit on at most ``SAMPLE_ROWS`` labelled documents outside the held-out fold; of rows with one id, the smallest text."""
     wanted = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     wanted = wanted.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("_label"))
     wanted = wanted.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")  # at most SAMPLE_ROWS rows
-    rows = with_statistics(texts, "_text").select("_row._id", "_row._label", *STATS).toPandas().drop_duplicates().sort_values(["_id", *STATS])
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")
+    texts = texts.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # at most SAMPLE_ROWS rows
+    rows = with_statistics(texts, "_text").select("_row._id", "_row._label", *STATS).toPandas().sort_values(["_id", *STATS])
     return fit_rules(rows[STATS].to_numpy(), rows["_label"].to_numpy())
 
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of the documents and the score of each."""
-    return with_statistics(docs, text_col).select("_row.*", model.column().alias(name))
+    """All columns of the documents and the score of each as the last column, its name followed by an underscore if the
+    documents have that name."""
+    return with_statistics(docs, text_col).select("_row.*", model.column().alias(unused(docs, name)))

@@ -21,6 +21,11 @@ from tintlake.llm.common import worker_memory
 
 _KEEPS_SPACE = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _DROPS_SPACE = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+")
+def _composed(text: str) -> bool:
+    """Whether text and lower-case text are both in NFC (lower-casing can bring combining marks)."""
+    return unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
+
+
 _ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
 # Pre-tokens remembered by one Python worker; the memory is emptied when it is full.
@@ -93,7 +98,7 @@ class UnitEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(odd in text for odd in _ODD) or (self.drops_space and not text.isascii() and not unicodedata.is_normalized("NFC", text)):
+            if any(odd in text for odd in _ODD) or (self.drops_space and not text.isascii() and not _composed(text)):
                 out[i] = self.direct([text])[0]
             else:
                 plain.append((i, self.split(text.lower() if self.drops_space else text)))
