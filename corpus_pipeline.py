@@ -7,18 +7,22 @@ stage's docs; all but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintlake.llm import decontaminate, minhash, packing, pii, quality
 from tintlake.llm.common import stored, table
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores 0.7 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, name="_score")
-    return scored.filter(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(docs, model)
+    return scored.filter(F.col(scored.columns[-1]) >= quality.THRESHOLD).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +32,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs, edits within the budget included."""
-    matched = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), name="_matches")
-    return matched.filter(F.size("_matches") == 0).select(*docs.columns)
+    matched = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"))
+    return matched.filter(F.size(matched.columns[-1]) == 0).select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows. Null texts stay null."""
-    found = pii.with_personal_data(docs, pii.train(docs), name="_pii")
-    text = F.when(F.col("text").isNotNull(), F.col("_pii.redacted"))
-    size = F.when(F.size("_pii.spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", size).withColumn("text", text).select(*docs.columns)
+    found = pii.with_personal_data(docs, pii.train(docs))
+    pii_ = F.col(found.columns[-1])
+    text = F.when(F.col("text").isNotNull(), pii_["redacted"])
+    size = F.when(F.size(pii_["spans"]) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", size).withColumn("text", text).select(*_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
