@@ -118,6 +118,29 @@ def labelled(points: pa.Table, centres: pa.Table) -> pa.Table:
     return points.append_column("c", pa.array(np.concatenate([d.argmin(axis=1) for d in _squared(f, spots)]).astype(np.int64)))
 
 
+def merged_hues(least: float):
+    """Running means of hues less than ``least`` apart, over rows (palette, ..., run, h, c) ordered by palette, run, hue."""
+
+    def merge(batches):
+        row, h, c = None, 0.0, 0.0
+        schema = None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for *key, x, y in zip(*[col.to_pylist() for col in batch.columns]):
+                if key == row and x - h < least:
+                    h, c = (h + x) / 2.0, (c + y) / 2.0
+                    continue
+                if row is not None:
+                    out.append((*row, h, c))
+                row, h, c = key, x, y
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*row, h, c), schema)], schema=schema)
+
+    return merge
+
+
 def merge_closest(f: np.ndarray, w: np.ndarray, extra: np.ndarray, radius: float, floor: int):
     """Merge the nearest pair (first on ties) while it is closer than ``radius`` and more than ``floor`` remain."""
     while len(f) > max(floor, 1):

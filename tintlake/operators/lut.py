@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
-from ..runtime import join_image_facts, salted_join
+from ..functions.numeric import merged_hues
+from ..runtime import join_image_facts, salted_join, spread_by
 from .gradient import _mix_hue
 
 DEFAULT_SIZE, MAX_SIZE = 33, 256
@@ -52,17 +53,78 @@ def identity_lattice(palettes: DataFrame, size: Column | int) -> DataFrame:
     return out.select("palette_id", "size", "node", F.col("c_r").alias("r"), F.col("c_g").alias("g"), F.col("c_b").alias("b"))
 
 
+def _oklch_of(palettes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    same = ("palette_id", "ord", *carry)
+    return kernel.with_oklch(palettes.select(*same, "r", "g", "b"), p="p_").select(*same, "p_l", "p_a", "p_b", "p_c", "p_h")
+
+
+def _with_distance(df: DataFrame) -> DataFrame:
+    gaps = [F.col(f"n_{c}") - F.col(f"p_{c}") for c in "lab"]
+    return df.withColumn("d", F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]))
+
+
 def _colours_at_nodes(palettes: DataFrame, size: Column | int, carry: tuple[str, ...]) -> DataFrame:
     """Palette colours x lattice nodes with OkLab of both and their distance.
 
     The lattice is generated inside each colour's row, so this is a narrow step; the aggregation that follows
     is keyed by (palette_id, node) and combines map-side.
     """
-    same = ("palette_id", "ord", *carry)
-    df = kernel.with_oklch(palettes.select(*same, "r", "g", "b"), p="p_").select(*same, "p_l", "p_a", "p_b", "p_c", "p_h")
-    df = kernel.with_oklch(_nodes(df, _size(size)), "c_r", "c_g", "c_b", "n_")
-    gaps = [F.col(f"n_{c}") - F.col(f"p_{c}") for c in "lab"]
-    return df.withColumn("d", F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]))
+    return _with_distance(kernel.with_oklch(_nodes(_oklch_of(palettes, carry), _size(size)), "c_r", "c_g", "c_b", "n_"))
+
+
+# Most cells an axis of a palette's grid, and blocks an axis of a lattice.
+GRID_CELLS, GRID_BLOCKS = 32, 9
+_BOX = [f"{end}_{c}" for end in ("lo", "hi") for c in "lab"]
+
+
+def _boxes(p: str) -> list[Column]:
+    return [end(f"{p}_{c}").alias(f"{name}_{c}") for name, end in (("lo", F.min), ("hi", F.max)) for c in "lab"]
+
+
+def _near_colours_at_nodes(palettes: DataFrame, size: Column | int, carry: tuple[str, ...], k: int) -> DataFrame:
+    """As ``_colours_at_nodes``, of each node only the colours that can be among its ``k`` nearest.
+
+    Colours lie in the cells of an OkLab grid that is as fine as the palette is large, nodes in blocks of neighbours (at
+    most 9^3 a lattice). Of the boxes around a cell's colours and a block's nodes, the least and the greatest distance
+    are known: a block needs no cell that begins farther away than ``k`` colours of other cells end. The nodes of a block
+    sift its cells once more, each by its own distances, and only then meet the colours. Of equal colours
+    of a palette only the first ``k`` slots can matter.
+    """
+    first = F.row_number().over(Window.partitionBy("palette_id", "r", "g", "b").orderBy("ord"))
+    distinct = palettes.withColumn("_copy", first).filter(F.col("_copy") <= k)
+    colours = _oklch_of(distinct, carry).withColumn("size", _size(size))
+    counts = colours.groupBy("palette_id").agg(F.ceil(F.cbrt(2 * F.count("*"))).alias("_grid"))
+    colours = salted_join(colours, counts, ["palette_id"], F.xxhash64("ord"))
+    cells = F.least(F.col("_grid"), F.lit(GRID_CELLS))
+    at = [F.floor((F.col(f"p_{c}") + low) * cells).cast("int").alias(f"x_{c}") for c, low in (("l", 0.0), ("a", 0.5), ("b", 0.5))]
+    colours = colours.withColumn("cell", F.struct(*at)).drop("_grid")
+    full = colours.groupBy("palette_id", "size", "cell").agg(*_boxes("p"), F.count("*").alias("n"))
+    lattice = kernel.with_oklch(_nodes(colours.select("size").distinct(), F.col("size")), "c_r", "c_g", "c_b", "n_")
+    edge = F.expr(f"(size + {GRID_BLOCKS - 1}) div {GRID_BLOCKS}")
+    across = F.expr(f"(size + (size + {GRID_BLOCKS - 1}) div {GRID_BLOCKS} - 1) div ((size + {GRID_BLOCKS - 1}) div {GRID_BLOCKS})")
+    axis = lambda v: F.floor(v / edge).cast("int")
+    block = axis(F.expr("node % size")) + axis(F.expr("(node div size) % size")) * across + axis(F.expr("node div (size * size)")) * across * across
+    blocks = lattice.groupBy("size", block.alias("block")).agg(*[c.alias(f"b_{n}") for c, n in zip(_boxes("n"), _BOX)])
+    bound = lambda lo, hi: ([F.greatest(F.col(f"lo_{c}") - F.col(f"{hi}_{c}"), F.col(f"{lo}_{c}") - F.col(f"hi_{c}"), kernel.lit(0)) for c in "lab"], [F.greatest(F.col(f"hi_{c}") - F.col(f"{lo}_{c}"), F.col(f"{hi}_{c}") - F.col(f"lo_{c}")) for c in "lab"])
+    squared = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+
+    def within_reach(pairs: DataFrame, of: str, lo: str, hi: str) -> DataFrame:
+        """Cells that can hold one of the ``k`` nearest of each block or node ``of``; a palette has its grid's cells at most."""
+        near, far = bound(lo, hi)
+        some = Window.partitionBy("palette_id", "size", of)
+        pairs = pairs.withColumns({"near": squared(near), "far": squared(far)}).withColumn("_reached", F.sum("n").over(some.orderBy("far", "cell")))
+        pairs = pairs.withColumn("_enough", F.min(F.when(F.col("_reached") >= k, F.col("far"))).over(some))
+        return pairs.filter(F.col("_enough").isNull() | (F.col("near") <= F.col("_enough") * (1 + 1e-9) + 1e-12))
+
+    pairs = full.join(F.broadcast(blocks), "size")  # at most 9^3 blocks a size, 255 sizes
+    met = within_reach(pairs, "block", "b_lo", "b_hi").select("palette_id", "size", "cell", "block", "n", *_BOX)
+    steps = [F.expr(f"sequence(({v}) * e, least(({v}) * e + e, size) - 1)") for v in ("block % w", "(block div w) % w", "block div (w * w)")]
+    met = met.withColumns({"e": edge, "w": across}).withColumn("_r", F.explode(steps[0])).withColumn("_g", F.explode(steps[1])).withColumn("_b", F.explode(steps[2]))
+    met = met.withColumn("node", F.expr("cast(_r + _g * size + _b * size * size as int)")).drop("e", "w", "block")
+    met = met.withColumns({f"c_{c}": kernel.byte(F.col(f"_{c}") / (F.col("size") - 1.0)) for c in "rgb"}).drop("_r", "_g", "_b")
+    met = within_reach(kernel.with_oklch(met, "c_r", "c_g", "c_b", "n_"), "node", "n", "n")
+    seen = met.select("palette_id", "size", "cell", "node", "c_r", "c_g", "c_b", *[f"n_{c}" for c in "labch"])
+    return _with_distance(colours.join(seen, ["palette_id", "size", "cell"]).drop("cell"))
 
 
 KEYS = ["palette_id", "size", "node", "n_l", "n_a", "n_b", "n_c", "n_h"]
@@ -75,7 +137,7 @@ def knn_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, radius: float = 0
     Size and knobs are numbers, or columns of ``palettes`` that are constant per palette and named in ``carry``."""
     if _is(intensity, 0):
         return identity_lattice(palettes.select("palette_id").distinct(), checked_size(size))
-    near = _colours_at_nodes(palettes, size, carry)
+    near = _near_colours_at_nodes(palettes, size, carry, max(neighbours, 1))
     rank = F.row_number().over(Window.partitionBy("palette_id", "node").orderBy("d", "ord"))
     near = near.withColumn("rank", rank).filter(F.col("rank") <= max(neighbours, 1))
     w = kernel.lit(1) / (F.col("d") + 1e-6)
@@ -124,34 +186,34 @@ def _lattice(df: DataFrame) -> DataFrame:
 # --- hue-wheel compression ------------------------------------------------------------------------------------
 
 
-def hue_gaps(palettes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Gaps between neighbouring hue anchors of each palette (wrapping), after merging anchors closer than 2 degrees.
+def hue_anchors(palettes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Hue anchors of each palette (palette_id, *carry, h, c), after merging anchors closer than 2 degrees.
 
-    Merging keeps a running mean in hue order, which is a fold over one palette's chromatic colours. A palette
-    without chromatic colours yields one open gap with null ends.
+    Merging keeps a running mean in hue order. It never reaches across a gap of 2 degrees, so each run of hues between
+    such gaps is merged by itself: runs are found from the least and greatest hue of every degree, and a run's colours
+    pass through one task in order, of which it keeps the last anchor only.
     """
-    lch = kernel.with_oklch(palettes)
-    spoke = F.when(F.col("ok_c") >= NEUTRAL_CHROMA, F.struct(F.col("ok_h").alias("h"), F.col("ord").alias("o"), F.col("ok_c").alias("c")))
-    per = lch.groupBy("palette_id", *carry).agg(F.array_sort(F.collect_list(spoke)).alias("raw"))
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        near = (F.size(done) > 0) & (x["h"] - last["h"] < MERGE_DEGREES)
-        mean = F.struct(((last["h"] + x["h"]) / 2.0).alias("h"), ((last["c"] + x["c"]) / 2.0).alias("c"))
-        fresh = F.struct(x["h"].alias("h"), x["c"].alias("c"))
-        return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(mean))).otherwise(F.concat(done, F.array(fresh)))
-
-    start = F.array().cast("array<struct<h:double,c:double>>")
-    anchors = per.select("palette_id", *carry, F.aggregate("raw", start, add).alias("an")).withColumn("m", F.size("an"))
-    gaps = anchors.select("palette_id", *carry, "m", "an", F.posexplode_outer("an").alias("i", "lo"))
-    hi = F.when(F.col("i").isNotNull(), F.get("an", (F.col("i") + 1) % F.greatest(F.col("m"), F.lit(1))))
-    gaps = gaps.withColumn("hi", hi)
-    width = F.col("hi.h") - F.col("lo.h")
-    wrapped = F.when(width <= 0, width + 360.0).otherwise(width)
-    return gaps.select(
-        "palette_id", *carry, "m", "i", F.col("lo.h").alias("lo_h"), F.col("lo.c").alias("lo_c"),
-        F.col("hi.h").alias("hi_h"), F.col("hi.c").alias("hi_c"), wrapped.alias("width"),
-    )
+    lch = kernel.with_oklch(palettes).filter(F.col("ok_c") >= NEUTRAL_CHROMA)
+    spokes = lch.select("palette_id", *carry, "ord", F.col("ok_h").alias("h"), F.col("ok_c").alias("c")).withColumn("degree", F.floor("h").cast("int"))
+    order = Window.partitionBy("palette_id").orderBy("degree")  # at most 360 rows
+    degrees = spokes.groupBy("palette_id", "degree").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    degrees = degrees.withColumn("fresh", (F.col("lo") - F.lag("hi").over(order) >= MERGE_DEGREES).cast("int"))
+    runs = degrees.select("palette_id", "degree", F.sum(F.coalesce("fresh", F.lit(1))).over(order).alias("run"))
+    placed = salted_join(spokes, runs, ["palette_id", "degree"], F.xxhash64("ord")).drop("degree")
+    ordered = spread_by(placed, "palette_id", "run").sortWithinPartitions("palette_id", "run", "h", "ord")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    names = ["palette_id", *carry, "run", "h", "c"]
+    return ordered.select(*names).mapInArrow(merged_hues(MERGE_DEGREES), ", ".join(f"{n} {kinds[n]}" for n in names)).drop("run")
+
+
+def hue_wheels(palettes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a palette (palette_id, *carry, m, an, below): its number of anchors, the anchors in hue order (at least 2
+    degrees apart, so 180 at most) and, for each degree, how many anchors lie below it."""
+    anchors = hue_anchors(palettes, carry).groupBy("palette_id").agg(F.array_sort(F.collect_list(F.struct("h", "c"))).alias("an"))
+    wheels = palettes.select("palette_id", *carry).distinct().join(anchors, "palette_id", "left")
+    wheels = wheels.withColumn("an", F.coalesce("an", F.array().cast("array<struct<h:double,c:double>>"))).withColumn("m", F.size("an"))
+    below = F.transform(F.sequence(F.lit(0), F.lit(360)), lambda d: F.size(F.filter("an", lambda x: x["h"] < d)))
+    return wheels.withColumn("below", below)
 
 
 def grade_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, compression: float = 0.70, mute: float = 0.30,
@@ -159,15 +221,21 @@ def grade_lattice(palettes: DataFrame, size: int = DEFAULT_SIZE, compression: fl
     """Squeeze hues onto the palette's spokes; lightness stays, chroma is muted between spokes and kept in gamut. Knobs as
     in ``knn_lattice``.
 
-    Every gap row meets the lattice and keeps the nodes whose hue it holds, so each node survives exactly once
-    per palette and nothing is shuffled after the gaps are known.
+    A palette's wheel is one bounded row. The lattice is generated from it, and a node finds the gap between two anchors
+    that holds its hue by its degree: a degree holds one anchor at most.
     """
-    df = kernel.with_oklch(_nodes(hue_gaps(palettes, carry), _size(size)), "c_r", "c_g", "c_b", "n_")
-    df = kernel.fence(df, {n: F.col(n) for n in ("n_l", "n_c", "n_h")}).drop("n_a", "n_b")
-    h, lo, hi = F.col("n_h"), F.col("lo_h"), F.col("hi_h")
-    seam = F.col("i") == F.col("m") - 1
-    inside = F.when(F.col("m") <= 1, True).when(seam, (h >= lo) | (h < hi)).otherwise((h >= lo) & (h < hi))
-    df = df.filter(inside)
+    df = kernel.with_oklch(_nodes(hue_wheels(palettes, carry), _size(size)), "c_r", "c_g", "c_b", "n_")
+    h, m = F.col("n_h"), F.col("m")
+    start = F.get("below", F.floor(h).cast("int"))
+    df = df.withColumn("_start", start)
+    passed = F.col("_start") + F.when(F.get("an", F.col("_start"))["h"] <= h, 1).otherwise(0)
+    df = df.withColumn("_i", F.when(m > 0, F.pmod(passed - 1 + m, F.greatest(m, F.lit(1)))))
+    ends = {"lo": F.get("an", F.col("_i")), "hi": F.get("an", F.pmod(F.col("_i") + 1, F.greatest(m, F.lit(1))))}
+    df = df.withColumns({f"{e}_{x}": v[x] for e, v in ends.items() for x in "hc"}).drop("an", "below", "_start", "_i")
+    width = F.col("hi_h") - F.col("lo_h")
+    df = df.withColumn("width", F.when(width <= 0, width + 360.0).otherwise(width))
+    df = kernel.fence(df, {n: F.col(n) for n in ("n_l", "n_c", "n_h", "lo_h", "lo_c", "hi_c", "width")}).drop("n_a", "n_b", "hi_h")
+    lo = F.col("lo_h")
     t = F.least(kernel.wrap(h - lo) / F.col("width"), kernel.lit(1))
     compression, mute = _knob(compression), _knob(mute)
     power = F.pow(kernel.lit(MAX_GAIN), compression)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import lut
@@ -12,11 +13,22 @@ from .derived import sql
 from .registry import query
 
 S = 5
+# Few palettes of many colours, on larger lattices.
+WIDE_S = 17
+_WIDE = ", wide as (select palette_id % 5 as palette_id, row_number() over (partition by palette_id % 5 order by palette_id, ord) - 1 as ord, r, g, b from palettes)"
+
+
+def wide(spark, sf):
+    """All colours of the palettes in five palettes."""
+    group = F.col("palette_id") % 5
+    order = F.row_number().over(Window.partitionBy("group").orderBy("palette_id", "ord")) - 1
+    rows = d.palettes(spark, sf).withColumn("group", group).withColumn("slot", order)
+    return rows.select(F.col("group").alias("palette_id"), F.col("slot").alias("ord"), "r", "g", "b")
 
 
 def _nodes_sql(src: str, size: str = str(S)) -> str:
     """``src`` rows crossed with the lattice nodes."""
-    q = f"(select s.*, {size} as size, q.node from {src} s cross join (select cast(range as int) as node from range({6**3})) q where q.node < {size}*{size}*{size})"
+    q = f"(select s.*, {size} as size, q.node from {src} s cross join (select cast(range as int) as node from range({max(6, int(size) if size.isdigit() else 0)**3})) q where q.node < {size}*{size}*{size})"
     axes = {"nr": "node % size", "ng": "(node // size) % size", "nb_": "node // (size*size)"}
     return "(select *, " + ", ".join(o.byte(f"(({v})/(size-1e0))") + f" as {n}" for n, v in axes.items()) + f" from {q})"
 
@@ -30,17 +42,17 @@ def identity_lattice(spark, sf):
     return lut.identity_lattice(ids, (F.col("palette_id") % 5 + 2).cast("int"))
 
 
-def _cross() -> str:
-    pal = o.oklab("(select palette_id, ord, r as pr, g as pg, b as pb from palettes)", "pr", "pg", "pb", "p_")
-    return f"(select *, sqrt((n_l-p_l)*(n_l-p_l)+(n_a-p_a)*(n_a-p_a)+(n_b-p_b)*(n_b-p_b)) as dd from {o.oklab(_nodes_sql(pal), 'nr', 'ng', 'nb_', 'n_')})"
+def _cross(src: str = "palettes", size: int = S) -> str:
+    pal = o.oklab(f"(select palette_id, ord, r as pr, g as pg, b as pb from {src})", "pr", "pg", "pb", "p_")
+    return f"(select *, sqrt((n_l-p_l)*(n_l-p_l)+(n_a-p_a)*(n_a-p_a)+(n_b-p_b)*(n_b-p_b)) as dd from {o.oklab(_nodes_sql(pal, str(size)), 'nr', 'ng', 'nb_', 'n_')})"
 
 
 def _arc(x: str, y: str, t: str) -> str:
     return o.wrap(f"{x} + ({y}-{x} - (case when {y}-{x} > 180 then 360e0 when {y}-{x} < -180 then -360e0 else 0e0 end))*{t}")
 
 
-def _knn_sql(radius: float, dist: float, inten: float, k: int, sat: bool) -> str:
-    near = f"(select *, 1e0/(dd+1e-6) as w from {_cross()} qualify row_number() over (partition by palette_id, node order by dd, ord) <= {k})"
+def _knn_sql(radius: float, dist: float, inten: float, k: int, sat: bool, *of) -> str:
+    near = f"(select *, 1e0/(dd+1e-6) as w from {_cross(*of)} qualify row_number() over (partition by palette_id, node order by dd, ord) <= {k})"
     agg = f"""(select palette_id, size, node, n_l, n_c, n_h, pow(1e0 - least(min(dd)/{radius}e0, 1e0), {2 * dist}e0)*{inten}e0 as pull, sum(w*p_c)/sum(w) as tc,
      {o.wrap('degrees(atan2(sum(w*sin(radians(p_h))), sum(w*cos(radians(p_h)))))')} as th from {near} group by palette_id, size, node, n_l, n_c, n_h)"""
     nc = "n_c + (tc-n_c)*pull" if sat else "n_c"
@@ -58,9 +70,9 @@ def knn_lattice_chroma(spark, sf):
     return lut.knn_lattice(d.palettes(spark, sf), S, 0.6, 0.5, 0.8, 3, True)
 
 
-def _rbf_sql(reach: float, sharp: float, strength: float, sat: bool) -> str:
+def _rbf_sql(reach: float, sharp: float, strength: float, sat: bool, *of) -> str:
     agg = f"""(select palette_id, size, node, n_l, n_a, n_b, n_c, sum(w) as sw, sum(w*p_a) as wa, sum(w*p_b) as wb from
-     (select *, exp(-pow(dd/{reach}e0, {sharp}e0)) as w from {_cross()}) group by all)"""
+     (select *, exp(-pow(dd/{reach}e0, {sharp}e0)) as w from {_cross(*of)}) group by all)"""
     t = f"(select *, n_a + ((case when sw > 1e-12 then wa/sw else n_a end)-n_a)*{strength}e0 as xa, n_b + ((case when sw > 1e-12 then wb/sw else n_b end)-n_b)*{strength}e0 as xb from {agg})"
     scale = "1e0" if sat else "(case when sqrt(xa*xa+xb*xb) > 1e-12 then n_c/sqrt(xa*xa+xb*xb) else 1e0 end)"
     return "select palette_id, size, node, r, g, b from " + o.oklab_bytes(f"(select *, n_l as nl, xa*{scale} as na, xb*{scale} as nb from {t})")
@@ -76,26 +88,20 @@ def rbf_lattice_chroma(spark, sf):
     return lut.rbf_lattice(d.palettes(spark, sf), S, 0.3, 1.5, 0.7, True)
 
 
-def _grade_sql(compression: float, mute: float, sat: bool) -> str:
+def _grade_sql(compression: float, mute: float, sat: bool, before: str = "", src: str = "palettes", size: int = S) -> str:
     """Anchors merged step by step in hue order, gaps by lead, gamut clip by nested halvings."""
     from ..functions import constants as K
 
-    # palettes hold at most eight slots: seven steps reach the last anchor
-    steps = ", ".join(
-        f"w{i} as materialized (select w.palette_id, ch.k, case when ch.ok_h - w.h < 2 then w.a else w.a + 1 end as a, case when ch.ok_h - w.h < 2 then (w.h+ch.ok_h)/2 else ch.ok_h end as h,"
-        f" case when ch.ok_h - w.h < 2 then (w.c+ch.ok_c)/2 else ch.ok_c end as c from w{i - 1} w join ch on w.palette_id = ch.palette_id and ch.k = {i})"
-        for i in range(2, 9)
-    )
-    history = " union all ".join(f"select * from w{i}" for i in range(1, 9))
-    head = f""", ch as materialized (select palette_id, ok_h, ok_c, row_number() over (partition by palette_id order by ok_h, ord) as k from {o.oklab('palettes')} where ok_c >= 0.02),
- w1 as materialized (select palette_id, k, 1 as a, ok_h as h, ok_c as c from ch where k = 1),
- {steps}, walk as materialized ({history}),
+    head = f"""{before}, ch as materialized (select palette_id, ok_h, ok_c, row_number() over (partition by palette_id order by ok_h, ord) as k from {o.oklab(src)} where ok_c >= 0.02),
+ walk as (select palette_id, k, 1 as a, ok_h as h, ok_c as c from ch where k = 1
+  union all select w.palette_id, ch.k, case when ch.ok_h - w.h < 2 then w.a else w.a + 1 end, case when ch.ok_h - w.h < 2 then (w.h+ch.ok_h)/2 else ch.ok_h end,
+   case when ch.ok_h - w.h < 2 then (w.c+ch.ok_c)/2 else ch.ok_c end from walk w join ch on w.palette_id = ch.palette_id and ch.k = w.k + 1),
  anc as materialized (select palette_id, a, arg_max(h, k) as h, arg_max(c, k) as c from walk group by palette_id, a),
  gap as (select *, case when hi_h - lo_h <= 0 then hi_h - lo_h + 360 else hi_h - lo_h end as width from (select palette_id, a, count(*) over (partition by palette_id) as m, h as lo_h, c as lo_c,
   coalesce(lead(h) over w, first_value(h) over w) as hi_h, coalesce(lead(c) over w, first_value(c) over w) as hi_c from anc window w as (partition by palette_id order by a rows between unbounded preceding and unbounded following))),
- allgap as materialized (select p.palette_id, coalesce(m, 0) as m, a, lo_h, lo_c, hi_h, hi_c, width from (select distinct palette_id from palettes) p left join gap using (palette_id))
+ allgap as materialized (select p.palette_id, coalesce(m, 0) as m, a, lo_h, lo_c, hi_h, hi_c, width from (select distinct palette_id from {src}) p left join gap using (palette_id))
  """
-    nodes = o.oklab(_nodes_sql("allgap"), "nr", "ng", "nb_", "n_")
+    nodes = o.oklab(_nodes_sql("allgap", str(size)), "nr", "ng", "nb_", "n_")
     inside = f"(select *, least({o.wrap('n_h-lo_h')}/width, 1e0) as t from {nodes} where m <= 1 or (a = m and (n_h >= lo_h or n_h < hi_h)) or (a < m and n_h >= lo_h and n_h < hi_h))"
     g = repr(6.0**compression)
     bent = f"(select *, case when t <= 0 then 0e0 when t >= 1 then 1e0 else pow(t,{g})/(pow(t,{g})+pow(1e0-t,{g})) end as bent from {inside})"
@@ -114,7 +120,7 @@ def _grade_sql(compression: float, mute: float, sat: bool) -> str:
     rgb = o.oklab_bytes(f"(select *, n_l as nl, nc*_cos as na, nc*_sin as nb from {done})")
     idle = "m = 0" if not (sat and compression > 0) else "false"
     body = f"select palette_id, size, node, case when {idle} then nr else r end as r, case when {idle} then ng else g end as g, case when {idle} then nb_ else b end as b from {rgb}"
-    return sql("palettes", head + body)
+    return sql("palettes", head + body).replace("with ", "with recursive ", 1)
 
 
 @query("g4_grade_lattice", _grade_sql(0.7, 0.3, False))
@@ -127,6 +133,24 @@ def grade_lattice_chroma(spark, sf):
     return lut.grade_lattice(d.palettes(spark, sf), S, 0.4, 0.5, True)
 
 
+_OF_WIDE = ("wide", WIDE_S)
+
+
+@query("g2_wide_lattice", sql("palettes", _WIDE + " " + _knn_sql(0.4, 0.15, 0.9, 2, False, *_OF_WIDE)))
+def wide_knn_lattice(spark, sf):
+    return lut.make_lattice(wide(spark, sf), "", size=WIDE_S)
+
+
+@query("g3_wide_lattice", sql("palettes", _WIDE + " " + _rbf_sql(0.2, 2.0, 0.9, False, *_OF_WIDE)))
+def wide_rbf_lattice(spark, sf):
+    return lut.make_lattice(wide(spark, sf), "rbf", size=WIDE_S)
+
+
+@query("g4_wide_lattice", _grade_sql(0.7, 0.3, False, _WIDE, *_OF_WIDE))
+def wide_grade_lattice(spark, sf):
+    return lut.make_lattice(wide(spark, sf), "grade", size=WIDE_S)
+
+
 _JOB = {
     "job_id": "c_custkey",
     "method": "case c_custkey % 5 when 0 then '' when 1 then 'knn' when 2 then 'rbf' when 3 then 'grade' else 'cube' end",
@@ -176,29 +200,36 @@ def run_lattice_jobs(spark, sf):
     return lut.run_jobs(palettes, rbf.unionByName(knn).withColumns(same))[0]
 
 
-def _apply_sql() -> str:
-    lat = _rbf_sql(0.2, 2.0, 0.9, False)
-    at = ", ".join(f"least(cast(floor({c}/255e0*4e0) as int), 3) as i{c}" for c in "rgb")
-    fr = ", ".join(f"{c}/255e0*4e0 - i{c} as f{c}" for c in "rgb")
+def _apply_sql(lat: str, palettes: int = 25, size: int = S, before: str = "") -> str:
+    at = ", ".join(f"least(cast(floor({c}/255e0*{size - 1}e0) as int), {size - 2}) as i{c}" for c in "rgb")
+    fr = ", ".join(f"{c}/255e0*{size - 1}e0 - i{c} as f{c}" for c in "rgb")
     wts = "*".join(f"(case when d{c} = 1 then f{c} else 1e0-f{c} end)" for c in "rgb")
     outs = ", ".join(f"cast(floor(sum(l.{c}*w)+0.5) as int) as out_{c}" for c in "rgb")
     return sql(
         "pixels palettes",
-        f""", lat as materialized ({lat}), col as (select distinct image_id % 25 as palette_id, r, g, b from pixels),
+        f"""{before}, lat as materialized ({lat}), col as (select distinct image_id % {palettes} as palette_id, r, g, b from pixels),
  pos as (select *, {fr} from (select *, {at} from col)),
- cor as (select *, (ir+dr)+(ig+dg)*5+(ib+db)*25 as node, {wts} as w from pos cross join (values (0),(1)) a(dr) cross join (values (0),(1)) bb(dg) cross join (values (0),(1)) cc(db)),
+ cor as (select *, (ir+dr)+(ig+dg)*{size}+(ib+db)*{size * size} as node, {wts} as w from pos cross join (values (0),(1)) a(dr) cross join (values (0),(1)) bb(dg) cross join (values (0),(1)) cc(db)),
  done as (select cor.palette_id, cor.r, cor.g, cor.b, {outs} from cor join lat l on cor.palette_id = l.palette_id and cor.node = l.node group by cor.palette_id, cor.r, cor.g, cor.b)
- select image_id, idx, palette_id, out_r, out_g, out_b from pixels join done on image_id % 25 = palette_id and pixels.r = done.r and pixels.g = done.g and pixels.b = done.b""",
+ select image_id, idx, palette_id, out_r, out_g, out_b from pixels join done on image_id % {palettes} = palette_id and pixels.r = done.r and pixels.g = done.g and pixels.b = done.b""",
     )
 
 
-@query("g6_apply_lattice", _apply_sql())
-def apply_lattice(spark, sf):
-    lattice = lut.make_lattice(d.palettes(spark, sf), "rbf", size=S)
-    assigned = d.images(spark, sf).select("image_id", (F.col("image_id") % 25).alias("palette_id"), "n_total")
+def _applied(spark, sf, lattice, palettes):
+    assigned = d.images(spark, sf).select("image_id", (F.col("image_id") % palettes).alias("palette_id"), "n_total")
     return lut.apply_lattice(d.pixels(spark, sf), assigned, lattice)
 
 
+@query("g6_apply_lattice", _apply_sql(_rbf_sql(0.2, 2.0, 0.9, False)))
+def apply_lattice(spark, sf):
+    return _applied(spark, sf, lut.make_lattice(d.palettes(spark, sf), "rbf", size=S), 25)
+
+
+@query("g6_apply_wide_lattice", _apply_sql(_knn_sql(0.4, 0.15, 0.9, 2, False, *_OF_WIDE), 5, WIDE_S, _WIDE))
+def apply_wide_lattice(spark, sf):
+    return _applied(spark, sf, lut.make_lattice(wide(spark, sf), "", size=WIDE_S), 5)
+
+
 @query(
     "a10_lattice_text",
     sql("palettes", f"select palette_id, -1 as pos, 'LUT_3D_SIZE 5' as line from (select distinct palette_id from palettes) union all select palette_id, node, printf('%.6f %.6f %.6f', r/255e0, g/255e0, b/255e0) from ({_rbf_sql(0.2, 2.0, 0.9, False)})"),
