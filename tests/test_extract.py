@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tintlake.functions import kernel
 from tintlake.functions.numeric import oklab_of
 from tintlake.operators import clusters as cl
 from tintlake.operators import pixels as px
@@ -316,3 +317,25 @@ def test_extraction_job(pixels, spark):
             ex.extract(pixels, images, **bad)
     both, records = ex.extract_jobs(pixels, images, [{"method": "popularity", "k": 2}, {"method": "wu", "k": 3}])
     assert {r.job for r in both.collect()} == {0, 1} and records.count() == 2 * record.count()
+
+
+def test_strips_of_a_white_image(spark, make_pixels, monkeypatch):
+    """Nine tenths white, with greys and tied colours around it, against sorted pixels; tiles smaller than columns."""
+    r = random.Random(12)
+    white, tied = (255, 255, 255), [(255, 0, 10), (255, 10, 0), (10, 255, 0), (0, 255, 10), (254, 254, 254)]
+    colours = [white if r.random() < 0.9 else r.choice(tied) for _ in range(3000)]
+    table = make_pixels({1: (50, [(*c, 255) for c in colours]), 2: (10, [(*white, 255)] * 40)})
+    want = None
+    for size in (1 << 10, 8, 1):
+        monkeypatch.setattr(st, "TIE_TILE", size)
+        got = {(x.image_id, x.metric, x.col): (x.r, x.g, x.b) for x in st.strips(table, 7).collect()}
+        want = want or got
+        assert got == want
+    lab = {(x.r, x.g, x.b): x for x in st.metric_keys(kernel.with_oklch(table.filter("image_id = 1").select("r", "g", "b").distinct())).filter("metric = 'distance'").collect()}
+    order = sorted(range(3000), key=lambda i: (lab[colours[i]].key, i))
+    for col in range(7):
+        part = [lab[colours[i]] for i in order[-(-col * 3000 // 7) : -(-(col + 1) * 3000 // 7)]]
+        mean = [sum(getattr(x, c) for x in part) / len(part) for c in ("ok_l", "ok_a", "ok_b")]
+        one = spark.createDataFrame([tuple(mean)], "ok_l double, ok_a double, ok_b double")
+        bytes_ = kernel.with_oklab_bytes(one, F.col("ok_l"), F.col("ok_a"), F.col("ok_b")).first()
+        assert all(abs(a - b) <= 1 for a, b in zip((bytes_.r, bytes_.g, bytes_.b), want[1, "distance", col]))

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel
-from ..runtime import cut, dense_position, running_weight, tile
+from ..runtime import cut, dense_position, running_weight, salted_join, tile
 from .pixels import color_counts, opaque
 
 METRICS = ["hue", "luminance", "saturation", "distance"]
 PRIMARIES = {"red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255)}
 # Float sort keys are compared at this resolution, far below any visible difference.
 KEY_SCALE = 1e6
+# Pixels of a raster tile in which tied colours are counted together.
+TIE_TILE = 1 << 10
 
 
 def metric_keys(colors: DataFrame, space: str = "oklch", target: str = "blue") -> DataFrame:
@@ -43,8 +45,9 @@ def strips(pixels: DataFrame, width: int = 800, space: str = "oklch", target: st
     """(image_id, metric, col, r, g, b): sort by metric, ties in raster order, cut into ``width`` equal ranges.
 
     Ranks come from the exact-colour histogram, not from sorting pixels: every colour whose rank range is
-    known contributes count times OkLab to the columns it overlaps. Only colours that share a sort key with
-    another colour *and* straddle a column edge are ranked pixel by pixel, in raster order.
+    known contributes count times OkLab to the columns it overlaps. Colours that share a sort key with another
+    colour *and* straddle a column edge are counted by raster tile; only the tiles in which an edge falls are
+    ranked pixel by pixel.
     """
     valid = opaque(pixels)
     # written once: four uses below would otherwise each re-read and re-shuffle the pixel table
@@ -68,16 +71,33 @@ def strips(pixels: DataFrame, width: int = 800, space: str = "oklch", target: st
     simple = simple.select("image_id", "metric", "col", share.alias("n"), "ok_l", "ok_a", "ok_b").filter("n > 0")
 
     ties = ranged.filter(tied).select("image_id", "metric", "key", "r", "g", "b", "start", "n_valid", "ok_l", "ok_a", "ok_b")
-    members = valid.select("image_id", "idx", "r", "g", "b").join(ties, ["image_id", "r", "g", "b"])
-    placed = dense_position(members, ["image_id", "metric", "key"], tile("idx"), ["idx"], "pos")
-    placed = placed.withColumn("col", _column(F.col("start") + F.col("pos"), width))
-    exact = placed.select("image_id", "metric", "col", F.lit(1).cast("bigint").alias("n"), "ok_l", "ok_a", "ok_b")
+    exact = _tied_columns(valid.select("image_id", "idx", "r", "g", "b"), ties, width)
 
     means = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("ok_l", "ok_a", "ok_b")]
     filled = simple.unionByName(exact).groupBy("image_id", "metric", "col").agg(*means)
     return kernel.with_oklab_bytes(filled, F.col("ok_l"), F.col("ok_a"), F.col("ok_b")).select("image_id", "metric", "col", "r", "g", "b")
 
 
+def _tied_columns(pixels: DataFrame, ties: DataFrame, width: int) -> DataFrame:
+    """(image_id, metric, col, n, OkLab) of tied colours: ranks are running counts of the group's pixels tile by tile, and
+    within a tile that a column edge cuts the raster order."""
+    group, color = ["image_id", "metric", "key"], ["image_id", "r", "g", "b"]
+    tiled = pixels.withColumn("_tile", F.floor(F.col("idx") / TIE_TILE).cast("bigint"))
+    counted = tiled.groupBy(*color, "_tile").agg(F.count("*").alias("n"))
+    held = salted_join(counted, ties, color, F.col("_tile"))
+    sizes = held.groupBy(*group, "_tile").agg(F.sum("n").alias("size"))
+    sizes = running_weight(sizes, group, "_tile", "size", F.floor(F.col("_tile") / TIE_TILE), "before")
+    held = held.join(sizes, [*group, "_tile"])
+    at = F.col("start") + F.col("before")
+    held = held.withColumns({"col": _column(at, width), "_last": _column(at + F.col("size") - 1, width)})
+    whole = held.filter("col = _last").select("image_id", "metric", "col", "n", "ok_l", "ok_a", "ok_b")
+    edges = held.filter("col < _last").drop("n", "col", "_last", "size")
+    members = tiled.join(edges, [*color, "_tile"])  # at most TIE_TILE pixels of an image and tile
+    place = F.row_number().over(Window.partitionBy(*group, "_tile").orderBy("idx")) - 1
+    ranked = members.withColumn("_place", place).withColumn("col", _column(at + F.col("_place"), width))
+    return whole.unionByName(ranked.select("image_id", "metric", "col", F.lit(1).cast("bigint").alias("n"), "ok_l", "ok_a", "ok_b"))
+
+
 def _column(rank: Column, width: int) -> Column:
     """Column whose range [x n / W, (x + 1) n / W) holds the rank."""
     return F.floor(((rank + 1) * width - 1) / F.col("n_valid")).cast("bigint")

@@ -23,13 +23,13 @@ _URI = """case doc_id % 5 when 0 then concat('data:text/plain;base64,', {b64}) w
 
 @query(
     "a2_inline_images",
-    """select doc_id, case when doc_id % 5 in (0,4) and octet_length(encode(text)) <= 4000 then text end as content,
+    """select doc_id, case when doc_id % 5 in (0,4) then text end as content,
  case when doc_id % 5 = 1 then case when split_part(text, ',', 1) like '%base64%' then 'x' else 'payload is not base64' end when doc_id % 5 = 2 then 'no comma before the payload'
-  when doc_id % 5 = 3 then 'payload cannot be decoded' when octet_length(encode(text)) > 4000 then 'payload above 4000 bytes' end as error from documents""",
+  when doc_id % 5 = 3 then 'payload cannot be decoded' end as error from documents""",
 )
 def inline_images(spark, sf):
     rows = d.table(spark, sf, "documents").select("doc_id", F.expr(_URI.format(b64="base64(cast(text as binary))")).alias("uri"))
-    out = im.inline_images(rows, max_bytes=4000)
+    out = im.inline_images(rows)
     return out.select("doc_id", F.decode("content", "UTF-8").alias("content"), "error")
 
 
