@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tintlake.sources import images as im
 from tintlake.sources import lists
+from tintlake.sources import rasters as rs
 
 
 def png(width, height, pixels, alpha):
@@ -81,3 +82,58 @@ def test_pixel_tables_prune_columns(spark, tmp_path):
     back = im.read_pixels(spark, str(tmp_path / "p"))
     assert back.columns == im.PIXEL_COLUMNS
     assert im.read_pixels(spark, str(tmp_path / "c"), "csv").agg(F.sum("b")).first()[0] == 9
+
+
+def bmp(width, height, pixels, bits, top_down=False):
+    """Raster of 24 bits, or of 32 bits whose fourth byte means nothing."""
+    n = bits // 8
+    rows = [b"".join(bytes((p[2], p[1], p[0], 17)[:n]) for p in pixels[y * width : (y + 1) * width]) for y in range(height)]
+    rows = [row + bytes(-len(row) % 4) for row in (rows if top_down else rows[::-1])]
+    head = struct.pack("<IiiHHIIiiII", 40, width, -height if top_down else height, 1, bits, 0, 0, 0, 0, 0, 0)
+    return struct.pack("<2sIHHI", b"BM", 54 + sum(map(len, rows)), 0, 0, 54) + head + b"".join(rows)
+
+
+def colours_of(rows):
+    got = {}
+    for r in rows.orderBy("image_id", "idx").collect():
+        got.setdefault(str(r.image_id).rsplit("/", 1)[-1], []).append((r.idx, r.x, r.y, r.r, r.g, r.b, r.a))
+    return got
+
+
+def test_rasters_by_byte_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rs, "BAND_PIXELS", 20)
+    pixels = [((7 * i) % 256, (11 * i) % 256, (200 + i) % 256) for i in range(7 * 9)]
+    files = {f"{bits}{top}.bmp": bmp(7, 9, pixels, bits, top) for bits in (24, 32) for top in (True, False)}
+    files |= {"junk.bmp": b"not a raster", "empty.bmp": b"", "short.bmp": files["24True.bmp"][:-1], "_left.bmp": b"x"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = [(i, i % 7, i // 7, *p, 255) for i, p in enumerate(pixels)]
+    for split in (10, 55, 1 << 20):
+        bands = rs.read_rasters(spark, str(tmp_path), split)
+        got = colours_of(im.band_pixels(bands))
+        assert got == {name: want for name in files if name[0] in "23"}
+        errors = {r.image_id.rsplit("/", 1)[1]: r.error for r in bands.filter("error is not null").collect()}
+        assert errors == {"junk.bmp": rs.NOT_A_RASTER, "empty.bmp": rs.NOT_A_RASTER, "short.bmp": rs.TRUNCATED}
+    assert rs.read_rasters(spark, str(tmp_path), 55).rdd.getNumPartitions() > 10
+    assert rs.read_rasters(spark, str(tmp_path / "24True.bmp")).filter("error is null").count() == 5
+    (tmp_path / "none").mkdir()
+    assert rs.read_rasters(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([*files.items(), ("null", None)], "uri string, content binary")
+    bands = rs.payload_bands(rows, "uri", "content")
+    assert colours_of(im.band_pixels(bands)) == {name: want for name in files if name[0] in "23"}
+    assert bands.filter("error is not null").count() == 5
+
+
+def test_written_rasters(spark, tmp_path, make_pixels):
+    clear = [*PIXELS[:5], (0, 0, 0, 0)]
+    table = make_pixels({1: (3, clear), 2: (2, PIXELS)}).selectExpr("*", "if(image_id = 1, 3, 2) w", "if(image_id = 1, 2, 3) h")
+    files = rs.write_rasters(table.filter("not (image_id = 2 and idx = 5)").withColumn("image_id", F.col("image_id").cast("string")).unionByName(table.withColumn("image_id", F.concat(F.lit("a/"), "image_id"))), str(tmp_path / "out"))
+    assert {(r.image_id, r.bytes) for r in files.collect()} == {("1", 146), ("2", 142), ("a/1", 146), ("a/2", 146)}
+    bands = rs.read_rasters(spark, str(tmp_path / "out"))
+    got = colours_of(im.band_pixels(bands))
+    assert got["1.bmp"] == got["a%2F1.bmp"] == [(i, i % 3, i // 3, *p) for i, p in enumerate(clear)]
+    assert got["a%2F2.bmp"] == [(i, i % 2, i // 2, *p) for i, p in enumerate(PIXELS)]
+    assert [r.error for r in bands.filter("error is not null").collect()] == [rs.TRUNCATED]
+    # another decoder sees the same colours
+    again = im.image_pixels(im.read_images(spark, str(tmp_path / "out")))
+    assert [r[3:6] for r in colours_of(again)["1.bmp"]][:5] == [p[:3] for p in PIXELS[:5]]

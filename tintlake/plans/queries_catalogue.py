@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as cg
 from ..operators import sinks
+from ..runtime import cut, ensure_checkpoint_dir
 from ..sources import catalogue as src
 from ..sources import images as im
 from ..sources import lists
+from ..sources import rasters as rs
 from . import derived as d
 from . import oracle as o
 from .derived import sql
@@ -17,6 +21,50 @@ from .registry import query
 
 # --- sources ------------------------------------------------------------------------------------------------
 
+# The pixel table as raster files: an image's last row is filled up with transparent pixels, and of some images the file
+# ends before the last pixel.
+_CUT_SHORT = "image_id % 25 = 3"
+_RASTERS_SQL = sql(
+    "pixels",
+    f""", dense as (select image_id, idx, r, g, b, a from pixels union all select image_id, unnest(range(n_total, w * h)), 0, 0, 0, 0 from images)
+ select cast(image_id as varchar) as image, idx, cast(idx % {d.WIDTH} as int) as x, cast(idx // {d.WIDTH} as int) as y, case when a > 0 then r else 0 end as r, case when a > 0 then g else 0 end as g,
+  case when a > 0 then b else 0 end as b, a, null as error from dense where not {_CUT_SHORT}
+ union all select cast(image_id as varchar), null, null, null, null, null, null, null, 'truncated' from images where {_CUT_SHORT}""",
+)
+
+
+def _written(spark, sf):
+    """Folder and list of the raster files of all images."""
+    sizes = d.images(spark, sf)
+    clear = [F.lit(0).alias(c) for c in "rgba"]
+    filled = sizes.filter("n_total < w * h").select("image_id", F.explode(F.expr("sequence(n_total, cast(w * h - 1 as bigint))")).alias("idx"), *clear)
+    dense = d.pixels(spark, sf).select("image_id", "idx", *"rgba").unionByName(filled).join(sizes.drop("n_total"), "image_id")
+    folder = f"{ensure_checkpoint_dir(spark)}/rasters-{uuid.uuid4().hex}"
+    return folder, cut(rs.write_rasters(dense.filter(f"not ({_CUT_SHORT} and idx = w * h - 1)"), folder))
+
+
+def _pixels_and_errors(bands):
+    image = F.regexp_extract("image_id", "([^/]+)[.]bmp$", 1).alias("image")
+    found = im.band_pixels(bands).select(image, "idx", "x", "y", "r", "g", "b", "a", F.lit(None).cast("string").alias("error"))
+    return found.unionByName(bands.filter("error is not null").select(image, "error"), allowMissingColumns=True)
+
+
+@query("a1_raster_scan", _RASTERS_SQL)
+def raster_scan(spark, sf):
+    """Every pixel of the raster files of all images, read by byte ranges; files that cannot be read keep a row."""
+    folder, _ = _written(spark, sf)
+    return _pixels_and_errors(rs.read_rasters(spark, folder))
+
+
+@query("a2_inline_rasters", _RASTERS_SQL)
+def inline_rasters(spark, sf):
+    """The same files as ``data:`` texts: payloads of inline images, cut into bands and expanded to pixels."""
+    folder, _ = _written(spark, sf)
+    uri = F.concat(F.lit("data:image/bmp;base64,"), F.base64("content"))
+    inline = im.inline_images(spark.read.format("binaryFile").load(folder).select(F.col("path").alias("image_id"), uri.alias("uri")))
+    return _pixels_and_errors(rs.payload_bands(inline, "image_id", "content"))
+
+
 _URI = """case doc_id % 5 when 0 then concat('data:text/plain;base64,', {b64}) when 1 then concat('data:text/plain,', text)
  when 2 then 'data:text/plain;base64' when 3 then 'data:text/plain;base64,%%%' else concat('data:;base64,', {b64}) end"""
 

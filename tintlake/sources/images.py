@@ -52,7 +52,12 @@ def image_pixels(images: DataFrame) -> DataFrame:
     rows = F.least(F.col("_high"), F.col("h") - F.col("_y"))
     start = (F.col("_y") * F.col("w") * F.col("channels") + 1).cast("int")
     part = F.substring("data", start, (rows * F.col("w") * F.col("channels")).cast("int"))
-    bands = bands.select("image_id", "w", "channels", "_y", (rows * F.col("w")).alias("_n"), part.alias("data"))
+    return band_pixels(bands.select("image_id", "w", "channels", F.col("_y").alias("y"), (rows * F.col("w")).alias("n"), part.alias("data")))
+
+
+def band_pixels(bands: DataFrame) -> DataFrame:
+    """Every pixel of bands (image_id, w, channels, y of the first row, n pixels, data); bands without data give none."""
+    bands = bands.filter(F.col("data").isNotNull()).select("image_id", "w", "channels", F.col("y").alias("_y"), F.col("n").alias("_n"), "data")
     df = spread_by(bands, "image_id", "_y").withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     df = df.withColumn("idx", F.col("_y").cast("bigint") * F.col("w") + F.col("_at"))
 
