@@ -86,14 +86,14 @@ def sums_of_blocks(f: pa.Array, w: pa.Array, pos: pa.Array, centres: pa.Array) -
     return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in np.concatenate(sums).T], SUMS))
 
 
-def settled_blocks(k: int, rounds: int):
-    """Seeds and rounds of keys that are one block each, as a function of their blocks: the centres at rest."""
+def settled_blocks(rounds: int):
+    """Seeds and rounds of keys that are one block each, as a function of their blocks and ``k``: the centres at rest."""
 
-    def settle(f: pa.Array, w: pa.Array, pos: pa.Array) -> pa.Array:
+    def settle(f: pa.Array, w: pa.Array, pos: pa.Array, k: pa.Array) -> pa.Array:
         none = pa.ListArray.from_arrays(pa.array(np.zeros(len(f) + 1, np.int32)), pa.StructArray.from_arrays([pa.array([], pa.float64())] * 3, FEATURES))
         out = [np.zeros((0, 3))]
-        for points, weight, at, spots in _blocks(f, w, pos, none):
-            while len(spots) < k and (found := _farthest(points, weight, at, spots)):
+        for (points, weight, at, spots), wanted in zip(_blocks(f, w, pos, none), k.to_pylist()):
+            while len(spots) < wanted and (found := _farthest(points, weight, at, spots)):
                 spots = np.concatenate([spots, points[found[1]][None]])
             lead = spots[:1]
             for _ in range(rounds):

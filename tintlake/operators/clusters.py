@@ -86,21 +86,27 @@ def moved(blocks: DataFrame, state: DataFrame, key: str, small: bool) -> DataFra
     return spots.groupBy(key).agg(slots.alias("centres"), F.first("lead").alias("lead"), F.bool_or(F.col("new") != F.col("old")).alias("moved"))
 
 
-def cluster_points(points: DataFrame, k: int, rounds: int = K.LLOYD_ROUNDS, key: str = "image_id") -> DataFrame:
+def cluster_points(points: DataFrame, k: int | str, rounds: int = K.LLOYD_ROUNDS, key: str = "image_id") -> DataFrame:
     """Lloyd's algorithm for all keys at once: add ``c`` to points (key, f0..f2, w, pos), ``pos`` unique in its key.
 
     Seeds: the heaviest point, then each time the point of greatest weight times squared distance to the nearest seed.
     Then ``rounds`` rounds, fewer for keys where nothing moves any more; a cluster without points restarts at the
     heaviest point. Points are packed into blocks once. A key of one block is brought to rest where the block lies; the
-    larger keys go through rounds of all their blocks together (``spread_rounds``), with the same result.
+    larger keys go through rounds of all their blocks together (``spread_rounds``), with the same result. ``k`` is a
+    number or names a column that is constant per key.
     """
     laid = cut(laid_out(cut(points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES})), key))
-    settle = F.arrow_udf(settled_blocks(k, rounds), f"array<{_CENTRE}>")
-    state = packed_points(laid.filter("splits = 1"), key).select(key, F.lit(1).alias("splits"), settle("f", "w", "pos").alias("centres"))
-    large = laid.filter("splits > 1")
+    settle = F.arrow_udf(settled_blocks(rounds), f"array<{_CENTRE}>")
+    blocks, large = packed_points(laid.filter("splits = 1"), key), laid.filter("splits > 1")
+    wanted = None
+    if isinstance(k, str):
+        blocks = blocks.join(laid.filter("splits = 1").groupBy(key).agg(F.first(k).alias("k")), key)
+        wanted = large.groupBy(key).agg(F.first(k).alias("k"))
+    state = blocks.select(key, F.lit(1).alias("splits"), settle("f", "w", "pos", F.lit(k) if wanted is None else F.col("k")).alias("centres"))
     if not large.isEmpty():
         sizes = large.select(key, "splits").distinct()
-        state = state.unionByName(spread_rounds(cut(packed_points(large, key)), k, rounds, key).join(sizes, key).select(key, "splits", "centres"))
+        found = spread_rounds(cut(packed_points(large, key)), k if wanted is None else cut(wanted), rounds, key)
+        state = state.unionByName(found.join(sizes, key).select(key, "splits", "centres"))
     parts = state.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select(key, "split", "centres")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema)
     found = laid.groupBy(key, "split").cogroup(spread_by(parts, key, "split").groupBy(key, "split")).applyInArrow(labelled, f"{kinds}, c bigint")
@@ -111,19 +117,22 @@ def _small(state: DataFrame, k: int) -> bool:
     return state.count() * (k + 1) * 40 <= BROADCAST_BYTES
 
 
-def spread_rounds(blocks: DataFrame, k: int, rounds: int, key: str) -> DataFrame:
-    """States (key, centres) of keys of any number of blocks.
+def spread_rounds(blocks: DataFrame, k: int | DataFrame, rounds: int, key: str) -> DataFrame:
+    """States (key, centres) of keys of any number of blocks; ``k`` is a number or rows (key, k).
 
     A key's state is an array of at most ``k`` centres; states meet the blocks by a broadcast while all of them are
     small (keys times ``k``), else by a salted join. A round is one join, a sum per block and centre, and aggregates of
     these sums; the state is cut every few rounds, and keys at rest are set aside.
     """
     state = cut(blocks.select(key).distinct().withColumn("centres", F.array().cast(f"array<{_CENTRE}>")))
-    small = _small(state, k)
-    for step in range(k):
+    most = k if isinstance(k, int) else k.agg(F.max("k")).first()[0]
+    small = _small(state, most)
+    for step in range(most):
         state = seeded(blocks, state, key, small)
         if (step + 1) % ROUNDS_PER_CUT == 0:
             state = cut(state)
+    if not isinstance(k, int):  # the seeds for fewer centres are the first of those for more
+        state = state.join(k, key).select(key, F.slice("centres", F.lit(1), F.col("k")).alias("centres"))
     state = cut(state.select(key, "centres", F.element_at("centres", 1).alias("lead"), F.lit(True).alias("moved")))
     settled = []
     for step in range(1, rounds + 1):
@@ -140,15 +149,16 @@ def spread_rounds(blocks: DataFrame, k: int, rounds: int, key: str) -> DataFrame
 # --- grouped application --------------------------------------------------------------------------------------------
 
 
-def merge_clusters(clusters: DataFrame, radius: float, floor: int, key: str = "image_id") -> DataFrame:
+def merge_clusters(clusters: DataFrame, radius: float | str, floor: int | str, key: str = "image_id") -> DataFrame:
     """Nearest-pair merge of (key, c, f0..f2, n, s, ...), a few times k clusters an image; radius inf merges down
-    to floor. Further columns are constant per image and are kept."""
+    to floor. Further columns are constant per image and are kept; ``radius`` and ``floor`` may name two of them."""
     carried = [c for c in clusters.columns if c not in ("c", *FEATURES, "n", "s")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
-        f, n, s = merge_closest(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), radius, floor)
         same = {c: pdf[c].iloc[0] for c in carried}
+        within, least = (same[x] if isinstance(x, str) else x for x in (radius, floor))
+        f, n, s = merge_closest(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), within, least)
         return pd.DataFrame(f, columns=FEATURES).assign(c=range(len(f)), n=n, s=s, **same)[[*carried, "c", *FEATURES, "n", "s"]]
 
     kept = ", ".join(f"{c} {clusters.schema[c].dataType.simpleString()}" for c in carried)

@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..functions import kernel
 from ..operators import clusters as cl
 from ..operators import extract as ex
+from ..operators import jobs as jb
 from ..operators import pixels as px
 from ..operators import quantise as qz
 from . import derived as d
@@ -499,3 +500,67 @@ def extraction_job(spark, sf):
     pairs = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     record = record.select("image_id", "method", F.array_join(pairs, ",").alias("params"), "n_total", "n_valid")
     return palette.select("image_id", "ord", "r", "g", "b", micro("src_x").alias("src_x"), micro("src_y").alias("src_y")).join(record, "image_id")
+
+
+# --- job tables ---------------------------------------------------------------------------------------------------------
+
+_PRESETS = list(K.MOOD_PRESETS)
+# a preset and, for some images, an own bound for each pair of image and number
+_MOOD_JOBS = f"""select s_suppkey * 10 + p as job, s_suppkey as image_id, p, case when s_suppkey % 4 = 1 then 0.5 end as min_l, cast(10 + s_suppkey % 50 as int) as k from supplier"""
+_RULES_SQL = "rules(p, l0, l1, c0, c1) as (values " + ", ".join(f"({i}, {a}, {b}, {c}, {e})" for i, (a, b, c, e, *_) in enumerate(K.MOOD_PRESETS.values())) + ")"
+
+
+def _jobs(spark, sf, n: int):
+    """Rows (s_suppkey, p) for p below n."""
+    p = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("p")
+    return d.table(spark, sf, "supplier").select("s_suppkey", p)
+
+
+@query(
+    "c11_mood_jobs",
+    sql(
+        "pixels",
+        f"""{_V}, {_RULES_SQL}, jobs as ({_MOOD_JOBS.replace("from supplier", "from supplier, range(6) as t(p)")}), c as (select * from {o.oklab('(select image_id, r, g, b, count(*) as n from px group by all)')}),
+ m as (select job, k, r, g, b, n, ok_l >= coalesce(min_l, l0) and ok_l <= l1 and ok_c >= c0 and (c1 <= 0 or ok_c <= c1) as hit from jobs join rules using (p) join c using (image_id)),
+ t as (select job, case when sum(case when hit then n else 0 end) < k then 1 else 0 end as f, sum(case when hit then n else 0 end) as hits, sum(n) as every from m group by job, k)
+ select job, f = 1 as fell_back, cast(case when f = 1 then every else hits end as bigint) as n_kept, count(*) as n_colours, cast(sum(r * 65536 + g * 256 + b) as bigint) as colours from m join t using (job) where hit or f = 1 group by 1, 2, 3""",
+    ),
+)
+def mood_jobs(spark, sf):
+    """Six presets for every image in one pass, some with an own bound."""
+    name = F.element_at(F.array(*map(F.lit, _PRESETS)), F.col("p") + 1).alias("preset")
+    knobs = [F.lit(None).cast("double").alias(x) for x in jb.KNOBS if x != "min_l"]
+    jobs = _jobs(spark, sf, 6).selectExpr("s_suppkey * 10 + p as unit", "s_suppkey as image_id", "p", "case when s_suppkey % 4 = 1 then 0.5D end as min_l", "cast(10 + s_suppkey % 50 as int) as k")
+    kept = jb.mood_colours(px.color_counts(valid(spark, sf)), jb.with_rules(jobs.select("unit", "image_id", "k", "min_l", name, *knobs)))
+    colour = F.col("r").cast("bigint") * 65536 + F.col("g") * 256 + F.col("b")
+    return kept.groupBy(F.col("unit").alias("job"), "fell_back", "n_kept").agg(F.count("*").alias("n_colours"), F.sum(colour).alias("colours"))
+
+
+@query(
+    "a4_job_table",
+    sql(
+        "pixels",
+        f"""{_V}, bins as ({_bins(5)}), best as (select *, row_number() over (partition by image_id order by n desc, key) - 1 as ord from bins),
+ jobs as (select s_suppkey * 10 + p as job, s_suppkey as image_id, case when (s_suppkey + p) % 20 = 0 then 'magic' else 'popularity' end as method, (s_suppkey * 7 + p * 5) % 34 as k from supplier, range(4) as t(p)),
+ bad as (select job, image_id, case when method = 'magic' then 'unknown method magic' when not k between 1 and 32 then 'a palette has 1 to 32 colours, not ' || k when image_id not in (select image_id from px) then 'no pixels' end as error, k from jobs)
+ select job, cast(ord as int) as ord, r, g, b, n, {o.micro('n / sum(n) over (partition by job)')} as freq, null as error from bad join best using (image_id) where error is null and ord < k
+ union all select job, null, null, null, null, null, null, error from bad where error is not null""",
+    ),
+)
+def job_table(spark, sf):
+    """Four popularity jobs an image, with a number of colours a row; jobs that cannot run keep a row."""
+    jobs = _jobs(spark, sf, 4).selectExpr("s_suppkey * 10 + p as job", "s_suppkey as image_id", "if((s_suppkey + p) % 20 = 0, 'magic', 'popularity') as method", "cast((s_suppkey * 7 + p * 5) % 34 as int) as k")
+    palettes, records = jb.run_jobs(d.colours(spark, sf), jobs)
+    rows = palettes.select("job", "ord", "r", "g", "b", "n", micro("freq").alias("freq"), F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(records.filter("error is not null").select("job", "error"), allowMissingColumns=True)
+
+
+@query("a4_mixed_jobs")
+def mixed_jobs(spark, sf):
+    """A job an image with one of four methods, three to six colours and, for the soft methods, one of six presets.
+    Tested against single extractions; as SQL it is the four methods' queries with a number of clusters a row."""
+    method = "element_at(array('soft', 'softk', 'okkmeans', 'wkmeans'), cast(s_suppkey % 4 as int) + 1)"
+    name = "element_at(array(" + ", ".join(f"'{x}'" for x in _PRESETS) + "), cast(s_suppkey % 6 as int) + 1)"
+    jobs = _jobs(spark, sf, 1).selectExpr("s_suppkey as job", "s_suppkey as image_id", f"{method} as method", "cast(3 + s_suppkey % 4 as int) as k", f"if(s_suppkey % 4 < 2, {name}, null) as preset")
+    palettes, _ = jb.run_jobs(d.colours(spark, sf), jobs)
+    return palettes.select("job", "ord", "r", "g", "b", "n", micro("freq").alias("freq"), "fell_back")
