@@ -128,7 +128,7 @@ def test_written_rasters(spark, tmp_path, make_pixels):
     clear = [*PIXELS[:5], (0, 0, 0, 0)]
     table = make_pixels({1: (3, clear), 2: (2, PIXELS)}).selectExpr("*", "if(image_id = 1, 3, 2) w", "if(image_id = 1, 2, 3) h")
     files = rs.write_rasters(table.filter("not (image_id = 2 and idx = 5)").withColumn("image_id", F.col("image_id").cast("string")).unionByName(table.withColumn("image_id", F.concat(F.lit("a/"), "image_id"))), str(tmp_path / "out"))
-    assert {(r.image_id, r.bytes) for r in files.collect()} == {("1", 146), ("2", 142), ("a/1", 146), ("a/2", 146)}
+    assert {(r.name, r.bytes) for r in files.collect()} == {("1.bmp", 146), ("2.bmp", 142), ("a%2F1.bmp", 146), ("a%2F2.bmp", 146)}
     bands = rs.read_rasters(spark, str(tmp_path / "out"))
     got = colours_of(im.band_pixels(bands))
     assert got["1.bmp"] == got["a%2F1.bmp"] == [(i, i % 3, i // 3, *p) for i, p in enumerate(clear)]

@@ -23,15 +23,15 @@ def _ordered(slots: DataFrame, key: str, fields: Column, name: str) -> DataFrame
     return slots.groupBy(key).agg(F.transform(F.array_sort(pairs), lambda p: p["v"]).alias(name), F.count("*").alias("size"))
 
 
-def envelopes(slots: DataFrame, tool: str | None = None, params: dict[str, str] | None = None, metadata: DataFrame | None = None) -> DataFrame:
-    """One JSON document per palette_id: schema, tool, params, result.palette with integer colour forms.
+def with_forms(slots: DataFrame) -> DataFrame:
+    """Slots with the spaces that ``colour_forms`` reads."""
+    return kernel.with_oklch(kernel.with_hsv(kernel.with_hsl(slots)))
 
-    Optional members are left out when absent; ``rgba`` appears only on translucent colours. ``metadata`` may
-    hold (palette_id, metadata struct).
-    """
-    df = kernel.with_oklch(kernel.with_hsv(kernel.with_hsl(slots)))
+
+def colour_forms() -> Column:
+    """A colour's integer forms; ``rgba`` is null on opaque colours."""
     ints = F.array
-    color = F.struct(
+    return F.struct(
         kernel.hex_text(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("hex"),
         ints("r", "g", "b").alias("rgb"),
         F.when(F.col("a") != 255, ints("r", "g", "b", "a")).alias("rgba"),
@@ -39,7 +39,15 @@ def envelopes(slots: DataFrame, tool: str | None = None, params: dict[str, str]
         ints(_capped(F.col("hsv_h"), 360, 1), _capped(F.col("hsv_s"), 100, 100), _capped(F.col("hsv_v"), 100, 100)).alias("hsv"),
         ints(_capped(F.col("ok_l"), 100, 100), _capped(F.col("ok_c"), 100, 100), _capped(F.col("ok_h"), 360, 1)).alias("oklch"),
     )
-    docs = _ordered(df, "palette_id", color, "colors")
+
+
+def envelopes(slots: DataFrame, tool: str | None = None, params: dict[str, str] | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """One JSON document per palette_id: schema, tool, params, result.palette with integer colour forms.
+
+    Optional members are left out when absent; ``rgba`` appears only on translucent colours. ``metadata`` may
+    hold (palette_id, metadata struct).
+    """
+    docs = _ordered(with_forms(slots), "palette_id", colour_forms(), "colors")
     result = [F.struct(F.col("size"), F.col("colors")).alias("palette")]
     if metadata is not None:
         docs = docs.join(metadata, "palette_id", "left")
@@ -62,16 +70,10 @@ def token_lines(slots: DataFrame, prefix: str = "color", notation: str = "hex")
 TOKEN_FORMATS = ["css", "scss", "less", "plain", "gpl", "tailwind"]
 
 
-def design_tokens(slots: DataFrame, prefix: str = "color", notation: str = "hex", formats: list[str] | None = None) -> DataFrame:
-    """Token text of every palette in every format: rows (palette_id, format, text)."""
-    if notation in ("hex", "hex-upper", "rgb", "int"):
-        df = slots
-    else:
-        df = with_spaces(slots)
-    df = df.select("palette_id", "ord", "r", "g", "b", notation_text(notation).alias("value"))
-    nr = F.col("ord") + 1
+def token_texts(prefix: str, nr: Column) -> dict[str, Column]:
+    """Text of one colour (r, g, b, value) in every format, line end included."""
     fmt = F.format_string
-    per = {
+    return {
         "css": fmt(f"  --{prefix}-%d: %s;\n", nr, "value"),
         "scss": fmt(f"${prefix}-%d: %s;\n", nr, "value"),
         "less": fmt(f"@{prefix}-%d: %s;\n", nr, "value"),
@@ -79,6 +81,17 @@ def design_tokens(slots: DataFrame, prefix: str = "color", notation: str = "hex"
         "gpl": fmt(f"%3d %3d %3d\t{prefix}-%d\n", "r", "g", "b", nr),
         "tailwind": fmt(f'  "{prefix}-%d": "%s",\n', nr, "value"),
     }
+
+
+def design_tokens(slots: DataFrame, prefix: str = "color", notation: str = "hex", formats: list[str] | None = None) -> DataFrame:
+    """Token text of every palette in every format: rows (palette_id, format, text)."""
+    if notation in ("hex", "hex-upper", "rgb", "int"):
+        df = slots
+    else:
+        df = with_spaces(slots)
+    df = df.select("palette_id", "ord", "r", "g", "b", notation_text(notation).alias("value"))
+    nr = F.col("ord") + 1
+    per = token_texts(prefix, nr)
     chosen = formats or TOKEN_FORMATS
     fields = F.struct(*[per[f].alias(f) for f in chosen], nr.alias("nr"))
     docs = _ordered(df, "palette_id", fields, "rows")
@@ -113,12 +126,15 @@ def gradient_segments(slots: DataFrame) -> DataFrame:
     return df.select("palette_id", "ord", "left", ((F.col("left") + F.col("right")) / 2).alias("mid"), "right", "r", "g", "b", *ends)
 
 
+def css_stop() -> Column:
+    return F.format_string("%s %.1f%%", kernel.hex_text(F.col("r"), F.col("g"), F.col("b")), F.col("pos") * 100.0)
+
+
 def css_gradients(stops: DataFrame, space: str = "oklab") -> DataFrame:
     """``linear-gradient(in <space> 90deg, hex p%, ...)`` per ramp from positioned stops."""
     from .gradient import CSS_SPACE
 
-    stop = F.format_string("%s %.1f%%", kernel.hex_text(F.col("r"), F.col("g"), F.col("b")), F.col("pos") * 100.0)
-    rows = _ordered(stops, "ramp_id", stop, "parts")
+    rows = _ordered(stops, "ramp_id", css_stop(), "parts")
     text = F.concat(F.lit(f"linear-gradient(in {CSS_SPACE[space]} 90deg, "), F.array_join("parts", ", "), F.lit(")"))
     return rows.select("ramp_id", text.alias("css"))
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as cg
+from ..operators import lut
+from ..operators import publish as pb
 from ..operators import sinks
 from ..runtime import cut, ensure_checkpoint_dir
 from ..sources import catalogue as src
@@ -197,14 +199,60 @@ def gradient_segments(spark, sf):
     return s.select("palette_id", "ord", *[micro(c).alias(c) for c in ("left", "mid", "right")], "r", "g", "b", "r1", "g1", "b1")
 
 
+_CSS_SQL = sql("stops", "select ramp_id, 'linear-gradient(in oklch 90deg, ' || string_agg(printf('#%02x%02x%02x %.1f%%', r, g, b, floor(pos*1000+0.5)/10), ', ' order by ord) || ')' as css from stops group by ramp_id")
+
+
 @query(
     "a9_css_gradients",
-    sql("stops", "select ramp_id, 'linear-gradient(in oklch 90deg, ' || string_agg(printf('#%02x%02x%02x %.1f%%', r, g, b, floor(pos*1000+0.5)/10), ', ' order by ord) || ')' as css from stops group by ramp_id"),
+    _CSS_SQL,
 )
 def css_gradients(spark, sf):
     return sinks.css_gradients(d.stops(spark, sf), "oklch")
 
 
+# --- published files ------------------------------------------------------------------------------------------
+
+
+def _published(spark, pieces, name, key="palette_id"):
+    """Documents as files of the checkpoint folder, read back as (key, kind, text)."""
+    folder = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    cut(pb.publish(pieces, folder, name))
+    parts = F.split("_metadata.file_name", "[.]")
+    return spark.read.text(folder, wholetext=True).select(parts[0].cast("bigint").alias(key), parts[1].alias("kind"), F.col("value").alias("text"))
+
+
+@query("a7_published_envelopes", sql("palettes", _envelope_sql()))
+def published_envelopes(spark, sf):
+    pieces = pb.envelope_pieces(d.palettes(spark, sf), "palette", {"prefix": "color"})
+    return _published(spark, pieces, F.concat("palette_id", F.lit(".json"))).select("palette_id", F.col("text").alias("document"))
+
+
+@query("a8_published_tokens", sql("palettes", _tokens_sql(_TEXT_SQL["hex"], "palettes")))
+def published_tokens(spark, sf):
+    pieces = pb.token_pieces(d.palettes(spark, sf))
+    return _published(spark, pieces, F.concat_ws(".", F.col("palette_id").cast("string"), "format")).select("palette_id", F.col("kind").alias("format"), "text")
+
+
+@query("a9_published_css", _CSS_SQL)
+def published_css(spark, sf):
+    pieces = pb.css_pieces(d.stops(spark, sf), "oklch")
+    return _published(spark, pieces, F.concat("ramp_id", F.lit(".css")), "ramp_id").select("ramp_id", F.col("text").alias("css"))
+
+
+@query(
+    "a10_published_lattices",
+    sql(
+        "palettes",
+        """select palette_id, 'LUT_3D_SIZE 17' || chr(10) || string_agg(printf('%.6f %.6f %.6f', r/255e0, g/255e0, b/255e0) || chr(10), '' order by node) as text from
+ (select palette_id, b*289 + g*17 + r as node, cast(floor(r*255/16e0+0.5) as int) as r, cast(floor(g*255/16e0+0.5) as int) as g, cast(floor(b*255/16e0+0.5) as int) as b from (select distinct palette_id from palettes), range(17) t(r), range(17) u(g), range(17) v(b)) group by palette_id""",
+    ),
+)
+def published_lattices(spark, sf):
+    """An identity lattice for every palette, one text file each."""
+    lattice = lut.identity_lattice(d.palettes(spark, sf).select("palette_id").distinct(), 17)
+    return _published(spark, pb.lattice_pieces(lattice), F.concat("palette_id", F.lit(".cube"))).select("palette_id", "text")
+
+
 # --- catalogue -------------------------------------------------------------------------------------------------
 
 _SLUG = "lower(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '^-+|-+$', '', 'g'))"

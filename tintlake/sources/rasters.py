@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import struct
 import sys
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..runtime import spread_by
+from .files import Draft, opened
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -103,13 +103,6 @@ def _error(text: str) -> tuple:
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and its path; ``file:/x`` and ``s3a://x`` as Spark writes them are understood."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-
-
 @dataclass
 class Ranges(InputPartition):
     """Byte ranges (path, size, first byte, end) of one task."""
@@ -136,14 +129,14 @@ class RasterReader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self) -> list[Ranges]:
-        system, root = _opened(self.path)
+        system, root = opened(self.path)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = [(f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
         return ranges_of(sorted(files), self.split) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        system, _ = _opened(self.path)
+        system, _ = opened(self.path)
         for path, size, lo, hi in partition.parts:
             with system.open_input_file(path) as file:
                 found = layout_of(file.read_at(min(HEAD_BYTES, size), 0), size)
@@ -208,41 +201,33 @@ def payload_bands(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 def _file_writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _opened(folder)
+        system, root = opened(folder)
         system.create_dir(root, recursive=True)
-        held, key, draft, size = None, None, "", 0
-
-        def close() -> pa.RecordBatch:
-            held.close()
-            path = f"{root}/{quote(str(key), safe='')}.bmp"
-            system.move(draft, path)
-            return pa.record_batch([pa.array([str(key)]), pa.array([path]), pa.array([size], pa.int64())], names=["image_id", "path", "bytes"])
-
+        draft, key = None, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
             w, h, *bgra = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
             pixels = np.stack(bgra, axis=1).astype(np.uint8)
             starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
             for lo, hi in zip(starts, [*starts[1:], len(ids)]):
-                if held is None or ids[lo] != key:
-                    if held is not None:
-                        yield close()
-                    key, draft = ids[lo], f"{root}/_{uuid.uuid4().hex}"
-                    held, size = system.open_output_stream(draft), 0
-                    size += held.write(header_of(int(w[lo]), int(h[lo])))
-                size += held.write(pixels[lo:hi].tobytes())
-        if held is not None:
-            yield close()
+                if draft is None or ids[lo] != key:
+                    if draft is not None:
+                        yield draft.publish()
+                    key, draft = ids[lo], Draft(system, root, f"{quote(str(ids[lo]), safe='')}.bmp")
+                    draft.add(header_of(int(w[lo]), int(h[lo])))
+                draft.add(pixels[lo:hi].tobytes())
+        if draft is not None:
+            yield draft.publish()
 
     return run
 
 
 def write_rasters(pixels: DataFrame, folder: str) -> DataFrame:
-    """Write one raster an image from dense rows (image_id, w, h, idx, r, g, b, a); a row (image_id, path, bytes) a file.
+    """Write one raster an image from dense rows (image_id, w, h, idx, r, g, b, a); a row (name, path, bytes) a file.
 
     An image streams through one task in raster order, whatever its size. A file gets its name when it is whole, so that
     a lost task leaves no half file. Runs when the result is evaluated.
     """
     rows = pixels.select("image_id", "w", "h", "b", "g", "r", "a", "idx")
     ordered = spread_by(rows, "image_id").sortWithinPartitions("image_id", "idx").drop("idx")
-    return ordered.mapInArrow(_file_writer(folder), "image_id string, path string, bytes bigint")
+    return ordered.mapInArrow(_file_writer(folder), "name string, path string, bytes bigint")
