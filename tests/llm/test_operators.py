@@ -51,9 +51,11 @@ def plain_repeats(texts, window):
     return out
 
 
+@pytest.mark.parametrize("common", [0, 20, 10_000])
 @pytest.mark.parametrize("limit", [3000, 1])
-def test_substring_dedup(spark, monkeypatch, limit):
+def test_substring_dedup(spark, monkeypatch, limit, common):
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", limit)
+    monkeypatch.setattr(substring_dedup, "COMMON_MARKS", common)
     r = random.Random(limit)
     texts = [" ".join(r.choice("ab") for _ in range(r.randint(0, 30))) for _ in range(20)]
     texts += [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60))) for _ in range(60)]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintlake.llm.common import ids_and_texts, mix, rolling, row_key, signed, span_hash, stored, text_blocks, word_bounds, word_hashes
+from tintlake.runtime import SALTS
 
 WINDOW = 35
 GRAM = 8
@@ -35,6 +36,8 @@ GRAM = 8
 SHARD_SEGMENTS = 3000
 # Words of one automaton.
 SHARD_WORDS = 40_000
+# A mark is common if it has at least this part of all marks, so at most as many are common.
+COMMON_MARKS = 10_000
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,8 +92,8 @@ def _contents(frames):
         for text, marks in zip(df["_text"], df["marks"]):
             words = text.encode().split()
             for m in marks:
-                out.append((m["mark"], m["seg"], b" ".join(words[m["lo"] : m["hi"]])))
-        yield pd.DataFrame(out, columns=["mark", "seg", "words"])
+                out.append((m["mark"], m["seg"], m["n"], b" ".join(words[m["lo"] : m["hi"]])))
+        yield pd.DataFrame(out, columns=["mark", "seg", "n", "words"])
 
 
 class SuffixAutomaton:
@@ -206,24 +209,40 @@ def _window_hashes(window: int):
     return run
 
 
+def _spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], common: DataFrame, place) -> DataFrame:
+    """Inner join whose ``keys`` hold a mark: the rows of a common mark are cut into ``SALTS`` parts by ``place``, and
+    only the facts of common marks are repeated. ``common`` (at most ``COMMON_MARKS`` marks) is broadcast."""
+    known = F.broadcast(common.select("mark", F.lit(True).alias("_common")))
+    salt = F.when(F.col("_common"), F.pmod(place, F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    many = facts.join(known, "mark", "left").withColumn("_salt", F.explode(salts)).drop("_common")
+    return rows.join(known, "mark", "left").withColumn("_salt", salt).drop("_common").join(many, [*keys, "_salt"]).drop("_salt")
+
+
 def repeated_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(_k1, _k2, lo, hi): word ranges, relative to a row's text, covered by windows that occur elsewhere too.
 
     ``docs`` has _id, _text, _k1, _k2."""
     marks = stored(docs.mapInArrow(_marks(window, gram), "_k1 long, _k2 long, lo int, hi int, mark long, seg long"), "marks")
     # Two segments of one row of a pair of rows repeated in full share keys; count() sees both.
-    seen = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), (F.min("seg") == F.max("seg")).alias("same")).filter("n >= 2").drop("n")
-    shared = stored(marks.join(seen, "mark"), "shared")
+    seen = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), (F.min("seg") == F.max("seg")).alias("same")).filter("n >= 2")
+    seen = stored(seen, "seen")
+    common = seen.filter(F.col("n") * COMMON_MARKS >= marks.count()).select("mark")
+    place = F.xxhash64("_k1", "_k2", "lo")
+    shared = stored(_spread_join(marks, seen.drop("n"), ["mark"], common, place), "shared")
     plain = shared.filter("same").select("_k1", "_k2", "lo", "hi")
-    compared = shared.filter("not same")
-    wanted = compared.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("lo", "hi", "mark", "seg")).alias("marks"))
+    compared = shared.filter("not same").drop("same")
+    # the content of a segment is read at one of its places
+    first = F.min(F.struct("_k1", "_k2", "lo", "hi")).alias("at")
+    segments = compared.groupBy("mark", "seg").agg(F.count(F.lit(1)).alias("n"), first)
+    wanted = segments.groupBy("at._k1", "at._k2").agg(F.collect_list(F.struct("at.lo", "at.hi", "mark", "seg", "n")).alias("marks"))
     texts = docs.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"])
-    contents = texts.select("_text", "marks").mapInPandas(_contents, "mark long, seg long, words binary")
-    counts = compared.groupBy("mark", "seg").agg(F.count(F.lit(1)).alias("n"))
-    segments = contents.groupBy("mark", "seg").agg(F.first("words").alias("words")).join(counts, ["mark", "seg"])
+    contents = texts.select("_text", "marks").mapInPandas(_contents, "mark long, seg long, n long, words binary")
+    # rows repeated in full share their keys, so each of them brings the content
+    segments = contents.groupBy("mark", "seg").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     segments = stored(segments, "segments")
     sizes = segments.groupBy("mark").agg((F.count(F.lit(1)) > SHARD_SEGMENTS).alias("large"))
-    sized = segments.join(sizes, "mark")
+    sized = _spread_join(segments, sizes, ["mark"], common, F.col("seg"))
     found = (
         sized.filter("not large")
         .select("mark", "seg", "n", "words")
@@ -235,7 +254,7 @@ def repeated_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     twice = windows.groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h")
     counted = windows.join(twice, "h").select("mark", "seg", "a", (F.col("a") + window).alias("b"))
     ranges = found.unionByName(counted)
-    exact = compared.join(ranges, ["mark", "seg"]).select("_k1", "_k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    exact = _spread_join(compared, ranges, ["mark", "seg"], common, place).select("_k1", "_k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
     return plain.unionByName(exact)
 
 
