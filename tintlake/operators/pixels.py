@@ -92,8 +92,13 @@ def bin_sums(pixels: DataFrame, bits: int = 5, group: tuple[str, ...] = ("image_
 
 def histogram(pixels: DataFrame, bits: int = 5, group: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """RGB binning: count and floor-mean colour per bin."""
+    return bin_means(bin_sums(pixels, bits, group), group)
+
+
+def bin_means(sums: DataFrame, group: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Count and floor-mean colour of bins given by their sums."""
     means = [F.floor(F.col(f"s{c}") / F.col("n")).cast("int").alias(c) for c in CHANNELS]
-    return bin_sums(pixels, bits, group).select(*group, "key", "n", *means)
+    return sums.select(*group, "key", "n", *means)
 
 
 def top_k(df: DataFrame, group: list[str], order: list, k: int, rank: str = "ord") -> DataFrame:

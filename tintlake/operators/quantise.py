@@ -23,7 +23,11 @@ def with_share(palette: DataFrame, group: str = "image_id") -> DataFrame:
 
 def popularity(pixels: DataFrame, k: int = K.PALETTE_SIZE, bits: int = 5, group: str = "image_id") -> DataFrame:
     """k fullest colour bins, earliest key on ties; shares are over the kept bins."""
-    hist = histogram(pixels, bits, (group,))
+    return fullest_bins(histogram(pixels, bits, (group,)), k, group)
+
+
+def fullest_bins(hist: DataFrame, k: int, group: str = "image_id") -> DataFrame:
+    """k fullest bins of a histogram, earliest key on ties, with their share of the kept bins."""
     return with_share(top_k(hist, [group], [F.col("n").desc(), "key"], k), group).select(group, "ord", *CHANNELS, "n", "freq")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["queries_color", "queries_design", "queries_extract", "queries_lut", "queries_catalogue"]
+QUERY_MODULES = ["queries_color", "queries_design", "queries_extract", "queries_lut", "queries_catalogue", "queries_streams"]
 
 
 def load_all() -> None:
