@@ -111,10 +111,15 @@ def search(catalogue: DataFrame, category: str = "All", tag: str = "", text: str
         out = out.filter(F.array_contains("tags", tag))
     needle = text.strip().lower()
     if needle:
-        out = out.filter(F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))).contains(needle))
+        out = out.filter(searched_text().contains(needle))
     return out
 
 
+def searched_text() -> Column:
+    """Name and description as ``search`` reads them."""
+    return F.lower(F.concat_ws(" ", "name", F.coalesce("description", F.lit(""))))
+
+
 def palette_slots(catalogue: DataFrame) -> DataFrame:
     """Long palette table of a catalogue, with its origin."""
     rows = color_rows(catalogue)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as cg
 from ..operators import lut
+from ..operators import postings as po
 from ..operators import publish as pb
 from ..operators import sinks
 from ..runtime import cut, ensure_checkpoint_dir
@@ -294,10 +295,11 @@ def category_listing(spark, sf):
     return cg.categories(d.catalogue(spark, sf)).orderBy(F.lower("name"))
 
 
-@query(
-    "h4_list_palettes",
-    sql("catalogue", f", {_CATS} select pos, id from catalogue where pos in (select pos from ct where slug = 'middle-east') and len(list_filter(tags, lambda t: lower(t) like '%n1%')) > 0"),
-)
+def _list_sql(slug: str, tag: str) -> str:
+    return sql("catalogue", f", {_CATS} select pos, id from catalogue where pos in (select pos from ct where slug = '{slug}') and len(list_filter(tags, lambda t: lower(t) like '%{tag}%')) > 0")
+
+
+@query("h4_list_palettes", _list_sql("middle-east", "n1"))
 def list_palettes(spark, sf):
     return cg.list_palettes(d.catalogue(spark, sf), "Middle East", " N1 ").select("pos", "id")
 
@@ -366,9 +368,25 @@ def tags(spark, sf):
     return cg.tag_vocabulary(d.catalogue(spark, sf)).orderBy("tag")
 
 
-@query(
-    "h9_search",
-    sql("catalogue", "select pos, id from catalogue where list_contains(categories, 'ASIA') and list_contains(tags, 'n2') and lower(name || ' ' || description) like '%nation_1%'"),
-)
+_SEARCH_SQL = sql("catalogue", "select pos, id from catalogue where list_contains(categories, 'ASIA') and list_contains(tags, 'n2') and lower(name || ' ' || description) like '%nation_1%'")
+
+
+@query("h9_search", _SEARCH_SQL)
 def search(spark, sf):
     return cg.search(d.catalogue(spark, sf), "ASIA", "n2", " Nation_1").select("pos", "id")
+
+
+def _indexed(spark, sf):
+    folder = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    po.write_index(d.catalogue(spark, sf), folder)
+    return folder
+
+
+@query("h4_indexed_palettes", _list_sql("tone-1", "east"))
+def indexed_palettes(spark, sf):
+    return po.list_palettes(spark, _indexed(spark, sf), "Tone & 1", " EAST").select("pos", "id")
+
+
+@query("h9_indexed_search", _SEARCH_SQL)
+def indexed_search(spark, sf):
+    return po.search(spark, _indexed(spark, sf), "ASIA", "n2", " Nation_1").select("pos", "id")
