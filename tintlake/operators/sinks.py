@@ -139,9 +139,17 @@ def css_gradients(stops: DataFrame, space: str = "oklab") -> DataFrame:
     return rows.select("ramp_id", text.alias("css"))
 
 
+_UNITS = "array(" + ",".join(f"'{v / 255:.6f}'" for v in range(256)) + ")"
+
+
+def lattice_line(r: Column, g: Column, b: Column) -> Column:
+    """Text of a node: three of the 256 texts of a byte."""
+    return F.concat_ws(" ", *[F.get(F.expr(_UNITS), c.cast("int")) for c in (r, g, b)])
+
+
 def lattice_lines(lattice: DataFrame) -> DataFrame:
     """Lattice text lines per palette: a size header at pos -1, then one line per node, red fastest."""
-    line = F.format_string("%.6f %.6f %.6f", *[F.col(c) / 255.0 for c in "rgb"])
+    line = lattice_line(*[F.col(c) for c in "rgb"])
     rows = lattice.select("palette_id", F.col("node").alias("pos"), line.alias("line"))
     head = lattice.select("palette_id", "size").distinct()
     head = head.select("palette_id", F.lit(-1).alias("pos"), F.format_string("LUT_3D_SIZE %d", "size").alias("line"))
