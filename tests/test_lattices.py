@@ -73,3 +73,39 @@ def test_anchors_match_one_fold(spark):
     assert wheels[3].m == 0 and wheels[3].an == [] and wheels[1].m == len(want[1]) <= 180
     assert all(list(w.below) == [sum(a.h < d for a in w.an) for d in range(361)] for w in wheels.values())
     assert lut.grade_lattice(palettes, 5).groupBy("palette_id").count().filter("count = 125").count() == 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rows_are_never_broadcast(spark, tmp_path):
+    """A small file becomes many nodes: no join may be planned by the size of the file."""
+    table(spark, {p: clustered(random.Random(p), 6) for p in range(20)}).write.parquet(str(tmp_path / "p"))
+    palettes = spark.read.parquet(str(tmp_path / "p"))
+    assert "BroadcastHashJoin" not in plan_of(lut.hue_wheels(palettes))
+    assert "BroadcastHashJoin" not in plan_of(lut._by_size(palettes)[0])
+    pixels = palettes.selectExpr("palette_id image_id", "cast(ord as bigint) idx", "r", "g", "b")
+    assigned = pixels.groupBy("image_id").agg(F.count("*").alias("n_total")).withColumn("palette_id", F.col("image_id"))
+    lattice = lut.knn_lattice(palettes, 5)
+    graded = lut.apply_lattice(pixels, assigned, lattice)
+    joins = [x for x in plan_of(graded).splitlines() if "BroadcastHashJoin" in x]
+    assert not any("node" in x or "r#" in x for x in joins)
+
+
+@pytest.mark.parametrize("make", [lut.knn_lattice, lut.rbf_lattice])
+def test_small_and_large_palettes_give_the_same_lattice(spark, monkeypatch, make):
+    r = random.Random(3)
+    palettes = table(spark, {1: clustered(r, 30), 2: [(9, 9, 9)] * 7, 3: [(10, 200, 30)], 4: clustered(r, 90)})
+    got = []
+    for limit in (0, 40, 1 << 20):
+        monkeypatch.setattr(lut, "SMALL_PALETTE", limit)
+        got.append({tuple(x) for x in make(palettes, 6).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4 * 216
+
+
+def test_equal_colours_weigh_as_often_as_they_occur(spark):
+    once = table(spark, {1: [(250, 0, 0), (0, 0, 250)]})
+    often = table(spark, {1: [(250, 0, 0)] * 50 + [(0, 0, 250)]})
+    red = lambda df: sum(x.r for x in lut.rbf_lattice(df, 5).collect())
+    assert red(often) > red(once)
