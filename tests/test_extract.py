@@ -365,3 +365,14 @@ def test_strips_of_small_and_large_images_agree(spark, make_pixels, monkeypatch,
     assert got[0] == got[1] == got[2]
     lone = st._small_columns(table.limit(0).selectExpr("image_id", "r", "g", "b", "1L n", "1L n_valid", "array(0) at"), 13, space, "blue")
     assert "BroadcastHashJoin" not in lone._jdf.queryExecution().executedPlan().toString()  # no fact is repeated for a join
+
+
+def test_density_labels_of_small_and_large_images_agree(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, k, r.randint(1, 3), *(r.choice((5.0, 40.0, 70.0)) + r.gauss(0, 4) for _ in range(3))) for i, n in ((1, 1), (2, 60), (3, 300)) for k in r.sample(range(1 << 15), n)]
+    bins = spark.createDataFrame(rows, "image_id bigint, key int, n bigint, f0 double, f1 double, f2 double")
+    got = []
+    for limit in (1 << 11, 100, 0):
+        monkeypatch.setattr(cl, "SMALL_BINS", limit)
+        got.append({tuple(x) for x in cl.label_density(bins).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 361 and max(x[-1] for x in got[0]) > 3

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
-from ..functions.numeric import FEATURES, SUMS, block_of, distances, farthest_of_blocks, labelled, merge_closest, oklab_of, settled_blocks, sums_of_blocks
+from ..functions.numeric import FEATURES, SUMS, block_of, density_labels, distances, farthest_of_blocks, labelled, merge_closest, oklab_of, settled_blocks, sums_of_blocks
 from ..runtime import cut, salted_join, spread_by, with_image_totals
 from .pixels import CHANNELS, histogram, top_k
 
@@ -334,15 +334,34 @@ def soft(pixels: DataFrame, k: int = K.PALETTE_SIZE, preset: str = "default", co
 
 def dbscan(pixels: DataFrame, k: int = K.PALETTE_SIZE) -> DataFrame:
     """Density clusters of bins ranked by saliency; short palettes are padded with far, salient bins."""
-    bins = salient_bins(pixels)
+    bins = cut(salient_bins(pixels))
     chosen = top_k(density_clusters(label_density(bins)), ["image_id"], [F.col("s").desc(), "c"], k)
     padded = pad_farthest(bins, chosen, k)
     return _palette(_feature_bytes(padded, "oklab"))
 
 
+# Bins up to which the neighbours of an image are found in one task.
+SMALL_BINS = 1 << 11
+
+
 def label_density(bins: DataFrame) -> DataFrame:
     """Add ``c``: 0 for noise, else the cluster in order of its first core bin.
 
+    Images of at most ``SMALL_BINS`` bins are labelled one by one where their bins meet, so that no pair of neighbours is
+    written; the others go through joins and rounds together.
+    """
+    number = F.count("*").over(Window.partitionBy("image_id"))  # at most 32,768 bins
+    sized = cut(spread_by(bins, "image_id").withColumn("_bins", number))
+    small = sized.filter(F.col("_bins") <= SMALL_BINS).drop("_bins")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in small.schema)
+    found = spread_by(small, "image_id").groupBy("image_id").applyInArrow(density_labels(K.DENSITY_RADIUS, K.DENSITY_MIN_PIXELS), f"{kinds}, c bigint")
+    large = sized.filter(F.col("_bins") > SMALL_BINS).drop("_bins")
+    return found if large.isEmpty() else found.unionByName(_label_in_rounds(large))
+
+
+def _label_in_rounds(bins: DataFrame) -> DataFrame:
+    """Labels of images of any number of bins.
+
     Bins live in a grid of cells one radius wide and meet their neighbours in the 27 cells around by a hash join. Core
     bins pass the smallest key along neighbours, and then along what it leads to, until nothing changes; a border bin
     goes to the earliest cluster that touches it.
@@ -388,7 +407,7 @@ def pad_farthest(bins: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     out = chosen.select("image_id", "ord", *FEATURES, "n")
     for _ in range(k):
         far = F.when(F.size("centres") == 0, F.lit(1e18)).otherwise(F.array_min(F.transform("centres", _near)))
-        seen = salted_join(bins, state.filter(F.size("centres") < k), ["image_id"], F.col("key"))
+        seen = bins.join(state.filter(F.size("centres") < k), "image_id")  # at most 32,768 bins an image
         best = seen.groupBy("image_id", "centres").agg(F.max(F.struct((far * F.col("saliency")).alias("score"), (-F.col("key")).alias("key"), *FEATURES, F.col("n").cast("double").alias("n"))).alias("best"))
         best = cut(best.filter("best.score > 0"))
         if best.isEmpty():
