@@ -36,8 +36,10 @@ GRAM = 8
 SHARD_SEGMENTS = 3000
 # Words of one automaton.
 SHARD_WORDS = 40_000
-# A mark is common if it has at least this part of all marks, so at most as many are common.
+# A mark (or a pair of mark and segment) is common if it has at least this part of all rows, so at most as many are common,
 COMMON_MARKS = 10_000
+# and at least so many rows: fewer are no burden to a task.
+COMMON_ROWS = 1000
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -209,14 +211,24 @@ def _window_hashes(window: int):
     return run
 
 
+def _common(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The common ones of ``keys``, counted by column n."""
+    return counts.filter((F.col("n") >= COMMON_ROWS) & (F.col("n") * COMMON_MARKS >= total)).select(*keys)
+
+
+def _per_salt(facts: DataFrame, common: DataFrame) -> DataFrame:
+    """Facts with a column _salt: those of common keys once for each of ``SALTS``, all others once."""
+    known = F.broadcast(common.withColumn("_common", F.lit(True)))
+    salts = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return facts.join(known, common.columns, "left").withColumn("_salt", F.explode(salts)).drop("_common")
+
+
 def _spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], common: DataFrame, place) -> DataFrame:
-    """Inner join whose ``keys`` hold a mark: the rows of a common mark are cut into ``SALTS`` parts by ``place``, and
-    only the facts of common marks are repeated. ``common`` (at most ``COMMON_MARKS`` marks) is broadcast."""
-    known = F.broadcast(common.select("mark", F.lit(True).alias("_common")))
+    """Inner join on ``keys``, of which some are common: their rows are cut into ``SALTS`` parts by ``place``, and
+    only their facts are repeated. ``common`` (columns of the keys, at most ``COMMON_MARKS`` rows) is broadcast."""
+    known = F.broadcast(common.withColumn("_common", F.lit(True)))
     salt = F.when(F.col("_common"), F.pmod(place, F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    many = facts.join(known, "mark", "left").withColumn("_salt", F.explode(salts)).drop("_common")
-    return rows.join(known, "mark", "left").withColumn("_salt", salt).drop("_common").join(many, [*keys, "_salt"]).drop("_salt")
+    return rows.join(known, common.columns, "left").withColumn("_salt", salt).drop("_common").join(_per_salt(facts, common), [*keys, "_salt"]).drop("_salt")
 
 
 def repeated_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -227,7 +239,8 @@ def repeated_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     # Two segments of one row of a pair of rows repeated in full share keys; count() sees both.
     seen = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), (F.min("seg") == F.max("seg")).alias("same")).filter("n >= 2")
     seen = stored(seen, "seen")
-    common = seen.filter(F.col("n") * COMMON_MARKS >= marks.count()).select("mark")
+    total = marks.count()
+    common = _common(seen, ["mark"], total)
     place = F.xxhash64("_k1", "_k2", "lo")
     shared = stored(_spread_join(marks, seen.drop("n"), ["mark"], common, place), "shared")
     plain = shared.filter("same").select("_k1", "_k2", "lo", "hi")
@@ -254,7 +267,8 @@ def repeated_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     twice = windows.groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h")
     counted = windows.join(twice, "h").select("mark", "seg", "a", (F.col("a") + window).alias("b"))
     ranges = found.unionByName(counted)
-    exact = _spread_join(compared, ranges, ["mark", "seg"], common, place).select("_k1", "_k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    # a common mark has many segments and each its ranges: only those of a common segment are repeated
+    exact = _spread_join(compared, ranges, ["mark", "seg"], _common(segments, ["mark", "seg"], total), place).select("_k1", "_k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
     return plain.unionByName(exact)
 
 
