@@ -137,3 +137,27 @@ def test_written_rasters(spark, tmp_path, make_pixels):
     # another decoder sees the same colours
     again = im.image_pixels(im.read_images(spark, str(tmp_path / "out")))
     assert [r[3:6] for r in colours_of(again)["1.bmp"]][:5] == [p[:3] for p in PIXELS[:5]]
+
+
+def test_bands_are_read_once_and_cut_in_pieces(spark):
+    from tintlake.plans.queries_catalogue import _pixels_and_errors
+
+    read = spark.sparkContext.accumulator(0)
+
+    def bands(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    w, h = 50, 5  # 250 pixels, no multiple of a piece
+    rows = [(f"{c}.bmp", w, h, c, 0, w * h, bytes(i % 251 + 1 for i in range(w * h * c)), None) for c in (1, 3, 4)]
+    rows = [*rows, ("bad.bmp", *[None] * 6, "truncated"), ("none.bmp", w, 0, 3, 0, 0, b"", None)]
+    df = spark.createDataFrame(rows, f"image_id string, {rs.BAND_FIELDS}")
+    got = _pixels_and_errors(df.mapInArrow(bands, df.schema)).collect()
+    assert read.value == len(rows)
+    assert [(r.image, r.error, r.idx) for r in got if r.error] == [("bad", "truncated", None)]
+    for _, _, _, c, _, n, data, _ in rows[:3]:
+        want = [(*(data[i * c + (j if c > 1 else 0)] for j in (2, 1, 0)), data[i * c + 3] if c == 4 else 255) for i in range(n)]
+        mine = sorted((r.idx, r.x, r.y, r.r, r.g, r.b, r.a) for r in got if r.image == str(c))
+        assert mine == [(i, i % w, i // w, *p) for i, p in enumerate(want)]
+    assert {r.image for r in got} == {"1", "3", "4", "bad"}

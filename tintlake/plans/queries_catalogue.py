@@ -49,6 +49,7 @@ def _written(spark, sf):
 
 def _pixels_and_errors(bands):
     image = F.regexp_extract("image_id", "([^/]+)[.]bmp$", 1).alias("image")
+    bands = cut(bands)  # read once for both
     found = im.band_pixels(bands).select(image, "idx", "x", "y", "r", "g", "b", "a", F.lit(None).cast("string").alias("error"))
     return found.unionByName(bands.filter("error is not null").select(image, "error"), allowMissingColumns=True)
 
@@ -63,9 +64,9 @@ def raster_scan(spark, sf):
 @query("a2_inline_rasters", _RASTERS_SQL)
 def inline_rasters(spark, sf):
     """The same files as ``data:`` texts: payloads of inline images, cut into bands and expanded to pixels."""
-    folder, _ = _written(spark, sf)
+    folder, done = _written(spark, sf)
     uri = F.concat(F.lit("data:image/bmp;base64,"), F.base64("content"))
-    inline = im.inline_images(spark.read.format("binaryFile").load(folder).select(F.col("path").alias("image_id"), uri.alias("uri")))
+    inline = im.inline_images(read_files(done, folder).select(F.col("name").alias("image_id"), uri.alias("uri")))
     return _pixels_and_errors(rs.payload_bands(inline, "image_id", "content"))
 
 

@@ -9,6 +9,8 @@ from ..runtime import spread_by
 
 # Pixels of one band of an image.
 BAND_PIXELS = 1 << 16
+# Pixels that are cut out of a band together: a pixel's row carries the bytes of these only, not of its band.
+CUT_PIXELS = 64
 PIXEL_COLUMNS = ["image_id", "idx", "x", "y", "r", "g", "b", "a"]
 
 
@@ -57,9 +59,12 @@ def image_pixels(images: DataFrame) -> DataFrame:
 
 def band_pixels(bands: DataFrame) -> DataFrame:
     """Every pixel of bands (image_id, w, channels, y of the first row, n pixels, data); bands without data give none."""
-    bands = bands.filter(F.col("data").isNotNull()).select("image_id", "w", "channels", F.col("y").alias("_y"), F.col("n").alias("_n"), "data")
-    df = spread_by(bands, "image_id", "_y").withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    df = df.withColumn("idx", F.col("_y").cast("bigint") * F.col("w") + F.col("_at"))
+    bands = bands.filter(F.col("data").isNotNull() & (F.col("n") > 0)).select("image_id", "w", "channels", F.col("y").alias("_y"), F.col("n").cast("int").alias("_n"), "data")
+    df = spread_by(bands, "image_id", "_y").withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(CUT_PIXELS))))
+    part = F.substring("data", F.col("_from") * F.col("channels") + 1, F.col("channels") * CUT_PIXELS)
+    df = df.select("image_id", "w", "channels", "_y", "_from", F.least(F.lit(CUT_PIXELS), F.col("_n") - F.col("_from")).alias("_n"), part.alias("data"))
+    df = df.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    df = df.withColumn("idx", F.col("_y").cast("bigint") * F.col("w") + F.col("_from") + F.col("_at"))
 
     def channel(n: int) -> Column:
         at = (F.col("_at") * F.col("channels") + n + 1).cast("int")
