@@ -210,7 +210,8 @@ def append(catalogue: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame
         .when(F.col("_bad") > 0, "unreadable color")
         .when(F.size(F.array_distinct("hexes")) < F.size("hexes"), "duplicate color")
     )
-    ready = ready.withColumn("error", reason)
+    # numbering reads the good rows several times: their colours are parsed once
+    ready = cut(ready.withColumn("error", reason))
     good = ready.filter(F.col("error").isNull())
     ids = generate_ids(good, catalogue)
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
