@@ -185,3 +185,17 @@ def test_lattice_jobs_equal_single_lattices(spark):
         knobs = {k: j[k] for k in lut.KNOBS[method]}
         one = lut.make_lattice(palettes.filter(F.col("palette_id") == j["palette_id"]), method, size=j["size"], **knobs)
         assert got[j["job_id"]] == {tuple(r)[1:] for r in one.select("palette_id", "size", "node", "r", "g", "b").collect()}
+
+
+def test_appended_rows_of_a_small_file_are_spread_over_tasks(spark):
+    rows = [(i, f"n{i % 3}", " d ", ["x"], ["t"], ["RED", "#0f0"] if i % 5 else ["#12345"]) for i in range(200)]
+    schema = "seq bigint, name string, description string, categories array<string>, tags array<string>, colors array<string>"
+    fresh = spark.createDataFrame(rows, schema).coalesce(1)
+    empty = spark.createDataFrame([], "pos bigint, " + schema.split(", ", 1)[1] + ", id string").select("pos", "id", "name", "description", "categories", "tags", "colors")
+    grown, refused = cg.append(empty, fresh)
+    assert refused.rdd.getNumPartitions() > 1
+    assert refused.count() == 40
+    got = {r.pos: (r.id, r.colors) for r in grown.collect()}
+    wanted = one_by_one([f"n{i % 3}" for i in range(200) if i % 5], [])
+    assert [got[i][0] for i in range(200) if i % 5] == wanted
+    assert {tuple(c) for _, c in got.values()} == {("#ff0000", "#00ff00")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel
 from ..functions.parse import with_parsed
-from ..runtime import TILE_ROWS, cut, dense_position, running_weight, salted_join
+from ..runtime import TILE_ROWS, cut, dense_position, running_weight, salted_join, spread_by
 
 SAVED = "Saved"
 ID_RULE = "^[a-z0-9]+(-[a-z0-9]+)*$"
@@ -196,7 +196,8 @@ def append(catalogue: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame
     Returns the grown catalogue and the refused rows with a reason. Colours become canonical hex, the category
     ``Saved`` always leads, categories and tags are trimmed.
     """
-    named = fresh.withColumn("name", _trimmed("name"))
+    # parsing is most of the work: the rows are dealt out first, as a small file comes in few tasks
+    named = spread_by(fresh, "seq").withColumn("name", _trimmed("name"))
     parsed = with_parsed(named.select("seq", F.posexplode("colors").alias("ord", "raw")), "raw")
     code = kernel.hex_text(F.col("r"), F.col("g"), F.col("b"), F.col("a"))
     canon = parsed.groupBy("seq").agg(
@@ -218,7 +219,7 @@ def append(catalogue: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame
     kept = F.filter(F.transform(F.coalesce("categories", F.array().cast("array<string>")), strip), lambda x: (x != "") & (F.lower(x) != SAVED.lower()))
     tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), strip), lambda x: x != "")
     start = catalogue.agg(F.coalesce(F.max("pos"), F.lit(-1))).scalar()
-    rows = good.join(ids, "seq").select(
+    rows = good.join(ids.hint("merge"), "seq").select(
         (F.col("seq") + start + 1).cast("bigint").alias("pos"), "id", "name", _trimmed("description").alias("description"),
         F.concat(F.array(F.lit(SAVED)), kept).alias("categories"), tags.alias("tags"), F.col("hexes").alias("colors"),
     )
