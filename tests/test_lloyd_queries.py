@@ -83,3 +83,12 @@ def test_more_colours_than_the_default(spark, make_pixels):
     """Over-clusters follow the palette: 32 colours of an image that has them."""
     image = make_pixels({1: (64, [(i % 8 * 36, i // 8 % 8 * 36, i // 64 * 36, 255) for i in range(512)])})
     assert cl.weighted_kmeans(image, k=32).count() == cl.soft(image, k=32, count_stop=True).count() == 32
+
+
+def test_points_of_many_keys_do_not_meet_in_one_batch(spark, make_pixels):
+    """A task's Python holds one key at a time: no batch of packed blocks, which grows with the number of keys."""
+    image = make_pixels({n: (8, [(i * 3, 255 - i, (i * i + n) % 251, 255) for i in range(64)]) for n in range(3)})
+    found = cl.cluster_points(cl.color_points(image, "oklab"), 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "ArrowEvalPython" not in plan and "CoGroup" not in plan
+    assert found.count() == 192

@@ -11,12 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import kernel
-from ..functions.numeric import FEATURES, SUMS, block_of, density_labels, distances, farthest_of_blocks, labelled, merge_closest, oklab_of, settled_blocks, sums_of_blocks
+from ..functions.numeric import FEATURES, SUMS, block_of, density_labels, distances, farthest_of_blocks, labelled, merge_closest, oklab_of, settled_points, sums_of_blocks
 from ..runtime import cut, salted_join, spread_by, with_image_totals
 from .pixels import CHANNELS, histogram, top_k
 
@@ -91,26 +92,26 @@ def cluster_points(points: DataFrame, k: int | str, rounds: int = K.LLOYD_ROUNDS
 
     Seeds: the heaviest point, then each time the point of greatest weight times squared distance to the nearest seed.
     Then ``rounds`` rounds, fewer for keys where nothing moves any more; a cluster without points restarts at the
-    heaviest point. Points are packed into blocks once. A key of one block is brought to rest where the block lies; the
-    larger keys go through rounds of all their blocks together (``spread_rounds``), with the same result. ``k`` is a
-    number or names a column that is constant per key.
+    heaviest point. A key of at most ``BLOCK_POINTS`` points is brought to rest and labelled where its points meet, one
+    key at a time; the points of larger keys are packed into blocks and go through rounds of all their blocks together
+    (``spread_rounds``), with the same result. ``k`` is a number or names a column that is constant per key.
     """
-    laid = cut(laid_out(cut(points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES})), key))
-    settle = F.arrow_udf(settled_blocks(rounds), f"array<{_CENTRE}>")
-    blocks, large = packed_points(laid.filter("splits = 1"), key), laid.filter("splits > 1")
-    wanted = None
-    if isinstance(k, str):
-        blocks = blocks.join(laid.filter("splits = 1").groupBy(key).agg(F.first(k).alias("k")), key)
-        wanted = large.groupBy(key).agg(F.first(k).alias("k"))
-    state = blocks.select(key, F.lit(1).alias("splits"), settle("f", "w", "pos", F.lit(k) if wanted is None else F.col("k")).alias("centres"))
-    if not large.isEmpty():
-        sizes = large.select(key, "splits").distinct()
-        found = spread_rounds(cut(packed_points(large, key)), k if wanted is None else cut(wanted), rounds, key)
-        state = state.unionByName(found.join(sizes, key).select(key, "splits", "centres"))
-    parts = state.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select(key, "split", "centres")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema)
-    found = laid.groupBy(key, "split").cogroup(spread_by(parts, key, "split").groupBy(key, "split")).applyInArrow(labelled, f"{kinds}, c bigint")
-    return found.drop("split", "splits")
+    points = cut(points.withColumns({f: F.round(F.col(f), 6) for f in FEATURES}))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", c bigint"
+    # at most one key for so many points
+    many = cut(points.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK_POINTS).select(key))
+    spread = not many.isEmpty()
+    small = points.join(F.broadcast(many), key, "left_anti") if spread else points
+    found = spread_by(small, key).groupBy(key).applyInArrow(settled_points(rounds, k), kinds)
+    if not spread:
+        return found
+    laid = cut(laid_out(points.join(F.broadcast(many), key, "left_semi"), key))
+    wanted = cut(laid.groupBy(key).agg(F.first(k).alias("k"))) if isinstance(k, str) else k
+    centres = spread_rounds(cut(packed_points(laid, key)), wanted, rounds, key).join(laid.select(key, "splits").distinct(), key)
+    parts = centres.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select(key, "split", "centres")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema) + ", c bigint"
+    large = laid.groupBy(key, "split").cogroup(spread_by(parts, key, "split").groupBy(key, "split")).applyInArrow(labelled, kinds)
+    return found.unionByName(large.drop("split", "splits"))
 
 
 def _small(state: DataFrame, k: int) -> bool:
@@ -154,15 +155,16 @@ def merge_clusters(clusters: DataFrame, radius: float | str, floor: int | str, k
     to floor. Further columns are constant per image and are kept; ``radius`` and ``floor`` may name two of them."""
     carried = [c for c in clusters.columns if c not in ("c", *FEATURES, "n", "s")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        same = {c: pdf[c].iloc[0] for c in carried}
-        within, least = (same[x] if isinstance(x, str) else x for x in (radius, floor))
-        f, n, s = merge_closest(pdf[FEATURES].to_numpy(float), pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), within, least)
-        return pd.DataFrame(f, columns=FEATURES).assign(c=range(len(f)), n=n, s=s, **same)[[*carried, "c", *FEATURES, "n", "s"]]
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.argsort(rows.column("c").to_numpy(), kind="stable"))
+        within, least = (rows.column(x)[0].as_py() if isinstance(x, str) else x for x in (radius, floor))
+        f = np.stack([rows.column(x).to_numpy() for x in FEATURES], axis=1)
+        f, n, s = merge_closest(f, *[rows.column(x).to_numpy().astype(float) for x in "ns"], within, least)
+        same = rows.select(carried).take(np.zeros(len(f), np.int64))
+        return pa.table([*same.columns, np.arange(len(f)), *[np.ascontiguousarray(x) for x in f.T], n, s], [*carried, "c", *FEATURES, "n", "s"])
 
     kept = ", ".join(f"{c} {clusters.schema[c].dataType.simpleString()}" for c in carried)
-    return spread_by(clusters, key).groupBy(key).applyInPandas(run, f"{kept}, c bigint, f0 double, f1 double, f2 double, n double, s double")
+    return spread_by(clusters, key).groupBy(key).applyInArrow(run, f"{kept}, c bigint, f0 double, f1 double, f2 double, n double, s double")
 
 
 def octree_fold(leaves: DataFrame, k: int) -> DataFrame:
