@@ -255,3 +255,37 @@ def test_queries_match_sql(spark, name):
     cols = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(cols)
     assert check.rows_of(df.columns, [tuple(r) for r in df.collect()]) == check.rows_of(cols, cur.fetchall())
+
+
+def test_a_cell_sorts_only_the_slots_it_adds_to(monkeypatch):
+    sorted_rows = []
+    lexsort = np.lexsort
+    monkeypatch.setattr(hn.np, "lexsort", lambda keys: (sorted_rows.append(len(keys[0])), lexsort(keys))[1])
+    r, slots, k = np.random.default_rng(4), 2000, 3
+    best, rows = hn.Best(slots, k), []
+    column = lambda n: (r.integers(0, 40, n), r.random(n) < 0.2, r.integers(0, 9, n), r.integers(0, 3, n), r.integers(0, 50, n))
+    for slot in (np.arange(slots).repeat(4), np.zeros(0, dtype=np.int64), np.array([7, 7, 1999]), r.integers(0, slots, 50)):
+        added = column(len(slot))
+        best.add(slot, *added)
+        rows += zip(slot.tolist(), *(x.tolist() for x in added))
+    assert max(sorted_rows[1:]) <= 50 * (k + 1)
+    want, bar = [], np.full(slots, -np.inf)
+    for slot in range(slots):
+        of = sorted((x for x in rows if x[0] == slot), key=lambda x: (-x[1], x[2], x[3], x[4], x[5]))[:k]
+        want += of
+        bar[slot] = of[-1][1] if len(of) == k else -np.inf
+    assert sorted(zip(*(x.tolist() for x in best.rows))) == sorted(want)
+    assert (best.bar == bar).all()
+
+
+def test_pairs_scored_in_one_product_or_one_by_one(monkeypatch):
+    r = np.random.default_rng(5)
+    vectors, codes = r.integers(-400, 400, (90, 24)), r.integers(-(1 << 23), 1 << 23, (30, 24))
+    keep = r.random((30, 90)) < 0.5
+    shard = type("", (), {"vectors": vectors})
+    got = {}
+    for whole in (0, 1 << 30):  # never, always
+        monkeypatch.setattr(hn, "WHOLE", whole)
+        got[whole] = [np.concatenate(x) for x in zip(*hn._scored(shard, codes, keep))]
+    assert all((a == b).all() for a, b in zip(*got.values()))
+    assert (got[0][2] == (codes @ vectors.T)[keep]).all()

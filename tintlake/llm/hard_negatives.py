@@ -2,8 +2,8 @@
 
 Rows are packed into shards as they are read. A shard keeps its rows' integer vectors and, of their differences from
 the shard's mean turned by a fixed rotation, one sign bit a component, the length and the alignment: the cosine between
-the difference and its own sign vector. For an anchor, popcounts of its eight bit-planes against the sign bits estimate
-the part of the inner product along the sign vector. The rest of a difference is orthogonal to it and its length is
+the difference and its own sign vector. For an anchor, popcounts of its eight bit-planes against the sign bits (summed by
+one product of its levels and the bits) estimate the part of the inner product along the sign vector. The rest of a difference is orthogonal to it and its length is
 known from the alignment, so the Cauchy-Schwarz inequality bounds what it can add; likewise for what the anchor loses in
 eight bits. The interval is certain, not likely: a row whose interval lies outside what is looked for is dropped, every
 other row is scored in integers. No row is lost, whatever the data; only the number of rows scored depends on them.
@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintlake.llm.common import small_batches, stored, worker_memory
-from tintlake.runtime import spread_by
 
 SHARD_ROWS = 1024
 # Expected rows and anchors of a cell; more make more cells.
 CELL_ROWS, CELL_ANCHORS = 16 * SHARD_ROWS, 8192
 # Anchors worked at once against a shard, and survivors scored at once.
-ANCHORS_AT_ONCE, SCORED_AT_ONCE = 256, 1 << 16
+ANCHORS_AT_ONCE, SCORED_AT_ONCE = 64, 1 << 16
+WHOLE = 32  # all pairs are scored in one product where more than one of so many survives
 PLANES = 8
 LARGEST = 1 << 24
 
@@ -74,11 +74,10 @@ def intervals(anchors: np.ndarray, centre: np.ndarray, codes: np.ndarray, align:
     step = np.maximum(t.max(axis=1, initial=0.0) - low, 1e-30) / ((1 << PLANES) - 1)
     level = np.rint((t - low[:, None]) / step[:, None]).astype(np.uint8)
     lost = np.sqrt(((t - low[:, None] - step[:, None] * level) ** 2).sum(axis=1))[:, None]
-    matched = np.zeros((len(anchors), len(codes)), dtype=np.int32)
-    for j in range(PLANES):
-        plane = _bits((level >> j) & 1 == 1)
-        for w in range(codes.shape[1]):
-            matched += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << j
+    # the popcounts of all planes, weighted and summed, are one product of the levels and the bits; it is exact
+    kind = np.float32 if anchors.shape[1] << PLANES < 1 << 24 else np.float64
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")[:, : anchors.shape[1]]
+    matched = (level.astype(kind) @ bits.T.astype(kind)).astype(np.float64)
     signs = 2 * np.bitwise_count(codes).sum(axis=1, dtype=np.int32) - anchors.shape[1]
     level_dot = 2 * matched - level.sum(axis=1, dtype=np.int32)[:, None]
     along = (low[:, None] * signs + step[:, None] * level_dot) / np.sqrt(dim)
@@ -90,10 +89,13 @@ def intervals(anchors: np.ndarray, centre: np.ndarray, codes: np.ndarray, align:
     return middle - half, middle + half
 
 
+def _most(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if most < 2.0**53:
+    if _most(a, b) < 2.0**53:
         return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
     return (a.astype(np.int64) * b.astype(np.int64)).sum(axis=1)
 
@@ -176,17 +178,31 @@ class Best:
     """The first ``k`` rows of each slot: greatest score, then smallest id, then storage order."""
 
     def __init__(self, slots: int, k: int):
-        self.k, self.bar = k, np.full(slots, -np.inf)
-        self.rows = [np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64, np.int64, np.int64)]
-
-    def add(self, slot, score, unknown, ids, shard, pos) -> None:
-        slot, score, unknown, ids, shard, pos = (np.concatenate(x) for x in zip(self.rows, (slot, score, unknown, ids, shard, pos)))
+        self.k, self.bar, self.count = k, np.full(slots, -np.inf), np.zeros(slots, dtype=np.int64)
+        self.kept = [np.zeros((slots, k), t) for t in (np.int64, bool, np.int64, np.int64, np.int64)]
+
+    @property
+    def rows(self) -> list[np.ndarray]:
+        """Slot, score, null id, id, shard and place of all rows."""
+        held = np.nonzero(np.arange(self.k) < self.count[:, None])
+        return [held[0], *[x[held] for x in self.kept]]
+
+    def add(self, slot, *row) -> None:
+        """Rows (score, null id, id, shard, place); only the slots that they come to are sorted."""
+        if not len(slot):
+            return
+        touched = np.unique(slot)
+        at = np.nonzero(np.arange(self.k) < self.count[touched, None])
+        old = touched[at[0]]
+        slot, score, unknown, ids, shard, pos = row = [np.concatenate(x) for x in ((old, slot), *((x[old, at[1]], y) for x, y in zip(self.kept, row)))]
         order = np.lexsort((pos, shard, ids, unknown, -score, slot))
         first = np.searchsorted(slot[order], slot[order], side="left")
         place = np.arange(len(order)) - first
-        kept = order[place < self.k]
-        self.rows = [x[kept] for x in (slot, score, unknown, ids, shard, pos)]
-        last = order[place == self.k - 1]
+        kept, place = order[place < self.k], place[place < self.k]
+        for x, y in zip(self.kept, row[1:]):
+            x[slot[kept], place] = y[kept]
+        self.count[touched] = np.bincount(np.searchsorted(touched, slot[kept]), minlength=len(touched))
+        last = kept[place == self.k - 1]
         self.bar[slot[last]] = score[last]
 
 
@@ -197,8 +213,20 @@ def _kth(bounds: np.ndarray, k: int) -> np.ndarray:
     return np.partition(bounds, bounds.shape[1] - k, axis=1)[:, -k]
 
 
+def _bars(bar: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """What rows have to reach: the bar, and where there is none yet the k-th largest of the lower bounds."""
+    none = np.flatnonzero(np.isneginf(bar))
+    if len(none):
+        bar[none] = _kth(bounds[none], k)
+    return bar
+
+
 def _scored(s: Shard, vectors: np.ndarray, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     who, row = np.nonzero(keep)
+    if len(who) * WHOLE > keep.size and _most(vectors, s.vectors) < 2.0**53:  # then cheaper and as exact
+        scores = (vectors.astype(np.float64) @ s.vectors.T.astype(np.float64))[keep].astype(np.int64)
+        yield who, row, scores
+        return
     for lo in range(0, len(who), SCORED_AT_ONCE):
         w, r = who[lo : lo + SCORED_AT_ONCE], row[lo : lo + SCORED_AT_ONCE]
         yield w, r, products(vectors[w], s.vectors[r])
@@ -237,9 +265,10 @@ def _positives(k: int):
             fits = label[some][:, None] == s.labels
             own = np.flatnonzero(a_shard[some] == s.shard)
             fits[own, a_pos[some][own]] = False
-            bar = np.maximum(best.bar[some], _kth(np.where(fits, low, -np.inf), k))
+            bar = _bars(best.bar[some], np.where(fits, low, -np.inf), k)
             for w, r, score in _scored(s, vectors, fits & (high >= bar[:, None])):
-                best.add(some[w], score, ~s.known[r], s.ids[r], np.full(len(r), s.shard), r)
+                x = np.flatnonzero(score >= best.bar[some[w]])
+                best.add(some[w[x]], score[x], ~s.known[r[x]], s.ids[r[x]], np.full(len(x), s.shard), r[x])
         slot, score, unknown, ids, shard, pos = best.rows
         return pa.table({"a_shard": a_shard[slot], "a_pos": a_pos[slot].astype(np.int32), "id": _ids(unknown, ids), "score": score, "shard": shard, "pos": pos})
 
@@ -260,19 +289,27 @@ def _negatives(positives: int, k: int, low_share: int, high_share: int):
         best = Best(target.size, k)
         for s, some, vectors, low, high in _at_once(shards, anchors):
             other = label[some][:, None] != s.labels
-            keep = np.zeros(other.shape, dtype=bool)
+            least, most = np.full(len(some), np.inf), np.full(len(some), -np.inf)  # of what can be among the rows of any positive
             for j in range(positives):
-                t = np.where(given[some, j], target[some, j].astype(np.float64), np.nan)[:, None]
+                t = np.where(given[some, j], target[some, j].astype(np.float64), np.nan)
                 floor, roof = low_share / 100 * t, high_share / 100 * t
-                certain = np.where(other & (low >= floor) & (high <= roof), low, -np.inf)
-                bar = np.maximum(best.bar[some * positives + j], _kth(certain, k))[:, None]
-                keep |= other & (high >= np.maximum(floor, bar)) & (low <= roof)
+                bar = best.bar[some * positives + j]
+                fresh = np.flatnonzero(np.isneginf(bar) & given[some, j])
+                if len(fresh):
+                    certain = other[fresh] & (low[fresh] >= floor[fresh, None]) & (high[fresh] <= roof[fresh, None])
+                    bar[fresh] = _kth(np.where(certain, low[fresh], -np.inf), k)
+                floor = np.fmax(floor, bar)
+                can = given[some, j] & (floor <= roof + np.abs(roof) * 1e-12 + 1)
+                least, most = np.where(can, np.minimum(least, floor), least), np.where(can, np.maximum(most, roof), most)
+            keep = other & (high >= least[:, None]) & (low <= most[:, None])
             for w, r, score in _scored(s, vectors, keep):
+                near = np.flatnonzero((score >= least[w] - np.abs(least[w]) * 1e-12 - 1) & (score <= most[w] + np.abs(most[w]) * 1e-12 + 1))  # of any positive
+                w, r, score = w[near], r[near], score[near]
                 for j in range(positives):
-                    t = target[some[w], j]
-                    fits = given[some[w], j] & (low_share * t <= 100 * score) & (100 * score <= high_share * t)
+                    t, slot = target[some[w], j], some[w] * positives + j
+                    fits = given[some[w], j] & (score >= best.bar[slot]) & (low_share * t <= 100 * score) & (100 * score <= high_share * t)
                     x = r[fits]
-                    best.add(some[w[fits]] * positives + j, score[fits], ~s.known[x], s.ids[x], np.full(len(x), s.shard), x)
+                    best.add(slot[fits], score[fits], ~s.known[x], s.ids[x], np.full(len(x), s.shard), x)
         slot, score, unknown, ids, shard, pos = best.rows
         a, j = slot // positives, slot % positives
         pair = [found[x][y] for x, y in zip(a.tolist(), j.tolist())]
@@ -295,8 +332,9 @@ def _meet(shards: DataFrame, anchors: DataFrame, parts: int, groups: int, work,
         chosen = pa.array([b""] * a.num_rows, pa.binary())
         return work(a.append_column("chosen", chosen), b)
 
-    # an explicit width, as the cells are much work for few bytes
-    left, right = (spread_by(side, "part", "grp") for side in (left, right))
+    # an explicit width, as the cells are much work for few bytes; few cells go to more partitions, so that hashes put few together
+    width = 4 * parts * groups if parts * groups < 512 else parts * groups
+    left, right = (side.repartition(width, "part", "grp") for side in (left, right))
     return left.groupBy("part", "grp").cogroup(right.groupBy("part", "grp")).applyInArrow(run, schema)
 
 
